@@ -1,2 +1,302 @@
-class ReviewRules: pass
-def review(*a): raise NotImplementedError
+"""Review flags on records and the declarative check engine."""
+
+from __future__ import annotations
+
+import datetime as dt
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from prodseries.functions.expr import any_of, count_where
+from prodseries.spec import MODES, STATES
+
+# Fixed wording of the review reasons.
+ISSUE_REASONS = {
+    "DQ-001": "Record before the start of the operating window",
+    "DQ-003": "Hours not recorded: blank measurement record, not a zero",
+    "DQ-004": "More than 24 hours recorded: possible clock change, not confirmed",
+    "DQ-005": "Negative water, or unexplained positive volume on a documented day",
+    "DQ-006": "Substantial injection recorded with zero hours",
+}
+ISSUE_EXPLANATIONS = {
+    "DQ-001": "Record before the start of the operating window.",
+    "DQ-002": "Reporting gap shared by several entities: a missing interval, so there is no record to flag.",
+    "DQ-003": "Hours are NULL, which is a different state from hours = 0.",
+    "DQ-004": "Hours above 24: plausible clock change, no upper bound is enforced.",
+    "DQ-005": "Negative water, or unexplained positive volume recorded with zero hours.",
+    "DQ-006": "Substantial injection recorded with zero hours and no sensor readings.",
+}
+
+
+@dataclass(frozen=True)
+class ReviewRules:
+    """Parameters of the known issues; entity lists of None mean every entity."""
+
+    window_start: dt.date = dt.date(2008, 1, 1)
+    window_end: dt.date | None = None
+    hours_limit: float = 24
+    injection_floor: float = 100
+    injection_entities: tuple | None = None
+    exceptions: tuple[tuple[int, dt.date], ...] = ()
+    gap_entities: tuple | None = None
+    gap_from: dt.date | None = None
+    gap_to: dt.date | None = None
+
+    def conditions(self) -> dict[str, Column]:
+        """Issue -> condition on a fact row. A shared gap has no row, so it is absent."""
+        odd_days = [(F.col("entity") == e) & (F.col("day") == F.lit(d)) for e, d in self.exceptions]
+        idle_injection = (F.col("hours") == 0) & (F.col("injection") > self.injection_floor)
+        if self.injection_entities is not None:
+            idle_injection &= F.col("entity").isin(list(self.injection_entities))
+        return {
+            "DQ-001": F.col("day") < F.lit(self.window_start),
+            "DQ-003": F.col("hours").isNull(),
+            "DQ-004": F.col("hours") > self.hours_limit,
+            "DQ-005": any_of([F.col("water") < 0, *odd_days]),
+            "DQ-006": idle_injection,
+        }
+
+    def in_gap(self) -> Column:
+        """Rows strictly inside the documented gap (none are expected)."""
+        if self.gap_from is None:
+            return F.lit(False)
+        inside = (F.col("day") > F.lit(self.gap_from)) & (F.col("day") < F.lit(self.gap_to))
+        if self.gap_entities is not None:
+            inside &= F.col("entity").isin(list(self.gap_entities))
+        return inside
+
+    def gap_edges(self) -> Column:
+        """Rows on the last day before and the first day after the documented gap."""
+        if self.gap_from is None:
+            return F.lit(False)
+        edge = F.col("day").isin(self.gap_from, self.gap_to)
+        if self.gap_entities is not None:
+            edge &= F.col("entity").isin(list(self.gap_entities))
+        return edge
+
+
+def review(fact: DataFrame, rules: ReviewRules) -> DataFrame:
+    """One row per (record, issue) in one scan; a record may carry several issues."""
+    conds = rules.conditions()
+    flags = [
+        F.when(c, F.struct(F.lit(i).alias("dq_issue"), F.lit(ISSUE_REASONS[i]).alias("review_reason")))
+        for i, c in conds.items()
+    ]
+    return (
+        fact.where(any_of(F.coalesce(c, F.lit(False)) for c in conds.values()))
+        .select("entity", "day", F.explode(F.array_compact(F.array(*flags))).alias("flag"))
+        .select("entity", "day", "flag.dq_issue", "flag.review_reason")
+    )
+
+
+def review_summary(flags: DataFrame) -> DataFrame:
+    """Records, entities and date span per issue; entities are counted after one
+    pre-aggregation, so a hot issue is never held in one place."""
+    per_entity = flags.groupBy("dq_issue", "entity").agg(
+        F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last")
+    )
+    return per_entity.groupBy("dq_issue").agg(
+        F.sum("n").alias("record_count"), F.count("*").alias("affected_wells"),
+        F.min("first").alias("earliest_date"), F.max("last").alias("latest_date"),
+    )
+
+
+def review_detail(flags: DataFrame, dim: DataFrame, issue: str) -> DataFrame:
+    hit = flags.where(F.col("dq_issue") == issue)
+    return hit.join(dim.select("entity", "entity_name"), "entity").select("entity_name", "day", "review_reason")
+
+
+def review_by_entity(flags: DataFrame, dim: DataFrame) -> DataFrame:
+    counts = flags.groupBy("dq_issue", "entity").agg(F.count("*").alias("record_count"))
+    return counts.join(dim.select("entity", "entity_name"), "entity").select("dq_issue", "entity_name", "record_count")
+
+
+def review_by_month(flags: DataFrame) -> DataFrame:
+    return flags.groupBy("dq_issue", F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("record_count"))
+
+
+def issue_explanations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ISSUE_EXPLANATIONS.items()), "dq_issue string, explanation string")
+
+
+# --- check engine -----------------------------------------------------------
+
+ZERO, EQUALS, KNOWN = "zero_violations", "count_equals", "known_population"
+
+
+@dataclass(frozen=True)
+class Check:
+    """A named count compared with an expected count.
+
+    ``known_population``: an exact match is REVIEW (the documented exception is
+    still there, unchanged) and anything else is FAIL (it drifted).
+    """
+
+    check_id: str
+    category: str
+    check_name: str
+    kind: str = ZERO
+    expected: int = 0
+    hard: bool = True
+
+
+@dataclass(frozen=True)
+class Expected:
+    """Documented sizes of one snapshot."""
+
+    raw_daily: int = 15634
+    daily: int = 15634
+    entities: int = 7
+    raw_monthly: int = 527
+    monthly: int = 526
+    issues: dict[str, int] = field(
+        default_factory=lambda: {"DQ-001": 244, "DQ-002": 0, "DQ-003": 285, "DQ-004": 20, "DQ-005": 5, "DQ-006": 2}
+    )
+
+
+def standard_checks(expected: Expected) -> list[Check]:
+    """The 27 checks in report order."""
+    rows, grain, fk = "Row counts", "Grain uniqueness", "Dimension coverage"
+    ident, recon, known, cons = (
+        "Identifier consistency", "Daily/monthly reconciliation", "Known DQ issues", "Constraint-sensitive",
+    )
+    n = expected.issues
+    return [
+        Check("QC-001", rows, "Raw daily row count", EQUALS, expected.raw_daily),
+        Check("QC-002", rows, "Core daily row count", EQUALS, expected.daily),
+        Check("QC-003", rows, "Core entity count", EQUALS, expected.entities),
+        Check("QC-004", rows, "Raw monthly row count", EQUALS, expected.raw_monthly),
+        Check("QC-005", rows, "Core monthly row count", EQUALS, expected.monthly),
+        Check("QC-006", grain, "Duplicate (entity, day) keys"),
+        Check("QC-007", grain, "Duplicate (entity, year, month) keys"),
+        Check("QC-008", fk, "Daily rows without a dimension row"),
+        Check("QC-009", fk, "Monthly rows without a dimension row"),
+        Check("QC-010", ident, "Entity codes with more than one name (raw)"),
+        Check("QC-011", ident, "Entity names with more than one code (raw)"),
+        Check("QC-012", ident, "Entity codes in raw daily only"),
+        Check("QC-013", ident, "Entity codes in raw monthly only"),
+        Check("QC-014", recon, "Entity-months in the daily rows only"),
+        Check("QC-015", recon, "Entity-months in the monthly rows only"),
+        Check("QC-016", recon, "Value mismatches beyond the tolerance"),
+        Check("DQ-001", known, "Records before the operating window", KNOWN, n["DQ-001"]),
+        Check("DQ-002", known, "Records inside the documented gap", KNOWN, n["DQ-002"]),
+        Check("DQ-003", known, "Records without hours", KNOWN, n["DQ-003"]),
+        Check("DQ-004", known, "Records above 24 hours", KNOWN, n["DQ-004"]),
+        Check("DQ-005", known, "Negative water and documented odd days", KNOWN, n["DQ-005"]),
+        Check("DQ-006", known, "Injection with zero hours", KNOWN, n["DQ-006"]),
+        Check("QC-017", cons, "Negative oil, gas or injection"),
+        Check("QC-018", cons, "Negative hours or sensor values"),
+        Check("QC-019", cons, "Unknown state values"),
+        Check("QC-020", cons, "Unknown mode values"),
+        Check("QC-021", cons, "Unknown choke unit values"),
+    ]
+
+
+def long_counts(one_row: DataFrame) -> DataFrame:
+    """A one-row aggregate turned into (check_id, actual) rows."""
+    return one_row.select(*[F.col(f"`{c}`").cast("long").alias(c) for c in one_row.columns]).unpivot(
+        [], [F.col(f"`{c}`") for c in one_row.columns], "check_id", "actual"
+    )
+
+
+def duplicate_keys(df: DataFrame, keys, check_id: str) -> DataFrame:
+    return df.groupBy(*keys).count().agg(count_where(F.col("count") > 1).alias(check_id))
+
+
+def multi_valued(df: DataFrame, key: str, other: str, check_id: str) -> DataFrame:
+    """Keys that come with more than one distinct other value; both non-NULL."""
+    pairs = df.where(F.col(key).isNotNull() & F.col(other).isNotNull()).select(key, other).distinct()
+    return duplicate_keys(pairs, [key], check_id)
+
+
+def presence(left: DataFrame, right: DataFrame, key: str, left_only: str, right_only: str) -> DataFrame:
+    """Distinct non-NULL keys found on one side only, both directions in one pass."""
+    sides = (
+        left.where(F.col(key).isNotNull()).select(key, F.lit(1).alias("l"), F.lit(0).alias("r"))
+        .unionByName(right.where(F.col(key).isNotNull()).select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+        .groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    )
+    return sides.agg(
+        count_where(F.col("r") == 0).alias(left_only), count_where(F.col("l") == 0).alias(right_only)
+    )
+
+
+def row_counts(fact: DataFrame, rules: ReviewRules) -> DataFrame:
+    """All row-level checks on the core daily rows in one aggregate."""
+    issues = rules.conditions()
+    sensors = [c for c, t in fact.dtypes if t.startswith("decimal") and c not in ("oil", "gas", "water", "injection", "hours")]
+    below = lambda cols: any_of(F.coalesce(F.col(c) < 0, F.lit(False)) for c in cols)
+    unit = (F.col("choke_unit") != "%") if "choke_unit" in fact.columns else F.lit(False)
+    return fact.agg(
+        F.count("*").alias("QC-002"),
+        count_where(issues["DQ-001"]).alias("DQ-001"),
+        count_where(rules.in_gap()).alias("DQ-002"),
+        *[count_where(issues[i]).alias(i) for i in ("DQ-003", "DQ-004", "DQ-005", "DQ-006")],
+        count_where(below(["oil", "gas", "injection"])).alias("QC-017"),
+        count_where(below(["hours", *sensors])).alias("QC-018"),
+        count_where(~F.col("state").isin(*STATES)).alias("QC-019"),
+        count_where(~F.col("mode").isin(*MODES)).alias("QC-020"),
+        count_where(unit).alias("QC-021"),
+    )
+
+
+def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame) -> DataFrame:
+    """Join counts to check definitions (a few dozen rows) and give each a status."""
+    rows = [
+        (i, c.check_id, c.category, c.check_name, c.kind, c.expected, c.hard) for i, c in enumerate(checks, 1)
+    ]
+    defs = spark.createDataFrame(
+        rows, "sort_order int, check_id string, category string, check_name string, kind string, want long, hard boolean"
+    )
+    met = F.col("actual") == F.col("want")
+    status = (
+        F.when(F.col("kind") == KNOWN, F.when(met, "REVIEW").otherwise("FAIL"))
+        .when(met, "PASS")
+        .when(F.col("hard"), "FAIL")
+        .otherwise("REVIEW")
+    )
+    return F.broadcast(defs).join(counts, "check_id").select(
+        "sort_order", "check_id", "category", "check_name",
+        F.col("want").cast("string").alias("expected"),
+        F.col("actual").cast("string").alias("actual"),
+        status.alias("status"),
+    )
+
+
+def run_checks(
+    raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
+    rules: ReviewRules, expected: Expected, tolerance: float = 1e-6,
+) -> DataFrame:
+    """The 27 checks; each table is aggregated once, whatever the number of checks."""
+    from prodseries.operators.reconcile import mismatch_counts
+
+    names = dim.select("entity")
+    parts = [
+        raw_daily.agg(F.count("*").alias("QC-001")),
+        row_counts(fact, rules),
+        names.agg(F.count("*").alias("QC-003")),
+        raw_monthly.agg(F.count("*").alias("QC-004")),
+        monthly.agg(F.count("*").alias("QC-005")),
+        duplicate_keys(fact, ["entity", "day"], "QC-006"),
+        duplicate_keys(monthly, ["entity", "year", "month"], "QC-007"),
+        fact.join(names, "entity", "left_anti").agg(F.count("*").alias("QC-008")),
+        monthly.join(names, "entity", "left_anti").agg(F.count("*").alias("QC-009")),
+        multi_valued(raw_daily, "entity", "entity_name", "QC-010"),
+        multi_valued(raw_daily, "entity_name", "entity", "QC-011"),
+        presence(raw_daily, raw_monthly, "entity", "QC-012", "QC-013"),
+        mismatch_counts(fact, monthly, tolerance),
+    ]
+    counts = long_counts(parts[0])
+    for p in parts[1:]:
+        counts = counts.unionByName(long_counts(p))
+    return evaluate(fact.sparkSession, standard_checks(expected), counts)
+
+
+def rollup(results: DataFrame) -> DataFrame:
+    """One row: totals by status and the overall status."""
+    by = {s: count_where(F.col("status") == s) for s in ("PASS", "REVIEW", "FAIL")}
+    overall = F.when(F.col("fail_count") > 0, "FAIL").when(F.col("review_count") > 0, "PASS WITH REVIEW").otherwise("PASS")
+    return results.agg(
+        F.count("*").alias("total_checks"), by["PASS"].alias("pass_count"),
+        by["REVIEW"].alias("review_count"), by["FAIL"].alias("fail_count"),
+    ).withColumn("overall_status", overall)

@@ -100,3 +100,37 @@ def raw_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.schema,
     )
     return text.unionByName(extra)
+
+
+def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series in the shape of the raw daily extract (24 columns)."""
+    sensor = {"avg_downhole_pressure": "downhole", "avg_whp_p": "wellhead"}
+    blank = (
+        "avg_downhole_temperature", "avg_dp_tubing", "avg_annulus_press", "avg_choke_size_p", "avg_wht_p", "dp_choke_size",
+    )
+    joined = daily_fact(spark, sf_dir).join(dimension(spark, sf_dir), "entity", "left")
+    return joined.select(
+        F.col("day").alias("dateprd"),
+        F.concat(F.lit("SB-"), F.col("entity").cast("string")).alias("well_bore_code"),
+        F.col("entity").alias("npd_well_bore_code"),
+        F.col("entity_name").alias("npd_well_bore_name"),
+        F.col("group_code").alias("npd_field_code"),
+        F.col("group_name").alias("npd_field_name"),
+        F.col("area_code").alias("npd_facility_code"),
+        F.col("area_name").alias("npd_facility_name"),
+        F.col("hours").alias("on_stream_hrs"),
+        *[F.col(c).alias(n) for n, c in sensor.items()],
+        *[F.lit(None).cast(MEASURE).alias(n) for n in blank],
+        F.lit(None).cast("string").alias("avg_choke_uom"),
+        F.col("oil").alias("bore_oil_vol"),
+        F.col("gas").alias("bore_gas_vol"),
+        F.col("water").alias("bore_wat_vol"),
+        F.col("injection").alias("bore_wi_vol"),
+        F.col("mode").alias("flow_kind"),
+        F.col("state").alias("well_type"),
+    )
+
+
+def raw_monthly_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly text series in the shape of the raw monthly extract."""
+    return raw_monthly(spark, sf_dir).withColumnsRenamed({"entity_name": "wellbore_name", "entity": "npdcode"})
