@@ -9,7 +9,6 @@ from prodseries.functions.expr import (
 )
 from prodseries.operators import profile
 from prodseries.operators.checks import ReviewRules
-from prodseries.operators.missingness import _null_counts
 from prodseries.spec import FLUIDS, TOTAL, VOLUMES
 
 REPORT = ["entity", "day", "state", "mode", "hours", *FLUIDS]
@@ -352,12 +351,16 @@ def sensor_by_activity(fact: DataFrame, sensors) -> DataFrame:
         "zero_hours": holds(h == 0), "null_hours": h.isNull(),
         "all_zero_volume": all_of(holds(F.col(c) == 0) for c in FLUIDS),
     }
-    tags = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in states.items()])))
-    tagged = fact.select(*sensors, tags.alias("activity"))
-    counts = _null_counts(tagged, list(sensors), {"activity": F.col("activity")})
-    return counts.select(
-        "activity", "column", "total_rows", "missing_count", rounded_even(pct("missing_count", "total_rows"), 2).alias("missing_pct")
-    )
+    outs, rows = [], []
+    for i, (name, active) in enumerate(states.items()):
+        outs.append(count_where(active).alias(f"n{i}"))
+        for j, c in enumerate(sensors):
+            outs.append(count_where(active & F.col(c).isNull()).alias(f"m{i}_{j}"))
+            rows.append(F.struct(
+                F.lit(name).alias("activity"), F.lit(c).alias("column"), F.col(f"n{i}").alias("total_rows"),
+                F.col(f"m{i}_{j}").alias("missing_count"), rounded_even(pct(f"m{i}_{j}", f"n{i}"), 2).alias("missing_pct"),
+            ))
+    return fact.agg(*outs).select(F.inline(F.array(*rows)))
 
 
 def sensor_relations(fact: DataFrame, pairs, non_negative=()) -> DataFrame:
