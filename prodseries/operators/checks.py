@@ -203,12 +203,6 @@ def duplicate_keys(df: DataFrame, keys, check_id: str) -> DataFrame:
     return df.groupBy(*keys).count().agg(count_where(F.col("count") > 1).alias(check_id))
 
 
-def multi_valued(df: DataFrame, key: str, other: str, check_id: str) -> DataFrame:
-    """Keys that come with more than one distinct other value; both non-NULL."""
-    pairs = df.where(F.col(key).isNotNull() & F.col(other).isNotNull()).select(key, other).distinct()
-    return duplicate_keys(pairs, [key], check_id)
-
-
 def presence(left: DataFrame, right: DataFrame, key: str, left_only: str, right_only: str) -> DataFrame:
     """Distinct non-NULL keys found on one side only, both directions in one pass."""
     sides = (
@@ -221,23 +215,78 @@ def presence(left: DataFrame, right: DataFrame, key: str, left_only: str, right_
     )
 
 
-def row_counts(fact: DataFrame, rules: ReviewRules) -> DataFrame:
-    """All row-level checks on the core daily rows in one aggregate."""
+def identity_counts(raw_daily: DataFrame, raw_monthly: DataFrame) -> DataFrame:
+    """Row counts and identifier checks of both raw sources, one row.
+
+    Rows collapse to one per (code, name) before anything else, so a code holding a
+    third of the rows is a single row when codes and names are compared.
+    """
+    pairs = raw_daily.groupBy("entity", "entity_name").agg(F.count("*").alias("n"))
+    full = F.when(F.col("entity").isNotNull() & F.col("entity_name").isNotNull(), 1).otherwise(0)
+    daily = pairs.select("n", full.alias("pair"), F.inline(F.array(
+        F.struct(F.lit("code").alias("kind"), F.col("entity").cast("string").alias("key")),
+        F.struct(F.lit("name").alias("kind"), F.col("entity_name").alias("key")),
+    ))).select("kind", "key", "pair", F.col("n").alias("d"), F.lit(0).cast("long").alias("m"))
+    monthly = raw_monthly.groupBy(F.col("entity").cast("string").alias("key")).agg(F.count("*").alias("m")).select(
+        F.lit("code").alias("kind"), "key", F.lit(0).alias("pair"), F.lit(0).cast("long").alias("d"), "m"
+    )
+    per = daily.unionByName(monthly).groupBy("kind", "key").agg(
+        F.sum("pair").alias("partners"), F.sum("d").alias("d"), F.sum("m").alias("m")
+    )
+    code, known = F.col("kind") == "code", F.col("key").isNotNull()
+    rows = lambda c: F.coalesce(F.sum(F.when(code, F.col(c))), F.lit(0))
+    return per.agg(
+        rows("d").alias("QC-001"), rows("m").alias("QC-004"),
+        count_where(code & (F.col("partners") > 1)).alias("QC-010"),
+        count_where(~code & (F.col("partners") > 1)).alias("QC-011"),
+        count_where(code & known & (F.col("d") > 0) & (F.col("m") == 0)).alias("QC-012"),
+        count_where(code & known & (F.col("d") == 0) & (F.col("m") > 0)).alias("QC-013"),
+    )
+
+
+def keyed_counts(df: DataFrame, keys, flags: dict[str, Column], parent: DataFrame | None, rows: str, dups: str, orphans: str) -> DataFrame:
+    """Row count, duplicate keys, rows without a parent, and any row flags of one table, one row.
+
+    One chain: rows to keys, keys to entities, entities against the parent. The
+    parent is met by one row per entity, however many rows an entity has. Duplicates
+    are counted among complete keys only.
+    """
+    names = {f"f{i}": c for i, c in enumerate(flags)}
+    per_key = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[count_where(flags[c]).alias(a) for a, c in names.items()]
+    )
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    per_entity = per_key.groupBy("entity").agg(
+        F.sum("n").alias("n"), count_where(whole & (F.col("n") > 1)).alias("dup"), *[F.sum(a).alias(a) for a in names]
+    )
+    lost = F.lit(0)
+    if parent is not None:
+        known = parent.select(F.col("entity").alias("_parent"))
+        per_entity = per_entity.join(known, F.col("entity") == F.col("_parent"), "left")
+        lost = F.when(F.col("_parent").isNull() & F.col("entity").isNotNull(), F.col("n")).otherwise(0)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per_entity.agg(
+        zero("n").alias(rows), zero("dup").alias(dups), zero(lost).alias(orphans), *[zero(a).alias(c) for a, c in names.items()]
+    )
+
+
+def row_flags(fact: DataFrame, rules: ReviewRules) -> dict[str, Column]:
+    """All row-level checks on the core daily rows, as conditions a violating row meets."""
     issues = rules.conditions()
     sensors = [c for c, t in fact.dtypes if t.startswith("decimal") and c not in ("oil", "gas", "water", "injection", "hours")]
     below = lambda cols: any_of(F.coalesce(F.col(c) < 0, F.lit(False)) for c in cols)
-    unit = (F.col("choke_unit") != "%") if "choke_unit" in fact.columns else F.lit(False)
-    return fact.agg(
-        F.count("*").alias("QC-002"),
-        count_where(issues["DQ-001"]).alias("DQ-001"),
-        count_where(rules.in_gap()).alias("DQ-002"),
-        *[count_where(issues[i]).alias(i) for i in ("DQ-003", "DQ-004", "DQ-005", "DQ-006")],
-        count_where(below(["oil", "gas", "injection"])).alias("QC-017"),
-        count_where(below(["hours", *sensors])).alias("QC-018"),
-        count_where(~F.col("state").isin(*STATES)).alias("QC-019"),
-        count_where(~F.col("mode").isin(*MODES)).alias("QC-020"),
-        count_where(unit).alias("QC-021"),
-    )
+    return {
+        "DQ-001": issues["DQ-001"],
+        "DQ-002": rules.in_gap(),
+        **{i: issues[i] for i in ("DQ-003", "DQ-004", "DQ-005", "DQ-006")},
+        "QC-017": below(["oil", "gas", "injection"]),
+        "QC-018": below(["hours", *sensors]),
+        "QC-019": ~F.col("state").isin(*STATES),
+        "QC-020": ~F.col("mode").isin(*MODES),
+        "QC-021": (F.col("choke_unit") != "%") if "choke_unit" in fact.columns else F.lit(False),
+    }
 
 
 def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame) -> DataFrame:
@@ -267,23 +316,15 @@ def run_checks(
     raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
     rules: ReviewRules, expected: Expected, tolerance: float = 1e-6,
 ) -> DataFrame:
-    """The 27 checks; each table is aggregated once, whatever the number of checks."""
+    """The 27 checks. All checks on a table come from one chain of aggregates over it;
+    the reconciliation reads the daily and monthly rows once more."""
     from prodseries.operators.reconcile import mismatch_counts
 
-    names = dim.select("entity")
     parts = [
-        raw_daily.agg(F.count("*").alias("QC-001")),
-        row_counts(fact, rules),
-        names.agg(F.count("*").alias("QC-003")),
-        raw_monthly.agg(F.count("*").alias("QC-004")),
-        monthly.agg(F.count("*").alias("QC-005")),
-        duplicate_keys(fact, ["entity", "day"], "QC-006"),
-        duplicate_keys(monthly, ["entity", "year", "month"], "QC-007"),
-        fact.join(names, "entity", "left_anti").agg(F.count("*").alias("QC-008")),
-        monthly.join(names, "entity", "left_anti").agg(F.count("*").alias("QC-009")),
-        multi_valued(raw_daily, "entity", "entity_name", "QC-010"),
-        multi_valued(raw_daily, "entity_name", "entity", "QC-011"),
-        presence(raw_daily, raw_monthly, "entity", "QC-012", "QC-013"),
+        identity_counts(raw_daily, raw_monthly),
+        keyed_counts(fact, ["entity", "day"], row_flags(fact, rules), dim, "QC-002", "QC-006", "QC-008"),
+        keyed_counts(monthly, ["entity", "year", "month"], {}, dim, "QC-005", "QC-007", "QC-009"),
+        dim.agg(F.count("entity").alias("QC-003")),
         mismatch_counts(fact, monthly, tolerance),
     ]
     counts = long_counts(parts[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from prodseries.functions.expr import any_of, any_positive, count_where, holds
-from prodseries.operators import checks, measures as ms, profile as pf, reconcile as rec
+from prodseries.operators import checks, measures as ms, reconcile as rec
 from prodseries.operators.checks import EQUALS, Check, ReviewRules
 from prodseries.spec import FLUIDS, MODES, STATES, VOLUMES, SeriesSpec
 
@@ -157,31 +157,32 @@ def run_assessment(
     odd = holds(F.col("injection") > 0) & ((F.col("state") == "OP") & (F.col("mode") == "production"))
     after = F.lit(False) if rules.window_end is None else F.col("day") > F.lit(rules.window_end)
     choke = [spec.choke] if spec.choke in fact.columns else []
-    rows = fact.agg(
-        F.lit(len(missing)).alias("AC-03"), F.when(F.count("*") == 0, 1).otherwise(0).alias("AC-01"),
-        count_where(F.col("day").isNull()).alias("AC-04"), count_where(F.col("hours") < 0).alias("AC-10"),
-        count_where(F.col("hours") > 24).alias("AC-11"), count_where(~F.col("state").isin(*STATES)).alias("AC-12"),
-        count_where(~F.col("mode").isin(*MODES)).alias("AC-13"), count_where(below(["oil", "gas"])).alias("AC-14"),
-        count_where(below(["water"])).alias("AC-15"), count_where(below(["injection"])).alias("AC-16"),
-        count_where(odd).alias("AC-17"), count_where(below(kinds["pressure"])).alias("AC-18"),
-        count_where(below(kinds["temperature"])).alias("AC-19"), count_where(below(choke)).alias("AC-20"),
-        count_where(F.col(choke[0]) > 100 if choke else F.lit(False)).alias("AC-21"),
-        count_where((F.col("day") < F.lit(rules.window_start)) | after).alias("AC-24"),
+    flags = {
+        "AC-04": F.col("day").isNull(), "AC-10": F.col("hours") < 0, "AC-11": F.col("hours") > 24,
+        "AC-12": ~F.col("state").isin(*STATES), "AC-13": ~F.col("mode").isin(*MODES),
+        "AC-14": below(["oil", "gas"]), "AC-15": below(["water"]), "AC-16": below(["injection"]), "AC-17": odd,
+        "AC-18": below(kinds["pressure"]), "AC-19": below(kinds["temperature"]), "AC-20": below(choke),
+        "AC-21": F.col(choke[0]) > 100 if choke else F.lit(False),
+        "AC-24": (F.col("day") < F.lit(rules.window_start)) | after,
+    }
+    daily = checks.keyed_counts(fact, ["entity", "day"], flags, None, "rows", "AC-05", "_").select(
+        *flags, "AC-05", F.lit(len(missing)).alias("AC-03"), F.when(F.col("rows") == 0, 1).otherwise(0).alias("AC-01"),
+        F.col("rows").alias("n_daily"),
     )
-    keys = ("entity", "year", "month")
+    month = checks.keyed_counts(monthly, ["entity", "year", "month"], {}, None, "n_monthly", "AC-06", "_").drop("_")
     blank = F.col("entity").isNull() & F.col("year").isNull() & F.col("month").isNull()
-    codes = checks.presence(raw_daily, raw_monthly, "entity", "l", "r").select((F.col("l") + F.col("r")).alias("AC-09"))
+    stray = raw_monthly.agg(count_where(blank).alias("AC-07"))
+    ids = checks.identity_counts(raw_daily, raw_monthly).select(
+        (F.col("QC-010") + F.col("QC-011")).alias("AC-08"), (F.col("QC-012") + F.col("QC-013")).alias("AC-09"),
+        F.when(F.col("QC-004") == 0, 1).otherwise(0).alias("AC-02"),
+    )
     sides = rec.mismatch_counts(fact, monthly).select((F.col("QC-014") + F.col("QC-015") + F.col("QC-016")).alias("AC-22"))
-    maps = pf.mapping_violations(raw_daily, [("entity", "entity_name"), ("entity_name", "entity")]).agg(F.sum("violations").alias("AC-08"))
-    sizes = fact.agg(F.count("*").alias("n")).unionByName(monthly.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("AC-23"))
-    parts = [
-        rows, raw_monthly.agg(F.when(F.count("*") == 0, 1).otherwise(0).alias("AC-02"), count_where(blank).alias("AC-07")),
-        checks.duplicate_keys(fact, ["entity", "day"], "AC-05"),
-        checks.duplicate_keys(monthly, keys, "AC-06"), maps, codes, sides, sizes,
-    ]
+    parts = [daily, month, stray, ids, sides]
     counts = checks.long_counts(parts[0])
     for p in parts[1:]:
         counts = counts.unionByName(checks.long_counts(p))
+    sizes = F.when(F.col("check_id").isin("n_daily", "n_monthly"), "AC-23").otherwise(F.col("check_id"))
+    counts = counts.groupBy(sizes.alias("check_id")).agg(F.sum("actual").alias("actual"))
     return checks.evaluate(fact.sparkSession, assessment_checks(expected_daily, expected_monthly), counts)
 
 

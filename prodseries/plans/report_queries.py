@@ -39,7 +39,7 @@ QUERIES = {
     "dash_snapshot": lambda s, d: db.snapshot(F_(s, d)),
     "dash_availability": lambda s, d: db.availability(F_(s, d)),
     "dash_ranking": lambda s, d: db.analysis.ranking(F_(s, d), D_(s, d)),
-    "dash_ranking_injectors": lambda s, d: db.ranking_by_type(F_(s, d), D_(s, d), "Injector"),
+    "dash_ranking_producers": lambda s, d: db.ranking_by_type(F_(s, d), D_(s, d), "Producer"),
     "dash_profiles": lambda s, d: db.profiles(F_(s, d), D_(s, d)),
     "dash_profiles_smoothed": lambda s, d: db.profiles(F_(s, d), D_(s, d), smooth=30),
     "dash_monthly_production": lambda s, d: db.monthly_production(F_(s, d), D_(s, d)),
@@ -235,8 +235,8 @@ ORACLES = {
     "dash_availability": query(
         f"SELECT entity, {tot('hours')} AS total_hours, COUNT(hours) AS known_hours_days, {AV('SUM(hours)', 'COUNT(hours)')} AS availability_pct FROM fact GROUP BY 1"),
     "dash_ranking": query("SELECT * FROM ranked", RANKED),
-    "dash_ranking_injectors": query(
-        "SELECT r.*, state_label FROM ranked r JOIN wells w ON w.entity = r.entity WHERE state_label = 'Injector'", {**RANKED, **DOM}),
+    "dash_ranking_producers": query(
+        "SELECT r.*, state_label FROM ranked r JOIN wells w ON w.entity = r.entity WHERE state_label = 'Producer'", {**RANKED, **DOM}),
     "dash_profiles": query("SELECT * FROM prof", PROF),
     "dash_profiles_smoothed": query(
         f"""SELECT *, {ratio('SUM(pct_of_peak) OVER w', 'COUNT(pct_of_peak) OVER w')} AS pct_of_peak_smoothed FROM prof

@@ -21,7 +21,8 @@ def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     qty, flag, status = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linestatus")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    # prices are whole cents: summed as integers, so the sum is exact in any order
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     voided = F.col("l_tax") == 0.08
     reversed_ = (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0)
     measured = F.col("l_suppkey") % 10 != 9
@@ -33,7 +34,7 @@ def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     summed = li.groupBy(F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("day")).agg(
         total(F.when(status == "F", qty).when((status == "O") & (flag == "R"), 0.0)).alias("hours"),
         total(F.when(made, F.when(voided, 0.0).otherwise(qty))).alias("oil"),
-        total(F.when(made, F.when(voided, F.lit(0).cast("decimal(18,2)")).otherwise(price))).alias("gas"),
+        (F.sum(F.when(made, F.when(voided, 0).otherwise(cents))) / F.lit(100.0)).cast(MEASURE).alias("gas"),
         total(F.when((flag == "N") & measured, F.when(reversed_, -qty).otherwise(qty))).alias("water"),
         total(F.when(flag == "R", F.when(voided, 0.0).otherwise(qty))).alias("injection"),
         total(F.when(status == "F", qty)).alias("downhole"),

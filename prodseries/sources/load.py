@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prodseries.functions.expr import any_of
+from prodseries.functions.expr import any_of, holds
 from prodseries.operators import constraints as con
+from prodseries.operators.checks import keyed_counts, long_counts
 from prodseries.sources.extracts import LoadError, read_daily, read_monthly
 from prodseries.spec import MEASURE, MODES, STATES
 
@@ -80,31 +81,43 @@ def excluded_monthly(raw_monthly: DataFrame, quarantine: bool = False) -> DataFr
 
 
 def core_violations(core: dict[str, DataFrame]) -> DataFrame:
-    """Violation count per constraint of the three core tables."""
+    """Violation count per constraint of the three core tables, one chain of aggregates per table."""
     w, d, m = core["wellbore"], core["daily_production"], core["monthly_reference"]
-    dk, mk = ["npd_well_bore_code", "production_date"], ["npd_well_bore_code", "reference_year", "reference_month"]
-    found = {
-        "wellbore: unique npd_well_bore_code": con.unique(w, ["npd_well_bore_code"]),
-        "wellbore: unique npd_well_bore_name": con.unique(w, ["npd_well_bore_name"]),
-        "wellbore: unique well_bore_code": con.unique(w, ["well_bore_code"]),
-        "wellbore: not null": con.not_null(w, WELLBORE),
-        "daily_production: unique key": con.unique(d, dk),
-        "daily_production: not null": con.not_null(d, [*dk, "well_type", "flow_kind"]),
-        "daily_production: known wellbore": con.foreign_key(d, w, "npd_well_bore_code"),
-        "daily_production: well_type": con.domain(d, "well_type", STATES),
-        "daily_production: flow_kind": con.domain(d, "flow_kind", MODES),
-        "daily_production: avg_choke_uom": con.check(d, F.col("avg_choke_uom") == "%"),
-        "daily_production: non-negative": con.non_negative(d, NON_NEGATIVE),
-        "monthly_reference: unique key": con.unique(m, mk),
-        "monthly_reference: not null": con.not_null(m, mk),
-        "monthly_reference: known wellbore": con.foreign_key(m, w, "npd_well_bore_code"),
-        "monthly_reference: month 1-12": con.check(m, F.col("reference_month").between(1, 12)),
-    }
-    counts = None
-    for name, rows in found.items():
-        one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("constraint_name"), "violations")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    parent = w.select(F.col("npd_well_bore_code").alias("entity"))
+    null = lambda cols: any_of(F.col(c).isNull() for c in cols)
+
+    unique = ("npd_well_bore_code", "npd_well_bore_name", "well_bore_code")
+    keys = w.select(null(WELLBORE).alias("bad"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key")) for c in unique
+    ]))).groupBy("kind", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
+    shared = F.col("key").isNotNull() & (F.col("n") > 1)
+    wellbore = keys.agg(
+        *[F.count(F.when((F.col("kind") == c) & shared, 1)).alias(f"wellbore: unique {c}") for c in unique],
+        F.coalesce(F.sum(F.when(F.col("kind") == unique[0], F.col("bad"))), F.lit(0)).alias("wellbore: not null"),
+    )
+
+    name = "daily_production: "
+    daily = keyed_counts(
+        d.withColumnRenamed("npd_well_bore_code", "entity"), ["entity", "production_date"],
+        {
+            name + "not null": null(["entity", "production_date", "well_type", "flow_kind"]),
+            name + "well_type": ~F.col("well_type").isin(*STATES),
+            name + "flow_kind": ~F.col("flow_kind").isin(*MODES),
+            name + "avg_choke_uom": F.col("avg_choke_uom") != "%",
+            name + "non-negative": any_of(holds(F.col(c) < 0) for c in NON_NEGATIVE),
+        },
+        parent, "rows", name + "unique key", name + "known wellbore",
+    ).drop("rows")
+    name = "monthly_reference: "
+    month = ["entity", "reference_year", "reference_month"]
+    monthly = keyed_counts(
+        m.withColumnRenamed("npd_well_bore_code", "entity"), month,
+        {name + "not null": null(month), name + "month 1-12": ~F.col("reference_month").between(1, 12)},
+        parent, "rows", name + "unique key", name + "known wellbore",
+    ).drop("rows")
+    parts = [long_counts(p).withColumnsRenamed({"check_id": "constraint_name", "actual": "violations"})
+             for p in (wellbore, daily, monthly)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @dataclass(frozen=True)
