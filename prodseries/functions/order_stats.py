@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def _grid(probs=()) -> list[float]:
@@ -23,6 +23,11 @@ def _grid(probs=()) -> list[float]:
     return sorted(points)
 
 
+def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """One row per group and distinct value, with its count ``n``."""
+    return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _binned(df: DataFrame, groups: list[str], value: str, probs=()) -> DataFrame:
     """One row per distinct value with its count ``n`` and its ordered ``bin``.
 
@@ -30,7 +35,7 @@ def _binned(df: DataFrame, groups: list[str], value: str, probs=()) -> DataFrame
     so every branch and every retried task sees the same cut points. ``groups``
     must be a fixed set of labels (metric names, states), never an entity key.
     """
-    freq = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    freq = frequencies(df, groups, value)
     sketch = df.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx(value, _grid(probs), SKETCH_ACCURACY)).alias("cuts")
     )
@@ -56,7 +61,7 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
 
     ``groups`` is a small fixed set of labels; NULL values are ignored.
     """
-    binned = _binned(df.where(F.col(value).isNotNull()), groups, value, probs.values())
+    binned = _binned(df, groups, value, probs.values()).where(F.col(value).isNotNull())
     by_group = Window.partitionBy(*groups, "q") if groups else Window.partitionBy("q")
     # at most (grid size + 1) rows per group and probability
     targets = F.explode(

@@ -68,8 +68,10 @@ def changes(fact: DataFrame, column: str) -> DataFrame:
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of each pair with totals, and each cell's share of all rows."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).cube(a, b).agg(F.count("*").alias("row_count"))
-    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*")).scalar()
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    # totals are built from the pair counts, not from the rows
+    cells = pairs.cube(a, b).agg(F.sum("n").alias("row_count"))
+    n = pairs.agg(F.sum("n")).scalar()
     return cells.select(
         F.coalesce(a, F.lit("Total")).alias(a), F.coalesce(b, F.lit("Total")).alias(b), "row_count",
         rounded_even(pct("row_count", n), 2).alias("pct"),

@@ -57,6 +57,25 @@ def by_group(df: DataFrame, columns, context: str) -> DataFrame:
     )
 
 
+def by_contexts(df: DataFrame, columns, contexts=tuple(CONTEXTS)) -> DataFrame:
+    """Missing share per column within each value of several contexts, from one pass.
+
+    Rows are counted once per combination of context values; each context is then
+    summed from those cells.
+    """
+    cells = df.groupBy(*[CONTEXTS[c]().alias(c) for c in contexts]).agg(
+        F.count("*").alias("_rows"), *[count_where(F.col(c).isNull()).alias(f"_m_{i}") for i, c in enumerate(columns)]
+    )
+    tags = F.array(*[F.struct(F.lit(c).alias("context"), F.col(c).alias("group_value")) for c in contexts])
+    sums = cells.select("_rows", *[f"_m_{i}" for i in range(len(columns))], F.inline(tags)).groupBy("context", "group_value").agg(
+        F.sum("_rows").alias("total_rows"), *[F.sum(f"_m_{i}").alias(f"_m_{i}") for i in range(len(columns))]
+    )
+    long = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_m_{i}").alias("missing_count")) for i, c in enumerate(columns)
+    ])
+    return sums.select("context", "group_value", "total_rows", F.inline(long)).withColumn("missing_pct", _share())
+
+
 def by_combination(df: DataFrame, columns) -> DataFrame:
     """Missing share per column for each state and mode together."""
     counts = _null_counts(df, columns, {"state": F.col("state"), "mode": F.col("mode")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from prodseries.functions.expr import any_of, count_where, ratio
-from prodseries.functions.order_stats import exact_percentiles
+from prodseries.functions.order_stats import exact_percentiles, frequencies
 from prodseries.operators import missingness, temporal
 from prodseries.spec import TOTAL, SeriesSpec, role_of
 
@@ -222,12 +222,14 @@ def numeric(df: DataFrame, columns, probs=None) -> DataFrame:
     """Counts, range, mean and exact percentiles per column; one long pass for all columns."""
     probs = probs or {"median": 0.5}
     long = _long(df, columns)
-    v = F.col("value")
-    basic = long.groupBy("column").agg(
-        F.count(v).alias("value_count"), count_where(v.isNull()).alias("missing_count"),
-        count_where(v == 0).alias("zero_count"), count_where(v < 0).alias("negative_count"),
-        count_where(v > 0).alias("positive_count"), F.min(v).alias("min"), F.max(v).alias("max"),
-        ratio(F.sum(v), F.count(v)).alias("mean"),
+    v, n = F.col("value"), F.col("n")
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    # everything is worked out on value counts, which the percentiles use as well
+    basic = frequencies(long, ["column"], "value").groupBy("column").agg(
+        rows(v.isNotNull()).alias("value_count"), rows(v.isNull()).alias("missing_count"),
+        rows(v == 0).alias("zero_count"), rows(v < 0).alias("negative_count"), rows(v > 0).alias("positive_count"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        ratio(F.sum(v * n), rows(v.isNotNull())).alias("mean"),
     )
     # one row per column of the table
     quant = exact_percentiles(long, ["column"], "value", probs)

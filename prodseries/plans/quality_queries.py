@@ -107,7 +107,8 @@ QUERIES = {
     "nq_clock_change": lambda s, d: ms.clock_change_checks(F_(s, d)),
     "nq_clock_change_days": lambda s, d: ms.clock_change_days(F_(s, d)),
     # missingness
-    "nq_missing_by_group": lambda s, d: union(*[mis.by_group(F_(s, d), MEASURES, c) for c in mis.CONTEXTS]),
+    "nq_missing_by_group": lambda s, d: mis.by_contexts(F_(s, d), MEASURES),
+    "nq_missing_by_year": lambda s, d: mis.by_group(F_(s, d), MEASURES, "year"),
     "nq_missing_by_combination": lambda s, d: mis.by_combination(F_(s, d), MEASURES),
     "nq_missing_class": lambda s, d: mis.classification(F_(s, d), FACT_COLUMNS, STRUCTURAL),
     "nq_missing_pattern": lambda s, d: mis.patterns(F_(s, d), FACT_COLUMNS, {"hours": ("blank records", "DQ-003")}),
@@ -483,6 +484,8 @@ ORACLES = {
         f"SELECT day, reporting AS entities_reporting, over AS entities_exceeding, CAST({CHANGE} AS DATE) AS expected_day FROM clock", CLOCK),
     "nq_missing_by_group": query(
         alls(f"SELECT '{k}' AS context, * FROM (" + miss("fact", MEASURES, g, f"{g} AS group_value") + ")" for k, g in CTX.items())),
+    "nq_missing_by_year": query(
+        "SELECT 'year' AS context, * FROM (" + miss("fact", MEASURES, CTX["year"], f"{CTX['year']} AS group_value") + ")"),
     "nq_missing_by_combination": query(miss("fact", MEASURES, "state, mode", "state, mode")),
     "nq_missing_class": query(
         """SELECT c AS "column", missing_pct, spread_pp, CASE WHEN c IN ('entity', 'day', 'state', 'mode') THEN 'STRUCTURAL'

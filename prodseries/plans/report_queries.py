@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from prodseries.operators import checks, dashboards as db, verdicts as vd
+from prodseries.operators import categories as cat, checks, dashboards as db, temporal as tm, verdicts as vd, views
 from prodseries.plans.load_queries import COUNTS, CONDS, REVIEW, RULES, SIDES, monthly_core, raw_pairs
 from prodseries.plans.quality_queries import OUT_WINDOW, RAW, alls, change_cte, mapping
-from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rnd, tot
-from prodseries.sources.driver_tables import daily_fact as F_, dimension as D_, raw_monthly
+from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rnd, rnd_even, tot
+from prodseries.sources.driver_tables import (
+    ORDERS, customer_dimension, daily_fact as F_, dimension as D_, event_days, orders_series, raw_monthly,
+)
 from prodseries.spec import DRIVER
 
 FLUIDS = ["oil", "gas", "water", "injection"]
@@ -22,7 +24,17 @@ def _assessment(s, d):
     return vd.run_assessment(raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, 53307, 8015)
 
 
+def orders(s, d):
+    """The order series in role names, with its dimension."""
+    return ORDERS.fact(orders_series(s, d)), ORDERS.dimension(customer_dimension(s, d))
+
+
 QUERIES = {
+    "port_orders_monthly": lambda s, d: views.monthly(*orders(s, d)),
+    "port_orders_coverage": lambda s, d: tm.coverage(*orders(s, d)),
+    "port_orders_decline": lambda s, d: db.decline(*orders(s, d), checkpoints=(30,)),
+    "port_event_transitions": lambda s, d: cat.transition_tally(event_days(s, d), "event_type"),
+    "port_event_spans": lambda s, d: cat.spans(event_days(s, d), "event_type"),
     "dash_wells": lambda s, d: db.wells(F_(s, d), D_(s, d)),
     "dash_field_kpis": lambda s, d: db.field_kpis(F_(s, d)),
     "dash_availability_month": lambda s, d: db.availability_by_month(F_(s, d)),
@@ -207,7 +219,37 @@ DEC_LONG = alls(
     for n in (30, 90, 365)
 )
 
+ORD = {
+    "ofact": """SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS day, CAST(COUNT(*) AS DECIMAL(18,6)) AS n,
+        CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,6)) AS price,
+        CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderstatus = 'O') AS DECIMAL(18,6)) AS open_price FROM orders GROUP BY 1, 2""",
+    "ogap": "SELECT entity, day, CAST(day - LAG(day) OVER (PARTITION BY entity ORDER BY day) AS INTEGER) AS gap_days FROM ofact",
+    "opeak": "SELECT entity, day AS peak_date, price AS peak_volume FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY price DESC, day) AS r FROM ofact) WHERE r = 1",
+}
+EVT = {
+    "eday": """SELECT entity, day, event_type FROM (SELECT user_id AS entity, CAST(ts AS DATE) AS day, event_type,
+        ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""",
+    "emove": "SELECT event_type AS current, LAG(event_type) OVER (PARTITION BY entity ORDER BY day) AS previous FROM eday",
+}
 ORACLES = {
+    "port_orders_monthly": query(
+        f"""SELECT entity, c_name AS entity_name, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, {tot('n')} AS on_stream_hours,
+        {tot('price')} AS oil_volume, {tot('price')} AS gas_volume, {tot('n')} AS water_volume, {tot('open_price')} AS water_injection_volume,
+        COUNT(*) AS producing_days, COUNT(*) AS calendar_records FROM ofact JOIN customer ON c_custkey = entity GROUP BY 1, 2, 3, 4""", ORD),
+    "port_orders_coverage": query(
+        f"""SELECT entity, c_name AS entity_name, MIN(day) AS first_date, MAX(day) AS last_date, CAST(MAX(day) - MIN(day) + 1 AS INTEGER) AS calendar_span_days,
+        COUNT(*) AS recorded_days, MAX(day) - MIN(day) + 1 - COUNT(*) AS unrecorded_calendar_days,
+        {rnd_even(pct('COUNT(*)', '(MAX(day) - MIN(day) + 1)'), 2)} AS coverage_pct, coalesce(MAX(gap_days), 0) AS max_gap_days,
+        COUNT(*) FILTER (WHERE gap_days > 1) AS gaps_gt_1, COUNT(*) FILTER (WHERE gap_days > 7) AS gaps_gt_7, COUNT(*) FILTER (WHERE gap_days > 30) AS gaps_gt_30
+        FROM ogap JOIN customer ON c_custkey = entity GROUP BY 1, 2""", ORD),
+    "port_orders_decline": query(
+        f"""SELECT p.entity, c_name AS entity_name, peak_date, peak_volume, f.price AS oil_30_days_after_peak,
+        {rnd(pct('(peak_volume - f.price)', 'peak_volume'), 1)} AS pct_decline_30_days
+        FROM opeak p JOIN customer ON c_custkey = p.entity LEFT JOIN ofact f ON f.entity = p.entity AND f.day = peak_date + 30""", ORD),
+    "port_event_transitions": query(
+        "SELECT previous || '->' || current AS transition, COUNT(*) AS row_count FROM emove WHERE previous IS NOT NULL GROUP BY 1", EVT),
+    "port_event_spans": query(
+        "SELECT entity, event_type AS value, COUNT(*) AS row_count, MIN(day) AS first_date, MAX(day) AS last_date FROM eday GROUP BY 1, 2", EVT),
     "dash_wells": query("SELECT * FROM wells", DOM),
     "dash_field_kpis": query(
         f"""SELECT {tot('oil')} AS total_oil, {tot('gas')} AS total_gas, {tot('water')} AS total_water, {tot('injection')} AS total_water_injection,

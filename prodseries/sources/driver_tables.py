@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prodseries.spec import MEASURE, TOTAL
+from prodseries.spec import MEASURE, TOTAL, SeriesSpec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,3 +135,33 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_monthly_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly text series in the shape of the raw monthly extract."""
     return raw_monthly(spark, sf_dir).withColumnsRenamed({"entity_name": "wellbore_name", "entity": "npdcode"})
+
+
+# A second series with its own column names: orders of a customer by day.
+ORDERS = SeriesSpec(
+    entity="o_custkey", entity_name="c_name", day="order_day", hours="order_count", state="last_status", mode="last_status",
+    oil="total_price", gas="total_price", water="order_count", injection="open_price",
+    sensors={}, labels={}, ordered_sensors=(), choke=None, choke_partner=None,
+)
+
+
+def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders summed to one row per (customer, order date), under their own names."""
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("order_day")).agg(
+        F.count("*").alias("order_count"), F.max("o_orderstatus").alias("last_status"),
+        (F.sum(cents) / F.lit(100.0)).alias("total_price"),
+        (F.sum(F.when(F.col("o_orderstatus") == "O", cents)) / F.lit(100.0)).alias("open_price"),
+    )
+
+
+def customer_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First event type of each (user, day): one row per day, whatever the number of events."""
+    first = F.min(F.struct("ts", "event_id", "event_type"))["event_type"]
+    return table(spark, sf_dir, "events").groupBy(
+        F.col("user_id").alias("entity"), F.to_date("ts").alias("day")
+    ).agg(first.alias("event_type"))

@@ -16,7 +16,7 @@ from prodseries.functions.expr import any_of, holds
 from prodseries.operators import constraints as con
 from prodseries.operators.checks import keyed_counts, long_counts
 from prodseries.sources.extracts import LoadError, read_daily, read_monthly
-from prodseries.spec import MEASURE, MODES, STATES
+from prodseries.spec import MEASURE, MODES, STATES, SeriesSpec
 
 WELLBORE = (
     "npd_well_bore_code", "npd_well_bore_name", "well_bore_code",
@@ -226,9 +226,9 @@ def load(
     source["monthly"].write.parquet(at["raw_monthly"])
     raw = {"daily": spark.read.parquet(at["raw_daily"]), "monthly": spark.read.parquet(at["raw_monthly"])}
 
-    build_wellbore(raw["daily"]).write.parquet(at["wellbore"])
+    commented(build_wellbore(raw["daily"])).write.parquet(at["wellbore"])
     # clustered by year, then entity: date filters prune folders, entity filters prune row groups
-    daily = build_daily(raw["daily"]).withColumn("production_year", F.year("production_date"))
+    daily = commented(build_daily(raw["daily"])).withColumn("production_year", F.year("production_date"))
     (
         daily.repartitionByRange("production_year", "npd_well_bore_code", "production_date")
         .sortWithinPartitions("production_year", "npd_well_bore_code", "production_date")
@@ -246,6 +246,14 @@ def load(
     return {r.target: r.row_count for r in load_counts(raw, core).collect()}
 
 
+def commented(df: DataFrame) -> DataFrame:
+    """Attach the column comments; Parquet keeps them with the table."""
+    notes = SeriesSpec().comments()
+    return df.select(*[
+        F.col(c).alias(c, metadata={"comment": notes[c]}) if c in notes else F.col(c) for c in df.columns
+    ])
+
+
 def publish(spark: SparkSession, out: str, run_id: str) -> None:
     row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at"))
     row.coalesce(1).write.mode("append").json(f"{out}/versions")

@@ -78,6 +78,15 @@ class SeriesSpec:
             F.col(self.entity).alias("entity"), F.col(self.entity_name).alias("entity_name")
         )
 
+    def comments(self) -> dict[str, str]:
+        """Comment of each source column that plays a role."""
+        out = {}
+        for role in (*self.FACT_ROLES, "entity_name"):
+            kind, unit, null = ROLE_NOTES[role]
+            out[getattr(self, role)] = f"{kind}{f' in {unit}' if unit else ''}; NULL: {null}"
+        out |= {src: f"{role.replace('_', ' ')}; NULL: not measured" for role, src in {**self.sensors, **self.labels}.items()}
+        return out
+
     def publish(self, df: DataFrame) -> DataFrame:
         """Rename role columns back to the names of this spec."""
         names = {role: getattr(self, role) for role in self.FACT_ROLES}

@@ -87,6 +87,11 @@ def test_zero_and_null_survive(loaded):
     assert b.where("bore_oil_vol is not null or bore_gas_vol is not null or bore_wat_vol is not null").count() == 0
 
 
+def test_tables_carry_comments(loaded):
+    field = loaded[1]["daily_production"].schema["bore_wat_vol"]
+    assert field.metadata["comment"] == "volume in Sm3; NULL: not applicable or not measured; may be negative"
+
+
 def test_monthly_equals_daily_sum(loaded):
     core = loaded[1]
     daily = core["daily_production"].groupBy("npd_well_bore_code").agg(F.sum("bore_oil_vol").alias("oil"))
