@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SKETCH_ACCURACY = 10_000
+SALTS = 32
 
 
 def _grid(probs=()) -> list[float]:
@@ -28,32 +29,48 @@ def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _binned(df: DataFrame, groups: list[str], value: str, probs=()) -> DataFrame:
-    """One row per distinct value with its count ``n`` and its ordered ``bin``.
+def _sketch(df: DataFrame, groups: list[str], value: str, probs=()) -> tuple[DataFrame, DataFrame]:
+    """Cut points and hot values per group, both fixed on the driver.
 
-    The sketch result is one short array per group and is fixed on the driver,
-    so every branch and every retried task sees the same cut points. ``groups``
-    must be a fixed set of labels (metric names, states), never an entity key.
+    The sketch result is one short array per group, so every branch and every
+    retried task sees the same cut points. A value met twice in a row on the grid
+    is hot: it holds at least 1/64 of the rows. ``groups`` must be a fixed set of
+    labels (metric names, states), never an entity key.
     """
-    freq = frequencies(df, groups, value)
-    sketch = df.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(value, _grid(probs), SKETCH_ACCURACY)).alias("cuts")
+    sketch = df.groupBy(*groups).agg(F.percentile_approx(value, _grid(probs), SKETCH_ACCURACY).alias("cuts"))
+    labels = [sketch.schema[g] for g in groups]
+    cuts, hot = [], []
+    for row in sketch.collect():
+        key, points = tuple(row)[:-1], row["cuts"] or []
+        cuts.append((*key, sorted(set(points))))
+        hot += [(*key, v) for v in {x for x, y in zip(points, points[1:]) if x == y}]
+        hot.append((*key, None))  # NULL may be as frequent as any value
+    make = df.sparkSession.createDataFrame
+    return (
+        make(cuts, T.StructType([*labels, T.StructField("cuts", T.ArrayType(df.schema[value].dataType))])),
+        make(hot, T.StructType([*labels, T.StructField("_hot", df.schema[value].dataType)])),
     )
-    rows = sketch.collect()
-    cuts = df.sparkSession.createDataFrame(rows, sketch.schema)
+
+
+def _same(left: DataFrame, right: DataFrame, pairs) -> list[Column]:
+    return [left[a].eqNullSafe(right[b]) for a, b in pairs]
+
+
+def _binned(df: DataFrame, cuts: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """One row per distinct value with its count ``n`` and its ordered ``bin``."""
+    freq = frequencies(df, groups, value)
     if groups:
-        on = [freq[g].eqNullSafe(cuts[g]) for g in groups]
-        freq = freq.join(F.broadcast(cuts), on, "inner").select(*[freq[c] for c in freq.columns], "cuts")
+        # one row per label
+        cut = freq.join(F.broadcast(cuts), _same(freq, cuts, [(g, g) for g in groups])).select(
+            *[freq[c] for c in freq.columns], "cuts")
     else:
         vtype = df.schema[value].dataType
-        points = rows[0]["cuts"] if rows and rows[0]["cuts"] else []
-        literal = F.array(*[F.lit(v).cast(vtype) for v in points]) if points else F.array().cast(T.ArrayType(vtype))
-        freq = freq.withColumn("cuts", literal)
-    below = F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col(value)))
-    # NULL values sort after every value
-    return freq.withColumn(
-        "bin", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(below)
-    ).drop("cuts")
+        rows = cuts.collect()
+        points = rows[0]["cuts"] if rows else []
+        cut = freq.withColumn("cuts", F.array(*[F.lit(v).cast(vtype) for v in points]).cast(T.ArrayType(vtype)))
+    below = F.size(F.filter("cuts", lambda c: c < F.col(value)))
+    # NULL values come after every value
+    return cut.withColumn("bin", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(below)).drop("cuts")
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -61,7 +78,8 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
 
     ``groups`` is a small fixed set of labels; NULL values are ignored.
     """
-    binned = _binned(df, groups, value, probs.values()).where(F.col(value).isNotNull())
+    cuts, _ = _sketch(df, groups, value, probs.values())
+    binned = _binned(df, cuts, groups, value).where(F.col(value).isNotNull())
     by_group = Window.partitionBy(*groups, "q") if groups else Window.partitionBy("q")
     # at most (grid size + 1) rows per group and probability
     targets = F.explode(
@@ -103,9 +121,12 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
 def global_ranks(df: DataFrame, groups: list[str], value: str, rank: str, dense: str | None = None) -> DataFrame:
     """Add descending RANK (and DENSE_RANK) over each label group; NULLs rank last, tied.
 
-    Ranks are worked out on distinct values and joined back by value.
+    Ranks are worked out on distinct values and joined back by value. Rows of a hot
+    value, and of NULL, are spread over ``SALTS`` join keys; the one rank row of
+    such a value is copied to each of them.
     """
-    binned = _binned(df, groups, value)
+    cuts, hot = _sketch(df, groups, value)
+    binned = _binned(df, cuts, groups, value)
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     ahead = by_group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     # bin totals: a fixed number of rows per group
@@ -125,6 +146,19 @@ def global_ranks(df: DataFrame, groups: list[str], value: str, rank: str, dense:
         (F.col("ahead_n") + before + 1).alias(rank),
         (F.col("ahead_d") + F.row_number().over(in_bin)).cast("long").alias(dense or "_dense"),
     )
-    back = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col(value).eqNullSafe(F.col("_value"))]
+    # at most 64 hot values per label
+    hot = F.broadcast(hot.withColumnsRenamed({g: f"_h_{g}" for g in groups}).withColumn("_is_hot", F.lit(True)))
+    named = [(g, f"_h_{g}") for g in groups]
+    rows = df.join(hot, _same(df, hot, [*named, (value, "_hot")]), "left").withColumn(
+        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    )
+    named = [(f"_g_{g}", f"_h_{g}") for g in groups]
+    first, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
+    copies = F.when(F.col("_is_hot"), F.sequence(first, last)).otherwise(F.array(first))
+    ranks = ranked.join(hot, _same(ranked, hot, [*named, ("_value", "_hot")]), "left").select(
+        *ranked.columns, F.explode(copies).alias("_copy")
+    )
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    on += [F.col(value).eqNullSafe(F.col("_value")), F.col("_salt") == F.col("_copy")]
     keep = df.columns + [rank] + ([dense] if dense else [])
-    return df.join(ranked, back).select(*keep)
+    return rows.select(*df.columns, "_salt").join(ranks, on).select(*keep)
