@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from prodseries.operators import checks, constraints as con, reconcile as rec, states
-from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rnd_even, tot
+from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, rnd_even
 from prodseries.sources import load
 from prodseries.sources.driver_tables import (
     daily_fact as F_, dimension as D_, raw_daily, raw_monthly, raw_monthly_extract, table,
 )
-from prodseries.spec import DRIVER, MEASURE, STATES
+from prodseries.spec import DRIVER
 
 # Parameters of the known issues on the driver tables; None means every entity.
 RULES = checks.ReviewRules(

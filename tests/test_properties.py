@@ -185,6 +185,26 @@ def test_magnitude_edges(spark):
     assert {r.injection for r in checks.review(f, checks.ReviewRules()).join(f, "entity").select("injection").distinct().collect()}
 
 
+def test_documented_rules(spark):
+    day = dt.date
+    blank = [None] * 3
+    f = spark.createDataFrame([
+        (5693, day(2011, 6, 18), "WI", "injection", Decimal(0), *blank, Decimal("6263.69"), None, None),
+        (5351, day(2011, 6, 18), "WI", "injection", Decimal(0), *blank, Decimal("6263.69"), None, None),
+        (7078, day(2015, 1, 17), "OP", "production", Decimal(0), Decimal(1026), None, None, None, None, None),
+        (7078, day(2015, 1, 18), "OP", "production", Decimal(0), Decimal(1026), None, None, None, None, None),
+        (5351, day(2012, 1, 2), "OP", "production", Decimal(24), *blank, None, None, None),
+        (5351, day(2012, 1, 3), "OP", "production", Decimal(24), *blank, None, None, None),
+        (9999, day(2012, 1, 3), "OP", "production", Decimal(24), *blank, None, None, None),
+        (9999, day(2007, 12, 31), "OP", "production", Decimal(24), *blank, None, None, None),
+    ], SCHEMA)
+    rules = checks.SNAPSHOT_RULES
+    assert {(r.entity, r.dq_issue) for r in checks.review(f, rules).collect()} == {(5693, "DQ-006"), (7078, "DQ-005"), (9999, "DQ-001")}
+    assert f.where(rules.in_gap()).count() == 1
+    edges = measures.sensors_around_issues(f, rules, ["downhole"]).where("dq_issue = 'DQ-002'").collect()
+    assert [(r.entity, r.day) for r in edges] == [(5351, day(2012, 1, 2))]
+
+
 def test_shared_days_and_dates(spark):
     years = spark.createDataFrame([(y,) for y in (2008, 2009, 2010, 2013, 2014)], "y int")
     got = {r.y: r.d for r in years.select("y", clock_change_day("y").alias("d")).collect()}
