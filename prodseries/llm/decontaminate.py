@@ -141,8 +141,12 @@ def contaminated(hit: Column) -> Column:
 
 
 def removed(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs without the contaminated ones; columns and other rows stay as they are."""
-    return hit_words(docs.select(F.struct("*").alias("row"), "text", "doc_id"), items, size).where(~contaminated(F.col("hit"))).select("row.*")
+    """docs without the contaminated ones; columns and other rows stay as they are.
+
+    inline() of no row, not where(): a filter would be pushed down with the whole scan copied into it, many times over.
+    """
+    found = hit_words(docs.select(F.struct("*").alias("row"), "text", "doc_id"), items, size)
+    return found.select(F.inline(F.when(~contaminated(F.col("hit")), F.array("row"))))
 
 
 def spans_removed(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
