@@ -173,10 +173,14 @@ def groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _alike(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of whole groups (key, i, j), sorted: the pairs (a, b) that may link by their signatures, sizes and components."""
+    """Of whole groups (key, i, j), sorted: the pairs (a, b) that may link by their signatures, sizes and components.
+
+    A pair is given only in the first of the bands that the two share; so many shared buckets make no more rows.
+    """
     columns = ("key", "i", "j", "block", "rep", "n", "component")
     key, i, j, block, rep, n, component = (batch.column(c).to_numpy() for c in columns)
     signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
+    bands_of = batch.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
     edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
     left, right = [rep[:0]], [rep[:0]]
     for start, end in zip([0, *edges], [*edges, len(key)]):
@@ -189,6 +193,7 @@ def _alike(batch: pa.Table) -> Iterator[pa.RecordBatch]:
             fits &= (rep[g] > rep[x]) if one else (block[g] == j[start])
             at = start + np.flatnonzero(fits)
             at = at[(signature[at] == signature[x]).sum(1) >= LEAST_EQUAL]
+            at = at[bands_of[x][(bands_of[at] == bands_of[x]).argmax(1)] == key[x]]
             left.append(np.full(len(at), rep[x]))
             right.append(rep[at])
     a, b = np.concatenate(left), np.concatenate(right)
@@ -219,10 +224,10 @@ def _undecided(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
     known = known.select("key", "m", "center", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     known = stored(known.where((F.col("rep") != F.col("center")) & (F.col("m") > 2)).join(mixed, "key", "left_semi"), "mixed")
-    known = known.join(classes.select("rep", "signature"), "rep")
+    known = known.join(classes.select("rep", "signature", "bands"), "rep")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     known = known.withColumn("block", F.pmod(F.hash("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    known = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "component", "signature")
+    known = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "component", "signature", "bands")
     kind = known.schema["rep"].dataType.simpleString()
     grouped = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(_whole_groups, f"a {kind}, b {kind}").distinct()
