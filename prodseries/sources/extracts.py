@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from prodseries.spec import MEASURE
+from prodseries.spec import EXACT, MEASURE, exactly
 
 
 class LoadError(Exception):
@@ -57,7 +57,9 @@ def open_extract(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Open an exported sheet by header name; CSV columns stay text until converted."""
     try:
         if fmt == "csv":
-            return spark.read.option("header", True).csv(path)
+            columns = spark.read.option("header", True).csv(path).schema
+            # the header of every file is held against these columns, and another order stops the read
+            return spark.read.schema(columns).option("header", True).option("enforceSchema", False).csv(path)
         return spark.read.format(fmt).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
@@ -75,25 +77,55 @@ def require_columns(df: DataFrame, columns, label: str = "table") -> DataFrame:
 def clean(column: Column, source: T.DataType, kind: str) -> Column:
     """Null-like values become NULL and the value takes its declared type.
 
-    Bad text raises under ANSI casts rather than turning into NULL.
+    What does not fit its type as a whole raises: nothing is cut, rounded or turned into NULL.
     """
+    text = isinstance(source, T.StringType)
     if isinstance(source, (T.DoubleType, T.FloatType)):
         column = F.when(~F.isnan(column), column)
     elif isinstance(source, T.StringType):
         column = F.when(~F.lower(F.trim(column)).isin("", "nan", "nat", "none"), column)
     if kind == "date":
-        # date text may carry a midnight time
-        if isinstance(source, T.StringType):
-            return F.to_date(F.substring(column, 1, 10))
+        # date text may carry a time
+        if text:
+            return F.to_date(F.substring(_checked(F.trim(column), DATE_TEXT, "date"), 1, 10))
         return column.cast("date")
     if kind == "int":
         # 9000.0 is how a column with blanks is exported
-        return column.cast("double").cast("int") if isinstance(source, T.StringType) else column.cast("int")
+        if text:
+            return F.regexp_extract(_checked(F.trim(column), WHOLE_TEXT, "whole number"), WHOLE_TEXT, 1).cast("int")
+        whole = F.when(column == F.floor(column), column).otherwise(_not("whole number", column))
+        return F.when(column.isNotNull(), whole).cast("int")
     if kind == "measure":
-        return column.cast(MEASURE)
+        return exact_number(column, source)
     return column.cast("string")
 
 
+# Dates with an optional time; whole numbers, also as 9000.0; numbers with their fraction and exponent.
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+WHOLE_TEXT = r"^([+-]?\d+)(?:\.0*)?$"
+NUMBER_TEXT = r"^[+-]?\d*\.?(\d*?)0*(?:[eE]([+-]?\d+))?$"
+
+
+def _not(what: str, column: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"not a {what}: "), column.cast("string")))
+
+
+def _checked(column: Column, pattern: str, what: str) -> Column:
+    """The text, which has to match as a whole."""
+    return F.when(column.isNotNull(), F.when(column.rlike(pattern), column).otherwise(_not(what, column)))
+
+
+def exact_number(column: Column, source: T.DataType) -> Column:
+    """A measure with all its decimals; more than EXACT holds is an error."""
+    if isinstance(source, T.StringType):
+        text = F.trim(column)
+        power = F.coalesce(F.nullif(F.regexp_extract(text, NUMBER_TEXT, 2), F.lit("")).cast("int"), F.lit(0))
+        decimals = F.length(F.regexp_extract(text, NUMBER_TEXT, 1)) - power
+        column = F.when(text.isNotNull(), F.when(decimals <= EXACT.scale, text).otherwise(_not(f"number of at most {EXACT.scale} decimals", text)))
+        return column.cast(EXACT)
+    return exactly(column, source, EXACT)
+
+
 def measure_to_text(column: Column, source: T.DataType) -> Column:
     """Numbers become their decimal text ("192.0"), NaN becomes NULL, text passes through."""
     if isinstance(source, T.StringType):
@@ -103,6 +135,11 @@ def measure_to_text(column: Column, source: T.DataType) -> Column:
     return F.when(~F.isnan(number), F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits))
 
 
+def narrowed(df: DataFrame, columns, measure: T.DecimalType = MEASURE) -> DataFrame:
+    """df with the given columns as the measure type; a value that does not fit exactly is an error."""
+    return df.withColumns({c: exactly(F.col(c), df.schema[c].dataType, measure) for c in columns})
+
+
 def convert(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """One projection: pick, rename and type the columns of an extract."""
     outs = []

@@ -10,14 +10,15 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from prodseries.functions.expr import any_of, holds
 from prodseries.operators import constraints as con
 from prodseries.operators.checks import keyed_counts, long_counts
-from prodseries.sources.extracts import LoadError, read_daily, read_monthly
-from prodseries.spec import MEASURE, MODES, STATES, SeriesSpec
+from prodseries.sources.extracts import LoadError, exact_number, narrowed, read_daily, read_monthly
+from prodseries.spec import EXACT, MEASURE, MODES, STATES, SeriesSpec, exactly
 
+# Columns of the core tables, and how monthly measures are named there.
 WELLBORE = (
     "npd_well_bore_code", "npd_well_bore_name", "well_bore_code",
     "npd_field_code", "npd_field_name", "npd_facility_code", "npd_facility_name",
@@ -45,38 +46,41 @@ def build_wellbore(raw_daily: DataFrame) -> DataFrame:
     return raw_daily.where(F.col("npd_well_bore_code").isNotNull()).select(*WELLBORE).distinct()
 
 
-def build_daily(raw_daily: DataFrame) -> DataFrame:
-    """Rename only: no row is filtered, so a bad row fails the constraints instead."""
-    return raw_daily.withColumnRenamed("dateprd", "production_date").select(*DAILY)
+def build_daily(raw_daily: DataFrame, measure: T.DecimalType = MEASURE) -> DataFrame:
+    """Rename and type: no row is filtered, so a bad row fails the constraints instead."""
+    rows = raw_daily.withColumnRenamed("dateprd", "production_date").select(*DAILY)
+    return narrowed(rows, [c for c in DAILY if c.startswith(("avg_", "bore_", "dp_", "on_")) and c != "avg_choke_uom"], measure)
 
 
 def _unkeyed():
     return any_of(F.col(k).isNull() for k in MONTHLY_KEYS)
 
 
-def _unreadable():
-    return any_of(F.col(c).isNotNull() & F.col(c).try_cast(MEASURE).isNull() for c in MONTHLY_MEASURES)
+def _unreadable(measure: T.DecimalType = MEASURE):
+    """Text that is no number, or one that the measure type does not hold exactly."""
+    wide, typed = (lambda c: F.col(c).try_cast(EXACT)), (lambda c: F.col(c).try_cast(measure))
+    return any_of(F.col(c).isNotNull() & ~F.coalesce(wide(c) == typed(c), F.lit(False)) for c in MONTHLY_MEASURES)
 
 
-def build_monthly(raw_monthly: DataFrame, quarantine: bool = False) -> DataFrame:
-    """Keyed rows with text measures as numbers. Bad text stops the load; with
-    ``quarantine`` such rows are set aside instead."""
+def build_monthly(raw_monthly: DataFrame, quarantine: bool = False, measure: T.DecimalType = MEASURE) -> DataFrame:
+    """Keyed rows with text measures as numbers. Text that is no number, or has too many decimals,
+    stops the load; with ``quarantine`` such rows are set aside instead."""
     keyed = raw_monthly.where(~_unkeyed())
     if quarantine:
-        keyed = keyed.where(~_unreadable())
+        keyed = keyed.where(~_unreadable(measure))
     return keyed.select(
         F.col("npdcode").alias("npd_well_bore_code"),
         F.col("year").alias("reference_year"),
         F.col("month").alias("reference_month"),
-        *[F.col(c).cast(MEASURE).alias(name) for c, name in MONTHLY_MEASURES.items()],
+        *[exactly(exact_number(F.col(c), T.StringType()), EXACT, measure).alias(name) for c, name in MONTHLY_MEASURES.items()],
     )
 
 
-def excluded_monthly(raw_monthly: DataFrame, quarantine: bool = False) -> DataFrame:
+def excluded_monthly(raw_monthly: DataFrame, quarantine: bool = False, measure: T.DecimalType = MEASURE) -> DataFrame:
     """Rows left out of core, unchanged, with the reason."""
     reason = F.when(_unkeyed(), "monthly key is incomplete")
     if quarantine:
-        reason = reason.when(_unreadable(), "measure is not a number")
+        reason = reason.when(_unreadable(measure), "measure is not a number")
     return raw_monthly.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
@@ -131,17 +135,13 @@ class Snapshot:
 def load_counts(raw: dict[str, DataFrame], core: dict[str, DataFrame]) -> DataFrame:
     """Row counts per target, one row."""
     monthly = raw["monthly"]
-    parts = {
-        "wellbore": core["wellbore"].agg(F.count("*").alias("n")),
-        "daily_production": core["daily_production"].agg(F.count("*").alias("n")),
-        "raw_monthly_rows": monthly.agg(F.count("*").alias("n")),
-        "excluded_monthly_rows": excluded_monthly(monthly, quarantine=True).agg(F.count("*").alias("n")),
-        "monthly_reference": core["monthly_reference"].agg(F.count("*").alias("n")),
-    }
+    parts = [core[k].agg(F.count("*").alias(k)) for k in ("wellbore", "daily_production", "monthly_reference")]
+    excluded = F.count(F.when(_unkeyed() | _unreadable(), 1))
+    parts.insert(2, monthly.agg(F.count("*").alias("raw_monthly_rows"), excluded.alias("excluded_monthly_rows")))
     counts = None
-    for name, one in parts.items():
-        row = one.select(F.lit(name).alias("target"), F.col("n").alias("row_count"))
-        counts = row if counts is None else counts.unionByName(row)
+    for one in parts:
+        rows = one.unpivot([], one.columns, "target", "row_count")
+        counts = rows if counts is None else counts.unionByName(rows)
     return counts
 
 
@@ -216,7 +216,7 @@ def layout(out: str, run_id: str) -> dict[str, str]:
 
 def load(
     spark: SparkSession, daily_path: str, monthly_path: str, out: str,
-    snapshot: Snapshot = Snapshot(), fmt: str = "csv", quarantine: bool = False,
+    snapshot: Snapshot = Snapshot(), fmt: str = "csv", quarantine: bool = False, measure: T.DecimalType = MEASURE,
 ) -> dict[str, int]:
     """Run the whole load and return row counts per target, or raise LoadError and publish nothing."""
     run_id = uuid.uuid4().hex
@@ -228,14 +228,14 @@ def load(
 
     commented(build_wellbore(raw["daily"])).write.parquet(at["wellbore"])
     # clustered by year, then entity: date filters prune folders, entity filters prune row groups
-    daily = commented(build_daily(raw["daily"])).withColumn("production_year", F.year("production_date"))
+    daily = commented(build_daily(raw["daily"], measure)).withColumn("production_year", F.year("production_date"))
     (
         daily.repartitionByRange("production_year", "npd_well_bore_code", "production_date")
         .sortWithinPartitions("production_year", "npd_well_bore_code", "production_date")
         .write.partitionBy("production_year").parquet(at["daily_production"])
     )
-    build_monthly(raw["monthly"], quarantine).write.parquet(at["monthly_reference"])
-    excluded_monthly(raw["monthly"], quarantine).write.parquet(at["quarantine"])
+    build_monthly(raw["monthly"], quarantine, measure).write.parquet(at["monthly_reference"])
+    excluded_monthly(raw["monthly"], quarantine, measure).write.parquet(at["quarantine"])
     core = {k: spark.read.parquet(at[k]) for k in ("wellbore", "daily_production", "monthly_reference")}
 
     failed = [r.check_name for r in validate_load(source, raw, core, snapshot).where(~F.col("passed")).collect()]

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Raw values keep all their decimals; measures have the scale of a SeriesSpec.
+EXACT = T.DecimalType(38, 18)
 MEASURE = T.DecimalType(18, 6)
 TOTAL = T.DecimalType(28, 6)
 
@@ -21,6 +23,15 @@ MODES = ("production", "injection")
 STATE_LABELS = {"OP": "Producer", "WI": "Injector"}
 
 
+def exactly(column: Column, source: T.DataType, target: T.DecimalType) -> Column:
+    """The column as a decimal type; a value that would be rounded or cut is an error."""
+    if isinstance(source, T.IntegralType) or isinstance(source, T.DecimalType) and source.scale <= target.scale:
+        return column.cast(target)
+    wide = column.cast(EXACT) if not isinstance(source, T.DecimalType) else column
+    wrong = F.raise_error(F.concat(F.lit(f"does not fit {target.simpleString()}: "), column.cast("string")))
+    return F.when(wide.isNotNull(), F.when(wide == wide.cast(target), wide.cast(target)).otherwise(wrong))
+
+
 @dataclass(frozen=True)
 class SeriesSpec:
     """Source column for each role. Defaults are the names of the core tables."""
@@ -53,22 +64,25 @@ class SeriesSpec:
         ("downhole_pressure", "wellhead_pressure"),
         ("downhole_temperature", "wellhead_temperature"),
     )
+    #: The type of all measures. Choose more decimals for finer data: values that do not fit stop the read.
+    measure: T.DecimalType = MEASURE
     choke: str | None = "choke_size"
     choke_partner: str | None = "choke_dp"
 
     FACT_ROLES = ("entity", "day", "state", "mode", "hours", "oil", "gas", "water", "injection")
 
     def fact(self, df: DataFrame) -> DataFrame:
-        """Project a daily table to its roles; measures become DECIMAL(18,6)."""
+        """Project a daily table to its roles; measures take the spec's type."""
+        number = lambda name: exactly(F.col(name), df.schema[name].dataType, self.measure)
         cols = []
         for role in self.FACT_ROLES:
             c = F.col(getattr(self, role))
             if role == "day":
                 c = c.cast("date")
             elif role in ("hours", "oil", "gas", "water", "injection"):
-                c = c.cast(MEASURE)
+                c = number(getattr(self, role))
             cols.append(c.alias(role))
-        cols += [F.col(src).cast(MEASURE).alias(role) for role, src in self.sensors.items()]
+        cols += [number(src).alias(role) for role, src in self.sensors.items()]
         cols += [F.col(src).alias(role) for role, src in self.labels.items()]
         return df.select(*cols)
 

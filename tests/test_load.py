@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 from fixture_rows import daily_rows, write_csv, write_extracts
 from prodseries.sources import load as ld
 from prodseries.sources.extracts import (
-    DAILY_COLUMNS, LoadError, clean, measure_to_text, open_extract, read_daily, read_monthly, require_columns, write_reports,
+    DAILY_COLUMNS, LoadError, clean, measure_to_text, narrowed, open_extract, read_daily, read_monthly, require_columns, write_reports,
 )
 
 D = dt.date
@@ -177,3 +177,50 @@ def test_schema_diff(spark):
     have = spark.createDataFrame([], "a bigint, `On Stream` double, extra string")
     found = {(r.column, r.finding) for r in schema_diff(want, have).collect()}
     assert found == {("a", "retyped"), ("on_stream", "renamed"), ("z", "missing"), ("extra", "unexpected")}
+
+
+@pytest.mark.parametrize("value,schema,kind", [
+    ("2020-01-01XYZ", "string", "date"), ("2020-01-01 25", "string", "date"), ("01.02.2020", "string", "date"), ("9000.7", "string", "int"),
+    (9000.7, "double", "int"), ("1.0000000000000000001", "string", "measure"), ("1e-19", "string", "measure"), ("9e3x", "string", "measure"),
+])
+def test_nothing_is_cut(spark, value, schema, kind):
+    with pytest.raises(PySparkException):
+        one(spark, value, schema, lambda c, t: clean(c, t, kind))
+
+
+@pytest.mark.parametrize("value,schema,kind,result", [
+    ("0.0000004", "string", "measure", Decimal("4e-7")), ("4E-7", "string", "measure", Decimal("4e-7")), (4e-7, "double", "measure", Decimal("4e-7")),
+    ("2020-01-05T10:30:00.5", "string", "date", D(2020, 1, 5)), ("-12.000", "string", "int", -12), (9000.0, "double", "int", 9000), ("1e3", "string", "measure", Decimal(1000)),
+])
+def test_whole_values_are_kept(spark, value, schema, kind, result):
+    assert one(spark, value, schema, lambda c, t: clean(c, t, kind)) == result
+
+
+def test_measure_type_is_chosen_and_never_rounds(spark):
+    raw = spark.createDataFrame([(Decimal("4e-7"),)], "v decimal(38,18)")
+    fine = T.DecimalType(28, 10)
+    assert narrowed(raw, ["v"], fine).first().v == Decimal("4e-7")
+    with pytest.raises(PySparkException, match="does not fit"):
+        narrowed(raw, ["v"]).collect()
+    from prodseries import SeriesSpec
+
+    names = {r: r for r in ("entity", "day", "hours", "state", "mode", "oil", "gas", "water", "injection")}
+    spec = SeriesSpec(**names, sensors={}, labels={}, choke=None, measure=fine)
+    row = raw.selectExpr("1 AS entity", "current_date() AS day", "'OP' AS state", "'production' AS mode", *[f"v AS {c}" for c in ("hours", "oil", "gas", "water", "injection")])
+    assert spec.fact(row).first().oil == Decimal("4e-7")
+
+
+def test_monthly_text_that_does_not_fit(spark):
+    row = ("A", 1, 2020, 1, "1", "0.0000004", None, None, None, None)
+    raw = spark.createDataFrame([row], "wellbore_name string, npdcode int, year int, month int, on_stream string, oil string, gas string, water string, gi string, wi string")
+    with pytest.raises(PySparkException, match="does not fit"):
+        ld.build_monthly(raw).collect()
+    assert ld.build_monthly(raw, quarantine=True).count() == 0 and ld.excluded_monthly(raw, quarantine=True).count() == 1
+    assert ld.build_monthly(raw, measure=T.DecimalType(28, 10)).first().oil_vol == Decimal("4e-7")
+
+
+def test_files_with_another_header_order_are_refused(spark, tmp_path):
+    for name, text in (("a.csv", "A,B\n1,2\n"), ("b.csv", "B,A\n2,1\n")):
+        (tmp_path / name).write_text(text)
+    with pytest.raises(PySparkException):
+        open_extract(spark, str(tmp_path)).collect()
