@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -44,6 +45,20 @@ def pct(num: str | Column, den: str | Column) -> Column:
     return (F.lit(100.0) * col(num).cast("double") / F.nullif(d, F.lit(0.0))).cast(TOTAL)
 
 
+def rounded_ratio(num: str | Column, den: str | Column, dp: int, times: int = 1, even: bool = False) -> Column:
+    """times * num / den with dp decimals, rounded once from the exact quotient of the two decimals.
+
+    Halves go away from zero, or with ``even`` to the even neighbour. NULL when den is 0 or either side is NULL.
+    """
+    n, d = col(num).cast(TOTAL), F.nullif(col(den).cast(TOTAL), F.lit(0).cast(TOTAL))
+    top, low = F.abs(n) * F.lit(times * 10**dp), F.abs(d)
+    whole = F.call_function("div", top, low)
+    twice = (top % low) * F.lit(2)
+    up = F.when(twice > low, 1).when(twice == low, whole % 2 if even else F.lit(1)).otherwise(0)
+    sign = F.when((n < 0) != (d < 0), -1).otherwise(1)
+    return (((whole + up) * sign).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-dp))).cast(f"decimal(28,{dp})")
+
+
 def rounded(c: str | Column, dp: int) -> Column:
     """Round half away from zero on the decimal value."""
     return F.round(col(c), dp).cast(f"decimal(28,{dp})")

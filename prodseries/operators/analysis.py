@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from prodseries.functions.expr import month_start, pct, ratio, rounded, total
+from prodseries.functions.expr import month_start, ratio, rounded_ratio, total
 from prodseries.functions.order_stats import global_ranks
 from prodseries.operators import views
 from prodseries.operators.episodes import downtime_episodes, transition_counts
@@ -111,7 +111,7 @@ def peak_checkpoints(fact: DataFrame, dim: DataFrame, checkpoints=(30, 90, 365),
     outs = ["entity", "entity_name", "peak_date", "peak_volume"]
     for n in checkpoints:
         v = f"oil_{n}_days_after_peak"
-        outs += [v, rounded(pct(F.col("peak_volume") - F.col(v), "peak_volume"), 1).alias(f"pct_decline_{n}_days")]
+        outs += [v, rounded_ratio(F.col("peak_volume") - F.col(v), "peak_volume", 1, 100).alias(f"pct_decline_{n}_days")]
     return with_names(found, dim).select(*outs)
 
 
@@ -119,7 +119,7 @@ def water_oil_ratio(fact: DataFrame) -> DataFrame:
     """Field water/oil ratio by month, months with oil only."""
     return views.field_monthly(fact).where(F.col("oil_volume").isNotNull()).select(
         "month_start", "oil_volume", "water_volume",
-        rounded(ratio("water_volume", "oil_volume"), 3).alias("water_oil_ratio"),
+        rounded_ratio("water_volume", "oil_volume", 3).alias("water_oil_ratio"),
     ).orderBy("month_start")
 
 
@@ -150,7 +150,7 @@ def yearly_share(fact: DataFrame, dim: DataFrame) -> DataFrame:
     shared = by_entity.join(F.broadcast(by_year), "year")
     return with_names(shared, dim).select(
         "year", "entity_name", "oil_volume", "year_total_oil",
-        rounded(pct("oil_volume", "year_total_oil"), 1).alias("pct_of_year_total"),
+        rounded_ratio("oil_volume", "year_total_oil", 1, 100).alias("pct_of_year_total"),
     ).orderBy("year", F.desc_nulls_last("pct_of_year_total"), "entity_name")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import all_of, count_where, holds, pct, rounded_even
+from prodseries.functions.expr import all_of, count_where, holds, rounded_ratio
 from prodseries.spec import FLUIDS
 
 
@@ -13,7 +13,7 @@ def inventory(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("row_count"))
     n = counts.agg(F.sum("row_count")).scalar()
     return counts.select(
-        F.lit(column).alias("column"), "value", "row_count", rounded_even(pct("row_count", n), 2).alias("pct")
+        F.lit(column).alias("column"), "value", "row_count", rounded_ratio("row_count", n, 2, 100, even=True).alias("pct")
     )
 
 
@@ -74,7 +74,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     n = pairs.agg(F.sum("n")).scalar()
     return cells.select(
         F.coalesce(a, F.lit("Total")).alias(a), F.coalesce(b, F.lit("Total")).alias(b), "row_count",
-        rounded_even(pct("row_count", n), 2).alias("pct"),
+        rounded_ratio("row_count", n, 2, 100, even=True).alias("pct"),
     )
 
 

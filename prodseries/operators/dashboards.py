@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import month_start, pct, ratio, rounded, total
+from prodseries.functions.expr import month_start, pct, ratio, rounded_ratio, total
 from prodseries.operators import analysis, checks, episodes, views
 from prodseries.operators.categories import label
 from prodseries.operators.views import with_names
@@ -79,7 +79,7 @@ def well_summary(fact: DataFrame, dim: DataFrame) -> DataFrame:
     return with_names(per, dim).select(
         "entity", "entity_name", "total_oil", "first_oil_date",
         F.date_from_unix_date(-F.col("p.neg")).alias("peak_date"), F.col("p.v").alias("peak_oil"),
-        rounded(_availability(F.col("h"), F.col("d")), 1).alias("availability_pct"),
+        rounded_ratio("h", F.col("d") * 24, 1, 100).alias("availability_pct"),
         pct("total_oil", field).alias("oil_pct_of_field"),
     )
 
@@ -178,7 +178,7 @@ def profiles(fact: DataFrame, dim: DataFrame, entities=None, smooth: int | None
     ).where(F.col("day") >= F.col("first"))
     out = marked.select(
         "entity", "day", F.datediff("day", "first").alias("days_since_first_oil"), "oil",
-        rounded(pct("oil", "peak"), 1).alias("pct_of_peak"),
+        rounded_ratio("oil", "peak", 1, 100).alias("pct_of_peak"),
     )
     if smooth:
         w = whole.orderBy("day").rowsBetween(1 - smooth, 0)
@@ -196,7 +196,7 @@ def monthly_production(fact: DataFrame, dim: DataFrame, entities=None) -> DataFr
 def water_trends(fact: DataFrame, dim: DataFrame, entities=None) -> DataFrame:
     return views.monthly(only(fact, entities), dim).select(
         "entity_name", F.make_date("year", "month", F.lit(1)).alias("month_start"), "water_volume", "oil_volume",
-        rounded(ratio("water_volume", "oil_volume"), 3).alias("water_oil_ratio"),
+        rounded_ratio("water_volume", "oil_volume", 3).alias("water_oil_ratio"),
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, pct, rounded
+from prodseries.functions.expr import count_where, rounded_ratio
 from prodseries.operators.views import with_names
 
 def by_day():
@@ -75,7 +75,7 @@ def downtime_episodes(fact: DataFrame, dim: DataFrame) -> DataFrame:
         F.datediff("restart_date", "day").alias("offline_days"),
         F.col("oil_day_before").alias("oil_before"),
         "oil_after",
-        rounded(pct("oil_after", "oil_day_before"), 1).alias("recovery_pct"),
+        rounded_ratio("oil_after", "oil_day_before", 1, 100).alias("recovery_pct"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prodseries.functions.expr import (
-    all_of, any_of, any_positive, clock_change_day, count_where, holds, pct, ratio, rounded, rounded_even, total,
+    all_of, any_of, any_positive, clock_change_day, count_where, holds, pct, ratio, rounded_ratio, total,
 )
 from prodseries.operators import profile
 from prodseries.operators.checks import ReviewRules
@@ -315,7 +315,7 @@ def idle_rate(fact: DataFrame) -> DataFrame:
     )
     rows = [
         F.struct(F.lit(n).alias("kind"), F.col(a).alias("positive_rows"), F.col(b).alias("zero_hours_rows"),
-                 rounded(pct(b, a), 3).alias("rate_pct"))
+                 rounded_ratio(b, a, 3, 100).alias("rate_pct"))
         for n, a, b in (("production", "p", "pz"), ("injection", "i", "iz"))
     ]
     return one.select(F.inline(F.array(*rows)))
@@ -358,7 +358,7 @@ def sensor_by_activity(fact: DataFrame, sensors) -> DataFrame:
             outs.append(count_where(active & F.col(c).isNull()).alias(f"m{i}_{j}"))
             rows.append(F.struct(
                 F.lit(name).alias("activity"), F.lit(c).alias("column"), F.col(f"n{i}").alias("total_rows"),
-                F.col(f"m{i}_{j}").alias("missing_count"), rounded_even(pct(f"m{i}_{j}", f"n{i}"), 2).alias("missing_pct"),
+                F.col(f"m{i}_{j}").alias("missing_count"), rounded_ratio(f"m{i}_{j}", f"n{i}", 2, 100, even=True).alias("missing_pct"),
             ))
     return fact.agg(*outs).select(F.inline(F.array(*rows)))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, pct, ratio, rounded_even
+from prodseries.functions.expr import count_where, ratio, rounded_ratio
 
 
 def _null_counts(df: DataFrame, columns, groups: dict[str, Column]) -> DataFrame:
@@ -23,7 +23,7 @@ def _null_counts(df: DataFrame, columns, groups: dict[str, Column]) -> DataFrame
 
 
 def _share(missing="missing_count", total="total_rows"):
-    return rounded_even(pct(missing, total), 2)
+    return rounded_ratio(missing, total, 2, 100, even=True)
 
 
 def overview(df: DataFrame, columns=None) -> DataFrame:

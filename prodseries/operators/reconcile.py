@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, days_in_month, holds, pct, rounded_even, total
+from prodseries.functions.expr import count_where, days_in_month, holds, pct, rounded_ratio, total
 from prodseries.spec import TOTAL
 
 METRICS = ("hours", "oil", "gas", "water", "injection")
@@ -87,8 +87,8 @@ def summary(detail: DataFrame) -> DataFrame:
         count_where(is_("MONTHLY_ONLY")).alias("monthly_only"),
         F.max(F.when(is_("MATCH"), F.abs("abs_diff"))).alias("max_abs_diff_among_matches"),
     )
-    rate = pct(F.col("match_count") + F.col("null_convention"), "n_comparable")
-    return counts.withColumn("accounted_for_rate", rounded_even(rate, 2))
+    accounted = F.col("match_count") + F.col("null_convention")
+    return counts.withColumn("accounted_for_rate", rounded_ratio(accounted, "n_comparable", 2, 100, even=True))
 
 
 def by_entity(detail: DataFrame) -> DataFrame:

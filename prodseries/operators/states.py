@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prodseries.functions.expr import any_positive, count_where, holds, pct, rounded_even
+from prodseries.functions.expr import any_positive, count_where, holds, rounded_ratio
 from prodseries.operators.checks import ReviewRules
 from prodseries.spec import VOLUMES
 
@@ -35,7 +35,7 @@ def state_summary(fact: DataFrame) -> DataFrame:
     counts = record_state(fact).groupBy("record_state").agg(F.count("*").alias("row_count"))
     n = counts.agg(F.sum("row_count")).scalar()
     return counts.select(
-        "record_state", "row_count", rounded_even(pct("row_count", n), 2).alias("pct"),
+        "record_state", "row_count", rounded_ratio("row_count", n, 2, 100, even=True).alias("pct"),
         F.col("record_state").isin(*COHERENT).alias("coherent"),
     )
 
@@ -45,7 +45,7 @@ def coherence(fact: DataFrame) -> DataFrame:
     return record_state(fact).agg(
         F.count("*").alias("total_rows"), count_where(good).alias("coherent_rows"),
         count_where(~good).alias("to_interpret"), count_where(F.col("record_state").isNull()).alias("unclassified"),
-    ).withColumn("coherent_pct", rounded_even(pct("coherent_rows", "total_rows"), 2))
+    ).withColumn("coherent_pct", rounded_ratio("coherent_rows", "total_rows", 2, 100, even=True))
 
 
 def _explanations(rules: ReviewRules, recovery_days=()) -> dict[str, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, pct, rounded_even
+from prodseries.functions.expr import count_where, rounded_ratio
 from prodseries.operators.checks import ReviewRules
 from prodseries.operators.views import with_names
 
@@ -54,7 +54,7 @@ def coverage(fact: DataFrame, dim: DataFrame) -> DataFrame:
     return with_names(per, dim).select(
         "entity", "entity_name", "first_date", "last_date", "calendar_span_days", "recorded_days",
         (F.col("calendar_span_days") - F.col("recorded_days")).alias("unrecorded_calendar_days"),
-        rounded_even(pct("recorded_days", "calendar_span_days"), 2).alias("coverage_pct"),
+        rounded_ratio("recorded_days", "calendar_span_days", 2, 100, even=True).alias("coverage_pct"),
         "max_gap_days", "gaps_gt_1", "gaps_gt_7", "gaps_gt_30",
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from prodseries.operators import analysis, episodes, views
-from prodseries.plans.sql import query, ratio, rnd, pct
+from prodseries.plans.sql import query, ratio, rratio
 from prodseries.sources.driver_tables import daily_fact as F_, dimension as D_
 
 QUERIES = {
@@ -52,7 +52,7 @@ ORACLES = {
     ),
     "a5_peak_checkpoints": query("SELECT * FROM decline"),
     "a6_water_oil_ratio": query(
-        f"""SELECT month_start, oil_volume, water_volume, {rnd(ratio('water_volume', 'oil_volume'), 3)} AS water_oil_ratio
+        f"""SELECT month_start, oil_volume, water_volume, {rratio('water_volume', 'oil_volume', 3)} AS water_oil_ratio
         FROM field_monthly WHERE oil_volume IS NOT NULL"""
     ),
     "a7_cumulative_injection": query(
@@ -65,7 +65,7 @@ ORACLES = {
         FROM field_monthly WHERE oil_volume IS NOT NULL ORDER BY oil_rank, month_start LIMIT 10"""
     ),
     "a9_yearly_share": query(
-        f"""SELECT y.year, entity_name, oil_volume, year_total_oil, {rnd(pct('oil_volume', 'year_total_oil'), 1)} AS pct_of_year_total
+        f"""SELECT y.year, entity_name, oil_volume, year_total_oil, {rratio('oil_volume', 'year_total_oil', 1, 100)} AS pct_of_year_total
         FROM by_entity y JOIN by_year t ON t.year = y.year JOIN dim d ON d.entity = y.entity""",
         {
             "by_entity": """SELECT CAST(year(day) AS INTEGER) AS year, entity, CAST(SUM(oil) AS DECIMAL(28,6)) AS oil_volume

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from prodseries.operators import checks, constraints as con, reconcile as rec, states
-from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, rnd_even
+from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, rratio
 from prodseries.sources import load
 from prodseries.sources.driver_tables import (
     daily_fact as F_, dimension as D_, raw_daily, raw_monthly, raw_monthly_extract, table,
@@ -158,8 +158,8 @@ SIDES = {
         COUNT(*) FILTER (WHERE outcome = 'DAILY_ONLY') AS daily_only,
         COUNT(*) FILTER (WHERE outcome = 'MONTHLY_ONLY') AS monthly_only,
         MAX(CASE WHEN outcome = 'MATCH' THEN abs(abs_diff) END) AS max_abs_diff_among_matches,
-        {rnd_even(pct("COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION'))",
-                      "COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH'))"), 2)} AS accounted_for_rate
+        {rratio("COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION'))",
+                      "COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH'))", 2, 100, even=True)} AS accounted_for_rate
         FROM detail GROUP BY metric""",
 }
 STATE_CTE = {
@@ -336,12 +336,12 @@ ORACLES = {
               FROM rec_summary)""", SIDES),
     "nq_record_state": query("SELECT entity, day, record_state FROM stated", STATE_CTE),
     "nq_state_summary": query(
-        f"""SELECT record_state, COUNT(*) AS row_count, {rnd_even(pct('COUNT(*)', '(SELECT COUNT(*) FROM stated)'), 2)} AS pct,
+        f"""SELECT record_state, COUNT(*) AS row_count, {rratio('COUNT(*)', '(SELECT COUNT(*) FROM stated)', 2, 100, even=True)} AS pct,
             {COHERENT} AS coherent FROM stated GROUP BY record_state""", STATE_CTE),
     "nq_state_coherence": query(
         f"""SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE {COHERENT}) AS coherent_rows,
             COUNT(*) FILTER (WHERE NOT ({COHERENT})) AS to_interpret, COUNT(*) FILTER (WHERE record_state IS NULL) AS unclassified,
-            {rnd_even(pct(f'COUNT(*) FILTER (WHERE {COHERENT})', 'COUNT(*)'), 2)} AS coherent_pct FROM stated""", STATE_CTE),
+            {rratio(f'COUNT(*) FILTER (WHERE {COHERENT})', 'COUNT(*)', 2, 100, even=True)} AS coherent_pct FROM stated""", STATE_CTE),
     "nq_inconsistent_breakdown": query(
         " UNION ALL ".join(
             f"SELECT '{k}' AS explained_by, COUNT(*) FILTER (WHERE {c}) AS row_count FROM stated WHERE record_state = 'INCONSISTENT'"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prodseries.operators import categories as cat, measures as ms, missingness as mis, profile as pf, temporal as tm
 from prodseries.plans.load_queries import CONDS, RAWD, RULES, raw_pairs
-from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rnd, rnd_even, tot
+from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rratio, tot
 from prodseries.sources.driver_tables import daily_fact as F_, dimension as D_, raw_daily, raw_monthly, table
 
 FACT_COLUMNS = ["entity", "day", "state", "mode", "hours", "oil", "gas", "water", "injection", "downhole", "wellhead"]
@@ -99,7 +99,7 @@ QUERIES = {
     "nq_null_hours_overlap": lambda s, d: ms.null_hours_overlap(F_(s, d), RULES),
     "nq_zero_hours_volumes": lambda s, d: ms.zero_hours_volumes(F_(s, d)),
     "nq_zero_hours_rows": lambda s, d: ms.zero_hours_rows(F_(s, d)),
-    "nq_active_without_volume": lambda s, d: ms.active_without_volume(F_(s, d).fillna(0, ["oil", "gas", "water", "injection"])),
+    "nq_active_without_volume": lambda s, d: ms.active_without_volume(F_(s, d)),
     "nq_hours_distribution": lambda s, d: ms.distribution(F_(s, d), "hours"),
     "nq_hours_verdict": lambda s, d: ms.hours_verdict(F_(s, d)),
     "nq_population": lambda s, d: ms.characterise(F_(s, d), (F.col("hours").isNull()) | (F.col("day") < F.lit(RULES.window_start))),
@@ -179,7 +179,7 @@ def miss(src, cols, group_cols="", group_sql=""):
     by = f" GROUP BY {group_cols}" if group_cols else ""
     return alls(
         f"SELECT {g}'{c}' AS \"column\", COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing_count, "
-        f"{rnd_even(pct(f'COUNT(*) FILTER (WHERE {c} IS NULL)', 'COUNT(*)'), 2)} AS missing_pct FROM {src}{by}"
+        f"{rratio(f'COUNT(*) FILTER (WHERE {c} IS NULL)', 'COUNT(*)', 2, 100, even=True)} AS missing_pct FROM {src}{by}"
         for c in cols
     )
 
@@ -248,7 +248,7 @@ GAP = {
     "cov": f"""SELECT g.entity, entity_name, MIN(day) AS first_date, MAX(day) AS last_date,
         CAST(MAX(day) - MIN(day) + 1 AS INTEGER) AS calendar_span_days, COUNT(*) AS recorded_days,
         MAX(day) - MIN(day) + 1 - COUNT(*) AS unrecorded_calendar_days,
-        {rnd_even(pct('COUNT(*)', '(MAX(day) - MIN(day) + 1)'), 2)} AS coverage_pct, coalesce(MAX(gap_days), 0) AS max_gap_days,
+        {rratio('COUNT(*)', '(MAX(day) - MIN(day) + 1)', 2, 100, even=True)} AS coverage_pct, coalesce(MAX(gap_days), 0) AS max_gap_days,
         COUNT(*) FILTER (WHERE gap_days > 1) AS gaps_gt_1, COUNT(*) FILTER (WHERE gap_days > 7) AS gaps_gt_7,
         COUNT(*) FILTER (WHERE gap_days > 30) AS gaps_gt_30
         FROM gap g JOIN dim d ON d.entity = g.entity GROUP BY 1, 2""",
@@ -288,7 +288,7 @@ INJ_ODD = "coalesce(injection > 0 AND (state = 'OP' OR mode = 'production'), fal
 
 def inv(src, c):
     return f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, COUNT(*) AS row_count,
-        {rnd_even(pct('COUNT(*)', f'(SELECT COUNT(*) FROM {src})'), 2)} AS pct FROM {src} GROUP BY {c}"""
+        {rratio('COUNT(*)', f'(SELECT COUNT(*) FROM {src})', 2, 100, even=True)} AS pct FROM {src} GROUP BY {c}"""
 
 
 RATES = {
@@ -460,7 +460,7 @@ ORACLES = {
     "nq_zero_hours_rows": query(f"SELECT {REP} FROM fact WHERE hours = 0 AND {POS_ANY}"),
     "nq_active_without_volume": query(
         "SELECT state, mode, COUNT(*) AS row_count FROM fact WHERE hours > 0 AND "
-        + " AND ".join(f"coalesce({c}, 0) = 0" for c in FLUIDS) + " GROUP BY 1, 2"),
+        + " AND ".join(f"{c} = 0" for c in FLUIDS) + " GROUP BY 1, 2"),
     "nq_hours_distribution": query(dist("hours", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})),
     "nq_hours_verdict": query(
         f"""SELECT *, CASE WHEN out_of_range > 0 THEN 'FAIL' WHEN null_rows + zero_hours_production + zero_hours_injection + active_without_volume > 0
@@ -522,7 +522,7 @@ ORACLES = {
         "SELECT entity, previous, current, day AS transition_date FROM moves WHERE previous IS NOT NULL AND previous <> current", {"moves": MOVES("mode")}),
     "nq_contingency": query(
         f"""SELECT coalesce(state, 'Total') AS state, coalesce(mode, 'Total') AS mode, COUNT(*) AS row_count,
-        {rnd_even(pct('COUNT(*)', '(SELECT COUNT(*) FROM fact)'), 2)} AS pct FROM fact GROUP BY CUBE (state, mode)"""),
+        {rratio('COUNT(*)', '(SELECT COUNT(*) FROM fact)', 2, 100, even=True)} AS pct FROM fact GROUP BY CUBE (state, mode)"""),
     "nq_activity": query(
         "SELECT state, mode, COUNT(*) AS row_count, " + ", ".join(f"COUNT(*) FILTER (WHERE {c} > 0) AS {c}_gt_0" for c in FLUIDS)
         + ", COUNT(*) FILTER (WHERE " + " AND ".join(f"{c} = 0" for c in FLUIDS) + ") AS all_volumes_zero, COUNT(*) FILTER (WHERE "
@@ -568,9 +568,9 @@ ORACLES = {
         FROM fact WHERE hours = 0 AND injection > 0 GROUP BY 1"""),
     "nq_large_idle_injection": query(f"SELECT {REP} FROM fact WHERE hours = 0 AND injection > 40"),
     "nq_idle_rate": query(
-        f"""SELECT 'production' AS kind, p AS positive_rows, z AS zero_hours_rows, {rnd(pct('z', 'p'), 3)} AS rate_pct
+        f"""SELECT 'production' AS kind, p AS positive_rows, z AS zero_hours_rows, {rratio('z', 'p', 3, 100)} AS rate_pct
         FROM (SELECT COUNT(*) FILTER (WHERE {POS}) AS p, COUNT(*) FILTER (WHERE {POS} AND hours = 0) AS z FROM fact)
-        UNION ALL SELECT 'injection', p, z, {rnd(pct('z', 'p'), 3)}
+        UNION ALL SELECT 'injection', p, z, {rratio('z', 'p', 3, 100)}
         FROM (SELECT COUNT(*) FILTER (WHERE injection > 0) AS p, COUNT(*) FILTER (WHERE injection > 0 AND hours = 0) AS z FROM fact)"""),
     "nq_hours_by_activity": query(
         described("act", ["producing", "injecting"]),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from prodseries.operators import categories as cat, checks, dashboards as db, temporal as tm, verdicts as vd, views
 from prodseries.plans.load_queries import COUNTS, CONDS, REVIEW, RULES, SIDES, monthly_core, raw_pairs
 from prodseries.plans.quality_queries import OUT_WINDOW, RAW, alls, change_cte, mapping
-from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rnd, rnd_even, tot
+from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rratio, tot
 from prodseries.sources.driver_tables import (
     ORDERS, customer_dimension, daily_fact as F_, dimension as D_, event_days, orders_series, raw_monthly,
 )
@@ -104,11 +104,11 @@ GRID = lambda start: {
 FIRST = "(SELECT date_trunc('month', CAST(MIN(day) AS TIMESTAMP)) FROM fact)"
 INDEP = "(SELECT CAST(make_date(MIN(year(day)), MIN(month(day)), 1) AS TIMESTAMP) FROM fact)"
 SUMM = {
-    "wsum": f"""SELECT l.entity, l.entity_name, total_oil, f.first_oil_date, peak_date, peak_volume AS peak_oil, {rnd('av', 1)} AS availability_pct,
+    "wsum": f"""SELECT l.entity, l.entity_name, total_oil, f.first_oil_date, peak_date, peak_volume AS peak_oil, av AS availability_pct,
         {pct('total_oil', '(SELECT SUM(total_oil) FROM lifetime)')} AS oil_pct_of_field FROM lifetime l
         LEFT JOIN (SELECT entity, MIN(day) AS first_oil_date FROM fact WHERE oil > 0 GROUP BY 1) f ON f.entity = l.entity
         LEFT JOIN peaks p ON p.entity = l.entity
-        LEFT JOIN (SELECT entity, {AV('SUM(hours)', 'COUNT(*)')} AS av FROM fact WHERE hours IS NOT NULL GROUP BY 1) a ON a.entity = l.entity"""
+        LEFT JOIN (SELECT entity, {rratio('SUM(hours)', '(COUNT(*) * 24)', 1, 100)} AS av FROM fact WHERE hours IS NOT NULL GROUP BY 1) a ON a.entity = l.entity"""
 }
 RANKED = {
     "ranked": """SELECT entity, entity_name, total_oil, RANK() OVER (ORDER BY total_oil DESC NULLS LAST) AS oil_rank,
@@ -116,13 +116,13 @@ RANKED = {
         total_water_injection, RANK() OVER (ORDER BY total_water_injection DESC NULLS LAST) AS injection_rank FROM lifetime"""
 }
 PROF = {
-    "prof": f"""SELECT f.entity, day, CAST(day - first AS INTEGER) AS days_since_first_oil, oil, {rnd(pct('oil', 'peak'), 1)} AS pct_of_peak, entity_name
+    "prof": f"""SELECT f.entity, day, CAST(day - first AS INTEGER) AS days_since_first_oil, oil, {rratio('oil', 'peak', 1, 100)} AS pct_of_peak, entity_name
         FROM fact f JOIN (SELECT entity, MIN(day) FILTER (WHERE oil > 0) AS first, MAX(oil) AS peak FROM fact GROUP BY 1) b ON b.entity = f.entity
         JOIN dim d ON d.entity = f.entity WHERE oil IS NOT NULL AND day >= first"""
 }
 TREND = {
     "trend": f"""SELECT entity_name, make_date(year, month, 1) AS month_start, water_volume, oil_volume,
-        {rnd(ratio('water_volume', 'oil_volume'), 3)} AS water_oil_ratio FROM monthly"""
+        {rratio('water_volume', 'oil_volume', 3)} AS water_oil_ratio FROM monthly"""
 }
 REG = {
     **REVIEW,
@@ -239,12 +239,12 @@ ORACLES = {
     "port_orders_coverage": query(
         f"""SELECT entity, c_name AS entity_name, MIN(day) AS first_date, MAX(day) AS last_date, CAST(MAX(day) - MIN(day) + 1 AS INTEGER) AS calendar_span_days,
         COUNT(*) AS recorded_days, MAX(day) - MIN(day) + 1 - COUNT(*) AS unrecorded_calendar_days,
-        {rnd_even(pct('COUNT(*)', '(MAX(day) - MIN(day) + 1)'), 2)} AS coverage_pct, coalesce(MAX(gap_days), 0) AS max_gap_days,
+        {rratio('COUNT(*)', '(MAX(day) - MIN(day) + 1)', 2, 100, even=True)} AS coverage_pct, coalesce(MAX(gap_days), 0) AS max_gap_days,
         COUNT(*) FILTER (WHERE gap_days > 1) AS gaps_gt_1, COUNT(*) FILTER (WHERE gap_days > 7) AS gaps_gt_7, COUNT(*) FILTER (WHERE gap_days > 30) AS gaps_gt_30
         FROM ogap JOIN customer ON c_custkey = entity GROUP BY 1, 2""", ORD),
     "port_orders_decline": query(
         f"""SELECT p.entity, c_name AS entity_name, peak_date, peak_volume, f.price AS oil_30_days_after_peak,
-        {rnd(pct('(peak_volume - f.price)', 'peak_volume'), 1)} AS pct_decline_30_days
+        {rratio('(peak_volume - f.price)', 'peak_volume', 1, 100)} AS pct_decline_30_days
         FROM opeak p JOIN customer ON c_custkey = p.entity LEFT JOIN ofact f ON f.entity = p.entity AND f.day = peak_date + 30""", ORD),
     "port_event_transitions": query(
         "SELECT previous || '->' || current AS transition, COUNT(*) AS row_count FROM emove WHERE previous IS NOT NULL GROUP BY 1", EVT),

@@ -13,6 +13,17 @@ def pct(num: str, den: str) -> str:
     return f"CAST(CAST(100 AS DOUBLE) * CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0) AS DECIMAL(28,6))"
 
 
+def rratio(num: str, den: str, dp: int, times: int = 1, even: bool = False) -> str:
+    """times * num / den with dp decimals, in whole numbers: millionths of both sides, so nothing is rounded twice."""
+    n, d = (f"CAST(CAST({x} AS DECIMAL(28,6)) * 1000000 AS HUGEINT)" for x in (num, den))
+    top, low = f"(abs({n}) * {times * 10**dp})", f"abs({d})"
+    half = f"2 * ({top} % {low}) = {low} AND ({top} // {low}) % 2 = 1" if even else f"2 * ({top} % {low}) = {low}"
+    units = f"({top} // {low} + CASE WHEN 2 * ({top} % {low}) > {low} OR ({half}) THEN 1 ELSE 0 END)"
+    sign = f"CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END"
+    one = f"CAST({'1' if dp == 0 else '0.' + '0' * (dp - 1) + '1'} AS DECIMAL({dp + 1},{dp}))"
+    return f"CASE WHEN {d} <> 0 AND {n} IS NOT NULL THEN CAST(CAST({sign} * {units} AS DECIMAL(28,0)) * {one} AS DECIMAL(28,{dp})) END"
+
+
 def rnd(x: str, dp: int) -> str:
     return f"CAST(ROUND({x}, {dp}) AS DECIMAL(28,{dp}))"
 
@@ -123,7 +134,7 @@ CTES = {
     "episodes": f"""
         SELECT r.entity, entity_name, run_start AS shutdown_date, next_start AS restart_date,
             CAST(next_start - run_start AS INTEGER) AS offline_days, b.oil AS oil_before, a.oil AS oil_after,
-            {rnd(pct('a.oil', 'b.oil'), 1)} AS recovery_pct
+            {rratio('a.oil', 'b.oil', 1, 100)} AS recovery_pct
         FROM run_next r JOIN dim d ON d.entity = r.entity
         LEFT JOIN fact b ON b.entity = r.entity AND b.day = r.run_start - 1
         LEFT JOIN fact a ON a.entity = r.entity AND a.day = r.next_start
@@ -142,7 +153,7 @@ CTES = {
     "decline": "SELECT p.entity, entity_name, peak_date, peak_volume, "
     + ", ".join(
         f"d{n}.oil AS oil_{n}_days_after_peak, "
-        + rnd(pct(f"(peak_volume - d{n}.oil)", "peak_volume"), 1) + f" AS pct_decline_{n}_days"
+        + rratio(f"(peak_volume - d{n}.oil)", "peak_volume", 1, 100) + f" AS pct_decline_{n}_days"
         for n in (30, 90, 365)
     )
     + " FROM peaks p JOIN dim d ON d.entity = p.entity "

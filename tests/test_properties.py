@@ -315,3 +315,26 @@ def test_ranks(spark):
 def test_ranks_without_values(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id bigint, v double")
     assert {(r.id, r.r) for r in global_ranks(df, [], "v", "r").collect()} == {(1, 1), (2, 1)}
+
+
+def test_ratios_are_rounded_once(spark):
+    """Against exact fractions, at and next to halves."""
+    from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from prodseries.functions.expr import rounded_ratio
+
+    pairs = [("49999.96", "100000000"), ("5", "100"), ("-5", "100"), ("15", "100"), ("25", "100"), ("1", "3"), ("2", "-3"), ("0", "7"),
+             ("1", "0"), ("0.000001", "2"), ("333333.333333", "0.7"), ("50000", "100000000"), ("149999.999999", "100000000"), ("1250000", "100000000")]
+    df = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in pairs], "a decimal(28,6), b decimal(28,6)")
+    for dp, times in ((1, 100), (2, 100), (3, 1)):
+        for even, mode in ((False, ROUND_HALF_UP), (True, ROUND_HALF_EVEN)):
+            got = [r[0] for r in df.select(rounded_ratio("a", "b", dp, times, even)).collect()]
+            for (a, b), value in zip(pairs, got):
+                if Decimal(b) == 0:
+                    assert value is None
+                    continue
+                exact = Fraction(a) * times / Fraction(b) * 10**dp
+                low, rest = divmod(abs(exact), 1)
+                up = rest > Fraction(1, 2) or rest == Fraction(1, 2) and (mode is ROUND_HALF_UP or low % 2 == 1)
+                assert value == Decimal(int(low) + up).scaleb(-dp) * (-1 if exact < 0 else 1), (a, b, dp, times, even)
