@@ -323,7 +323,7 @@ def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame) -> Dat
         F.col("want").cast("string").alias("expected"),
         F.col("actual").cast("string").alias("actual"),
         status.alias("status"),
-    )
+    ).orderBy("sort_order")
 
 
 def run_checks(

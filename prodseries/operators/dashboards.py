@@ -30,7 +30,7 @@ def wells(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """Entities with their dominant state and its label."""
     return with_names(_dominant(fact), dim).select(
         "entity", "entity_name", "state", label("state", STATE_LABELS).alias("state_label")
-    )
+    ).orderBy("entity_name", "entity")
 
 
 def field_kpis(fact: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def well_summary(fact: DataFrame, dim: DataFrame) -> DataFrame:
         F.date_from_unix_date(-F.col("p.neg")).alias("peak_date"), F.col("p.v").alias("peak_oil"),
         rounded_ratio("h", F.col("d") * 24, 1, 100).alias("availability_pct"),
         pct("total_oil", field).alias("oil_pct_of_field"),
-    )
+    ).orderBy(F.desc_nulls_last("total_oil"), "entity_name")
 
 
 def never_producers(summary: DataFrame) -> DataFrame:
@@ -190,14 +190,14 @@ def monthly_production(fact: DataFrame, dim: DataFrame, entities=None) -> DataFr
     return views.monthly(only(fact, entities), dim).select(
         "entity_name", F.make_date("year", "month", F.lit(1)).alias("month_start"),
         "oil_volume", "gas_volume", "water_volume", "water_injection_volume",
-    )
+    ).orderBy("entity_name", "month_start")
 
 
 def water_trends(fact: DataFrame, dim: DataFrame, entities=None) -> DataFrame:
     return views.monthly(only(fact, entities), dim).select(
         "entity_name", F.make_date("year", "month", F.lit(1)).alias("month_start"), "water_volume", "oil_volume",
         rounded_ratio("water_volume", "oil_volume", 3).alias("water_oil_ratio"),
-    )
+    ).orderBy("entity_name", "month_start")
 
 
 def latest_ratio(trends: DataFrame) -> DataFrame:

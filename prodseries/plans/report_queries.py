@@ -14,6 +14,11 @@ from prodseries.spec import DRIVER
 FLUIDS = ["oil", "gas", "water", "injection"]
 COLUMNS = [*FLUIDS, "downhole", "wellhead"]
 FLOORS = {"downhole": 10, "wellhead": 5}
+# Daily and monthly rows of the prior run (sf0.01), the columns of the raw daily rows, and the entities of a chosen report.
+PRIOR = (53307, 8255)
+REQUIRED = ("dateprd", "entity", "entity_name", "well_bore_code", "on_stream_hrs", "bore_oil_vol", "bore_gas_vol", "bore_wat_vol",
+            "bore_wi_vol", "flow_kind", "well_type")
+CHOSEN = (3, 7, 12, -5)
 
 
 def R_(s, d):
@@ -21,7 +26,7 @@ def R_(s, d):
 
 
 def _assessment(s, d):
-    return vd.run_assessment(raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, 53307, 8015)
+    return vd.run_assessment(raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, *PRIOR, REQUIRED)
 
 
 def orders(s, d):
@@ -35,6 +40,13 @@ QUERIES = {
     "port_orders_decline": lambda s, d: db.decline(*orders(s, d), checkpoints=(30,)),
     "port_event_transitions": lambda s, d: cat.transition_tally(event_days(s, d), "event_type"),
     "port_event_spans": lambda s, d: cat.spans(event_days(s, d), "event_type"),
+    # the choice of entities is the feature of these: a list (with an unknown code) and an empty one
+    "dash_well_monthly": lambda s, d: db.well_monthly(F_(s, d), D_(s, d), CHOSEN),
+    "dash_well_lifetime": lambda s, d: db.well_lifetime(F_(s, d), D_(s, d), CHOSEN),
+    "dash_well_episodes": lambda s, d: db.well_episodes(F_(s, d), D_(s, d), CHOSEN),
+    "dash_profiles_chosen": lambda s, d: db.profiles(F_(s, d), D_(s, d), CHOSEN),
+    "dash_decline_chosen": lambda s, d: db.decline(F_(s, d), D_(s, d), CHOSEN),
+    "dash_snapshot_none": lambda s, d: db.snapshot(F_(s, d), []),
     "dash_wells": lambda s, d: db.wells(F_(s, d), D_(s, d)),
     "dash_field_kpis": lambda s, d: db.field_kpis(F_(s, d)),
     "dash_availability_month": lambda s, d: db.availability_by_month(F_(s, d)),
@@ -202,7 +214,8 @@ AC = {
     "AC-20": "SELECT COUNT(*) FROM fact WHERE wellhead < 0",
     "AC-21": "SELECT COUNT(*) FROM fact WHERE wellhead > 100",
     "AC-22": f"SELECT ({COUNTS['QC-014']}) + ({COUNTS['QC-015']}) + ({COUNTS['QC-016']})",
-    "AC-23": "SELECT (SELECT COUNT(*) FROM fact) + (SELECT COUNT(*) FROM monthly_core)",
+    "AC-23": f"""SELECT (SELECT CASE WHEN abs(COUNT(*) - {PRIOR[0]}) > {int(0.02 * PRIOR[0])} THEN 1 ELSE 0 END FROM fact)
+        + (SELECT CASE WHEN abs(COUNT(*) - {PRIOR[1]}) > {int(0.02 * PRIOR[1])} THEN 1 ELSE 0 END FROM monthly_core)""",
     "AC-24": f"SELECT COUNT(*) FROM fact WHERE {OUT_WINDOW}",
 }
 ASSESS = {
@@ -211,7 +224,7 @@ ASSESS = {
         f"SELECT CAST({i} AS INTEGER) AS sort_order, '{c.check_id}' AS check_id, '{c.category}' AS category, '{c.check_name}' AS check_name, "
         f"'{c.expected}' AS expected, CAST(n AS VARCHAR) AS actual, CASE WHEN n = {c.expected} THEN 'PASS' ELSE '{'FAIL' if c.hard else 'REVIEW'}' END AS status "
         f"FROM (SELECT ({AC[c.check_id]}) AS n)"
-        for i, c in enumerate(vd.assessment_checks(53307, 8015), 1)
+        for i, c in enumerate(vd.assessment_checks(), 1)
     ),
 }
 DEC_LONG = alls(
@@ -250,6 +263,14 @@ ORACLES = {
         "SELECT previous || '->' || current AS transition, COUNT(*) AS row_count FROM emove WHERE previous IS NOT NULL GROUP BY 1", EVT),
     "port_event_spans": query(
         "SELECT entity, event_type AS value, COUNT(*) AS row_count, MIN(day) AS first_date, MAX(day) AS last_date FROM eday GROUP BY 1, 2", EVT),
+    "dash_well_monthly": query(f"SELECT * FROM monthly WHERE entity IN {CHOSEN}"),
+    "dash_well_lifetime": query(f"SELECT * FROM lifetime WHERE entity IN {CHOSEN}"),
+    "dash_well_episodes": query(f"SELECT * FROM episodes WHERE entity IN {CHOSEN}"),
+    "dash_profiles_chosen": query(f"SELECT * FROM prof WHERE entity IN {CHOSEN}", PROF),
+    "dash_decline_chosen": query(f"SELECT * FROM decline WHERE entity IN {CHOSEN}"),
+    "dash_snapshot_none": query(
+        """SELECT entity, day AS latest_record_date, oil AS latest_oil_rate, hours > 0 AS latest_is_active, day AS first_oil_date
+        FROM fact WHERE false"""),
     "dash_wells": query("SELECT * FROM wells", DOM),
     "dash_field_kpis": query(
         f"""SELECT {tot('oil')} AS total_oil, {tot('gas')} AS total_gas, {tot('water')} AS total_water, {tot('injection')} AS total_water_injection,

@@ -50,8 +50,7 @@ POS_ANY = f"({POS} OR coalesce(injection > 0, false))"
 
 MADE = "l_returnflag = 'A' AND l_suppkey % 10 <> 9"
 
-CTES = {
-    "summed": f"""
+SUMMED = lambda lines: f"""
         SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS day,
             CAST(SUM(CASE WHEN l_linestatus = 'F' THEN l_quantity
                           WHEN l_linestatus = 'O' AND l_returnflag = 'R' THEN 0 END) AS DECIMAL(18,6)) AS hours,
@@ -63,7 +62,10 @@ CTES = {
             CAST(SUM(CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_tax = 0.08 THEN 0 ELSE l_quantity END END) AS DECIMAL(18,6)) AS injection,
             CAST(SUM(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS DECIMAL(18,6)) AS downhole,
             CAST(SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS DECIMAL(18,6)) AS wellhead
-        FROM lineitem GROUP BY 1, 2""",
+        FROM {lines} GROUP BY 1, 2"""
+
+CTES = {
+    "summed": SUMMED("lineitem"),
     "fact": """
         SELECT entity, day,
             CASE WHEN injection IS NOT NULL AND (oil IS NULL OR injection > oil) THEN 'WI' ELSE 'OP' END AS state,
@@ -80,12 +82,22 @@ CTES = {
             CAST(SUM(gas) AS DECIMAL(28,6)) AS gas, CAST(SUM(water) AS DECIMAL(28,6)) AS water,
             CAST(SUM(injection) AS DECIMAL(28,6)) AS injection, COUNT(*) AS daily_rows
         FROM fact GROUP BY 1, 2, 3""",
+    "booked_lines": """
+        SELECT * FROM lineitem WHERE l_orderkey NOT IN (
+            SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')""",
+    "booked": SUMMED("booked_lines"),
+    "booked_sum": """
+        SELECT entity, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month,
+            CAST(SUM(hours) AS DECIMAL(28,6)) AS hours, CAST(SUM(oil) AS DECIMAL(28,6)) AS oil,
+            CAST(SUM(gas) AS DECIMAL(28,6)) AS gas, CAST(SUM(water) AS DECIMAL(28,6)) AS water,
+            CAST(SUM(injection) AS DECIMAL(28,6)) AS injection
+        FROM booked GROUP BY 1, 2, 3""",
     "raw_monthly": """
         SELECT s_name AS entity_name, entity, year, month, CAST(hours AS VARCHAR) AS on_stream,
-            CAST(CASE WHEN entity % 41 = 3 THEN oil + 1 ELSE oil END AS VARCHAR) AS oil,
+            CAST(oil AS VARCHAR) AS oil,
             CAST(gas AS VARCHAR) AS gas, CAST(water AS VARCHAR) AS water, CAST(NULL AS VARCHAR) AS gi,
             CAST(injection AS VARCHAR) AS wi
-        FROM monthly_sum LEFT JOIN supplier ON s_suppkey = entity WHERE entity % 37 <> 5
+        FROM booked_sum LEFT JOIN supplier ON s_suppkey = entity
         UNION ALL SELECT 'Unlisted', -1, 2000, 1, '24.0', '10.0', '20.0', '1.0', NULL, NULL
         UNION ALL SELECT NULL, NULL, NULL, NULL, 'hrs', 'Sm3', 'Sm3', 'Sm3', 'Sm3', 'Sm3'""",
     "monthly_core": """

@@ -11,15 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines summed to one row per (supplier, ship date).
+def booked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as far as the monthly books have them: urgent orders that are still pending follow later."""
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.join(pending.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")
+
+
+def daily_fact(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Order lines (all, unless told otherwise) summed to one row per (supplier, ship date).
 
     Partial sums run before the shuffle, and the shuffle key is (entity, day), so
     a supplier holding a third of all lines is spread over its days. After this
     step an entity has at most one row per calendar day, which bounds every
     per-entity window downstream by the length of the calendar.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem") if lines is None else lines
     qty, flag, status = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linestatus")
     # prices are whole cents: summed as integers, so the sum is exact in any order
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
@@ -69,17 +76,15 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly extract with text measures, made to disagree with the daily rows in known ways.
+    """Monthly extract with text measures, from the books: lines joined with their orders.
 
-    Months of some entities are left out, one entity exists here only, some oil
-    values are off by one, and one stray row carries unit words and no keys.
+    It lags behind the daily rows by what is not booked yet, so months are missing or smaller; one entity exists
+    here only, and one stray row carries unit words and no keys.
     """
     summed = (
-        daily_fact(spark, sf_dir)
+        daily_fact(spark, sf_dir, booked_lines(spark, sf_dir))
         .groupBy("entity", F.year("day").alias("year"), F.month("day").alias("month"))
         .agg(*[F.sum(c).cast(TOTAL).alias(c) for c in ("hours", "oil", "gas", "water", "injection")])
-        .where(F.col("entity") % 37 != 5)
-        .withColumn("oil", F.when(F.col("entity") % 41 == 3, F.col("oil") + 1).otherwise(F.col("oil")).cast(TOTAL))
     )
     named = summed.join(
         table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), "s_name"), "entity", "left"

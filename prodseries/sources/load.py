@@ -13,7 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from prodseries.functions.expr import any_of, holds
-from prodseries.operators import constraints as con
 from prodseries.operators.checks import keyed_counts, long_counts
 from prodseries.sources.extracts import LoadError, exact_number, narrowed, read_daily, read_monthly
 from prodseries.spec import EXACT, MEASURE, MODES, STATES, SeriesSpec, exactly
@@ -158,16 +157,19 @@ def validate_load(
     n = F.count("*")
     sums = lambda p: {f"{p}{i}": F.sum(v) for i, v in enumerate(volumes)}
     d, m = core["daily_production"], core["monthly_reference"]
+    parent = core["wellbore"].select(F.col("npd_well_bore_code").alias("entity"))
+    keys = d.withColumnRenamed("npd_well_bore_code", "entity")
+    keyed = keyed_counts(keys, ["entity", "production_date"], {}, parent, "core_daily", "duplicates", "orphans")
     parts = [
         numbers(source["daily"], source_daily=n),
         numbers(source["monthly"], source_monthly=n),
         numbers(raw["daily"], raw_daily=n, **sums("r")),
         numbers(raw["monthly"], raw_monthly=n, excluded=F.count(F.when(_unkeyed() | _unreadable(), 1))),
-        numbers(d, core_daily=n, **sums("c")),
+        numbers(d, **sums("c")),
         numbers(core["wellbore"], wellbores=n),
         numbers(m, core_monthly=n),
-        numbers(con.unique(d, ["npd_well_bore_code", "production_date"]), duplicates=n),
-        numbers(con.foreign_key(d, core["wellbore"], "npd_well_bore_code"), orphans=n),
+        # rows, keys and entities in one chain: however many rows an entity has, one row meets the parent
+        numbers(keyed, **{k: F.max(k) for k in keyed.columns}),
     ]
     long = parts[0]
     for p in parts[1:]:
