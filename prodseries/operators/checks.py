@@ -277,7 +277,7 @@ def keyed_counts(df: DataFrame, keys, flags: dict[str, Column], parent: DataFram
     )
     lost = F.lit(0)
     if parent is not None:
-        known = parent.select(F.col("entity").alias("_parent"))
+        known = parent.select(F.col("entity").alias("_parent")).distinct()  # a repeated parent is no second row
         per_entity = per_entity.join(known, F.col("entity") == F.col("_parent"), "left")
         lost = F.when(F.col("_parent").isNull() & F.col("entity").isNotNull(), F.col("n")).otherwise(0)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

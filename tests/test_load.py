@@ -224,3 +224,31 @@ def test_files_with_another_header_order_are_refused(spark, tmp_path):
         (tmp_path / name).write_text(text)
     with pytest.raises(PySparkException):
         open_extract(spark, str(tmp_path)).collect()
+
+
+def _frames(spark, **change):
+    """A source, raw and core that agree, with some frames changed."""
+    day = "date'2020-01-01' AS production_date"
+    daily = spark.sql(f"SELECT 1 AS npd_well_bore_code, {day}, 5.0 AS bore_oil_vol, 1.0 AS bore_gas_vol, 1.0 AS bore_wat_vol, 1.0 AS bore_wi_vol")
+    monthly = spark.sql("SELECT 1 AS npdcode, 2020 AS year, 1 AS month, '1' AS on_stream, '1' AS oil, '1' AS gas, '1' AS water, '1' AS gi, '1' AS wi")
+    all_ = {"source_daily": daily, "source_monthly": monthly, "raw_daily": daily, "raw_monthly": monthly, "daily_production": daily,
+            "monthly_reference": monthly, "wellbore": spark.sql("SELECT 1 AS npd_well_bore_code")} | change
+    pick = lambda *names: {n.removeprefix("source_").removeprefix("raw_"): all_[n] for n in names}
+    return pick("source_daily", "source_monthly"), pick("raw_daily", "raw_monthly"), {k: all_[k] for k in ("wellbore", "daily_production", "monthly_reference")}
+
+
+@pytest.mark.parametrize("change,failed", [
+    ({}, []), ({"source_daily": "twice"}, [1, 2]), ({"daily_production": "none"}, [2, 8]), ({"wellbore": "twice"}, [3]),
+    ({"daily_production": "twice"}, [2, 4, 8]), ({"wellbore": "other"}, [5]), ({"source_monthly": "none"}, [6]), ({"monthly_reference": "none"}, [7]),
+    ({"daily_production": "more oil"}, [8]),
+])
+def test_each_load_check_can_fail(spark, change, failed):
+    base = _frames(spark)
+    flat = {"source_daily": base[0]["daily"], "source_monthly": base[0]["monthly"], **base[2]}
+    how = {
+        "twice": lambda df: df.unionByName(df), "none": lambda df: df.limit(0), "other": lambda df: df.selectExpr("2 AS npd_well_bore_code"),
+        "more oil": lambda df: df.withColumn("bore_oil_vol", F.lit(6.0).cast("decimal(2,1)")),
+    }
+    changed = {k: how[v](flat[k]) for k, v in change.items()}
+    rows = ld.validate_load(*_frames(spark, **changed), ld.Snapshot(wellbores=1)).collect()
+    assert [r.check_order for r in rows if not r.passed] == failed
