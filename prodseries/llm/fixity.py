@@ -57,7 +57,7 @@ def tree(replica: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(file, level, node, digest) of a replica; the root has level `levels` and node 0."""
     text = F.concat_ws(":", F.col("offset"), F.col("length"), F.coalesce(F.col("record_id").cast("string"), F.lit("")), F.col("digest"))
     leaf = _placed(replica).select("file", _node(0).alias("node"), F.struct("offset", text.alias("text")).alias("child"))
-    level = _hashed(leaf, 0)
+    level = stored(_hashed(leaf, 0), "leaves")  # the levels above are made from this small table
     all_levels = level
     for k in range(1, levels + 1):
         up = F.floor(F.col("node") / FANOUT).cast("long") if k < levels else F.lit(0).cast("long")

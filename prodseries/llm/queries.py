@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prodseries.llm import bpe, decontaminate, fixity, language_id, licenses, near_dup, pii, token_rollups, unit_dedup, vector_search
+from prodseries.llm.storage import stored
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as an archive, audited against a replica that has suffered."""
-    archive = fixity.records(read(spark, sf_dir, "pages"))
+    archive = stored(fixity.records(read(spark, sf_dir, "pages")), "archive")  # an index of the records, without their payload
     return fixity.audit(archive, fixity.worn(archive))
 
 
