@@ -39,7 +39,7 @@ def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.removed(read(spark, sf_dir, "documents"))
+    return unit_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 A unit is a line, or a sentence of it, so that a passage put into the middle of a line is met too; `ends` takes another
 pattern, such as a blank line for paragraphs. Units are equal if their words are, without regard to case, blanks and
-punctuation. Short units, which are equal by chance, are left alone. Occurrences are ranked by doc_id and offset; all
-but the first of a digest are removed, and reported with their offsets in the original text.
+punctuation. Occurrences are ranked by doc_id and offset; all but the first of a digest are removed, and reported with
+their offsets in the original text.
+
+repeats() takes every line that is not blank as a whole, whatever its length (a line without words is compared by its
+characters), and besides the sentences of a line from LEAST_CHARS characters on; sentence ends without blanks, as in
+Chinese, count too. A removed line and the removed sentences in it are each reported, so spans may nest. removed() with
+its defaults takes each piece once, and leaves those of fewer than `least` words alone.
 
 Digests are counted before the shuffle, so a line in a third of all documents is a few rows by then. The occurrences
 are joined only with digests that occur twice or more; both sides are plain inputs of the join, so that Spark splits
@@ -27,28 +32,68 @@ from prodseries.llm.storage import stored
 
 #: Where units end, and the fewest words of a unit that is compared.
 ENDS, LEAST_WORDS = r"\n+|(?<=[.!?])[ \t\r]+", 8
-
-
-def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, digest) of each unit; offsets in code points, the end exclusive."""
+#: For whole lines: where they end, where sentences in them end, and the fewest characters of such a sentence: no eight
+#: words take less.
+LINES, SENTENCES, LEAST_CHARS = r"\n+", r"(?<=[.!?])[ \t\r]+|(?<=[\u3002\uFF01\uFF1F\uFF61\u0964\u0965\u061F\u06D4])[ \t\r]*", 15
+
+
+def pieces(text: str, ends: re.Pattern, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """The (start, end) between the matches of ends in text[start:stop]."""
+    stop = len(text) if stop is None else stop
+    for m in ends.finditer(text, start, stop):
+        yield start, m.start()
+        start = m.end()
+    yield start, stop
+
+
+def key(text: str) -> tuple[int, bytes]:
+    """How many words a unit has, and what is hashed of it."""
+    words = text.lower().encode().translate(TO_WORDS).split()
+    return len(words), b" ".join(words)
+
+
+def _lines(text: str, lines: re.Pattern, sentences: re.Pattern) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, n_words, key) of each line, and of the sentences of those that have several."""
+    for start, stop in pieces(text, lines):
+        if not text[start:stop].strip():
+            continue
+        n, whole = key(text[start:stop])
+        yield start, stop, n, whole or b"\0" + text[start:stop].strip().encode()
+        for at, end in pieces(text, sentences, start, stop):
+            if LEAST_CHARS <= end - at and text[at:end].strip() != text[start:stop].strip():
+                n, part = key(text[at:end])
+                if n:
+                    yield at, end, n, part
+
+
+def _pieces(text: str, cut: re.Pattern, least: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, n_words, key) of each piece with enough words."""
+    for start, stop in pieces(text, cut):
+        if stop - start >= 2 * least - 1:
+            n, part = key(text[start:stop])
+            if n >= least:
+                yield start, stop, n, part
+
+
+def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
+    """(doc_id, start, end, n_words, digest) of each unit; offsets in code points, the end exclusive.
+
+    With whole_lines, the lines and their sentences as in repeats(), without regard to ends and least.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        cut, names = re.compile(ends), ["doc_id", "start", "end", "n_words", "digest"]
+        cut, lines, sentences = re.compile(ends), re.compile(LINES), re.compile(SENTENCES)
+        names = ["doc_id", "start", "end", "n_words", "digest"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                start = 0
-                for stop, after in [*((m.start(), m.end()) for m in cut.finditer(text)), (len(text), 0)]:
-                    if stop - start >= 2 * least - 1:
-                        words = text[start:stop].lower().encode().translate(TO_WORDS).split()
-                        if len(words) >= least:
-                            rows.append((i, start, stop, len(words), xxh3_128_digest(b" ".join(words))))
-                    start = after
+                found = _lines(text, lines, sentences) if whole_lines else _pieces(text, cut, least)
+                rows += [(i, start, stop, n, xxh3_128_digest(part)) for start, stop, n, part in found]
                 if len(rows) >= 50_000 or (rows and i + 1 == len(batch)):
                     at, *columns = (pa.array(c, t) for c, t in zip(zip(*rows), types))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], names=names)
@@ -60,7 +105,15 @@ def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> DataFr
 
 def removed(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> DataFrame:
     """The occurrences to remove: doc_id, start, end, n_words, kept_doc_id, kept_start, kept_copies."""
-    found = units(docs, ends, least)
+    return _later(units(docs, ends, least))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """The same over all lines, whatever their length, and the sentences in them."""
+    return _later(units(docs, whole_lines=True))
+
+
+def _later(found: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     first = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     first = stored(first, "repeated")

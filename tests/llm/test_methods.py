@@ -215,6 +215,27 @@ def test_units_against_brute_force(docs, texts):
     assert rows(unit_dedup.removed(docs), "doc_id", "start", "end", "kept_doc_id", "kept_start") == by_key(want)
 
 
+def test_short_lines_and_texts_without_blanks_repeat(spark):
+    chinese, thai = "这是一个没有空格的句子用来测试重复。", "ประโยคนี้ไม่มีช่องว่างและซ้ำกัน"
+    docs = [(1, f"Menu\n-----\n{chinese}{chinese[::-1][1:]}。\n{thai}"), (2, f"MENU\n\n{thai}\nother"), (3, f"menu!\n----- \n前面。{chinese}后面的文字")]
+    got = rows(unit_dedup.repeats(spark.createDataFrame(docs, SCHEMA)), "doc_id", "start", "end", "kept_doc_id", "kept_start", "n_copies")
+    n = len(chinese)
+    assert got == [(2, 0, 4, 1, 0, 3), (2, 6, 6 + len(thai), 1, 12 + 2 * n, 2), (3, 0, 5, 1, 0, 3), (3, 6, 12, 1, 5, 2), (3, 16, 16 + n, 1, 11, 2)]
+
+
+def test_every_line_in_two_documents_is_found(spark, docs, texts):
+    first, want = {}, set()
+    for doc, text in sorted(texts):
+        at = 0
+        for line in text.split("\n"):
+            if key := tuple(words(line.lower())):
+                want |= {(doc, at, at + len(line))} if key in first else set()
+                first.setdefault(key, (doc, at))
+            at += len(line) + 1
+    got = {tuple(r) for r in unit_dedup.repeats(docs).select("doc_id", "start", "end").collect()}
+    assert len(want) > 100 and want <= got
+
+
 def test_search_recall_and_scores(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     table = {r.vec_id: np.array(r.embedding, dtype=float) for r in e.collect()}
