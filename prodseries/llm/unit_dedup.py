@@ -7,8 +7,13 @@ their offsets in the original text.
 
 repeats() takes every line that is not blank as a whole, whatever its length (a line without words is compared by its
 characters), and besides the sentences of a line from LEAST_CHARS characters on; sentence ends without blanks, as in
-Chinese, count too. A removed line and the removed sentences in it are each reported, so spans may nest. removed() with
-its defaults takes each piece once, and leaves those of fewer than `least` words alone.
+Chinese, count too. For passages that coincide with neither, it also takes windows of PASSAGE words over the whole text,
+across sentences and lines: of every SPREAD windows in a row the one with the smallest hash, so that two copies choose
+alike. A run of PASSAGE + SPREAD - 1 equal words thus has a window in common, and loses all but at most SPREAD - 1 words
+at each end. In scripts without blanks a character counts as a word, and a window has twice as many. A window that
+overlaps the first occurrence of its own digest is left, as that would cut into what is kept. Units are each reported,
+so spans may nest and overlap. removed() with its defaults takes each piece once, without windows, and leaves those of
+fewer than `least` words alone.
 
 Digests are counted before the shuffle, so a line in a third of all documents is a few rows by then. The occurrences
 are joined only with digests that occur twice or more; both sides are plain inputs of the join, so that Spark splits
@@ -22,7 +27,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +43,12 @@ ENDS, LEAST_WORDS = r"\n+|(?<=[.!?])[ \t\r]+", 8
 #: words take less.
 LINES, SENTENCES, LEAST_CHARS = r"\n+", r"(?<=[.!?])[ \t\r]+|(?<=[\u3002\uFF01\uFF1F\uFF61\u0964\u0965\u061F\u06D4])[ \t\r]*", 15
 
+#: Words of a window, and how many windows in a row one is chosen from.
+PASSAGE, SPREAD = 16, 12
+#: Scripts without blanks between words: Thai to Myanmar, Khmer, kana to Han, Han beyond the first plane.
+NO_BLANKS = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\U00020000-\U0003FFFF]")
+WORD_BYTES = np.frombuffer(TO_WORDS, dtype=np.uint8) != 0x20
+
 
 def pieces(text: str, ends: re.Pattern, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
     """The (start, end) between the matches of ends in text[start:stop]."""
@@ -66,6 +79,46 @@ def _lines(text: str, lines: re.Pattern, sentences: re.Pattern) -> Iterator[tupl
                     yield at, end, n, part
 
 
+def _places(text: str, apart: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a text and where they start and end; with apart, each character of NO_BLANKS is a word."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    inside = np.concatenate([[False], WORD_BYTES[np.minimum(points, 128)], [False]])
+    begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    if not apart:
+        return text.lower().encode().translate(TO_WORDS).split(), np.flatnonzero(begins), np.flatnonzero(ends)
+    for m in NO_BLANKS.finditer(text):
+        begins[m.start()] = ends[m.end()] = True
+        begins[m.end()] |= inside[m.end() + 1]
+        ends[m.start()] |= inside[m.start()]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends)
+    return [text[a:b].lower().encode().translate(TO_WORDS) for a, b in zip(starts.tolist(), stops.tolist())], starts, stops
+
+
+def passages(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, n_words, key) of the chosen windows; their keys are never those of a line or sentence."""
+    from xxhash import xxh3_64_intdigest
+
+    for apart, size in ((False, PASSAGE), (True, 2 * PASSAGE)):
+        if apart and not NO_BLANKS.search(text):
+            return
+        words, starts, ends = _places(text, apart)
+        if len(words) < size:
+            continue
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+        windows = np.zeros(len(words) - size + 1, dtype=np.uint64)
+        for k in range(size):  # arithmetic of uint64 wraps
+            windows = windows * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(windows)]
+        windows = (windows ^ (windows >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        windows ^= windows >> np.uint64(32)
+        rows = np.lib.stride_tricks.sliding_window_view(windows, min(SPREAD, len(windows)))
+        at = np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
+        # in a run of one word all windows are equal: each SPREAD-th is enough
+        at = at[np.concatenate([[True], (windows[at[1:]] != windows[at[:-1]]) | (at[1:] % SPREAD == 0)])]
+        lead = b"\1" if apart else b"\2"
+        for i in at.tolist():
+            yield int(starts[i]), int(ends[i + size - 1]), size, lead + b" ".join(words[i : i + size])
+
+
 def _pieces(text: str, cut: re.Pattern, least: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, n_words, key) of each piece with enough words."""
     for start, stop in pieces(text, cut):
@@ -78,7 +131,7 @@ def _pieces(text: str, cut: re.Pattern, least: int) -> Iterator[tuple[int, int,
 def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, digest) of each unit; offsets in code points, the end exclusive.
 
-    With whole_lines, the lines and their sentences as in repeats(), without regard to ends and least.
+    With whole_lines, the lines, sentences and windows of repeats(), without regard to ends and least.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -92,7 +145,7 @@ def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lin
             rows = []
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                found = _lines(text, lines, sentences) if whole_lines else _pieces(text, cut, least)
+                found = chain(_lines(text, lines, sentences), passages(text)) if whole_lines else _pieces(text, cut, least)
                 rows += [(i, start, stop, n, xxh3_128_digest(part)) for start, stop, n, part in found]
                 if len(rows) >= 50_000 or (rows and i + 1 == len(batch)):
                     at, *columns = (pa.array(c, t) for c, t in zip(zip(*rows), types))
@@ -109,15 +162,17 @@ def removed(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> Data
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """The same over all lines, whatever their length, and the sentences in them."""
+    """The same over all lines, whatever their length, the sentences in them, and windows for other passages."""
     return _later(units(docs, whole_lines=True))
 
 
 def _later(found: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    kept = F.min(F.struct(*(rank[c].alias(c) for c in ("last", "doc_id", "start")), "end"))
+    first = found.groupBy("digest").agg(kept.alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     first = stored(first, "repeated")
-    joined = found.join(first.hint("merge"), "digest").where(rank != F.col("kept")).distinct()
+    into = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") < F.col("kept.end"))  # itself, or over it
+    joined = found.join(first.hint("merge"), "digest").where(~into).distinct()
     return joined.select(
         "doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
         F.col("kept.start").alias("kept_start"), F.col("copies").alias("n_copies"),

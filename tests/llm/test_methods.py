@@ -236,6 +236,27 @@ def test_every_line_in_two_documents_is_found(spark, docs, texts):
     assert len(want) > 100 and want <= got
 
 
+def test_passages_inside_sentences_are_found(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared, han = some(80), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(160))
+    docs = [(1, f"{some(20)} {shared} {some(9)}"), (2, f"é{some(7)}, {shared.upper().replace(' ', '.###', 9)} {some(30)}")]
+    docs += [(3, f"{han}{some(3)}"), (4, f"ab{han[:150]}cd"), (5, "na " * 100)]
+    got = unit_dedup.repeats(spark.createDataFrame(docs, SCHEMA)).collect()
+    cover = {d: set() for d in range(1, 6)}
+    for r in got:
+        cover[r.doc_id] |= {*range(r.start, r.end)}
+        assert r.kept_doc_id == {2: 1, 4: 3, 5: 5}[r.doc_id]
+    text = docs[1][1]
+    at = text.index(shared[:6].upper())
+    lost = unit_dedup.SPREAD - 1
+    assert len(cover[2]) >= (80 - 2 * lost) * 7 and min(cover[2]) >= at
+    assert text[min(cover[2]) : max(cover[2]) + 1].lower().replace(".###", " ") in shared
+    assert len(cover[4]) >= 150 - 2 * lost and cover[4] <= {*range(2, 152)}
+    assert len(cover[5]) and min(cover[5]) >= 3 * unit_dedup.PASSAGE - 1  # the first occurrence stays whole
+
+
 def test_search_recall_and_scores(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     table = {r.vec_id: np.array(r.embedding, dtype=float) for r in e.collect()}
