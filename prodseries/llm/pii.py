@@ -2,7 +2,11 @@
 
 A pattern's matches are marked in the text, which is then split at the marks: so every match is known with its position
 and with the text around it after one pass, without copying the text for each match. All patterns take linear time on
-any text: a repeated class never gives back what it took, and no match starts inside a run that was tried before.
+any text: a repeated class never gives back what it took (or, for IBANs, at most the 34 characters of one), and no match
+starts inside a run that was tried before.
+
+IBANs end where the length of their country says. Where that gives no match, or for other country codes, the longest
+run of groups that ends at a word boundary counts; for other codes also a shorter one, the longest that passes mod-97.
 
 Offsets count code points, the end is exclusive. Cases: a null text counts as empty; a null doc_id is kept; repeated rows
 give equal results; an empty table gives an empty result; other columns are not looked at.
@@ -15,6 +19,27 @@ from pyspark.sql import functions as F
 
 # A code point that no pattern mentions marks the matches; one of the text's own becomes its neighbour.
 MARK, OTHER = "\U0010FFFF", "\U0010FFFE"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _groups(size: int) -> str:
+    """So many letters and digits, with a blank or none before each fourth."""
+    rest = rf"\x20?[A-Z0-9]{{{size % 4}}}" if size % 4 else ""
+    return rf"(?:\x20?[A-Z0-9]{{4}}){{{size // 4}}}{rest}(?![A-Za-z0-9])"
+
+
+#: A start is looked at first, so that the countries are tried only there.
+IBAN = (
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
+    + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}{_groups(n - 4)}" for n, codes in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+)
 #: kind: (pattern, a text without this has no match, score, words nearby that support it)
 KINDS = {
     "email": (
@@ -35,7 +60,7 @@ KINDS = {
         "+", 0.6, r"\b(phone|tel|call|mobile|fax|telefon|teléfono)",
     ),
     "iban": (
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+        IBAN,
         "", 0.9, r"\b(iban|account|konto|bank|compte|cuenta)",
     ),
 }
@@ -67,11 +92,22 @@ def mod97(account: Column) -> Column:
     compact = F.replace(account, F.lit(" "), F.lit(""))
     turned = F.concat(F.substring(compact, 5, 40), F.substring(compact, 1, 4))
 
-    def step(rest: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(turned, i, F.lit(1)))
-        return F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+    def left_over(turned: Column) -> Column:
+        def step(rest: Column, i: Column) -> Column:
+            code = F.ascii(F.substring(turned, i, F.lit(1)))
+            return F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+
+    return F.get(F.transform(F.array(turned), left_over), F.lit(0)) == 1  # transform(), so that it is turned once
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+def iban_ends(value: Column) -> Column:
+    """The lengths at which a match passes mod-97: all of it, for a code of no known country also ends at a blank; longest first."""
+    whole = F.array(F.length(value))
+    blanks = F.filter(F.sequence(F.length(value) - 1, F.lit(12), F.lit(-1)), lambda i: F.substring(value, i + 1, F.lit(1)) == " ")
+    known = F.left(value, F.lit(2)).isin(" ".join(IBAN_LENGTHS.values()).split())
+    return F.filter(F.when(known, whole).otherwise(F.concat(whole, blanks)), lambda i: mod97(F.left(value, i)))
 
 
 def confirmed(kind: str, value: Column) -> Column:
@@ -83,7 +119,7 @@ def confirmed(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(digits(value)).between(8, 15)
     if kind == "iban":
-        return mod97(value)
+        return F.size(iban_ends(value)) > 0
     return F.lit(True)
 
 
@@ -116,7 +152,8 @@ def _spans(kind: str) -> Column:
         value, start = F.get(parts, i), F.get(at, i)
         around = F.lower(F.concat(F.right(F.get(parts, i - 1), F.lit(BEFORE)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(AFTER))))
         supported = F.when(around.rlike(support), score + SUPPORT).otherwise(score)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), supported.alias("score"))
+        length = F.get(iban_ends(value), F.lit(0)) if kind == "iban" else F.length(value)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + length).alias("end"), supported.alias("score"))
 
     matches = F.filter(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: confirmed(kind, F.get(parts, i)))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")

@@ -134,6 +134,24 @@ def test_context_and_checksums(spark):
     assert got == {1: (1, 0, 1.0), 2: (0, 0, 0.0), 3: (0, 1, 0.8), 4: (0, 0, 0.0)}
 
 
+def test_ibans_end_where_their_country_says(spark):
+    def made(code, rest):
+        return f"{code}{98 - int(''.join(str(int(c, 36)) for c in rest + code + '00')) % 97:02}{rest}"
+
+    some = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "PL61109010140000071219812874", "GB82WEST12345698765432",
+            "NO9386011117947", "SE4550000000058398257466", made("ZZ", "1234567890123456"), made("FR", "20041010050500013M02606"), made("RU", "0" * 29)]
+    apart = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in some]
+    after = ["", " Please pay", " Total", " BIC CODE", " 2024", " A", " ABCD EFGH", ".", ", x"]
+    docs = [(i, f"to {x}{y}", x) for i, (x, y) in enumerate((x, y) for x in some + apart for y in after)]
+    docs += [(1000, f"{apart[0]} {apart[1]}", None), (1001, f"x{some[0]} {some[1]}y {apart[2]}7", None), (1002, "AB12 " * 2_000 + "AB12CDEF" * 9_000, None)]
+    frame = spark.createDataFrame([d[:2] for d in docs], SCHEMA)
+    want = {i: f"iban:3:{3 + len(x)}" for i, _, x in docs if x} | {1000: f"iban:0:{len(apart[0])},iban:{len(apart[0]) + 1}:{len(apart[0]) + len(apart[1]) + 1}"}
+    got = {r.doc_id: r.spans for r in pii.report(frame).collect()}
+    got = {i: ",".join(x for x in v.split(",") if "iban" in x) for i, v in got.items()}
+    assert {i: got[i] for i in want} == want and got[1001] == ""
+    assert pii.redacted(frame).where("doc_id = 1").first().text == "to [IBAN] Please pay"
+
+
 def test_redaction(spark):
     docs = [(1, "a@b.cc und +49 (30) 1234567é", 5), (2, "nothing", 7), (3, None, None)]
     got = rows(pii.redacted(spark.createDataFrame(docs, SCHEMA + ", n_chars int")), "doc_id", "text", "n_chars")
