@@ -20,7 +20,8 @@ are joined only with digests that occur twice or more; both sides are plain inpu
 the partition of a hot digest.
 
 Cases: null and empty texts have no units; a row with a null doc_id ranks after all others; rows with one doc_id and one
-text are one occurrence, and each is reported once; an empty table gives an empty result; other columns are not looked at.
+text are one occurrence, and each is reported once; different texts under one doc_id, or without one, are told apart by
+text_id, a hash of the text, and rank by it; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _pieces(text: str, cut: re.Pattern, least: int) -> Iterator[tuple[int, int,
 
 
 def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
-    """(doc_id, start, end, n_words, digest) of each unit; offsets in code points, the end exclusive.
+    """(doc_id, text_id, start, end, n_words, digest) of each unit; offsets in code points, the end exclusive.
 
     With whole_lines, the lines, sentences and windows of repeats(), without regard to ends and least.
     """
@@ -139,7 +140,7 @@ def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lin
         from xxhash import xxh3_128_digest
 
         cut, lines, sentences = re.compile(ends), re.compile(LINES), re.compile(SENTENCES)
-        names = ["doc_id", "start", "end", "n_words", "digest"]
+        names = ["doc_id", "text_id", "start", "end", "n_words", "digest"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
@@ -149,15 +150,15 @@ def units(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS, whole_lin
                 rows += [(i, start, stop, n, xxh3_128_digest(part)) for start, stop, n, part in found]
                 if len(rows) >= 50_000 or (rows and i + 1 == len(batch)):
                     at, *columns = (pa.array(c, t) for c, t in zip(zip(*rows), types))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *columns], names=names)
                     rows = []
 
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    return texts.mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, n_words bigint, digest binary")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).where("text IS NOT NULL")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_id bigint, start bigint, end bigint, n_words bigint, digest binary")
 
 
 def removed(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> DataFrame:
-    """The occurrences to remove: doc_id, start, end, n_words, kept_doc_id, kept_start, kept_copies."""
+    """The occurrences to remove: doc_id, start, end, n_words, kept_doc_id, kept_start, n_copies, text_id."""
     return _later(units(docs, ends, least))
 
 
@@ -167,22 +168,25 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def _later(found: DataFrame) -> DataFrame:
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    kept = F.min(F.struct(*(rank[c].alias(c) for c in ("last", "doc_id", "start")), "end"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id", "start")
+    kept = F.min(F.struct(*(rank[c].alias(c) for c in ("last", "doc_id", "text_id", "start")), "end"))
     first = found.groupBy("digest").agg(kept.alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     first = stored(first, "repeated")
-    into = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") < F.col("kept.end"))  # itself, or over it
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_id") == F.col("kept.text_id"))
+    into = same & (F.col("start") < F.col("kept.end"))  # itself, or over it
     joined = found.join(first.hint("merge"), "digest").where(~into).distinct()
     return joined.select(
         "doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
-        F.col("kept.start").alias("kept_start"), F.col("copies").alias("n_copies"),
+        F.col("kept.start").alias("kept_start"), F.col("copies").alias("n_copies"), "text_id",
     )
 
 
 def cleaned(docs: DataFrame, ends: str = ENDS, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, removed): each document without its removed units, with their original (start, end)."""
-    spans = removed(docs, ends, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    both = docs.select("doc_id", "text").join(spans, docs["doc_id"].eqNullSafe(spans["doc_id"]), "left").drop(spans["doc_id"])
+    spans = removed(docs, ends, least).groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    same = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (F.col("own") == F.col("text_id"))
+    both = texts.join(spans, same, "left").drop(spans["doc_id"])
     cuts = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     both = both.select("doc_id", "text", cuts.alias("removed"))
 

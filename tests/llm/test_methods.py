@@ -275,6 +275,16 @@ def test_passages_inside_sentences_are_found(spark):
     assert len(cover[5]) and min(cover[5]) >= 3 * unit_dedup.PASSAGE - 1  # the first occurrence stays whole
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    line, ends = "one two three four five six seven eight", ["first", "second", "third", "fourth"]
+    docs = [(i, f"{line}\n{e}") for i, e in zip((1, 1, None, None), ends)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert rows(unit_dedup.removed(df), "doc_id", "start", "end", "n_copies") == [(None, 0, 39, 4)] * 2 + [(1, 0, 39, 4)]
+    got = [r.text for r in unit_dedup.cleaned(df).collect()]
+    assert sorted(t.split("\n")[1] for t in got) == sorted(ends) and sum(t.startswith(line) for t in got) == 1
+    assert sum(t.startswith("\n") for t in got) == 3
+
+
 def test_search_recall_and_scores(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     table = {r.vec_id: np.array(r.embedding, dtype=float) for r in e.collect()}
