@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prodseries.llm import bpe, decontaminate, fixity, language_id, licenses, near_dup, pii, token_rollups, unit_dedup, vector_search
+from prodseries.llm import (
+    bpe, decontaminate, filter_audit, fixity, hard_negatives, language_id, licenses, near_dup, pii, source_mix, token_rollups, unit_dedup, vector_search,
+)
 from prodseries.llm.storage import stored
 
 
@@ -58,14 +60,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_fixity, op2_decontaminate, op3_language_id, op4_token_rollups, op5_vector_search, op6_unit_dedup, op7_near_dup,
-        op8_pii, op9_license_scan, op10_bpe,
+        op8_pii, op9_license_scan, op10_bpe, op11_hard_negatives, op12_source_mix, op13_filter_audit,
     )
 }
 #: The others have no SQL: tests hold them against brute force, the tokenizers library or held-out texts.
 ORACLES: dict[str, str] = {
     "op1_warc_fixity": fixity.SQL, "op2_decontaminate": decontaminate.SQL, "op4_token_rollups": token_rollups.SQL,
+    "op11_hard_negatives": hard_negatives.SQL, "op13_filter_audit": filter_audit.SQL,
 }
