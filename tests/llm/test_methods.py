@@ -213,7 +213,8 @@ def test_units_removed_once(spark):
     df = spark.createDataFrame(docs, SCHEMA)
     got = unit_dedup.removed(df)
     assert rows(got, "doc_id", "start", "end", "kept_doc_id", "kept_start", "n_copies") == [(5, 2, 42, 3, 0, 4), (9, 4, 44, 3, 0, 4), (9, 48, 87, 3, 0, 4)]
-    assert rows(unit_dedup.cleaned(df), "doc_id", "text") == [(3, docs[1][1]), (5, f"x\n\n{short}"), (9, "Zz.  Yy\n")]
+    assert rows(unit_dedup.cleaned(df, unit_dedup.ENDS), "doc_id", "text") == [(3, docs[1][1]), (5, f"x\n\n{short}"), (9, "Zz.  Yy\n")]
+    assert rows(unit_dedup.cleaned(df), "doc_id", "text") == [(3, docs[1][1]), (5, "x\n\n"), (9, "Zz.  Yy\n")]
 
 
 def test_units_against_brute_force(docs, texts):
@@ -241,17 +242,64 @@ def test_short_lines_and_texts_without_blanks_repeat(spark):
     assert got == [(2, 0, 4, 1, 0, 3), (2, 6, 6 + len(thai), 1, 12 + 2 * n, 2), (3, 0, 5, 1, 0, 3), (3, 6, 12, 1, 5, 2), (3, 16, 16 + n, 1, 11, 2)]
 
 
-def test_every_line_in_two_documents_is_found(spark, docs, texts):
-    first, want = {}, set()
-    for doc, text in sorted(texts):
-        at = 0
-        for line in text.split("\n"):
-            if key := tuple(words(line.lower())):
-                want |= {(doc, at, at + len(line))} if key in first else set()
-                first.setdefault(key, (doc, at))
-            at += len(line) + 1
-    got = {tuple(r) for r in unit_dedup.repeats(docs).select("doc_id", "start", "end").collect()}
-    assert len(want) > 100 and want <= got
+def lines_and_sentences(text):
+    """(start, end, unit, key) by plain splitting."""
+    import re
+
+    out, at = [], 0
+    for line in text.split("\n"):
+        pieces, start = [], 0
+        for m in [*re.finditer(r"(?<=[.!?])[ \t\r]+|(?<=[。！？｡।॥؟۔])[ \t\r]*", line), None]:
+            stop = m.start() if m else len(line)
+            if line[start:stop].strip():
+                pieces.append((at + start, at + stop, "sentence"))
+            start = m.end() if m else stop
+        if pieces:
+            out.append((at, at + len(line), "line"))
+        if len(pieces) > 1:
+            out += [p for p in pieces if p[1] - p[0] >= unit_dedup.LEAST_CHARS]
+        at += len(line) + 1
+    marks = str.maketrans({c: " " for c in unit_dedup.MARKS})
+    return [(a, b, u, tuple(words(text[a:b].lower().translate(marks))) or text[a:b].strip()) for a, b, u in out]
+
+
+def repeated(docs):
+    """The lines and sentences of (doc_id, text) that an earlier place has, with that place and the number of places."""
+    from collections import Counter
+
+    first, found, count = {}, [], Counter()
+    for doc, text in sorted(docs, key=lambda r: (r[0] is None, r[0])):
+        for a, b, unit, key in sorted(lines_and_sentences(text), key=lambda x: x[:2]):
+            count[key] += 1
+            first.setdefault(key, (doc, a, b))
+            if first[key][0] != doc or a >= first[key][2]:
+                found.append((doc, a, b, unit, *first[key][:2], key))
+    return [(*r[:-1], count[r[-1]]) for r in found]
+
+
+def test_lines_and_sentences_against_brute_force(docs, texts):
+    want = repeated(texts)
+    got = unit_dedup.repeats(docs).where("unit <> 'window'")
+    assert len(want) > 1000 and {r[3] for r in want} == {"line", "sentence"}
+    assert rows(got, "doc_id", "start", "end", "unit", "kept_doc_id", "kept_start", "n_copies") == by_key(want)
+
+
+def test_odd_lines_and_sentences(spark):
+    rng = random.Random(8)
+    part = ["Ein Satz mit Wörtern.", "  ", "\t", "--", "İstanbul ŞEHRİ ve daha fazlası!", "menu", "これは長い文章の例であり繰り返し。", "ok?", "a.b.c ", "\u2003", "x" * 40, "...", "…"]
+    docs = [(i, "".join(rng.choice([*part, "\n", "\n\n", " ", ". "]) for _ in range(rng.randrange(0, 25)))) for i in range(300)]
+    got = unit_dedup.repeats(spark.createDataFrame(docs, SCHEMA)).where("unit <> 'window'")
+    want = [r for r in repeated(docs)]
+    assert rows(got, "doc_id", "start", "end", "unit", "kept_doc_id", "kept_start", "n_copies") == by_key(want)
+
+
+def test_cleaned_cuts_what_is_reported(docs, texts):
+    spans = {}
+    for r in unit_dedup.repeats(docs).collect():
+        spans.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    got = {r.doc_id: r.text for r in unit_dedup.cleaned(docs).collect()}
+    assert got == {d: "".join(c for i, c in enumerate(t) if i not in spans.get(d, ())) for d, t in texts}
+    assert sum(map(len, got.values())) < 0.9 * sum(len(t) for _, t in texts)
 
 
 def test_passages_inside_sentences_are_found(spark):
@@ -272,6 +320,7 @@ def test_passages_inside_sentences_are_found(spark):
     assert len(cover[2]) >= (80 - 2 * lost) * 7 and min(cover[2]) >= at
     assert text[min(cover[2]) : max(cover[2]) + 1].lower().replace(".###", " ") in shared
     assert len(cover[4]) >= 150 - 2 * lost and cover[4] <= {*range(2, 152)}
+    assert {r.unit for r in got} == {"window"} and sum(r.doc_id == 4 for r in got) == 1  # joined to one span
     assert len(cover[5]) and min(cover[5]) >= 3 * unit_dedup.PASSAGE - 1  # the first occurrence stays whole
 
 
