@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces up to this many characters are remembered, and so many of them per task.
-CACHED_CHARS, CACHED_PIECES = 32, 300_000
+#: Pieces up to this many characters are remembered, and twice so many of them while a task runs.
+CACHED_CHARS, CACHED_PIECES = 32, 150_000
 #: Rows and characters of one Arrow batch that a task sends back.
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 
@@ -131,6 +131,10 @@ class Codec:
                 ids += chain.from_iterable(map(known, self.pieces(part)))
         return ids
 
+    def forget(self) -> None:
+        """Drop the remembered pieces: a Python worker outlives its tasks, and what it holds is missing elsewhere."""
+        self.known = _Pieces(self.merge)
+
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no valid UTF-8 become replacement characters."""
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -156,7 +160,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec_of(text: str) -> Codec:
-    """The tokenizer file's codec; a Python worker keeps the last one, with the pieces it knows, for its next task."""
+    """The tokenizer file's codec; a Python worker keeps the tables of the last one for its next task."""
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
@@ -188,6 +192,7 @@ def _mapped(df: DataFrame, spec, schema: str, row) -> DataFrame:
                     columns = [pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds[1:])]
                     yield pa.RecordBatch.from_arrays([keys.slice(start, len(rows)), *columns], names=list(names))
                     rows, size, start = [], 0, i + 1
+        codec.forget()
 
     return df.mapInArrow(run, schema.replace("KEY", df.schema["doc_id"].dataType.simpleString()))
 

@@ -14,6 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each node hooks onto its smallest neighbour, twice over, and the graph between what is left is built
     anew: at most half of the nodes of a component remain, a star is done in one round. Minima are taken before the
     shuffle, so a node with very many neighbours costs no task more; the joins are plain equi-joins that Spark may split.
+
+    Nodes are of any type that Spark can order. An edge with a null end or two equal ends joins nothing, and a node that has only
+    such edges gets no row; repeated edges and both directions count once; without edges the result is empty.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = stored(pairs, "pairs")
@@ -33,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             old, step = labels, roots.select(F.col("node").alias("component"), "root")
             labels = stored(old.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            dropped(old)
+            dropped(roots)
         dropped(hook)
         dropped(pairs)
         pairs = rest

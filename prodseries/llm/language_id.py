@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of the n-grams, their lengths in bytes, and the most languages one model takes.
 BUCKETS, GRAMS, MOST_LANGUAGES = 1 << 15, (1, 2, 3, 4), 512
-#: Bytes looked at in one go, so that a task's memory is bounded.
-STEP = 1 << 19
+#: Bytes looked at in one go, and rows, so that a task's memory is bounded.
+STEP, ROWS = 1 << 19, 512
 #: Nearest codewords with loss ratios above this are too close to tell apart.
 AMBIGUOUS = 0.98
 #: The most that one n-gram says, so that the language of most of a mixed text wins and not its oddest letters.
@@ -83,6 +83,13 @@ def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield own[use], ((hashed ^ (hashed >> 13)) & np.uint32(BUCKETS - 1))[use]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what is made from them is a multiple of their size."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
 
@@ -127,7 +134,7 @@ def _counts(train: DataFrame, languages: list[str]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             lang = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             for row, bucket in pieces(batch.column(1)):
                 total += np.bincount(lang[row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
@@ -166,7 +173,7 @@ def _trust(train: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         right = np.zeros((len(place), bits + 1), dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             lang = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             np.add.at(right, (lang, bits), 1)
             np.add.at(right[:, :bits], lang, model.answers(batch.column(1)) * model.code[lang] > 0)
@@ -183,15 +190,18 @@ def _sent(df: DataFrame, model: Model):
     return df.sparkSession.sparkContext.broadcast(model)  # 4 x BUCKETS bytes a bit
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns keep of docs (text, ...), then lang_pred, score, ambiguous."""
+def predict(docs: DataFrame, model: Model, *keep: str, within: str | None = None) -> DataFrame:
+    """The columns keep of docs (text, ...), then lang_pred, score, ambiguous.
+
+    within: one of keep, a struct whose field `text` is read instead, so that the text goes to the workers once.
+    """
     sent, n = _sent(docs, model), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         names = np.array([*model.languages, "und"], dtype=object)
-        for batch in batches:
-            texts = batch.column(n)
+        for batch in sliced(batches):
+            texts = pc.struct_field(batch.column(keep.index(within)), "text") if within else batch.column(n)
             known = has_letter(texts)
             at, score, ambiguous = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             if model.languages and known.any():
@@ -199,7 +209,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             columns = [*batch.columns[:n], pa.array(names[at], pa.string()), pa.array(score), pa.array(ambiguous)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n], "lang_pred", "score", "ambiguous"])
 
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*keep) if within else docs.select(*keep, "text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:n]]
     return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"]))
 
@@ -219,5 +229,5 @@ def languages(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told: neither `und` nor ambiguous. Their columns stay as they are."""
     model = fit(docs.where(~held_out()))
-    row = docs.select(F.struct("*").alias("row"), "text")
-    return predict(row, model, "row").where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")
+    row = docs.select(F.struct("*").alias("row"))
+    return predict(row, model, "row", within="row").where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")

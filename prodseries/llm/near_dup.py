@@ -18,7 +18,8 @@ Every link is confirmed on the full sets, made again from the whole texts of the
 Words are split at ASCII blanks after A-Z is lower-cased; a text of fewer than SIZE words is one shingle. Cases: null
 text and text without words: empty set, linked with nothing. A row with a null doc_id links with nothing, has no
 component, and is kept. Rows with one doc_id are one node, whatever their texts, and each gets its row. Other columns
-are not looked at; an empty table gives an empty result.
+are not looked at; an empty table gives an empty result. deduplicated() tells texts under one doc_id apart, and keeps
+one of the rows that have doc_id and text in common.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prodseries.llm.graph import components
-from prodseries.llm.storage import stored
+from prodseries.llm.storage import dropped, stored
 
 SIZE = 4
 #: Linked are sets with 100 * intersection >= PERCENT * union.
@@ -113,20 +115,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Those of pairs (a, b) of doc_ids whose whole texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        from xxhash import xxh3_128_digest
+
+        known: dict[bytes, np.ndarray] = {}
         held = 0
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 sets = []
                 for text in (left.as_py(), right.as_py()):
-                    if text not in known:
+                    name = xxh3_128_digest(text.encode())
+                    if name not in known:
                         found = shingles(text, size)
                         held += len(found)
                         if held > REMEMBERED:
                             known, held = {}, len(found)
-                        known[text] = found
-                    sets.append(known[text])
+                        known[name] = found
+                    sets.append(known[name])
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(sets[0]) + len(sets[1]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -160,11 +165,15 @@ def groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
     # rows of one doc_id with different sets are one node
     several = linkable.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1")
     same = several.join(linkable.select("doc_id", "digest").distinct(), "doc_id").join(classes.select("digest", "rep"), "digest")
-    links = stored(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
+    own = stored(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
+    links = links.unionByName(own)
+    dropped(stars)
     first = components(links)
     rest = stored(_undecided(members, classes, first), "rest")
     more = stored(confirmed(rest, docs, size), "links")
     labels = components(links.unionByName(more)) if more.limit(1).count() else first
+    for table in (buckets, members, links, rest, more):  # what the result does not read
+        dropped(table)
     named = sketch.join(classes.select("digest", "rep"), "digest", "left")
     node = F.when(F.col("digest").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
     known = named.select("doc_id", "n_shingles", node.alias("node")).join(labels, "node", "left")
@@ -177,27 +186,27 @@ def _alike(batch: pa.Table) -> Iterator[pa.RecordBatch]:
 
     A pair is given only in the first of the bands that the two share; so many shared buckets make no more rows.
     """
-    columns = ("key", "i", "j", "block", "rep", "n", "component")
-    key, i, j, block, rep, n, component = (batch.column(c).to_numpy() for c in columns)
+    key, i, j, block, n, component = (batch.column(c).to_numpy() for c in ("key", "i", "j", "block", "n", "component"))
     signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
     bands_of = batch.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
     edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-    left, right = [rep[:0]], [rep[:0]]
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for start, end in zip([0, *edges], [*edges, len(key)]):
-        g = slice(start, end)
         one = i[start] == j[start]
         for x in range(start, end):
             if not one and block[x] != i[start]:
                 continue  # of two blocks each pair is met from the first
+            g = slice(x + 1 if one else start, end)  # in one block, from the row that comes first
             fits = (component[g] != component[x]) & (100 * np.minimum(n[g], n[x]) >= PERCENT * np.maximum(n[g], n[x]))
-            fits &= (rep[g] > rep[x]) if one else (block[g] == j[start])
-            at = start + np.flatnonzero(fits)
+            if not one:
+                fits &= block[g] == j[start]
+            at = g.start + np.flatnonzero(fits)
             at = at[(signature[at] == signature[x]).sum(1) >= LEAST_EQUAL]
             at = at[bands_of[x][(bands_of[at] == bands_of[x]).argmax(1)] == key[x]]
-            left.append(np.full(len(at), rep[x]))
-            right.append(rep[at])
-    a, b = np.concatenate(left), np.concatenate(right)
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            left.append(np.full(len(at), x))
+            right.append(at)
+    rep = batch.column("rep").combine_chunks()
+    yield pa.RecordBatch.from_arrays([rep.take(pa.array(np.concatenate(side))) for side in (left, right)], names=["a", "b"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,19 +232,43 @@ def _undecided(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
     known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("key", "m", "center", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    known = stored(known.where((F.col("rep") != F.col("center")) & (F.col("m") > 2)).join(mixed, "key", "left_semi"), "mixed")
+    known = known.where((F.col("rep") != F.col("center")) & (F.col("m") > 2)).join(mixed, "key", "left_semi")
     known = known.join(classes.select("rep", "signature", "bands"), "rep")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     known = known.withColumn("block", F.pmod(F.hash("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    known = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "component", "signature", "bands")
+    known = known.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n",
+        F.xxhash64("component").alias("component"), "signature", "bands")
     kind = known.schema["rep"].dataType.simpleString()
     grouped = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(_whole_groups, f"a {kind}, b {kind}").distinct()
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(node, row): the rows with a doc_id, each under it; but other texts under the same doc_id get nodes of their own.
+
+    Of several texts the one with the smallest hash keeps the doc_id. The others, few as a rule, are numbered after all
+    doc_ids; where doc_ids are strings, they get longer ones.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_id"), F.struct(*docs.columns).alias("row"))
+    ids = rows.groupBy("doc_id").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"))
+    several = ids.where("low < high").select(F.col("doc_id").alias("_id"), "low")
+    others = rows.select("doc_id", "text_id").join(several, F.col("doc_id") == F.col("_id")).where("text_id > low").select("_id", F.col("text_id").alias("_text")).distinct()
+    if docs.schema["doc_id"].dataType == T.StringType():
+        name = F.concat_ws("\0", "_id", "_text")
+    else:
+        last = docs.agg(F.max("doc_id")).first()[0] or 0
+        name = F.lit(last).cast("long") + F.monotonically_increasing_id() + 1
+    others = stored(others.select("_id", "_text", name.alias("other")), "others")
+    both = rows.join(others, (F.col("doc_id") == F.col("_id")) & (F.col("text_id") == F.col("_text")), "left")
+    return both.select(F.coalesce("other", "doc_id").alias("node"), "row")
+
+
 def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, of equal ones the smallest row."""
-    columns = docs.columns
-    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row"))
-    kept = groups(docs, size).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return one.join(kept, "doc_id", "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group, that of the smallest doc_id, and of equal doc_ids and texts one row; and the rows without a doc_id."""
+    named = _named(docs)
+    kept = groups(named.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), size).where("kept").select("doc_id").distinct()
+    plain = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no order and no hash
+    one = named.groupBy("node").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    left = one.join(kept, F.col("node") == F.col("doc_id"), "left_semi").select("row.*")
+    return left.unionByName(docs.where("doc_id IS NULL"))

@@ -83,12 +83,23 @@ def test_units_of_odd_rows(docs):
     assert plain(unit_dedup.removed(docs.limit(0))) == []
     got = unit_dedup.removed(clashing(docs), least=3).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(7, 6)}
-    assert {(r.doc_id, r.text) for r in unit_dedup.cleaned(docs, least=3).where("doc_id IN (6, 7) OR text IS NULL").collect()} == {
+    assert {(r.doc_id, r.text) for r in unit_dedup.cleaned(docs, unit_dedup.ENDS, least=3).where("doc_id IN (6, 7) OR text IS NULL").collect()} == {
         (6, "le chat et la souris"), (7, ""), (1, None), (None, None)}
     none_last = docs.sparkSession.createDataFrame([(None, "a b c d"), (4, "a b c d")], "doc_id long, text string")
     assert [(r.doc_id, r.kept_doc_id) for r in unit_dedup.removed(none_last, least=3).collect()] == [(None, 4)]
 
 
+def test_repeats_of_odd_rows(docs):
+    assert plain(unit_dedup.repeats(docs.limit(0))) == []
+    assert plain(unit_dedup.cleaned(docs.limit(0))) == []
+    got = unit_dedup.repeats(clashing(docs)).collect()
+    lines = {(r.doc_id, r.kept_doc_id, r.start, r.end, r.n_copies) for r in got if r.unit == "line"}
+    assert lines == {(7, 6, 0, 20, 3)}  # the copy under the same doc_id is the same occurrence
+    assert {r.doc_id for r in got if r.unit == "window"} == {5} and {r.kept_doc_id for r in got if r.doc_id == 5} == {5}
+    texts = {(r.doc_id, r.text) for r in unit_dedup.cleaned(clashing(docs)).where("doc_id <> 5 OR doc_id IS NULL").collect()}
+    assert texts == {(d, "" if d == 7 else t) for d, t, *_ in ODD if d != 5}
+
+
 def test_rollup_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(9, None, 1), (9, 1, 1), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
     r = token_rollups.Rollup(spark)
@@ -135,13 +146,36 @@ def test_stages(spark, docs, tmp_path, items, name):
     ids = sorted(str(r.doc_id) for r in got.collect())
     gone = {"language_id": {"1", "2", "3", "10"}, "near_dup": {"7"}, "decontaminate": {"5", "6", "7"}}.get(name, set())
     want = sorted(str(r[0]) for r in ODD if str(r[0]) not in gone)
-    if name == "near_dup":  # one row of each doc_id
-        want = sorted([x for x in {*want} if x != "None"] + ["None", "None"])
+    if name == "near_dup":  # one row of each doc_id and text
+        want.remove("6")
     if name == "language_id":
         want.remove("None")  # the one without text
     assert ids == want
 
 
+def test_texts_under_one_id_stay_apart(spark):
+    rows = [(1, "one two three four five"), (1, "wholly other words are here"), (2, "wholly other words are here"), (1, "one two three four five"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.create_map(F.lit("k"), "text"))
+    got = near_dup.deduplicated(docs)
+    assert got.dtypes == docs.dtypes
+    want = [("1", "one two three four five"), ("1 or 2", "wholly other words are here"), ("None", "None")]
+    plain_id = lambda r: "1 or 2" if r.text and r.text.startswith("wholly") else str(r.doc_id)
+    assert sorted((plain_id(r), str(r.text)) for r in got.collect()) == want
+    named = near_dup.deduplicated(docs.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")))
+    assert sorted((plain_id(r).removeprefix("n"), str(r.text)) for r in named.collect()) == want
+    assert near_dup.deduplicated(docs.where("doc_id = 2")).count() == 1
+
+
+def test_components_of_odd_graphs(spark):
+    from prodseries.llm.graph import components
+
+    edges = spark.createDataFrame([(3, 2), (2, 3), (2, 3), (5, 5), (None, 7), (7, None), (9, 8), (3, 9)], "a long, b long")
+    assert plain(components(edges)) == [(2, 2), (3, 2), (8, 2), (9, 2)]
+    assert plain(components(edges.limit(0))) == []
+    named = edges.select(*(F.struct(F.lit("n").alias("k"), F.col(c).alias("i")).alias(c) for c in ("a", "b"))).where("a.i > 7 OR b.i > 8")
+    assert {(r.node.i, r.component.i) for r in components(named).collect()} == {(3, 3), (8, 3), (9, 3)}
+
+
 def test_pipeline_against_plain_steps(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
