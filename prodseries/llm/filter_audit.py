@@ -53,7 +53,7 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = stored(read.select("doc_id", "part", "digest", mask.alias("mask")), "masks")
     # hot texts are counted before the shuffle; the join back is a plain one, which Spark splits where it is skewed
     firsts = texts.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = firsts.where("first < last").select("digest", "first")
+    firsts = stored(firsts.where("first < last").select("digest", "first"), "firsts")
     named = texts.where("doc_id IS NOT NULL").join(firsts, "digest", "left")
     said = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
