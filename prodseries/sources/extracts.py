@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -53,18 +56,66 @@ MONTHLY_COLUMNS = {
 }
 
 
-def open_extract(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Open an exported sheet by header name; CSV columns stay text until converted."""
+def open_extract(spark: SparkSession, path: str, fmt: str = "csv", columns=(), label: str = "Extract") -> DataFrame:
+    """Open the files of an exported sheet by header name; CSV columns stay text until converted.
+
+    The header of every file is read before any row: files with other columns, or the same in another order, are lined
+    up by name, and a file without one of `columns` is refused by its name. Empty files have no header and no rows.
+    """
     try:
-        if fmt == "csv":
-            columns = spark.read.option("header", True).csv(path).schema
-            # the header of every file is held against these columns, and another order stops the read
-            return spark.read.schema(columns).option("header", True).option("enforceSchema", False).csv(path)
-        return spark.read.format(fmt).load(path)
+        if fmt != "csv":
+            return require_columns(spark.read.format(fmt).option("mergeSchema", True).load(path), columns, label)
+        files = spark.read.text(path).inputFiles()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise LoadError(f"Source not found at {path}") from e
         raise
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, header in _headers(spark, files):
+        if header is None:
+            continue
+        missing = [c for c in columns if c not in header]
+        if missing:
+            raise LoadError(f"{label} is missing required column(s): {missing} in {file}")
+        twice = sorted({c for c in header if header.count(c) > 1})
+        if twice:
+            raise LoadError(f"{label} has column(s) {twice} more than once in {file}")
+        layouts.setdefault(header, []).append(file)
+    if not layouts:
+        raise LoadError(f"No header in the files at {path}")
+    parts = []
+    for header, of in layouts.items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        parts.append(spark.read.schema(text).option("header", True).csv(of))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+#: Files whose first lines are read at the same time.
+HEADERS_AT_ONCE = 16
+
+
+def _headers(spark: SparkSession, uris: list[str]) -> list[tuple[str, tuple[str, ...] | None]]:
+    """(file, names in its first line) of each file, None for an empty one: one short read a file, by the store's own client."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def read(uri: str):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = path.getFileSystem(conf).open(path)
+        codec = codecs.getCodec(path)
+        stream = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        return path.toString(), None if line is None else tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
+
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return [*pool.map(read, sorted(uris))]
 
 
 def require_columns(df: DataFrame, columns, label: str = "table") -> DataFrame:
@@ -77,7 +128,8 @@ def require_columns(df: DataFrame, columns, label: str = "table") -> DataFrame:
 def clean(column: Column, source: T.DataType, kind: str) -> Column:
     """Null-like values become NULL and the value takes its declared type.
 
-    What does not fit its type as a whole raises: nothing is cut, rounded or turned into NULL.
+    What does not fit its type as a whole raises: nothing is cut, rounded or turned into NULL. A date may come with a
+    time of day, as text or as a timestamp, which is left out: a production day has none.
     """
     text = isinstance(source, T.StringType)
     if isinstance(source, (T.DoubleType, T.FloatType)):
@@ -127,12 +179,29 @@ def exact_number(column: Column, source: T.DataType) -> Column:
 
 
 def measure_to_text(column: Column, source: T.DataType) -> Column:
-    """Numbers become their decimal text ("192.0"), NaN becomes NULL, text passes through."""
+    """Numbers become their whole decimal text ("192.0"), NaN becomes NULL, text passes through.
+
+    Decimals and integers keep every digit. Doubles get digits that give the same double again, with an exponent
+    ("1e-20", "2.5e+16") below 0.0001 and from 10^16 on.
+    """
     if isinstance(source, T.StringType):
         return F.when(~F.lower(F.trim(column)).isin("", "nan"), column)
-    number = column.cast("double")
-    digits = F.rtrim(number.cast("decimal(38,18)").cast("string"), F.lit("0"))
-    return F.when(~F.isnan(number), F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits))
+    text = column.cast("string")
+    if isinstance(source, (T.DoubleType, T.FloatType)):
+        size = F.abs(column)
+        whole = _plain(text.try_cast("decimal(38,22)").cast("string"))
+        scientific = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E-", "e-"), r"E(\d)", "e+$1")
+        fits = (size == 0) | ((size >= 1e-4) & (size < 1e16))
+        return F.when(~F.isnan(column), F.when(fits, whole).otherwise(scientific))
+    if isinstance(source, T.DecimalType) and source.scale:
+        return _plain(text)
+    return F.concat(text, F.lit(".0"))
+
+
+def _plain(digits: Column) -> Column:
+    """Digits with a fraction, without the zeros at its end but for one."""
+    short = F.rtrim(digits, F.lit("0"))
+    return F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
 
 
 def narrowed(df: DataFrame, columns, measure: T.DecimalType = MEASURE) -> DataFrame:
@@ -151,13 +220,11 @@ def convert(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def read_daily(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    df = require_columns(open_extract(spark, path, fmt), DAILY_COLUMNS, "Daily extract")
-    return convert(df, DAILY_COLUMNS)
+    return convert(open_extract(spark, path, fmt, DAILY_COLUMNS, "Daily extract"), DAILY_COLUMNS)
 
 
 def read_monthly(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    df = require_columns(open_extract(spark, path, fmt), MONTHLY_COLUMNS, "Monthly extract")
-    return convert(df, MONTHLY_COLUMNS)
+    return convert(open_extract(spark, path, fmt, MONTHLY_COLUMNS, "Monthly extract"), MONTHLY_COLUMNS)
 
 
 def write_reports(reports: dict[str, DataFrame], out: str) -> list[str]:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from prodseries.functions.expr import any_of, holds
 from prodseries.operators.checks import keyed_counts, long_counts
 from prodseries.sources.extracts import LoadError, exact_number, narrowed, read_daily, read_monthly
+from prodseries.sources.versions import VersionLog
 from prodseries.spec import EXACT, MEASURE, MODES, STATES, SeriesSpec, exactly
 
 # Columns of the core tables, and how monthly measures are named there.
@@ -37,7 +38,6 @@ MONTHLY_MEASURES = {
     "on_stream": "on_stream_hrs", "oil": "oil_vol", "gas": "gas_vol",
     "water": "water_vol", "gi": "gas_injection_vol", "wi": "water_injection_vol",
 }
-VERSION_SCHEMA = "run_id string, published_at timestamp"
 
 
 def build_wellbore(raw_daily: DataFrame) -> DataFrame:
@@ -84,7 +84,17 @@ def excluded_monthly(raw_monthly: DataFrame, quarantine: bool = False, measure:
 
 
 def core_violations(core: dict[str, DataFrame]) -> DataFrame:
-    """Violation count per constraint of the three core tables, one chain of aggregates per table."""
+    """Violation count per constraint of the three core tables."""
+    counts = core_counts(core).where(~F.col("check_id").endswith(ROWS))
+    return counts.withColumnsRenamed({"check_id": "constraint_name", "actual": "violations"})
+
+
+#: What the row counts of core_counts() end in.
+ROWS = ": rows"
+
+
+def core_counts(core: dict[str, DataFrame]) -> DataFrame:
+    """(check_id, actual): rows and violations of each constraint, one chain of aggregates and one scan per table."""
     w, d, m = core["wellbore"], core["daily_production"], core["monthly_reference"]
     parent = w.select(F.col("npd_well_bore_code").alias("entity"))
     null = lambda cols: any_of(F.col(c).isNull() for c in cols)
@@ -97,6 +107,7 @@ def core_violations(core: dict[str, DataFrame]) -> DataFrame:
     wellbore = keys.agg(
         *[F.count(F.when((F.col("kind") == c) & shared, 1)).alias(f"wellbore: unique {c}") for c in unique],
         F.coalesce(F.sum(F.when(F.col("kind") == unique[0], F.col("bad"))), F.lit(0)).alias("wellbore: not null"),
+        F.coalesce(F.sum(F.when(F.col("kind") == unique[0], F.col("n"))), F.lit(0)).alias("wellbore" + ROWS),
     )
 
     name = "daily_production: "
@@ -109,17 +120,16 @@ def core_violations(core: dict[str, DataFrame]) -> DataFrame:
             name + "avg_choke_uom": F.col("avg_choke_uom") != "%",
             name + "non-negative": any_of(holds(F.col(c) < 0) for c in NON_NEGATIVE),
         },
-        parent, "rows", name + "unique key", name + "known wellbore",
-    ).drop("rows")
+        parent, "daily_production" + ROWS, name + "unique key", name + "known wellbore",
+    )
     name = "monthly_reference: "
     month = ["entity", "reference_year", "reference_month"]
     monthly = keyed_counts(
         m.withColumnRenamed("npd_well_bore_code", "entity"), month,
         {name + "not null": null(month), name + "month 1-12": ~F.col("reference_month").between(1, 12)},
-        parent, "rows", name + "unique key", name + "known wellbore",
-    ).drop("rows")
-    parts = [long_counts(p).withColumnsRenamed({"check_id": "constraint_name", "actual": "violations"})
-             for p in (wellbore, daily, monthly)]
+        parent, "monthly_reference" + ROWS, name + "unique key", name + "known wellbore",
+    )
+    parts = [long_counts(p) for p in (wellbore, daily, monthly)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -148,14 +158,11 @@ def validate_load(
     source: dict[str, DataFrame], raw: dict[str, DataFrame], core: dict[str, DataFrame], snapshot: Snapshot
 ) -> DataFrame:
     """The eight post-load checks. All are evaluated before any failure is raised."""
-    volumes = ("bore_oil_vol", "bore_gas_vol", "bore_wat_vol", "bore_wi_vol")
-
     def numbers(df, **aggs):
         row = df.agg(*[a.cast("decimal(38,6)").alias(k) for k, a in aggs.items()])
         return row.unpivot([], [F.col(k) for k in aggs], "k", "v")
 
     n = F.count("*")
-    sums = lambda p: {f"{p}{i}": F.sum(v) for i, v in enumerate(volumes)}
     d, m = core["daily_production"], core["monthly_reference"]
     parent = core["wellbore"].select(F.col("npd_well_bore_code").alias("entity"))
     keys = d.withColumnRenamed("npd_well_bore_code", "entity")
@@ -163,9 +170,9 @@ def validate_load(
     parts = [
         numbers(source["daily"], source_daily=n),
         numbers(source["monthly"], source_monthly=n),
-        numbers(raw["daily"], raw_daily=n, **sums("r")),
+        numbers(raw["daily"], raw_daily=n, **_sums("r")),
         numbers(raw["monthly"], raw_monthly=n, excluded=F.count(F.when(_unkeyed() | _unreadable(), 1))),
-        numbers(d, **sums("c")),
+        numbers(d, **_sums("c")),
         numbers(core["wellbore"], wellbores=n),
         numbers(m, core_monthly=n),
         # rows, keys and entities in one chain: however many rows an entity has, one row meets the parent
@@ -174,9 +181,21 @@ def validate_load(
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    names = ["source_daily", "source_monthly", "raw_daily", "raw_monthly", "excluded", "core_daily", "wellbores",
-             "core_monthly", "duplicates", "orphans", *[f"r{i}" for i in range(4)], *[f"c{i}" for i in range(4)]]
-    row = long.groupBy().agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in names])
+    return _checked(long.groupBy().agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in NUMBERS]), snapshot)
+
+
+#: What the post-load checks compare; r0-r3 and c0-c3 are the sums of VOLUMES in raw and core.
+NUMBERS = ("source_daily", "source_monthly", "raw_daily", "raw_monthly", "excluded", "core_daily", "wellbores",
+           "core_monthly", "duplicates", "orphans", *[f"r{i}" for i in range(4)], *[f"c{i}" for i in range(4)])
+VOLUMES = ("bore_oil_vol", "bore_gas_vol", "bore_wat_vol", "bore_wi_vol")
+
+
+def _sums(prefix: str) -> dict[str, F.Column]:
+    return {f"{prefix}{i}": F.sum(v) for i, v in enumerate(VOLUMES)}
+
+
+def _checked(row: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The eight checks on one row of NUMBERS."""
     c = F.col
     whole = lambda x: x.cast("long").cast("string")
     want_daily = F.lit(snapshot.daily_rows) if snapshot.daily_rows is not None else c("source_daily")
@@ -220,12 +239,19 @@ def load(
     spark: SparkSession, daily_path: str, monthly_path: str, out: str,
     snapshot: Snapshot = Snapshot(), fmt: str = "csv", quarantine: bool = False, measure: T.DecimalType = MEASURE,
 ) -> dict[str, int]:
-    """Run the whole load and return row counts per target, or raise LoadError and publish nothing."""
+    """Run the whole load and return row counts per target, or raise LoadError and publish nothing.
+
+    What is counted and summed of source and core rows is observed while they are written. Read again are the row
+    counts of raw (from its footers), and core once, for keys, parents and constraints.
+    """
     run_id = uuid.uuid4().hex
     at = layout(out, run_id)
-    source = {"daily": read_daily(spark, daily_path, fmt), "monthly": read_monthly(spark, monthly_path, fmt)}
-    source["daily"].write.parquet(at["raw_daily"])
-    source["monthly"].write.parquet(at["raw_monthly"])
+    seen = {k: Observation(k) for k in ("daily", "monthly", "core")}
+    n = F.count("*").alias("n")
+    unkeyed = F.count(F.when(_unkeyed() | _unreadable(), 1))
+    sums = lambda p: [a.alias(k) for k, a in _sums(p).items()]
+    read_daily(spark, daily_path, fmt).observe(seen["daily"], n, *sums("r")).write.parquet(at["raw_daily"])
+    read_monthly(spark, monthly_path, fmt).observe(seen["monthly"], n, unkeyed.alias("excluded")).write.parquet(at["raw_monthly"])
     raw = {"daily": spark.read.parquet(at["raw_daily"]), "monthly": spark.read.parquet(at["raw_monthly"])}
 
     commented(build_wellbore(raw["daily"])).write.parquet(at["wellbore"])
@@ -234,18 +260,33 @@ def load(
     (
         daily.repartitionByRange("production_year", "npd_well_bore_code", "production_date")
         .sortWithinPartitions("production_year", "npd_well_bore_code", "production_date")
+        .observe(seen["core"], *sums("c"))  # above the exchange, whose sampling runs what is below it once more
         .write.partitionBy("production_year").parquet(at["daily_production"])
     )
     build_monthly(raw["monthly"], quarantine, measure).write.parquet(at["monthly_reference"])
     excluded_monthly(raw["monthly"], quarantine, measure).write.parquet(at["quarantine"])
     core = {k: spark.read.parquet(at[k]) for k in ("wellbore", "daily_production", "monthly_reference")}
 
-    failed = [r.check_name for r in validate_load(source, raw, core, snapshot).where(~F.col("passed")).collect()]
-    failed += [r.constraint_name for r in core_violations(core).where(F.col("violations") > 0).collect()]
+    counts = {r.check_id: r.actual for r in core_counts(core).collect()}  # a row a constraint
+    source = {k: seen[k].get for k in ("daily", "monthly", "core")}
+    numbers = {
+        "source_daily": source["daily"]["n"], "source_monthly": source["monthly"]["n"],
+        "raw_daily": raw["daily"].count(), "raw_monthly": raw["monthly"].count(), "excluded": source["monthly"]["excluded"],
+        "core_daily": counts["daily_production" + ROWS], "wellbores": counts["wellbore" + ROWS], "core_monthly": counts["monthly_reference" + ROWS],
+        "duplicates": counts["daily_production: unique key"], "orphans": counts["daily_production: known wellbore"],
+        **{k: source["daily"][k] for k in _sums("r")}, **{k: source["core"][k] for k in _sums("c")},
+    }
+    typed = T.StructType([T.StructField(k, T.DecimalType(38, 6)) for k in NUMBERS])
+    exact = [None if numbers[k] is None else Decimal(numbers[k]) for k in NUMBERS]
+    failed = [r.check_name for r in _checked(spark.createDataFrame([exact], typed), snapshot).where(~F.col("passed")).collect()]
+    failed += [k for k, v in counts.items() if not k.endswith(ROWS) and v > 0]
     if failed:
         raise LoadError(f"Validation failed: {failed}")
     publish(spark, out, run_id)
-    return {r.target: r.row_count for r in load_counts(raw, core).collect()}
+    return {
+        "wellbore": numbers["wellbores"], "daily_production": numbers["core_daily"], "raw_monthly_rows": numbers["raw_monthly"],
+        "excluded_monthly_rows": numbers["excluded"], "monthly_reference": numbers["core_monthly"],
+    }
 
 
 def commented(df: DataFrame) -> DataFrame:
@@ -256,20 +297,17 @@ def commented(df: DataFrame) -> DataFrame:
     ])
 
 
-def publish(spark: SparkSession, out: str, run_id: str) -> None:
-    row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at"))
-    row.coalesce(1).write.mode("append").json(f"{out}/versions")
+def publish(spark: SparkSession, out: str, run_id: str) -> int:
+    """Make the run the one that readers see; returns its number. Of two at the same time, one gets the next number."""
+    return VersionLog(spark, layout(out, run_id)["versions"]).append(lambda seen: {"run_id": run_id})
 
 
 def current_run(spark: SparkSession, out: str) -> str:
-    try:
-        log = spark.read.schema(VERSION_SCHEMA).json(f"{out}/versions")
-    except AnalysisException as e:
-        raise LoadError(f"Nothing has been published at {out}") from e
-    last = log.agg(F.max_by("run_id", "published_at").alias("run_id")).first()
-    if last is None or last.run_id is None:
+    """The run with the largest number."""
+    seen = VersionLog(spark, f"{out}/versions").entries()
+    if not seen:
         raise LoadError(f"Nothing has been published at {out}")
-    return last.run_id
+    return seen[-1][1]["run_id"]
 
 
 def core_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:

@@ -219,11 +219,80 @@ def test_monthly_text_that_does_not_fit(spark):
     assert ld.build_monthly(raw, measure=T.DecimalType(28, 10)).first().oil_vol == Decimal("4e-7")
 
 
-def test_files_with_another_header_order_are_refused(spark, tmp_path):
-    for name, text in (("a.csv", "A,B\n1,2\n"), ("b.csv", "B,A\n2,1\n")):
+def test_files_are_lined_up_by_name(spark, tmp_path):
+    import gzip
+
+    for name, text in (("a.csv", "A,B\n1,2\n"), ("b.csv", "B,A\n4,3\n"), ("c d.csv", '"X, y",A,B\n9,5,6\n'), ("e.csv", ""), ("f.csv", "A,B\n")):
         (tmp_path / name).write_text(text)
-    with pytest.raises(PySparkException):
-        open_extract(spark, str(tmp_path)).collect()
+    with gzip.open(tmp_path / "g.csv.gz", "wt") as f:
+        f.write("B,A\n8,7\n")
+    df = open_extract(spark, str(tmp_path), columns=["A", "B"])
+    assert sorted(tuple(r) for r in df.select("A", "B", "X, y").collect()) == [("1", "2", None), ("3", "4", None), ("5", "6", "9"), ("7", "8", None)]
+    assert open_extract(spark, str(tmp_path / "[ab].csv")).select("A").count() == 2
+
+
+def test_a_file_without_a_column_is_named_before_any_row_is_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A,B\n1,2\n")
+    (tmp_path / "bad.csv").write_text("A,C\n1,2\n")
+    with pytest.raises(LoadError, match=r"\['B'\] in .*bad.csv"):
+        open_extract(spark, str(tmp_path), columns=["A", "B"])
+    (tmp_path / "bad.csv").write_text("A,A,B\n1,2,3\n")
+    with pytest.raises(LoadError, match=r"\['A'\] more than once in .*bad.csv"):
+        open_extract(spark, str(tmp_path), columns=["A", "B"])
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "a.csv").write_text("")
+    with pytest.raises(LoadError, match="No header"):
+        open_extract(spark, str(empty))
+
+
+def test_daily_rows_in_three_layouts(spark, tmp_path):
+    names = list(DAILY_COLUMNS)
+    for i, order in enumerate((names, names[::-1], [*names[5:], "EXTRA", *names[:5]])):
+        write_csv(tmp_path / f"{i}.csv", order, [{c: r.get(c, "") for c in order} for r in list(daily_rows())[i::3]])
+    assert read_daily(spark, str(tmp_path)).agg(F.sum("bore_oil_vol")).first()[0] == Decimal("888")
+
+
+@pytest.mark.parametrize("value,schema,text", [
+    (Decimal("12345678901234567.123456"), "decimal(23,6)", "12345678901234567.123456"), (1e-20, "double", "1e-20"), (2.5e16, "double", "2.5e+16"),
+    (0.1, "double", "0.1"), (-0.00012345678901234567, "double", "-0.00012345678901234567"), (1 / 3, "double", "0.3333333333333333"), (0.0, "double", "0.0"),
+    (9007199254740993, "bigint", "9007199254740993.0"), (Decimal("5.000000"), "decimal(18,6)", "5.0"), (Decimal("7"), "decimal(10,0)", "7.0"),
+    (9999999999999998.0, "double", "9999999999999998.0"), (5e-324, "double", "4.9e-324"),
+])
+def test_numbers_keep_their_value_as_text(spark, value, schema, text):
+    got = one(spark, value, schema, measure_to_text)
+    assert got == text and (Decimal(got) == value if isinstance(value, (Decimal, int)) else float(got) == value)
+
+
+def test_two_loaders_that_publish_at_once(spark, tmp_path):
+    out = str(tmp_path / "store")
+    log = ld.VersionLog(spark, f"{out}/versions")
+    assert ld.publish(spark, out, "first") == 1
+    raced = []
+
+    def make(seen):
+        """Another loader publishes after this one has looked."""
+        if not raced:
+            raced.append(ld.publish(spark, out, "other"))
+        return {"run_id": "late", "after": len(seen)}
+
+    assert log.append(make) == 3 and raced == [2]
+    assert [(n, e["run_id"]) for n, e in log.entries()] == [(1, "first"), (2, "other"), (3, "late")]
+    assert log.entries()[-1][1]["after"] == 2 and ld.current_run(spark, out) == "late"
+    assert not log.put(2, {"run_id": "again"}) and log.entries()[1][1]["run_id"] == "other"
+    assert log.append(lambda seen: None) is None and len(log.entries()) == 3
+    assert not [f for f in (tmp_path / "store" / "versions").iterdir() if f.name.startswith("draft")]
+
+
+def test_counts_come_with_the_writes(spark, extracts, tmp_path):
+    """Jobs of a load: the two raw writes, the four core writes with their shuffles, the counts of raw, and one for the core."""
+    spark.sparkContext.setJobGroup("load", "load")
+    try:
+        ld.load(spark, *extracts, str(tmp_path / "store"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("load")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 34
 
 
 def _frames(spark, **change):
