@@ -1,27 +1,22 @@
-"""Exact ranks and percentiles over whole tables, without a single-task sort.
+"""Exact ranks and percentiles over whole tables, without a single-task sort and without a job before the query runs.
 
-Values are first counted, so a value shared by a third of the rows becomes one
-row before anything is shuffled. Distinct values are then split into ordered
-bins by cut points taken from a size-bounded quantile sketch; only per-bin
-totals (a fixed number of rows) are accumulated in one place, and the rest runs
-bin by bin. Cut points affect balance only: any cut points give exact results.
+Values are dealt into BINS ordered bins between the least and the greatest of their group, on a logarithmic scale. The
+bin of a value follows from these two bounds alone, which are exact, so every branch of a plan and every retried task
+deals alike, and any bounds give exact results: they only balance the work. Bin totals (a fixed number of rows) are all
+that is accumulated in one place; the rest runs bin by bin.
+
+Percentiles shuffle the values of those bins only in which a wanted position lies. Ranks work on distinct values, so that
+a value shared by a third of the rows is one row before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-SKETCH_ACCURACY = 10_000
-SALTS = 32
-
-
-def _grid(probs=()) -> list[float]:
-    """Even grid, refined around the requested probabilities."""
-    points = {i / 64 for i in range(1, 64)}
-    for p in probs:
-        for step in (1e-4, 1e-3):
-            points |= {min(max(p - step, 0.0), 1.0), min(max(p + step, 0.0), 1.0)}
-    return sorted(points)
+#: Ordered bins of a group, join keys that a hot value is spread over, and the share of a group's rows from which it is hot.
+BINS, SALTS, HOT = 1024, 32, 1 / 64
+#: Bins of NULL, of -Infinity, and of Infinity and NaN.
+NULL_BIN, FIRST_BIN, LAST_BIN = -2, -1, BINS
 
 
 def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -29,48 +24,38 @@ def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sketch(df: DataFrame, groups: list[str], value: str, probs=()) -> tuple[DataFrame, DataFrame]:
-    """Cut points and hot values per group, both fixed on the driver.
-
-    The sketch result is one short array per group, so every branch and every
-    retried task sees the same cut points. A value met twice in a row on the grid
-    is hot: it holds at least 1/64 of the rows. ``groups`` must be a fixed set of
-    labels (metric names, states), never an entity key.
-    """
-    sketch = df.groupBy(*groups).agg(F.percentile_approx(value, _grid(probs), SKETCH_ACCURACY).alias("cuts"))
-    labels = [sketch.schema[g] for g in groups]
-    cuts, hot = [], []
-    for row in sketch.collect():
-        key, points = tuple(row)[:-1], row["cuts"] or []
-        cuts.append((*key, sorted(set(points))))
-        hot += [(*key, v) for v in {x for x, y in zip(points, points[1:]) if x == y}]
-        hot.append((*key, None))  # NULL may be as frequent as any value
-    make = df.sparkSession.createDataFrame
-    return (
-        make(cuts, T.StructType([*labels, T.StructField("cuts", T.ArrayType(df.schema[value].dataType))])),
-        make(hot, T.StructType([*labels, T.StructField("_hot", df.schema[value].dataType)])),
-    )
+def _scaled(value: Column) -> Column:
+    """A double that never falls where the value rises."""
+    number = value.cast("double")
+    return F.signum(number) * F.log1p(F.abs(number))
 
 
-def _same(left: DataFrame, right: DataFrame, pairs) -> list[Column]:
-    return [left[a].eqNullSafe(right[b]) for a, b in pairs]
+def _finite(df: DataFrame, value: str) -> Column:
+    v = F.col(value)
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return v
 
 
-def _binned(df: DataFrame, cuts: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """One row per distinct value with its count ``n`` and its ordered ``bin``."""
-    freq = frequencies(df, groups, value)
+def _dealt(df: DataFrame, groups: list[str], value: str, n: Column | None = None) -> DataFrame:
+    """df with the `bin` of each value, and `_all`, the rows of its group. One row per label is broadcast, hence ``groups``
+    must be a fixed set of labels (metric names, states), never an entity key."""
+    fine = _finite(df, value)
+    count = F.sum(n) if n is not None else F.count(F.lit(1))
+    bounds = df.groupBy(*[F.col(g).alias(f"_b_{g}") for g in groups]).agg(
+        _scaled(F.min(fine)).alias("_low"), _scaled(F.max(fine)).alias("_high"), count.alias("_all"))
     if groups:
-        # one row per label
-        cut = freq.join(F.broadcast(cuts), _same(freq, cuts, [(g, g) for g in groups])).select(
-            *[freq[c] for c in freq.columns], "cuts")
+        both = df.join(F.broadcast(bounds), _same(df, bounds, [(g, f"_b_{g}") for g in groups]))
     else:
-        vtype = df.schema[value].dataType
-        rows = cuts.collect()
-        points = rows[0]["cuts"] if rows else []
-        cut = freq.withColumn("cuts", F.array(*[F.lit(v).cast(vtype) for v in points]).cast(T.ArrayType(vtype)))
-    below = F.size(F.filter("cuts", lambda c: c < F.col(value)))
-    # NULL values come after every value
-    return cut.withColumn("bin", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(below)).drop("cuts")
+        both = df.crossJoin(F.broadcast(bounds))  # one row
+    place = F.when(F.col("_high") > F.col("_low"), F.floor((_scaled(fine) - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS)).otherwise(0)
+    bin_ = F.when(fine.isNotNull(), F.least(place.cast("int"), F.lit(BINS - 1)))
+    bin_ = F.when(F.col(value).isNull(), NULL_BIN).otherwise(F.coalesce(bin_, F.when(F.col(value) < 0, FIRST_BIN).otherwise(LAST_BIN)))
+    return both.withColumn("bin", bin_).drop("_low", "_high", *[f"_b_{g}" for g in groups])
+
+
+def _same(left: DataFrame, right: DataFrame, pairs) -> list[Column]:
+    return [left[a].eqNullSafe(right[b]) for a, b in pairs]
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -78,16 +63,16 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
 
     ``groups`` is a small fixed set of labels; NULL values are ignored.
     """
-    cuts, _ = _sketch(df, groups, value, probs.values())
-    binned = _binned(df, cuts, groups, value).where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
+    binned = _dealt(rows, groups, value).drop("_all")
     by_group = Window.partitionBy(*groups, "q") if groups else Window.partitionBy("q")
-    # at most (grid size + 1) rows per group and probability
+    # at most BINS + 2 rows per group and probability, counted before the shuffle
     targets = F.explode(
         F.array(*[F.struct(F.lit(k).alias("q"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
     )
     totals = (
         binned.groupBy(*groups, "bin")
-        .agg(F.sum("n").alias("bin_n"))
+        .agg(F.count(F.lit(1)).alias("bin_n"))
         .withColumn("t", targets)
         .select(*groups, "bin", "bin_n", "t.q", "t.p")
         .withColumn("upto", F.sum("bin_n").over(by_group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
@@ -103,8 +88,11 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
     )
     on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("bin") == F.col("_bin")]
     in_bin = Window.partitionBy(*groups, "q", "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    # the values of the wanted bins only, counted before the shuffle as well
+    bins = wanted.select(*[f"_{g}" for g in groups], "_bin").distinct()
+    inside_values = frequencies(binned.join(F.broadcast(bins), on, "left_semi"), [*groups, "bin"], value)
     picked = (
-        binned.join(F.broadcast(wanted), on)
+        inside_values.join(F.broadcast(wanted), on)
         .withColumn("last", F.col("start") + F.sum("n").over(in_bin))
         .withColumn("first", F.col("last") - F.col("n"))
     )
@@ -125,8 +113,8 @@ def global_ranks(df: DataFrame, groups: list[str], value: str, rank: str, dense:
     value, and of NULL, are spread over ``SALTS`` join keys; the one rank row of
     such a value is copied to each of them.
     """
-    cuts, hot = _sketch(df, groups, value)
-    binned = _binned(df, cuts, groups, value)
+    binned = _dealt(frequencies(df, groups, value), groups, value, F.col("n"))
+    hot = binned.where(F.col(value).isNull() | (F.col("n") >= HOT * F.col("_all"))).select(*groups, F.col(value).alias("_hot"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     ahead = by_group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     # bin totals: a fixed number of rows per group
@@ -146,7 +134,7 @@ def global_ranks(df: DataFrame, groups: list[str], value: str, rank: str, dense:
         (F.col("ahead_n") + before + 1).alias(rank),
         (F.col("ahead_d") + F.row_number().over(in_bin)).cast("long").alias(dense or "_dense"),
     )
-    # at most 64 hot values per label
+    # at most 1 / HOT hot values per label, and NULL
     hot = F.broadcast(hot.withColumnsRenamed({g: f"_h_{g}" for g in groups}).withColumn("_is_hot", F.lit(True)))
     named = [(g, f"_h_{g}") for g in groups]
     rows = df.join(hot, _same(df, hot, [*named, (value, "_hot")]), "left").withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from prodseries.functions.expr import any_of, count_where, ratio
-from prodseries.functions.order_stats import exact_percentiles, frequencies
+from prodseries.functions.order_stats import exact_percentiles
 from prodseries.operators import missingness, temporal
 from prodseries.spec import TOTAL, SeriesSpec, role_of
 
@@ -198,12 +198,30 @@ def grain_summary(df: DataFrame, keys) -> DataFrame:
     )
 
 
+#: Join keys over which the rows of a shared key are spread, and the rows of a key from which it is.
+SALTS, HEAVY = 64, 100_000
+
+
 def duplicate_rows(df: DataFrame, keys, columns=None) -> DataFrame:
-    """Rows whose key is shared, unchanged. NULL keys count as equal, as in the profile report."""
-    dup = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    renamed = dup.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(renamed, on, "left_semi").select(*(columns or df.columns))
+    """Rows whose key is shared, unchanged. NULL keys count as equal, as in the profile report.
+
+    A key with a NULL in it meets its count in a join of its own, and a key of HEAVY rows or more, or with a NULL, is
+    spread over SALTS join keys; its one count row is copied to each of them. Both are found by the counts, which Spark
+    takes before the shuffle.
+    """
+    named = {k: f"_{k}" for k in keys}
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    dup = counts.select(*[F.col(k).alias(named[k]) for k in keys], "_n")
+    absent = lambda columns: any_of(F.col(c).isNull() for c in columns)
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    heavy = dup.where((F.col("_n") >= HEAVY) | absent(named.values())).select(*named.values(), F.explode(every).alias("_salt"))
+    light = dup.where((F.col("_n") < HEAVY) & ~absent(named.values())).drop("_n")
+    same = lambda: [F.col(k).eqNullSafe(F.col(named[k])) for k in keys]
+    # the light keys by themselves: rows of others are met by nothing here, those with a NULL do not even take part
+    plain = df.where(~absent(keys)).join(light, [F.col(k) == F.col(named[k]) for k in keys], "left_semi")
+    salted = df.withColumn("_own", F.floor(F.rand(7) * SALTS).cast("int"))
+    spread = salted.join(heavy, [*same(), F.col("_own") == F.col("_salt")], "left_semi").drop("_own")
+    return plain.unionByName(spread).select(*(columns or df.columns))
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -222,14 +240,13 @@ def numeric(df: DataFrame, columns, probs=None) -> DataFrame:
     """Counts, range, mean and exact percentiles per column; one long pass for all columns."""
     probs = probs or {"median": 0.5}
     long = _long(df, columns)
-    v, n = F.col("value"), F.col("n")
-    rows = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
-    # everything is worked out on value counts, which the percentiles use as well
-    basic = frequencies(long, ["column"], "value").groupBy("column").agg(
-        rows(v.isNotNull()).alias("value_count"), rows(v.isNull()).alias("missing_count"),
-        rows(v == 0).alias("zero_count"), rows(v < 0).alias("negative_count"), rows(v > 0).alias("positive_count"),
+    v = F.col("value")
+    # sums and counts are taken before the shuffle; the percentiles only shuffle the values next to them
+    basic = long.groupBy("column").agg(
+        F.count(v).alias("value_count"), count_where(v.isNull()).alias("missing_count"),
+        count_where(v == 0).alias("zero_count"), count_where(v < 0).alias("negative_count"), count_where(v > 0).alias("positive_count"),
         F.min(v).alias("min"), F.max(v).alias("max"),
-        ratio(F.sum(v * n), rows(v.isNotNull())).alias("mean"),
+        ratio(F.sum(v), F.count(v)).alias("mean"),
     )
     # one row per column of the table
     quant = exact_percentiles(long, ["column"], "value", probs)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import tempfile
 from collections import Counter, defaultdict
 from decimal import Decimal
 
@@ -312,6 +313,70 @@ def test_ranks(spark):
         assert (r.r, r.d) == ((first[r.v], dense[r.v]) if r.v is not None else (len(present) + 1, len(dense) + 1))
 
 
+def test_no_job_before_the_query_runs(spark):
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(50)], "g int, v double")
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        exact_percentiles(df, ["g"], "v", {"m": 0.5})
+        global_ranks(df, ["g"], "v", "r", "d")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def shuffled(df):
+    """Rows written by the exchanges of a query that has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, total = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        if "QueryStage" in name:
+            nodes.append(node.plan())
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.length())]
+    return total
+
+
+def test_percentiles_shuffle_only_their_brackets(spark):
+    df = spark.range(200_000).select(F.lit("a").alias("g"), F.exp(F.randn(3) * 2).alias("v")).repartition(4)
+    df.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="run-"))
+    stored = spark.read.parquet(path)
+    got = exact_percentiles(stored, ["g"], "v", {"p50": 0.5, "p95": 0.95})
+    assert shuffled(got) < 20_000  # bin totals of each task and the values of a few bins, of 200,000
+    values = np.array([r.v for r in stored.select("v").collect()])
+    np.testing.assert_allclose([*got.first()][1:], np.quantile(values, [0.5, 0.95]), rtol=1e-12)
+
+
+def test_heavy_and_absent_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(profile, "HEAVY", 1000)
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id"))
+    df = spark.range(9000).select(key.cast("long").alias("k"), (F.col("id") % 2).alias("j"), "id").unionByName(spark.sql("SELECT 5L AS k, 1L AS j, 77777L AS id"))
+    got = profile.duplicate_rows(df, ["k", "j"])
+    assert got.columns == df.columns
+    rows = [tuple(r) for r in df.collect()]
+    counts = Counter(r[:2] for r in rows)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(r) for r in rows if counts[r[:2]] > 1)
+    one = profile.duplicate_rows(df, ["k"])
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parts = [len(p) for p in profile.duplicate_rows(df, ["k"]).rdd.glom().collect()]
+        assert sum(parts) == one.count() and max(parts) < sum(parts) / 6  # a third each without spreading
+    finally:
+        spark.conf.set(conf, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_ranks_without_values(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id bigint, v double")
     assert {(r.id, r.r) for r in global_ranks(df, [], "v", "r").collect()} == {(1, 1), (2, 1)}
