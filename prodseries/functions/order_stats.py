@@ -47,7 +47,7 @@ def _dealt(df: DataFrame, groups: list[str], value: str, n: Column | None = None
     if groups:
         both = df.join(F.broadcast(bounds), _same(df, bounds, [(g, f"_b_{g}") for g in groups]))
     else:
-        both = df.crossJoin(F.broadcast(bounds))  # one row
+        both = df.withColumns({c: bounds.select(c).scalar() for c in ("_low", "_high", "_all")})
     place = F.when(F.col("_high") > F.col("_low"), F.floor((_scaled(fine) - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS)).otherwise(0)
     bin_ = F.when(fine.isNotNull(), F.least(place.cast("int"), F.lit(BINS - 1)))
     bin_ = F.when(F.col(value).isNull(), NULL_BIN).otherwise(F.coalesce(bin_, F.when(F.col(value) < 0, FIRST_BIN).otherwise(LAST_BIN)))

@@ -103,6 +103,11 @@ def review(fact: DataFrame, rules: ReviewRules) -> DataFrame:
     )
 
 
+def review_listing(flags: DataFrame) -> DataFrame:
+    """The flagged records by day, then entity."""
+    return flags.orderBy("day", "entity", "dq_issue")
+
+
 def review_summary(flags: DataFrame) -> DataFrame:
     """Records, entities and date span per issue; entities are counted after one
     pre-aggregation, so a hot issue is never held in one place."""
@@ -117,7 +122,7 @@ def review_summary(flags: DataFrame) -> DataFrame:
 
 def review_detail(flags: DataFrame, dim: DataFrame, issue: str) -> DataFrame:
     hit = flags.where(F.col("dq_issue") == issue)
-    return hit.join(dim.select("entity", "entity_name"), "entity").select("entity_name", "day", "review_reason")
+    return hit.join(dim.select("entity", "entity_name"), "entity").select("entity_name", "day", "review_reason").orderBy("day", "entity_name")
 
 
 def review_by_entity(flags: DataFrame, dim: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import month_start, pct, ratio, rounded_ratio, total
+from prodseries.functions.expr import count_where, month_start, pct, ratio, rounded_ratio, total
 from prodseries.operators import analysis, checks, episodes, views
 from prodseries.operators.categories import label
 from prodseries.operators.views import with_names
@@ -58,7 +58,7 @@ def availability_by_month(fact: DataFrame) -> DataFrame:
     """Hours as a share of possible hours over days with known hours."""
     return fact.where(F.col("hours").isNotNull()).groupBy(month_start("day").alias("month_start")).agg(
         total("hours").alias("total_hours"), F.count("*").alias("known_hours_days")
-    ).withColumn("availability_pct", _availability(F.col("total_hours"), F.col("known_hours_days")))
+    ).withColumn("availability_pct", _availability(F.col("total_hours"), F.col("known_hours_days"))).orderBy("month_start")
 
 
 def availability(fact: DataFrame, entities=None) -> DataFrame:
@@ -94,7 +94,7 @@ def contribution(summary: DataFrame) -> DataFrame:
 
 
 def field_monthly(fact: DataFrame) -> DataFrame:
-    return views.field_monthly(fact).drop("year", "month")
+    return views.field_monthly(fact).drop("year", "month").orderBy("month_start")
 
 
 def active_by_type(fact: DataFrame, dim: DataFrame, independent_minima: bool = False) -> DataFrame:
@@ -269,29 +269,42 @@ def _top(value: str, name: str = "entity_name") -> Column:
     return best["name"]
 
 
+def _records(fact: DataFrame, dim: DataFrame, rules: checks.ReviewRules, after: int = 90) -> DataFrame:
+    """All that is asked of an entity's whole record, a row an entity, from one pass over its days."""
+    whole = Window.partitionBy("entity")
+    earlier = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    active = F.col("hours") > 0
+    top = F.max(F.when(F.col("oil").isNotNull(), F.struct(F.col("oil").alias("v"), (-F.unix_date("day")).alias("neg")))).over(whole)
+    days = fact.select(
+        "entity", "day", "oil", "gas", "injection", top.alias("top"),
+        (active != F.last(active, ignorenulls=True).over(earlier)).alias("flipped"),  # against the last known day
+        rules.conditions()["DQ-004"].alias("over"),
+    )
+    later = F.col("day") == F.date_add(F.date_from_unix_date(-F.col("top.neg")), after)
+    some = lambda n: F.when(n > 0, n)  # noqa: E731  who has none is not asked about
+    per = days.groupBy("entity").agg(
+        total("oil").alias("total_oil"), total("gas").alias("total_gas"), total("injection").alias("total_water_injection"),
+        F.min(F.when(F.col("oil") > 0, F.col("day"))).alias("first_oil"), F.first("top.v").alias("peak"),
+        F.max(F.when(later, F.col("oil"))).alias("later"), some(count_where(F.col("flipped"))).alias("transitions"),
+        some(count_where(F.col("over"))).alias("over"),
+    )
+    return with_names(per, dim).withColumn("decline", rounded_ratio(F.col("peak") - F.col("later"), "peak", 1, 100))
+
+
 def answers(fact: DataFrame, dim: DataFrame, rules: checks.ReviewRules) -> DataFrame:
-    """The reference questions as (question, answer) rows, computed live."""
-    life = views.lifetime(fact, dim).agg(
-        _top("total_oil").alias("top_oil"), _top("total_gas").alias("top_gas"), _top("peak_daily_oil").alias("top_peak_oil"),
+    """The reference questions as (question, answer) rows, computed live: one pass by entity, one by month."""
+    first = F.min(F.when(F.col("first_oil").isNotNull(), F.struct("first_oil", "entity_name")))
+    by_entity = _records(fact, dim, rules).agg(
+        _top("total_oil").alias("top_oil"), _top("total_gas").alias("top_gas"), _top("peak").alias("top_peak_oil"),
         F.min(F.when(F.col("total_oil").isNull(), F.col("entity_name"))).alias("no_oil"),
-        total("total_water_injection").cast("string").alias("total_injection"),
-    )
-    first = analysis.first_oil(fact, dim).where(F.col("first_positive_oil_date").isNotNull()).agg(
-        F.min(F.struct("first_positive_oil_date", "entity_name"))["entity_name"].alias("earliest_oil"))
-    drop = analysis.peak_checkpoints(fact, dim, (90,)).agg(_top("pct_decline_90_days").alias("largest_decline_90"))
-    month = views.field_monthly(fact).agg(
-        F.min(F.when(F.col("oil_volume").isNotNull(), F.struct((-F.col("oil_volume")).alias("neg"), F.col("month_start").alias("m"))))["m"]
-        .cast("string").alias("highest_oil_month"),
-        F.max("active_wells").cast("string").alias("max_active"),
+        total("total_water_injection").cast("string").alias("total_injection"), first["entity_name"].alias("earliest_oil"),
+        _top("decline").alias("largest_decline_90"), _top("transitions").alias("most_transitions"), _top("over").alias("most_over_24"),
     )
-    flips = episodes.transition_counts(fact, dim).agg(_top("total_transitions").alias("most_transitions"))
-    over = checks.review_by_entity(checks.review(fact, rules), dim).where(F.col("dq_issue") == "DQ-004").agg(
-        _top("record_count").alias("most_over_24"))
-    parts = [df.unpivot([], df.columns, "question", "answer") for df in (life, first, drop, month, flips, over)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    best = F.min(F.when(F.col("oil_volume").isNotNull(), F.struct((-F.col("oil_volume")).alias("neg"), F.col("month_start").alias("m"))))
+    by_month = views.field_monthly(fact).agg(
+        best["m"].cast("string").alias("highest_oil_month"), F.max("active_wells").cast("string").alias("max_active"))
+    parts = [df.unpivot([], df.columns, "question", "answer") for df in (by_entity, by_month)]
+    return parts[0].unionByName(parts[1])
 
 
 def top_oil_by_year(fact: DataFrame, dim: DataFrame, year: int | None = None) -> DataFrame:
@@ -308,10 +321,10 @@ def top_oil_by_year(fact: DataFrame, dim: DataFrame, year: int | None = None) ->
 def history(fact: DataFrame, dim: DataFrame, name: str | None = None) -> DataFrame:
     """Daily production history of a named entity, or of all."""
     chosen = dim if name is None else dim.where(F.col("entity_name") == name)
-    return with_names(fact, chosen).select("entity_name", "day", "oil", "gas", "water", "injection", "hours")
+    return with_names(fact, chosen).select("entity_name", "day", "oil", "gas", "water", "injection", "hours").orderBy("entity_name", "day")
 
 
 def active_in_year(fact: DataFrame, year: int | None = None) -> DataFrame:
     """Active entities per month, of one year or of all."""
     f = views.field_monthly(fact)
-    return (f if year is None else f.where(F.col("year") == year)).select("month_start", "active_wells")
+    return (f if year is None else f.where(F.col("year") == year)).select("month_start", "active_wells").orderBy("month_start")

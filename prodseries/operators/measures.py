@@ -9,6 +9,7 @@ from prodseries.functions.expr import (
 )
 from prodseries.operators import profile
 from prodseries.operators.checks import ReviewRules
+from prodseries.operators.views import with_names
 from prodseries.spec import FLUIDS, TOTAL, VOLUMES
 
 REPORT = ["entity", "day", "state", "mode", "hours", *FLUIDS]
@@ -256,6 +257,12 @@ def abrupt_changes(fact: DataFrame, columns, pct_threshold=200, floor=0, guard="
     return changes(fact, columns, guard).where(_beyond(pct_threshold, floor)).drop("has_baseline")
 
 
+def abrupt_listing(fact: DataFrame, dim: DataFrame, columns, pct_threshold=200, floor=0, guard="positive") -> DataFrame:
+    """The same with the entity's name, the largest change first."""
+    found = abrupt_changes(fact, columns, pct_threshold, floor, guard)
+    return with_names(found, dim).orderBy(F.desc(F.abs("pct_change")), "entity_name", "column", "current_date")
+
+
 def largest_changes(fact: DataFrame, columns, n: int, guard="positive") -> DataFrame:
     """The n changes of largest size, as a top-n report."""
     return changes(fact, columns, guard).drop("has_baseline").orderBy(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, ratio, rounded_ratio
+from prodseries.functions.expr import count_where, rounded_ratio
 
 
 def _null_counts(df: DataFrame, columns, groups: dict[str, Column]) -> DataFrame:
@@ -90,19 +90,25 @@ def separation(df: DataFrame, columns) -> DataFrame:
     )
 
 
-def _spreads(df: DataFrame, columns) -> DataFrame:
-    """Overall share and its spread across states and across modes, per column."""
+def _spreads(df: DataFrame, columns, threshold: int = 50) -> DataFrame:
+    """Overall share and its spread across states and across modes, per column; ``wide``: a spread above the threshold.
+
+    The threshold is held against the counts themselves, not against the rounded spread.
+    """
     combos = _null_counts(df, columns, {"state": F.col("state"), "mode": F.col("mode")})
 
     def spread(key):
         per = combos.groupBy("column", key).agg(F.sum("missing_count").alias("m"), F.sum("total_rows").alias("n"))
-        s = _share("m", "n")
-        return per.groupBy("column").agg((F.max(s) - F.min(s)).alias(f"{key}_spread"))
+        s, counts, share = _share("m", "n"), F.struct("m", "n"), F.col("m") / F.col("n")
+        found = per.groupBy("column").agg((F.max(s) - F.min(s)).alias(f"{key}_spread"), F.max_by(counts, share).alias("x"), F.min_by(counts, share).alias("y"))
+        exact = lambda c: F.col(c).cast("decimal(18,0)")
+        above = 100 * (exact("x.m") * exact("y.n") - exact("y.m") * exact("x.n")) > threshold * exact("x.n") * exact("y.n")
+        return found.withColumn(f"{key}_wide", above).drop("x", "y")
 
     total = combos.groupBy("column").agg(F.sum("missing_count").alias("missing_count"), F.sum("total_rows").alias("total_rows"))
     # one row per column of the table
     joined = total.join(F.broadcast(spread("state")), "column").join(F.broadcast(spread("mode")), "column")
-    return joined.withColumn("missing_pct", _share()).withColumn(
+    return joined.withColumn("missing_pct", _share()).withColumn("wide", F.col("state_wide") | F.col("mode_wide")).withColumn(
         "spread_pp", F.greatest("state_spread", "mode_spread").cast("decimal(28,2)")
     )
 
@@ -114,10 +120,10 @@ def classification(df: DataFrame, columns, structural=(), measurement=("hours",)
         F.when(c.isin(*structural), "STRUCTURAL")
         .when(c.isin(*measurement), "MEASUREMENT")
         .when(F.col("missing_pct") == 0, "STRUCTURAL")
-        .when(F.col("spread_pp") > threshold, "CONTEXTUAL")
+        .when(F.col("wide"), "CONTEXTUAL")
         .otherwise("MEASUREMENT")
     )
-    return _spreads(df, columns).select("column", "missing_pct", "spread_pp", kind.alias("classification"))
+    return _spreads(df, columns, threshold).select("column", "missing_pct", "spread_pp", kind.alias("classification"))
 
 
 def patterns(df: DataFrame, columns, known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -140,14 +146,15 @@ def patterns(df: DataFrame, columns, known: dict[str, tuple[str, str]] | None =
         .join(F.broadcast(top("entity", 2, "top2_entities")), "column", "left")
         .join(F.broadcast(top("year", 1, "top_year")), "column", "left")
     )
-    few, one = ratio("top2_entities", "missing_count") > 0.7, ratio("top_year", "missing_count") > 0.5
+    # shares of 0.7 and 0.5, as products of counts
+    few, one = F.col("top2_entities") * 10 > F.col("missing_count") * 7, F.col("top_year") * 2 > F.col("missing_count")
     label = F.when(F.col("missing_count") == 0, "none")
     status = F.when(F.col("missing_count") == 0, "PASS")
     for col, (pattern, issue) in known.items():
         label = label.when(F.col("column") == col, pattern)
         status = status.when(F.col("column") == col, issue)
     label = (
-        label.when(F.col("spread_pp") > 50, "follows operating mode")
+        label.when(F.col("wide"), "follows operating mode")
         .when(few & one, "concentrated by entity and time")
         .when(few, "concentrated by entity")
         .when(one, "concentrated by time")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from prodseries.functions.expr import any_of, count_where, ratio
 from prodseries.functions.order_stats import exact_percentiles
-from prodseries.operators import missingness, temporal
+from prodseries.operators import missingness
 from prodseries.spec import TOTAL, SeriesSpec, role_of
 
 # The numeric columns profiled by default, where present.
@@ -294,18 +294,22 @@ def monthly_summary(monthly: DataFrame, keys=("entity", "year", "month")) -> Dat
         blank = blank & F.col(k).isNull()
     month = F.when(F.col("year").isNotNull() & F.col("month").isNotNull(), F.col("year") * 100 + F.col("month"))
     label = lambda c: F.concat((F.floor(c / 100)).cast("string"), F.lit("-"), F.lpad((c % 100).cast("string"), 2, "0"))
-    per_key = monthly.groupBy(*keys).agg(F.count("*").alias("n"))
-    first, last = F.min(month), F.max(month)
     has_key = ~any_of(F.col(k).isNull() for k in keys)
-    entities = monthly.select("entity").distinct().agg(F.count("entity")).scalar()
-    return per_key.agg(
+    # rows to keys to entities: one scan, and the entities are counted on the way
+    per_key = monthly.groupBy(*keys).agg(F.count("*").alias("n"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    per_entity = per_key.groupBy("entity").agg(
+        F.sum("n").alias("n"), F.min(month).alias("first"), F.max(month).alias("last"), count_where(has_key & (F.col("n") > 1)).alias("dup"),
+        many(F.col("n") > 1).alias("dup_rows"), many(blank).alias("blank"),
+    )
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_entity.agg(
         F.sum("n").alias("row_count"),
         F.lit(len(monthly.columns)).alias("column_count"),
-        label(first).alias("earliest_year_month"), label(last).alias("latest_year_month"),
-        count_where(has_key & (F.col("n") > 1)).alias("duplicated_combinations"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_involved_in_duplicates"),
-        F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("rows_with_all_key_columns_null"),
-    ).withColumn("unique_entities", entities)
+        label(F.min("first")).alias("earliest_year_month"), label(F.max("last")).alias("latest_year_month"),
+        zero("dup").alias("duplicated_combinations"), zero("dup_rows").alias("rows_involved_in_duplicates"),
+        zero("blank").alias("rows_with_all_key_columns_null"), F.count("entity").alias("unique_entities"),
+    )
 
 
 def text_columns(df: DataFrame, keys) -> list[str]:
@@ -327,29 +331,20 @@ def source_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def summary(daily: DataFrame, monthly: DataFrame) -> DataFrame:
-    """Run summary as (metric, value) rows."""
-    def row(metric, one_value):
-        c = one_value.columns[0]
-        return one_value.select(F.lit(metric).alias("metric"), F.col(c).cast("string").alias("value"))
-
-    dates = temporal.date_integrity(daily, "day")
-    g = grain_summary(daily, ["entity", "day"])
-    m = monthly_summary(monthly)
-    parts = [
-        row("daily rows", dates.select("total_rows")),
-        row("earliest date", dates.select("earliest_date")),
-        row("latest date", dates.select("latest_date")),
-        row("entities", daily.select("entity").distinct().agg(F.count("entity"))),
-        row("grain is unique", g.select("grain_is_unique")),
-        row("duplicate combinations", g.select("duplicated_combinations")),
-        row("monthly rows", m.select("row_count")),
-        row("monthly entities", m.select("unique_entities")),
-        row("monthly duplicate combinations", m.select("duplicated_combinations")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Run summary as (metric, value) rows, from one scan of each table."""
+    whole = F.col("entity").isNotNull() & F.col("day").isNotNull()
+    per_key = daily.groupBy("entity", "day").agg(F.count("*").alias("n"))
+    per_entity = per_key.groupBy("entity").agg(
+        F.sum("n").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), count_where(whole & (F.col("n") > 1)).alias("dup"))
+    dup = F.coalesce(F.sum("dup"), F.lit(0))
+    d = per_entity.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("daily rows"), F.min("first").alias("earliest date"), F.max("last").alias("latest date"),
+        F.count("entity").alias("entities"), (dup == 0).alias("grain is unique"), dup.alias("duplicate combinations"))
+    m = monthly_summary(monthly).select(
+        F.col("row_count").alias("monthly rows"), F.col("unique_entities").alias("monthly entities"),
+        F.col("duplicated_combinations").alias("monthly duplicate combinations"))
+    parts = [df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "metric", "value") for df in (d, m)]
+    return parts[0].unionByName(parts[1])
 
 
 def column_roles(spark: SparkSession, df: DataFrame, spec: SeriesSpec) -> DataFrame:

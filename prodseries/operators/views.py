@@ -97,7 +97,7 @@ VIEW_GRAIN = {
 
 def all_views(fact: DataFrame, dim: DataFrame, rules=None) -> dict[str, DataFrame]:
     """The six views by name, lazily."""
-    from prodseries.operators.checks import ReviewRules, review
+    from prodseries.operators.checks import ReviewRules, review, review_listing
     from prodseries.operators.episodes import downtime_episodes
 
     return {
@@ -106,7 +106,7 @@ def all_views(fact: DataFrame, dim: DataFrame, rules=None) -> dict[str, DataFram
         "vw_well_lifetime_summary": lifetime(fact, dim),
         "vw_field_monthly_summary": field_monthly(fact),
         "vw_downtime_episodes": downtime_episodes(fact, dim),
-        "vw_data_quality_review": review(fact, rules or ReviewRules()),
+        "vw_data_quality_review": review_listing(review(fact, rules or ReviewRules())),
     }
 
 

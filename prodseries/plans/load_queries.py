@@ -101,7 +101,7 @@ QUERIES = {
         table(s, d, "orders").select("o_orderkey", F.month("o_orderdate").alias("month")), F.col("month").between(1, 6)
     ),
     "con_propose": lambda s, d: con.propose_constraints(F_(s, d), con.daily_rules(F_(s, d), DRIVER)),
-    "vw_dq_review": lambda s, d: checks.review(F_(s, d), RULES),
+    "vw_dq_review": lambda s, d: checks.review_listing(checks.review(F_(s, d), RULES)),
     "qc_results": _checks,
     "qc_rollup": lambda s, d: checks.rollup(_checks(s, d)),
     "reconcile_detail": _detail,

@@ -137,6 +137,7 @@ QUERIES = {
     "nq_rate_by_entity": lambda s, d: ms.rate_by_entity(F_(s, d), "oil"),
     "nq_injection_rate_by_entity": lambda s, d: ms.rate_by_entity(F_(s, d), "injection"),
     "nq_abrupt_changes": lambda s, d: ms.abrupt_changes(F_(s, d), VOLUMES),
+    "nq_abrupt_listing": lambda s, d: ms.abrupt_listing(F_(s, d), D_(s, d), VOLUMES),
     "nq_abrupt_sensor_changes": lambda s, d: ms.abrupt_changes(F_(s, d), SENSORS, floor=50, guard="nonzero"),
     "nq_floor_sensitivity": lambda s, d: ms.floor_sensitivity(F_(s, d), [*FLUIDS, *SENSORS], FLOORS),
     "nq_largest_changes": lambda s, d: ms.largest_changes(F_(s, d), ["injection"], 15),
@@ -550,6 +551,8 @@ ORACLES = {
     "nq_rate_by_entity": query(rate_by("oil"), RATES),
     "nq_injection_rate_by_entity": query(rate_by("injection"), RATES),
     "nq_abrupt_changes": query(f"SELECT * EXCLUDE (ok) FROM diffs WHERE {BEYOND}", change_cte(VOLUMES, ">")),
+    "nq_abrupt_listing": query(
+        f"SELECT diffs.* EXCLUDE (ok), entity_name FROM diffs JOIN dim ON dim.entity = diffs.entity WHERE {BEYOND}", change_cte(VOLUMES, ">")),
     "nq_abrupt_sensor_changes": query(f"SELECT * EXCLUDE (ok) FROM diffs WHERE {BEYOND} AND abs(abs_change) >= 50", change_cte(SENSORS, "<>")),
     "nq_floor_sensitivity": query(
         alls(f"""SELECT "column", COUNT(*) AS comparisons, CAST({f} AS INTEGER) AS floor, COUNT(*) FILTER (WHERE {BEYOND} AND abs(abs_change) >= {f}) AS flags FROM diffs GROUP BY 1"""

@@ -64,6 +64,18 @@ def test_rank_limits_run_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(profile.head_per_entity(fact, 3))
 
 
+#: The most scans of lineitem in a query that asks several things of it, as it ran: what Spark reuses counts once.
+SCANS = {"gt_answers": 2, "pf_run_summary": 3, "pf_monthly": 2, "nq_record_state": 1, "vw_lifetime": 1, "pf_duplicate_rows": 3, "a1_oil_rank": 2, "pf_numeric": 2}
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_scans_are_limited(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    df.collect()
+    ran = plan(df).split("Initial Plan")[0]
+    assert "isFinalPlan=true" in ran and ran.count("l_suppkey:bigint") <= SCANS[name]
+
+
 def test_review_is_one_scan(spark):
     assert plan(checks.review(dt.daily_fact(spark, SF), checks.ReviewRules())).count("FileScan") == 1
 

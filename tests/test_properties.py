@@ -403,3 +403,39 @@ def test_ratios_are_rounded_once(spark):
                 low, rest = divmod(abs(exact), 1)
                 up = rest > Fraction(1, 2) or rest == Fraction(1, 2) and (mode is ROUND_HALF_UP or low % 2 == 1)
                 assert value == Decimal(int(low) + up).scaleb(-dp) * (-1 if exact < 0 else 1), (a, b, dp, times, even)
+
+
+@pytest.mark.parametrize("name,keys", [
+    ("dash_availability_month", ["month_start"]), ("dash_field_monthly", ["month_start"]), ("gt_history", ["entity_name", "day"]),
+    ("gt_active_in_year", ["month_start"]), ("vw_dq_review", ["day", "entity", "dq_issue"]),
+])
+def test_reports_come_in_their_order(spark, name, keys):
+    from prodseries.plans import registry
+
+    rows = [tuple(r[k] for k in keys) for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+    assert len(rows) > 10 and rows == sorted(rows)
+
+
+def test_abrupt_changes_are_listed_by_size(fact, dim):
+    rows = measures.abrupt_listing(fact, dim, ["oil"]).collect()
+    assert len(rows) > 3 and all(r.entity_name for r in rows)
+    assert [abs(r.pct_change) for r in rows] == sorted((abs(r.pct_change) for r in rows), reverse=True)
+
+
+@pytest.mark.parametrize("few,label", [(7_000_000, "spread broadly"), (7_000_004, "concentrated by entity")])
+def test_thresholds_are_held_against_counts(spark, few, label):
+    """A share of 0.7000004, which six decimals do not show, is above 0.7; exactly 0.7 is not."""
+    rest = 10_000_000 - few
+    rows = [(1, "2020-01-01", few // 2), (2, "2021-01-01", few - few // 2)] + [(3 + i, f"{2022 + i}-01-01", rest // 4 + (i < rest % 4)) for i in range(4)]
+    counts = spark.createDataFrame(rows, "entity bigint, day string, n bigint")
+    df = counts.select("entity", F.to_date("day").alias("day"), F.lit("OP").alias("state"), F.lit("production").alias("mode"),
+                       F.lit(None).cast("decimal(18,6)").alias("oil"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i")).drop("i")
+    assert missingness.patterns(df, ["oil"]).first().pattern == label
+
+
+def test_a_spread_just_above_the_threshold_is_wide(spark):
+    make = lambda blank: spark.range(2_000_000).select(
+        F.lit(1).alias("entity"), F.lit("2020-01-01").cast("date").alias("day"), F.when(F.col("id") < 1_000_000, "OP").otherwise("WI").alias("state"),
+        F.lit("production").alias("mode"), F.when(F.col("id") >= blank, F.lit(1).cast("decimal(18,6)")).alias("oil"))
+    kind = lambda blank: missingness.classification(make(blank), ["oil"]).first().classification
+    assert (kind(500_000), kind(500_001)) == ("MEASUREMENT", "CONTEXTUAL")
