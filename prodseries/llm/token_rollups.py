@@ -4,9 +4,11 @@ A batch of changes becomes signed sums by source, language and tokenizer version
 tokens, a delete takes them away, a revision adds the difference, and one that moves a document between groups takes it
 from the old and adds it to the new. Only these sums are stored; totals are the sums over all committed batches.
 
-A commit writes the sums into a folder of its own and then appends one row (batch, folder) to the log. A batch counts
-once, by its first folder in the log: a commit that is repeated, retried after a lost executor or raced by another one
-changes nothing. compact() folds all batches so far into one and goes through the log like any other commit.
+A commit writes the sums into a folder of its own and then adds an entry (batch, folder) to a log of numbered files, each
+created only if its number is free. Who loses a number to another writer looks at the log again: a batch that is in it
+by now is not added twice, so a commit that is repeated, retried after a lost executor or raced by another one changes
+nothing. compact() folds the batches so far into one, under a name made from theirs, and enters the log in the same way,
+but only while none of them has been replaced; of two compactions that overlap, the second to arrive is void.
 
 Changes: op ('insert', 'delete', 'revise'), source, lang, tokenizer, n_tokens, and for a revision old_n_tokens, with
 old_source, old_lang, old_tokenizer if these differ (null: as before). Cases: null counts are 0; null source, lang or
@@ -16,16 +18,17 @@ without rows is committed and adds nothing; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodseries.llm.storage import new_folder
+from prodseries.sources.versions import VersionLog
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-LOG = "batch string, folder string, replaces array<string>, at timestamp"
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -56,31 +59,38 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or new_folder(spark, "rollup")
-        none = spark.createDataFrame([], LOG)
-        none.coalesce(1).write.mode("append").parquet(f"{self.folder}/log")  # so that the log exists
+        self._log = VersionLog(spark, f"{self.folder}/log")
 
-    def log(self) -> DataFrame:
-        """(batch, folder, replaces) of what counts: of each batch the first folder, without what a compaction replaced."""
-        log = self.spark.read.schema(LOG).parquet(f"{self.folder}/log")
-        first = log.groupBy("batch").agg(F.min_by(F.struct("folder", "replaces"), F.struct("at", "folder")).alias("f")).select("batch", "f.*")
-        gone = first.select(F.explode("replaces").alias("batch")).distinct()
-        return first.join(gone, "batch", "left_anti")
+    @staticmethod
+    def _live(entries: list[tuple[int, dict]]) -> dict[str, str]:
+        """{batch: folder} of what counts: all batches but those that a compaction replaced."""
+        gone = {name for _, e in entries for name in e["replaces"]}
+        return {e["batch"]: e["folder"] for _, e in entries if e["batch"] not in gone}
+
+    def live(self) -> dict[str, str]:
+        return self._live(self._log.entries())
 
     def seen(self, batch: str) -> bool:
-        return self.spark.read.schema(LOG).parquet(f"{self.folder}/log").where(F.col("batch") == batch).limit(1).count() > 0
+        return any(e["batch"] == batch for _, e in self._log.entries())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch; False if it was committed before."""
-        if self.seen(batch):
-            return False
-        self._publish(batch, deltas(changes), [])
-        return True
+        """Add a batch; False if it was committed before, or by another writer meanwhile."""
+        return not self.seen(batch) and self.publish(batch, self.prepare(deltas(changes)))
 
-    def _publish(self, batch: str, sums: DataFrame, replaces: list[str]) -> None:
+    def prepare(self, sums: DataFrame) -> str:
+        """Write sums into a new folder. Nothing counts them until publish()."""
         folder = f"{self.folder}/sums-{uuid.uuid4().hex}"
         sums.write.parquet(folder)
-        entry = self.spark.createDataFrame([(batch, folder, replaces)], "batch string, folder string, replaces array<string>")
-        entry.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+        return folder
+
+    def publish(self, batch: str, folder: str, replaces: tuple[str, ...] = ()) -> bool:
+        """Enter the prepared folder as the batch; False, and nothing changes, if the log has the batch or lacks one that it replaces."""
+        def entry(seen: list[tuple[int, dict]]) -> dict | None:
+            if any(e["batch"] == batch for _, e in seen) or not set(replaces) <= set(self._live(seen)):
+                return None
+            return {"batch": batch, "folder": folder, "replaces": list(replaces)}
+
+        return self._log.append(entry) is not None
 
     def _sums(self, folders: list[str]) -> DataFrame:
         rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
@@ -89,13 +99,21 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens after all committed batches; groups that came to nothing are left out."""
-        return self._sums([r.folder for r in self.log().select("folder").sort("folder").collect()])  # a row a batch
-
-    def compact(self) -> None:
+        return self._sums(sorted(self.live().values()))  # a folder a batch
+
+    def fold(self) -> tuple[str, str, tuple[str, ...]] | None:
+        """Write the sum of the batches so far: (name, folder, batches), to be published; None where there is nothing to fold."""
+        parts = self.live()
+        if len(parts) < 2:
+            return None
+        names = tuple(sorted(parts))
+        digest = hashlib.sha256("\0".join(names).encode()).hexdigest()
+        return f"compaction-{digest}", self.prepare(self._sums([parts[n] for n in names])), names
+
+    def compact(self) -> bool:
         """Fold the batches so far into one. Their names stay in the log, so none of them can be committed again."""
-        parts = self.log().sort("batch").collect()
-        if len(parts) > 1:
-            self._publish(f"compaction-{uuid.uuid4().hex}", self._sums([r.folder for r in parts]), [r.batch for r in parts])
+        folded = self.fold()
+        return folded is not None and self.publish(*folded)
 
 
 def feed(docs: DataFrame, labels: DataFrame, rollup: Rollup) -> None:

@@ -358,6 +358,31 @@ def test_search_with_equal_vectors_and_few_candidates(spark):
     assert rows(vector_search.nearest(e.where("vec_id IN (0, 3)")), "query_id", "vec_id", "score") == [(0, 3, pytest.approx(1.0))]
 
 
+INSERTS = "op string, source string, lang string, tokenizer string, n_tokens long"
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_two_writers_that_both_prepared(spark, order):
+    first, second = token_rollups.Rollup(spark), None
+    second = token_rollups.Rollup(spark, first.folder)
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "t", n)], INSERTS)
+    both = [(w, w.prepare(token_rollups.deltas(batch(10)))) for w in (first, second)]
+    assert [both[i][0].publish("one", both[i][1]) for i in order] == [True, False]
+    assert first.commit("two", batch(5))
+    total = [("a", "en", "t", 2, 15)]
+    columns = (*token_rollups.KEYS, "n_docs", "n_tokens")
+    assert rows(second.totals(), *columns) == total
+    # two compactions of the same batches, and one of more of them
+    folds = [(w, w.fold()) for w in (first, second)]
+    assert first.commit("three", batch(1))
+    more = second.fold()
+    assert [folds[i][0].publish(*folds[i][1]) for i in order] == [True, False]
+    assert not second.publish(*more)
+    assert rows(first.totals(), *columns) == [("a", "en", "t", 3, 16)] and len(first.live()) == 2
+    assert first.compact() and not first.compact() and not first.commit("one", batch(10))
+    assert rows(second.totals(), *columns) == [("a", "en", "t", 3, 16)] and len(first.live()) == 1
+
+
 def test_rollup_commits_once_and_moves(spark):
     r = token_rollups.Rollup(spark)
     columns = "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long, old_source string"
@@ -370,7 +395,7 @@ def test_rollup_commits_once_and_moves(spark):
     assert rows(r.totals(), *token_rollups.KEYS, "n_docs", "n_tokens") == want
     r.compact()
     assert rows(r.totals(), *token_rollups.KEYS, "n_docs", "n_tokens") == want and not r.commit("1", first)
-    r._publish("1", token_rollups.deltas(first), [])  # a second writer that did not see the first
+    assert not r.publish("1", r.prepare(token_rollups.deltas(first)))  # a second writer that did not see the first
     assert rows(r.totals(), *token_rollups.KEYS, "n_docs", "n_tokens") == want
     assert rows(token_rollups.Rollup(spark, r.folder).totals(), *token_rollups.KEYS, "n_docs", "n_tokens") == want
     with pytest.raises(Exception, match="not an op"):
