@@ -10,9 +10,10 @@ Trees are stored as tables (file, level, node, digest), so that an audit reads r
 grouping is bounded: by the records that start in LEAF bytes, and by FANOUT children.
 
 Records: file, offset, length, record_id, digest. Cases: rows with a null file or offset have no place in an order and
-are not looked at; a null digest counts as an empty one; exact repeats of a record count once; several records at one
-offset are all hashed, in the order of their ids; a file that one replica lacks altogether is reported record by
-record; replicas without records have no roots and agree.
+are not looked at; a null digest counts as an empty one; exact repeats of a record at one place count once; several
+records at one offset are all hashed, in the order of their ids; a file that one replica lacks altogether is reported
+record by record; replicas without records have no roots and agree. Pages: each row is a record of its own, repeated
+ones too; a null url or html is empty; an empty table has no records; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,26 +23,50 @@ from pyspark.sql import functions as F
 
 from prodseries.llm.storage import stored
 
+#: Pages of a file from which it is split by content.
+MOST_PAGES = 16_000
 #: Bytes of offsets under a leaf node, children of a node, and levels: 1 MB x 16^5 is a TiB a top node.
 LEAF, FANOUT, LEVELS = 1 << 20, 16, 6
 
 
-def records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) as the WARC records of an archive: file, offset, length, record_id, digest.
+def archive(pages: DataFrame, per_file: int = 1000) -> DataFrame:
+    """pages (page_id, url, html) as the WARC records of an archive: file, offset, record_id, mark, head, html, payload.
 
-    A file takes the records of per_file page ids, in their order. Pages without an id are spread over 4096 files.
+    A file takes the records of per_file page ids, in their order; pages without an id are dealt by a hash to files of
+    about per_file pages. A file of more than MOST_PAGES different pages is split by content, and equal pages are one
+    row until their offsets are known: no window holds more than a file's different pages.
     """
     url, html, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")), F.col("page_id")
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(page.cast("string"), F.lit("")), F.lit(">\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
     )
-    whole = F.concat(head, html, F.lit("\r\n\r\n"))
-    spread = F.concat(F.lit("none-"), F.substring(F.md5(F.concat(url, html)), 1, 3))
+    nameless = -(-pages.where("page_id IS NULL").count() // per_file)
+    content = F.conv(F.substring(F.md5(F.concat(url, html)), 1, 8), 16, 10).cast("long")
+    spread = F.concat(F.lit("none-"), F.pmod(content, F.lit(max(1, nameless))).cast("string"))
     file = F.coalesce(F.concat(F.lit("pages-"), F.floor(page / per_file).cast("string")), spread)
-    rows = pages.select(file.alias("file"), page.alias("record_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.md5(F.concat(url, F.lit(" "), F.coalesce(page.cast("string"), F.lit("")))).alias("mark"))
+    mark = F.md5(F.concat(url, F.lit(" "), F.coalesce(page.cast("string"), F.lit(""))))
+    rows = pages.select(file.alias("file"), page.alias("record_id"), mark.alias("mark"), content.alias("content"), head.alias("head"), html.alias("html"))
+    whole = F.concat("head", "html", F.lit("\r\n\r\n"))
+    rows = rows.withColumn("length", F.octet_length(whole).cast("long")).withColumn("digest", F.sha2(whole, 256))
+    once = rows.groupBy("file", "record_id", "digest", "length").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("mark", "content", "head", "html")])  # the same in all of them
+    parts = once.groupBy("file").agg(F.ceil(F.count("*") / MOST_PAGES).alias("parts")).where("parts > 1").withColumnRenamed("file", "_file")
+    once = once.join(parts, F.col("file") == F.col("_file"), "left")
+    once = once.withColumn("file", F.when(F.col("parts") > 1, F.concat("file", F.lit("-"), F.pmod("content", "parts").cast("string"))).otherwise(F.col("file")))
     order = Window.partitionBy("file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.distinct().withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    placed = once.withColumn("first", F.coalesce(F.sum(F.col("length") * F.col("n")).over(order), F.lit(0)))
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return copies.select("file", (F.col("first") + F.col("copy") * F.col("length")).alias("offset"), "record_id", "mark", "head", "html", whole.alias("payload"))
+
+
+def index(replica: DataFrame) -> DataFrame:
+    """The records of a replica (file, offset, record_id, payload), each hashed from its own bytes."""
+    return replica.select("file", "offset", F.octet_length("payload").cast("long").alias("length"), "record_id", F.sha2("payload", 256).alias("digest"))
+
+
+def records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
+    return index(archive(pages, per_file))
 
 
 def _placed(replica: DataFrame) -> DataFrame:
@@ -100,25 +125,34 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS) -> DataFram
     ).where("damage IS NOT NULL")
 
 
-def worn(archive: DataFrame) -> DataFrame:
-    """A replica of records() that has suffered: about one record in 256 has another payload, one in 256 is gone."""
-    mark = F.substring("mark", 1, 2)
-    return archive.where(mark != "b3").withColumn("digest", F.when(mark == "a7", F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest")))
+def worn(replica: DataFrame) -> DataFrame:
+    """A replica of archive() that has suffered, by the first digit of a record's mark: of 16 records two have another
+    character in the middle of the html, one ends there, one is gone, and one has a copy with more behind the file's end."""
+    digit, middle = F.substring("mark", 1, 1), F.length("head") + F.floor(F.length("html") / 2).cast("int")
+    at = F.substring("payload", middle + 1, F.lit(1))
+    other = F.concat(F.substring("payload", F.lit(1), middle), F.when(at == "x", "y").otherwise("x"), F.substring("payload", middle + 2, F.length("payload")))
+    payload = F.when(digit.isin("a", "7"), other).when(digit == "3", F.substring("payload", F.lit(1), middle)).otherwise(F.col("payload"))
+    kept = replica.where(digit != "b").withColumn("payload", payload).select("file", "offset", "record_id", "payload")
+    end = replica.groupBy("file").agg(F.max(F.col("offset") + F.octet_length("payload")).alias("end"))
+    added = replica.where(digit == "c").join(end, "file")
+    return kept.unionByName(added.select("file", (F.col("offset") + F.col("end")).alias("offset"), "record_id", F.concat("payload", F.lit("again")).alias("payload")))
 
 
-# The damage of worn(), found without trees.
+# The damage of worn(), found without trees and without hashing a replica.
 SQL = r"""
-WITH r AS (
-  SELECT DISTINCT coalesce('pages-' || floor(page_id / 1000)::BIGINT::VARCHAR, 'none-' || md5(coalesce(url, '') || coalesce(html, ''))[1:3]) AS file,
-         page_id AS record_id, md5(coalesce(url, '') || ' ' || coalesce(page_id::VARCHAR, '')) AS mark,
+WITH n AS (SELECT greatest(1, ceil(count(*) / 1000))::BIGINT AS files FROM pages WHERE page_id IS NULL),
+r AS (
+  SELECT coalesce('pages-' || floor(page_id / 1000)::BIGINT::VARCHAR, 'none-' || (('0x' || md5(coalesce(url, '') || coalesce(html, ''))[1:8])::BIGINT % n.files)::VARCHAR) AS file,
+         page_id AS record_id, md5(coalesce(url, '') || ' ' || coalesce(page_id::VARCHAR, ''))[1] AS mark,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
          || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'Content-Length: '
          || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS whole
-  FROM pages),
+  FROM pages, n),
 p AS (
-  SELECT *, strlen(whole)::BIGINT AS length,
+  SELECT *, strlen(whole)::BIGINT AS length, (sum(strlen(whole)) OVER (PARTITION BY file))::BIGINT AS total,
          coalesce(sum(strlen(whole)) OVER (PARTITION BY file ORDER BY record_id NULLS FIRST, sha256(whole) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM r)
-SELECT file, "offset", length, record_id, CASE mark[1:2] WHEN 'a7' THEN 'altered' ELSE 'missing' END AS damage
-FROM p WHERE mark[1:2] IN ('a7', 'b3')
+SELECT file, "offset", length, record_id, CASE mark WHEN 'b' THEN 'missing' ELSE 'altered' END AS damage FROM p WHERE mark IN ('a', '7', '3', 'b')
+UNION ALL
+SELECT file, "offset" + total, length + 5, record_id, 'extra' FROM p WHERE mark = 'c'
 """

@@ -17,9 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as an archive, audited against a replica that has suffered."""
-    archive = stored(fixity.records(read(spark, sf_dir, "pages")), "archive")  # an index of the records, without their payload
-    return fixity.audit(archive, fixity.worn(archive))
+    """The pages as an archive, audited against a replica that has suffered; each is hashed from its own bytes."""
+    first = fixity.archive(read(spark, sf_dir, "pages"))
+    second = fixity.worn(first)
+    return fixity.audit(*(stored(fixity.index(replica), "index") for replica in (first, second)))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,12 +116,12 @@ def test_pages_of_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "h"), (None, "u", "h"), (2, "u", "x" * 200_000), (2, "u", "other"), (3, "", ""), (3, "", "")]
     pages = spark.createDataFrame(rows, schema)
     archive = fixity.records(clashing(pages))
-    assert archive.count() == 5
+    assert archive.count() == len(rows)  # repeated pages are records of their own
     assert fixity.audit(archive, archive).count() == 0
     assert {r.damage for r in fixity.audit(archive, archive.limit(0)).collect()} == {"missing"}
     assert fixity.audit(fixity.records(pages.limit(0)), fixity.records(pages.limit(0))).count() == 0
     holes = archive.select(*(F.when(F.col("record_id") == 3, None).otherwise(F.col(c)).alias(c) for c in archive.columns))
-    assert [r.damage for r in fixity.audit(archive, holes).collect()] == ["missing"]
+    assert [r.damage for r in fixity.audit(archive, holes).collect()] == ["missing"] * 2
 
 
 def test_vectors_that_take_no_part(spark):

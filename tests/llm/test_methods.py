@@ -402,6 +402,66 @@ def test_rollup_commits_once_and_moves(spark):
         r.commit("3", spark.createDataFrame([("add", "a", "en", "t1", 1, None, None)], columns))
 
 
+def plain_archive(pages, per_file, nameless):
+    """[file, offset, record_id, mark, head, html] of each page, by plain sorting."""
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    files = {}
+    for page, url, html in pages:
+        url, html, name = url or "", html or "", "" if page is None else str(page)
+        head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <urn:page:{name}>\r\nContent-Length: {len(html.encode())}\r\n\r\n"
+        file = f"none-{int(md5(url + html)[:8], 16) % nameless}" if page is None else f"pages-{page // per_file}"
+        files.setdefault(file, []).append((page, sha(f"{head}{html}\r\n\r\n"), md5(f"{url} {name}"), head, html))
+    out = []
+    for file, rows_ in files.items():
+        at = 0
+        for page, _, mark, head, html in sorted(rows_, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+            out.append((file, at, page, mark, head, html))
+            at += len(f"{head}{html}\r\n\r\n".encode())
+    return out
+
+
+def test_replica_hashed_from_its_own_bytes(spark):
+    rng = random.Random(6)
+    pages = [(rng.randrange(60) if rng.random() < 0.9 else None, f"u{rng.randrange(200)}", rng.choice(["", None, "xé日本" * rng.randrange(30), "h" * 70_000])) for _ in range(400)]
+    pages += [pages[3]] * 40
+    first = fixity.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), per_file=20)
+    one = plain_archive(pages, 20, -(-sum(p[0] is None for p in pages) // 20))
+    ends, two = {}, []
+    for file, at, page, mark, head, html in one:
+        whole = f"{head}{html}\r\n\r\n"
+        ends[file] = max(ends.get(file, 0), at + len(whole.encode()))
+        middle = len(head) + len(html) // 2
+        if mark[0] in "a7":
+            whole = whole[:middle] + ("y" if whole[middle] == "x" else "x") + whole[middle + 1 :]
+        if mark[0] != "b":
+            two.append((file, at, page, whole[:middle] if mark[0] == "3" else whole))
+    two += [(f, at + ends[f], page, f"{head}{html}\r\n\r\nagain") for f, at, page, mark, head, html in one if mark[0] == "c"]
+    describe = lambda replica: {(f, at, page): (len(w.encode()), sha(w)) for f, at, page, w in replica}
+    a, b = describe((*r[:3], f"{r[4]}{r[5]}\r\n\r\n") for r in one), describe(two)
+    columns = "file", "offset", "record_id", "length", "digest"
+    assert rows(fixity.index(first), *columns) == by_key((*k, *v) for k, v in a.items())
+    assert rows(fixity.index(fixity.worn(first)), *columns) == by_key((*k, *v) for k, v in b.items())
+    kind = lambda k: "missing" if k not in b else "extra" if k not in a else "altered"
+    want = [(*k, (a.get(k) or b[k])[0], kind(k)) for k in {**a, **b} if a.get(k) != b.get(k)]
+    assert len(want) >= 100 and {w[4] for w in want} == {"missing", "extra", "altered"}
+    got = fixity.audit(fixity.index(first), fixity.index(fixity.worn(first)))
+    assert rows(got, "file", "offset", "record_id", "length", "damage") == by_key(want)
+
+
+def test_a_full_file_is_split(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "MOST_PAGES", 50)
+    pages = [(7, f"u{i}", "h" * (i % 9)) for i in range(400)] + [(8, "same", "page")] * 300
+    got = fixity.records(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 700 and len({r.file for r in got}) == 9
+    for file in {r.file for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.file == file), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+
+
 def test_fixity_descends_to_the_damage(spark, monkeypatch):
     monkeypatch.setattr(fixity, "LEAF", 64)
     rows_ = [(f, k * 10, 10, k, f"d{f}{k}") for f in ("x", "y") for k in range(400)]
