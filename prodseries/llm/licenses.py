@@ -3,7 +3,9 @@
 A template is the wording of a license or notice with two kinds of regions in SPDX's markup: what stands between
 <<beginOptional>> and <<endOptional>> may be missing, and <<var;name=...;max=n>> stands for up to n words of any kind.
 It is compiled into an automaton over words; a text matches where the automaton accepts, so all mandatory wording must
-stand there exactly, in order. A text that lacks the longest mandatory run of a template is not looked at for it.
+stand there exactly, in order: the whole text of a license, or the whole of its notice, so that a license with a clause
+added, changed or left out is not one. A text that lacks a mandatory word of a template, or its longest mandatory run, is
+not looked at for it. The wording is in license_texts.py.
 
 Words: A-Z is lower-cased, then maximal runs of digits, a-z and characters outside ASCII. Cases: a null or empty text
 has no words and no match; a null doc_id is kept; repeated rows give equal results; an empty table gives an empty
@@ -20,37 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prodseries.llm.license_texts import templates
+
 # Phrases and labels of the base.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices and license texts, with their label.
-TEMPLATES = [
-    ("mit", "<<beginOptional>>the <<endOptional>>mit license"),
-    ("mit", """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-     documentation files (the <<var;name=quote;max=2>> software <<beginOptional>>or materials<<endOptional>>), to deal in the
-     software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
-     sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject
-     to the following conditions: the above copyright notice and this permission notice
-     <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of
-     the software."""),
-    ("isc", """permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-     granted, provided that the above copyright notice and this permission notice appear in all copies."""),
-    ("apache-2.0", "apache license<<beginOptional>>,<<endOptional>> <<beginOptional>>version<<endOptional>> 2.0"),
-    ("apache-2.0", """licensed under the apache license, version 2.0 (the <<beginOptional>>"<<endOptional>>license); you may not
-     use this file except in compliance with the license."""),
-    ("gpl-3.0", "gnu <<beginOptional>>affero<<endOptional>> general public license<<beginOptional>>,<<endOptional>> version 3"),
-    ("gpl-notice", """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general
-     public license as published by the free software foundation, either version <<var;name=version;max=2>> of the license, or
-     (at your option) any later version."""),
-    ("cc-by-nc", "cc by nc <<var;name=version;max=2>>"),
-    ("cc-by-sa", "cc by sa <<var;name=version;max=2>>"),
-    ("bsd-3-clause", """redistribution and use in source and binary forms, with or without modification, are permitted provided
-     that the following conditions are met: <<var;name=bullet;max=1>> redistributions of source code must retain the above
-     copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet;max=1>> redistributions in
-     binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-     documentation and/or other materials provided with the distribution. <<var;name=bullet;max=1>> neither the name of
-     <<var;name=holder;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this
-     software without specific prior written permission."""),
-]
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 TO_WORDS = bytes(b | 0x20 if chr(b).isalpha() else b if chr(b).isdigit() else 0x20 for b in range(128)) + bytes(range(128, 256))
 
@@ -68,6 +43,7 @@ class Automaton:
     step: list[tuple[bytes | None, int] | None] = field(default_factory=list)
     free: list[list[int]] = field(default_factory=list)
     anchor: bytes = b""
+    must: frozenset[bytes] = frozenset()
     least: int = 0
 
     def state(self) -> int:
@@ -124,7 +100,6 @@ def compiled(label: str, template: str, base: bool = False) -> Automaton:
                 here = a.state()
             for s in enter:
                 a.free[s].append(here)
-            # what follows a region needs a state of its own
         elif part == "beginOptional":
             runs.append([])
             opened.append(here)
@@ -144,19 +119,23 @@ def compiled(label: str, template: str, base: bool = False) -> Automaton:
     if None in a.first or len(a.step) - 1 in a.start:
         raise ValueError(f"{label}: a template has to begin with a word and must not be empty")
     a.anchor = b" " + b" ".join(max(runs, key=len)) + b" "
-    a.least = sum(map(len, runs))
+    a.must, a.least = frozenset(w for r in runs for w in r), sum(map(len, runs))
     return a
 
 
 def automata() -> list[Automaton]:
-    return [compiled(v, k, True) for k, v in PHRASES.items()] + [compiled(label, t) for label, t in TEMPLATES]
+    return [compiled(v, k, True) for k, v in PHRASES.items()] + [compiled(label, t) for label, t in templates()]
 
 
 def scan(text: str | None, of: list[Automaton]) -> tuple[int, list[tuple[Automaton, int, int]]]:
     """The number of words, and all matches (automaton, first word, word after the last)."""
     tokens = words(text)
+    there = set(tokens)
+    some = [a for a in of if a.must <= there]
+    if not some:
+        return len(tokens), []
     joined = b" %b " % b" ".join(tokens)
-    return len(tokens), [(a, start, end) for a in of if a.anchor in joined for start, end in a.find(tokens)]
+    return len(tokens), [(a, start, end) for a in some if a.anchor in joined for start, end in a.find(tokens)]
 
 
 def matches(docs: DataFrame) -> DataFrame:
