@@ -9,9 +9,9 @@ Lists are cut into blocks of bounded size, and so are the queries of a list; a b
 in an equi-join on the list, so a hot list is many tasks' work and no task holds more than two blocks at once.
 
 Cases: a row with a null id takes no part, nor does a vector that is null, zero, or holds null or non-finite components,
-nor one of another length than the most frequent (the larger, of two as frequent). Of rows with one id the smallest
-vector counts. Equal scores go to the smaller id; fewer than k candidates are all returned; without queries or
-candidates the result is empty; other columns are not looked at.
+nor one of another length than the most frequent (the larger, of two as frequent). Rows with one id are rows of their
+own: each is a query where its id is, and each a candidate of the others. Equal scores go to the smaller id; fewer than
+k candidates are all returned; without queries or candidates the result is empty; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ SEED = 7
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles."""
+    """(row, vec_id, v): the vectors that take part, as doubles, and a number of each row."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))
     size = rows.groupBy(F.size("v").alias("n")).count().sort(F.desc("count"), F.desc("n")).first()
     rows = rows.where(F.size("v") == size.n) if size else rows
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def fit(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
@@ -88,10 +88,10 @@ def cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def scan(turned: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, turned_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the best k of a block. turned: dimensions x vectors, so that a block of columns lies together."""
+def scan(turned: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, turned_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the best k of a block but the row `own`. turned: dimensions x vectors, so that a block of columns lies together."""
     n, total = turned.shape
-    alive = np.flatnonzero(ids != own)
+    alive = np.flatnonzero(rows != own)
     if len(alive) > 4 * k:
         # the limit: the k-th smallest full distance among a few of them
         few = alive[:: max(1, len(alive) // (8 * k))]
@@ -109,65 +109,83 @@ def scan(turned: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.nda
 
 
 def _assigned(rows: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """(list, id, v as bytes): each vector in its `probes` nearest lists."""
+    """(list, row, id, v as bytes): each vector in its `probes` nearest lists."""
     sent = rows.sparkSession.sparkContext.broadcast(centers)  # MOST_LISTS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 2048):
                 part = batch.slice(start, 2048)
-                v = part.column(1).flatten().to_numpy().reshape(len(part), -1)
+                v = part.column(2).flatten().to_numpy().reshape(len(part), -1)
                 near = unit(v) @ sent.value.T
                 lists = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(v), 1))
-                ids = np.repeat(part.column(0).to_numpy(), lists.shape[1])
+                numbers, ids = (np.repeat(part.column(c).to_numpy(), lists.shape[1]) for c in (0, 1))
                 data = [x.tobytes() for x in v]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(lists.ravel().astype(np.int32)), pa.array(ids.astype(np.int64)),
+                    pa.array(lists.ravel().astype(np.int32)), pa.array(numbers.astype(np.int64)), pa.array(ids.astype(np.int64)),
                     pa.array([d for d in data for _ in range(lists.shape[1])], pa.binary()),
-                ], names=["list", "id", "v"])
+                ], names=["list", "row", "id", "v"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "list int, id bigint, v binary")
+    return rows.select("row", "vec_id", "v").mapInArrow(run, "list int, row bigint, id bigint, v binary")
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(list, ids, vs): the rows of each list in blocks of about `size`, spread by a hash of the id."""
+def _blocks(rows: DataFrame, size: int, by_column: bool) -> DataFrame:
+    """(list, rows, ids, v, turned): the rows of each list in blocks of about `size`, spread by a hash of the row.
+
+    turned holds the unit vectors after the rotation, with by_column dimension by dimension. Both are stored, so that a
+    block that meets many others is turned once.
+    """
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # a row a list
-    cut = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
-    both = F.array_sort(F.collect_list(F.struct("id", "v")))
-    grouped = cut.groupBy("list", "part").agg(both.alias("rows"))
-    return grouped.select("list", "part", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"))
+    cut = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.hash("row"), F.col("parts")))
+    grouped = cut.groupBy("list", "part").agg(F.array_sort(F.collect_list(F.struct("row", "id", "v"))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = None
+        for batch in batches:
+            for i in range(len(batch)):
+                data = batch.column(3)[i].as_py()
+                v = np.frombuffer(b"".join(data)).reshape(len(data), -1)
+                turn = rotation(v.shape[1]) if turn is None else turn
+                turned = unit(v) @ turn
+                more = [pa.array([x.tobytes()], pa.binary()) for x in (v, np.ascontiguousarray(turned.T) if by_column else turned)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:3], *more], names=["list", "rows", "ids", "v", "turned"])
+
+    packed = grouped.select("list", "m.row", "m.id", "m.v").mapInArrow(run, "list int, rows array<bigint>, ids array<bigint>, v binary, turned binary")
+    return stored(packed, "blocks")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest others."""
     rows = stored(usable(vectors), "vectors")
-    sample = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
-    kind = "query_id bigint, vec_id bigint, score double"
+    sample = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"]
+    kind = "row bigint, query_id bigint, vec_id bigint, score double"
     if not len(sample):
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     lists = int(np.clip(rows.count() // PER_LIST, 1, MOST_LISTS))
     scaled = unit(np.stack(sample))
     centers = fit(scaled, lists)
     probes = probes_for(scaled, centers, k)
-    blocks = _blocks(_assigned(rows, centers, 1), BLOCK)
-    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, probes), QUERIES)
-    asked = asked.select("list", F.col("part").alias("asked_part"), F.col("ids").alias("asked_ids"), F.col("vs").alias("asked_vs"))
-    met = blocks.join(asked, "list").select("ids", "vs", "asked_ids", "asked_vs")
+    blocks = _blocks(_assigned(rows, centers, 1), BLOCK, by_column=True)
+    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, probes), QUERIES, by_column=False)
+    asked = asked.select("list", *(F.col(c).alias(f"asked_{c}") for c in ("rows", "ids", "v", "turned")))
+    columns = ["rows", "ids", "v", "turned"]
+    met = blocks.join(asked, "list").select(*columns, *(f"asked_{c}" for c in columns))
+    n = scaled.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, asked_ids = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
-                v, asked_v = (np.frombuffer(b"".join(batch.column(c)[i].as_py())).reshape(len(x), -1) for c, x in ((1, ids), (3, asked_ids)))
-                turn = rotation(v.shape[1])
-                turned, turned_asked = np.ascontiguousarray((unit(v) @ turn).T), unit(asked_v) @ turn
-                found = [scan(turned, v, ids, q, own, tq, k) for own, q, tq in zip(asked_ids, asked_v, turned_asked)]
+                numbers, ids, asked_numbers, asked_ids = (batch.column(c)[i].values.to_numpy() for c in (0, 1, 4, 5))
+                v, turned, asked_v, asked_turned = (np.frombuffer(batch.column(c)[i].as_py()) for c in (2, 3, 6, 7))
+                v, turned, asked_v, asked_turned = v.reshape(-1, n), turned.reshape(n, -1), asked_v.reshape(-1, n), asked_turned.reshape(-1, n)
+                found = [scan(turned, v, numbers, ids, q, own, tq, k) for own, q, tq in zip(asked_numbers, asked_v, asked_turned)]
+                size = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(asked_ids, [len(f[0]) for f in found])),
+                    pa.array(np.repeat(asked_numbers, size)), pa.array(np.repeat(asked_ids, size)),
                     pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found])),
-                ], names=["query_id", "vec_id", "score"])
+                ], names=["row", "query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, kind)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
