@@ -127,11 +127,14 @@ def test_pages_of_odd_rows(spark):
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0])]
-    rows += [(8, [1.0, 1.0]), (8, [1.0, 1.0]), (9, [1e200, 1e200]), (50, [0.0, 2.0])]
+    rows += [(8, [1.0, 1.0]), (9, [1e200, 1e200]), (50, [0.0, 2.0])]
     e = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in vector_search.nearest(e).collect())
     assert got == [(0, 1, 8, 0.707107), (0, 2, 9, 0.707107), (0, 3, 50, 0.0), (50, 1, 8, 0.707107), (50, 2, 9, 0.707107), (50, 3, 0, 0.0)]
     assert vector_search.nearest(e.limit(0)).count() == 0
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in vector_search.nearest(twice).collect())
+    assert got == [(1, 3, 0.707107), (1, 50, 0.707107), (2, 3, 0.0), (2, 50, 0.707107)]  # each is a query of its own
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])

@@ -1,5 +1,6 @@
 """Each operator against a plain version, a library, held-out texts or itself in another way."""
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from brute import contamination, near, personal, sha, words
 from pyspark.sql import functions as F
 
-from prodseries.llm import bpe, decontaminate, fixity, language_id, licenses, near_dup, pii, token_rollups, unit_dedup, vector_search
+from prodseries.llm import bpe, decontaminate, fixity, language_id, license_texts, licenses, near_dup, pii, token_rollups, unit_dedup, vector_search
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -178,6 +179,141 @@ def test_bpe_is_that_of_the_library(spark, texts):
     assert rows(bpe.decode(bpe.encode(df)), "doc_id", "text") == by_key(docs)
 
 
+def test_language_counts_and_decoding_against_plain_ones(spark):
+    """n-grams counted one by one, and codewords compared one by one."""
+    from collections import Counter
+
+    rng, m32 = random.Random(9), 2**32 - 1
+    said = [("a", "Ab, c"), ("b", "Łódź é"), ("a", ""), ("b", "  x "), ("c", "abab 12")]
+    said += [(rng.choice("abc"), "".join(rng.choice("aBcé ź.日") for _ in range(rng.randrange(60)))) for _ in range(40)]
+    want = Counter()
+    for lang, text in said:
+        code = [0x20 if b < 128 and not chr(b).isalpha() else b | 0x20 if b < 128 else b for b in text.lower().encode()]
+        for n in language_id.GRAMS:
+            for i in range(len(code) - n + 1):
+                if code[i] == 0x20 == code[i + n - 1]:
+                    continue
+                mixed = sum(c * int(language_id.MULTIPLIERS[k]) for k, c in enumerate(code[i : i + n])) & m32
+                hashed = ((mixed ^ mixed >> 15) * 0x2C1B3C6D + (n * 0x632BE5AB & m32)) & m32
+                want[lang, (hashed ^ hashed >> 13) & (language_id.BUCKETS - 1)] += 1
+    got = language_id._counts(spark.createDataFrame(said, "lang string, text string"), ["a", "b", "c"])
+    assert {("abc"[i], int(b)): int(got[i, b]) for i, b in zip(*np.nonzero(got))} == dict(want)
+    code = language_id.codewords(5)
+    trust = np.random.default_rng(1).random(code.shape) + 0.5
+    model = language_id.Model(tuple("abcde"), code, np.zeros((code.shape[1], language_id.BUCKETS)), trust)
+    answers = np.random.default_rng(2).uniform(-1, 1, (50, code.shape[1]))
+    at, score, ambiguous = model.decode(answers)
+    for i, row in enumerate(answers):
+        loss = [sum(math.exp(-x * int(code[k, j])) * trust[k, j] for j, x in enumerate(row)) for k in range(5)]
+        best = min(range(5), key=lambda k: loss[k])
+        first, second = sorted(loss)[:2]
+        assert at[i] == best and bool(ambiguous[i]) == (first >= language_id.AMBIGUOUS * second)
+        assert abs(score[i] - 1 / sum(math.exp(-4 * (x - first)) for x in loss)) < 1e-9
+
+
+def variants(template, fill, keep):
+    """The words of a template with its optional parts kept or not, and each replaceable region filled by fill(max)."""
+    out, skip = [], 0
+    for i, part in enumerate(licenses.MARKUP.split(template)):
+        if i % 2 == 0:
+            out += [] if skip else [w.decode() for w in licenses.words(part)]
+        elif part == "beginOptional":
+            skip += not keep or skip > 0
+        elif part == "endOptional":
+            skip -= skip > 0
+        elif not skip:
+            out += fill(int(part.split("max=")[1]))
+    return out
+
+
+def plain_end(parts, tokens, at):
+    """The longest end of a match of nested parts (word, ("opt", parts), ("any", n)) from `at` on, by trying everything."""
+    if not parts:
+        return at
+    first, rest, ends = parts[0], parts[1:], []
+    if isinstance(first, str):
+        return plain_end(rest, tokens, at + 1) if at < len(tokens) and tokens[at] == first else None
+    if first[0] == "opt":
+        ends = [plain_end(rest, tokens, at), plain_end([*first[1], *rest], tokens, at)]
+    else:
+        ends = [plain_end(rest, tokens, at + n) for n in range(first[1] + 1) if at + n <= len(tokens)]
+    return max((e for e in ends if e is not None), default=None)
+
+
+def plain_parts(template):
+    stack = [[]]
+    for i, part in enumerate(licenses.MARKUP.split(template)):
+        if i % 2 == 0:
+            stack[-1] += [w.decode() for w in licenses.words(part)]
+        elif part == "beginOptional":
+            stack.append([])
+        elif part == "endOptional":
+            done = stack.pop()
+            stack[-1].append(("opt", done))
+        else:
+            stack[-1].append(("any", int(part.split("max=")[1])))
+    return stack[0]
+
+
+def labels_of(tokens, of):
+    return {a.label for a, _, _ in licenses.scan(" ".join(tokens), of)[1]}
+
+
+@pytest.mark.parametrize("at", range(len(license_texts.templates()) - len(license_texts.SPDX) - 5))
+def test_a_license_is_its_whole_wording(at):
+    label, template = license_texts.templates()[at]
+    of = licenses.automata()
+    for keep in (True, False):
+        for fill in (lambda n: [], lambda n: ["x1"], lambda n: [f"x{i}" for i in range(n)]):
+            text = ["before", *variants(template, fill, keep), "after"]
+            assert label in labels_of(text, of)
+    bare = variants(template, lambda n: [], False)
+    for k in sorted({0, 1, len(bare) // 3, len(bare) // 2, len(bare) - 1}):
+        assert label not in labels_of([*bare[:k], "changed", *bare[k + 1 :]], of)  # a mandatory word changed
+        assert label not in labels_of(bare[:k] + bare[k + 1 :], of) or k == len(bare) - 1 and label.startswith("cc")
+    if len(bare) > 40:
+        assert label not in labels_of([*bare[:20], "and", "not", "for", "evil", *bare[20:]], of)  # a clause added
+
+
+def test_spdx_lines():
+    of = licenses.automata()
+    for name in license_texts.SPDX:
+        assert name in labels_of([f"// SPDX-License-Identifier: {name.upper()}"], of)
+
+
+def test_matching_against_a_plain_matcher():
+    rng = random.Random(11)
+    made = ["a b <<beginOptional>>c <<beginOptional>>d<<endOptional>> e<<endOptional>> <<var;name=x;max=2>> f",
+            "<<beginOptional>>a<<endOptional>> b <<var;name=x;max=1>> <<var;name=y;max=3>> c", "c a <<var;name=x;max=2>>", "b b b"]
+    of = [licenses.compiled(str(i), t) for i, t in enumerate(made)]
+    parts = [plain_parts(t) for t in made]
+    hits = 0
+    for _ in range(400):
+        tokens = [rng.choice("abcdef") for _ in range(rng.randrange(0, 30))]
+        want = {(i, s, e) for i, p in enumerate(parts) for s in range(len(tokens)) if (e := plain_end(p, tokens, s)) is not None and e > s}
+        got = {(int(a.label), s, e) for a, s, e in licenses.scan(" ".join(tokens), of)[1]}
+        assert got == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_scan_of_documents_against_a_plain_matcher(docs, texts):
+    plain = [(label, plain_parts(t), t) for label, t in [*((v, k) for k, v in licenses.PHRASES.items()), *license_texts.templates()]]
+    want = set()
+    for doc, text in texts:
+        tokens = words(text)
+        places = {}
+        for i, w in enumerate(tokens):
+            places.setdefault(w, []).append(i)
+        for label, parts, template in plain:
+            starts = {parts[0]} if isinstance(parts[0], str) else {parts[0][1][0], next(p for p in parts if isinstance(p, str))}
+            for s in sorted(i for w in starts for i in places.get(w, ())):
+                if (e := plain_end(parts, tokens, s)) is not None:
+                    want.add((doc, label, s, e))
+    assert len(want) > 5
+    assert {tuple(r) for r in licenses.matches(docs).select("doc_id", "label", "start", "end").collect()} == want
+
+
 def test_license_base_places(docs, texts):
     want = []
     for doc, text in texts:
@@ -201,7 +337,7 @@ def test_template_regions():
 
 
 def test_mit_text_with_and_without_its_options():
-    template = next(t for label, t in licenses.TEMPLATES if "free of charge" in t)
+    template = dict(license_texts.WHOLE)["mit"]
     full = licenses.MARKUP.sub(" ", template)
     assert {a.label for a, _, _ in licenses.scan(full, licenses.automata())[1]} == {"mit"}
     assert not licenses.scan(full.replace("without restriction", "with restriction"), licenses.automata())[1]
