@@ -29,12 +29,14 @@ MOST_PAGES = 16_000
 LEAF, FANOUT, LEVELS = 1 << 20, 16, 6
 
 
-def archive(pages: DataFrame, per_file: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) as the WARC records of an archive: file, offset, record_id, mark, head, html, payload.
+def layout(pages: DataFrame, per_file: int = 1000) -> DataFrame:
+    """Where the records of pages (page_id, url, html) lie in an archive, and what their bytes hash to, in it and in a
+    replica that has suffered: file, offset, record_id, length, digest, worn_length, worn_digest, added_length, added_digest.
 
     A file takes the records of per_file page ids, in their order; pages without an id are dealt by a hash to files of
     about per_file pages. A file of more than MOST_PAGES different pages is split by content, and equal pages are one
-    row until their offsets are known: no window holds more than a file's different pages.
+    row until their offsets are known: no window holds more than a file's different pages. The bytes themselves are
+    hashed where they are read and go through no shuffle.
     """
     url, html, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")), F.col("page_id")
     head = F.concat(
@@ -45,28 +47,57 @@ def archive(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     content = F.conv(F.substring(F.md5(F.concat(url, html)), 1, 8), 16, 10).cast("long")
     spread = F.concat(F.lit("none-"), F.pmod(content, F.lit(max(1, nameless))).cast("string"))
     file = F.coalesce(F.concat(F.lit("pages-"), F.floor(page / per_file).cast("string")), spread)
-    mark = F.md5(F.concat(url, F.lit(" "), F.coalesce(page.cast("string"), F.lit(""))))
-    rows = pages.select(file.alias("file"), page.alias("record_id"), mark.alias("mark"), content.alias("content"), head.alias("head"), html.alias("html"))
-    whole = F.concat("head", "html", F.lit("\r\n\r\n"))
-    rows = rows.withColumn("length", F.octet_length(whole).cast("long")).withColumn("digest", F.sha2(whole, 256))
-    once = rows.groupBy("file", "record_id", "digest", "length").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("mark", "content", "head", "html")])  # the same in all of them
+    mark = F.substring(F.md5(F.concat(url, F.lit(" "), F.coalesce(page.cast("string"), F.lit("")))), 1, 1)
+    bytes_ = pages.select(file.alias("file"), page.alias("record_id"), content.alias("content"), mark.alias("mark"), head.alias("head"), html.alias("html"))
+    bytes_ = bytes_.withColumn("payload", F.concat("head", "html", F.lit("\r\n\r\n")))
+    rows = bytes_.select("file", "record_id", "content", *_hashed_as("", F.col("payload")), *_hashed_as("worn_", worn_payload()), *_hashed_as("added_", added_payload()))
+    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     parts = once.groupBy("file").agg(F.ceil(F.count("*") / MOST_PAGES).alias("parts")).where("parts > 1").withColumnRenamed("file", "_file")
     once = once.join(parts, F.col("file") == F.col("_file"), "left")
     once = once.withColumn("file", F.when(F.col("parts") > 1, F.concat("file", F.lit("-"), F.pmod("content", "parts").cast("string"))).otherwise(F.col("file")))
     order = Window.partitionBy("file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = once.withColumn("first", F.coalesce(F.sum(F.col("length") * F.col("n")).over(order), F.lit(0)))
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return copies.select("file", (F.col("first") + F.col("copy") * F.col("length")).alias("offset"), "record_id", "mark", "head", "html", whole.alias("payload"))
+    hashes = [f"{p}{c}" for p in ("", "worn_", "added_") for c in ("length", "digest")]
+    return copies.select("file", (F.col("first") + F.col("copy") * F.col("length")).alias("offset"), "record_id", *hashes)
 
 
-def index(replica: DataFrame) -> DataFrame:
-    """The records of a replica (file, offset, record_id, payload), each hashed from its own bytes."""
-    return replica.select("file", "offset", F.octet_length("payload").cast("long").alias("length"), "record_id", F.sha2("payload", 256).alias("digest"))
+def _hashed_as(prefix: str, payload: F.Column) -> list[F.Column]:
+    return [F.octet_length(payload).cast("long").alias(f"{prefix}length"), F.sha2(payload, 256).alias(f"{prefix}digest")]
+
+
+def worn_payload() -> F.Column:
+    """The bytes of a record in a replica that has suffered, from its mark: of 16 records two have another character in
+    the middle of the html, one ends there, and one is gone."""
+    middle = F.length("head") + F.floor(F.length("html") / 2).cast("int")
+    at = F.substring("payload", middle + 1, F.lit(1))
+    other = F.concat(F.substring("payload", F.lit(1), middle), F.when(at == "x", "y").otherwise("x"), F.substring("payload", middle + 2, F.length("payload")))
+    cut = F.substring("payload", F.lit(1), middle)
+    mark = F.col("mark")
+    return F.when(mark.isin("a", "7"), other).when(mark == "3", cut).when(mark != "b", F.col("payload"))
+
+
+def added_payload() -> F.Column:
+    """One record of 16 has a copy with more, behind the file's end."""
+    return F.when(F.col("mark") == "c", F.concat("payload", F.lit("again")))
+
+
+def index(placed: DataFrame) -> DataFrame:
+    """The records of layout() in the archive."""
+    return placed.select("file", "offset", "length", "record_id", "digest")
 
 
 def records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
-    return index(archive(pages, per_file))
+    return index(layout(pages, per_file))
+
+
+def worn(placed: DataFrame) -> DataFrame:
+    """The records of layout() in the replica, each with the hash of its own bytes there."""
+    kept = placed.where("worn_digest IS NOT NULL").select("file", "offset", F.col("worn_length").alias("length"), "record_id", F.col("worn_digest").alias("digest"))
+    end = placed.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    added = placed.where("added_digest IS NOT NULL").join(end, "file")
+    return kept.unionByName(added.select(
+        "file", (F.col("offset") + F.col("end")).alias("offset"), F.col("added_length").alias("length"), "record_id", F.col("added_digest").alias("digest")))
 
 
 def _placed(replica: DataFrame) -> DataFrame:
@@ -125,19 +156,6 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS) -> DataFram
     ).where("damage IS NOT NULL")
 
 
-def worn(replica: DataFrame) -> DataFrame:
-    """A replica of archive() that has suffered, by the first digit of a record's mark: of 16 records two have another
-    character in the middle of the html, one ends there, one is gone, and one has a copy with more behind the file's end."""
-    digit, middle = F.substring("mark", 1, 1), F.length("head") + F.floor(F.length("html") / 2).cast("int")
-    at = F.substring("payload", middle + 1, F.lit(1))
-    other = F.concat(F.substring("payload", F.lit(1), middle), F.when(at == "x", "y").otherwise("x"), F.substring("payload", middle + 2, F.length("payload")))
-    payload = F.when(digit.isin("a", "7"), other).when(digit == "3", F.substring("payload", F.lit(1), middle)).otherwise(F.col("payload"))
-    kept = replica.where(digit != "b").withColumn("payload", payload).select("file", "offset", "record_id", "payload")
-    end = replica.groupBy("file").agg(F.max(F.col("offset") + F.octet_length("payload")).alias("end"))
-    added = replica.where(digit == "c").join(end, "file")
-    return kept.unionByName(added.select("file", (F.col("offset") + F.col("end")).alias("offset"), "record_id", F.concat("payload", F.lit("again")).alias("payload")))
-
-
 # The damage of worn(), found without trees and without hashing a replica.
 SQL = r"""
 WITH n AS (SELECT greatest(1, ceil(count(*) / 1000))::BIGINT AS files FROM pages WHERE page_id IS NULL),

@@ -18,9 +18,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as an archive, audited against a replica that has suffered; each is hashed from its own bytes."""
-    first = fixity.archive(read(spark, sf_dir, "pages"))
-    second = fixity.worn(first)
-    return fixity.audit(*(stored(fixity.index(replica), "index") for replica in (first, second)))
+    placed = stored(fixity.layout(read(spark, sf_dir, "pages")), "layout")  # places and hashes, without the bytes
+    return fixity.audit(fixity.index(placed), fixity.worn(placed))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -562,7 +562,7 @@ def test_replica_hashed_from_its_own_bytes(spark):
     rng = random.Random(6)
     pages = [(rng.randrange(60) if rng.random() < 0.9 else None, f"u{rng.randrange(200)}", rng.choice(["", None, "xé日本" * rng.randrange(30), "h" * 70_000])) for _ in range(400)]
     pages += [pages[3]] * 40
-    first = fixity.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), per_file=20)
+    placed = fixity.layout(spark.createDataFrame(pages, "page_id long, url string, html string"), per_file=20)
     one = plain_archive(pages, 20, -(-sum(p[0] is None for p in pages) // 20))
     ends, two = {}, []
     for file, at, page, mark, head, html in one:
@@ -577,12 +577,12 @@ def test_replica_hashed_from_its_own_bytes(spark):
     describe = lambda replica: {(f, at, page): (len(w.encode()), sha(w)) for f, at, page, w in replica}
     a, b = describe((*r[:3], f"{r[4]}{r[5]}\r\n\r\n") for r in one), describe(two)
     columns = "file", "offset", "record_id", "length", "digest"
-    assert rows(fixity.index(first), *columns) == by_key((*k, *v) for k, v in a.items())
-    assert rows(fixity.index(fixity.worn(first)), *columns) == by_key((*k, *v) for k, v in b.items())
+    assert rows(fixity.index(placed), *columns) == by_key((*k, *v) for k, v in a.items())
+    assert rows(fixity.worn(placed), *columns) == by_key((*k, *v) for k, v in b.items())
     kind = lambda k: "missing" if k not in b else "extra" if k not in a else "altered"
     want = [(*k, (a.get(k) or b[k])[0], kind(k)) for k in {**a, **b} if a.get(k) != b.get(k)]
     assert len(want) >= 100 and {w[4] for w in want} == {"missing", "extra", "altered"}
-    got = fixity.audit(fixity.index(first), fixity.index(fixity.worn(first)))
+    got = fixity.audit(fixity.index(placed), fixity.worn(placed))
     assert rows(got, "file", "offset", "record_id", "length", "damage") == by_key(want)
 
 
