@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prodseries.functions.expr import any_of, count_where
 from prodseries.spec import MODES, STATES
 
-# Fixed wording of the review reasons.
+# Wording of the review reasons.
 ISSUE_REASONS = {
     "DQ-001": "Record before the start of the operating window",
     "DQ-003": "Hours not recorded: blank measurement record, not a zero",
@@ -147,8 +147,9 @@ ZERO, EQUALS, KNOWN = "zero_violations", "count_equals", "known_population"
 class Check:
     """A named count compared with an expected count.
 
-    ``known_population``: an exact match is REVIEW (the documented exception is
-    still there, unchanged) and anything else is FAIL (it drifted).
+    ``known_population``: a match is REVIEW (the documented exception is still
+    there, unchanged) and anything else is FAIL (it drifted). ``drift`` is the share
+    of the expected count that the actual one may be away from it; 0 is exact.
     """
 
     check_id: str
@@ -157,6 +158,7 @@ class Check:
     kind: str = ZERO
     expected: int = 0
     hard: bool = True
+    drift: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -263,8 +265,10 @@ def identity_counts(raw_daily: DataFrame, raw_monthly: DataFrame) -> DataFrame:
     )
 
 
-def keyed_counts(df: DataFrame, keys, flags: dict[str, Column], parent: DataFrame | None, rows: str, dups: str, orphans: str) -> DataFrame:
-    """Row count, duplicate keys, rows without a parent, and any row flags of one table, one row.
+def keyed_counts(
+    df: DataFrame, keys, flags: dict[str, Column], parent: DataFrame | None, rows: str, dups: str, orphans: str, entities: str | None = None,
+) -> DataFrame:
+    """Row count, duplicate keys, rows without a parent, any row flags and (if named) the entities of one table, one row.
 
     One chain: rows to keys, keys to entities, entities against the parent. The
     parent is met by one row per entity, however many rows an entity has. Duplicates
@@ -286,8 +290,9 @@ def keyed_counts(df: DataFrame, keys, flags: dict[str, Column], parent: DataFram
         per_entity = per_entity.join(known, F.col("entity") == F.col("_parent"), "left")
         lost = F.when(F.col("_parent").isNull() & F.col("entity").isNotNull(), F.col("n")).otherwise(0)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    distinct = [] if entities is None else [F.count("entity").alias(entities)]
     return per_entity.agg(
-        zero("n").alias(rows), zero("dup").alias(dups), zero(lost).alias(orphans), *[zero(a).alias(c) for a, c in names.items()]
+        zero("n").alias(rows), zero("dup").alias(dups), zero(lost).alias(orphans), *[zero(a).alias(c) for a, c in names.items()], *distinct
     )
 
 
@@ -308,17 +313,27 @@ def row_flags(fact: DataFrame, rules: ReviewRules) -> dict[str, Column]:
     }
 
 
-def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame) -> DataFrame:
-    """Join counts to check definitions (a few dozen rows) and give each a status."""
+def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Join counts to check definitions (a few dozen rows) and give each a status.
+
+    With a ``prior`` (check_id, actual: a row a check), checks of a count or a known population expect what the prior
+    run counted, within their drift; where it counted nothing of the kind, expected is NULL and the status REVIEW.
+    """
     rows = [
-        (i, c.check_id, c.category, c.check_name, c.kind, c.expected, c.hard) for i, c in enumerate(checks, 1)
+        (i, c.check_id, c.category, c.check_name, c.kind, c.expected, c.hard, c.drift) for i, c in enumerate(checks, 1)
     ]
     defs = spark.createDataFrame(
-        rows, "sort_order int, check_id string, category string, check_name string, kind string, want long, hard boolean"
+        rows, "sort_order int, check_id string, category string, check_name string, kind string, want long, hard boolean, drift double"
     )
-    met = F.col("actual") == F.col("want")
+    if prior is not None:
+        before = prior.select("check_id", F.col("actual").cast("long").alias("before"))
+        # one row per check on both sides
+        defs = F.broadcast(defs).join(F.broadcast(before), "check_id", "left")
+        defs = defs.withColumn("want", F.when(F.col("kind") == ZERO, F.col("want")).otherwise(F.col("before")))
+    met = F.abs(F.col("actual") - F.col("want")) <= F.floor(F.col("drift") * F.col("want"))
     status = (
-        F.when(F.col("kind") == KNOWN, F.when(met, "REVIEW").otherwise("FAIL"))
+        F.when(F.col("want").isNull(), "REVIEW")
+        .when(F.col("kind") == KNOWN, F.when(met, "REVIEW").otherwise("FAIL"))
         .when(met, "PASS")
         .when(F.col("hard"), "FAIL")
         .otherwise("REVIEW")
@@ -333,10 +348,17 @@ def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame) -> Dat
 
 def run_checks(
     raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
-    rules: ReviewRules, expected: Expected, tolerance: float = 1e-6,
+    rules: ReviewRules, expected: Expected | None = None, tolerance: float = 1e-6,
+    prior: DataFrame | None = None, drift: float = 0.0,
 ) -> DataFrame:
     """The 27 checks. All checks on a table come from one chain of aggregates over it;
-    the reconciliation reads the daily and monthly rows once more."""
+    the reconciliation reads the daily and monthly rows once more.
+
+    Sizes are compared with ``expected``, or with what a ``prior`` run counted (check_id, actual), within the share
+    ``drift``. One of the two is needed.
+    """
+    if (expected is None) == (prior is None):
+        raise ValueError("Give either expected sizes or a prior run")
     from prodseries.operators.reconcile import mismatch_counts
 
     parts = [
@@ -349,7 +371,8 @@ def run_checks(
     counts = long_counts(parts[0])
     for p in parts[1:]:
         counts = counts.unionByName(long_counts(p))
-    return evaluate(fact.sparkSession, standard_checks(expected), counts)
+    checks = [c if c.kind == ZERO else replace(c, drift=drift) for c in standard_checks(expected or Expected())]
+    return evaluate(fact.sparkSession, checks, counts, prior)
 
 
 def rollup(results: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prodseries.operators import categories as cat, checks, dashboards as db, temporal as tm, verdicts as vd, views
-from prodseries.plans.load_queries import COUNTS, CONDS, REVIEW, RULES, SIDES, monthly_core, raw_pairs
+from prodseries.operators import categories as cat, checks, dashboards as db, history, temporal as tm, verdicts as vd, views
+from prodseries.plans.load_queries import COUNTS, CONDS, DRIFT, PRIOR, REVIEW, RULES, SIDES, monthly_core, raw_pairs
 from prodseries.plans.quality_queries import OUT_WINDOW, RAW, alls, change_cte, mapping
 from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rratio, tot
 from prodseries.sources.driver_tables import (
@@ -14,8 +14,7 @@ from prodseries.spec import DRIVER
 FLUIDS = ["oil", "gas", "water", "injection"]
 COLUMNS = [*FLUIDS, "downhole", "wellhead"]
 FLOORS = {"downhole": 10, "wellhead": 5}
-# Daily and monthly rows of the prior run (sf0.01), the columns of the raw daily rows, and the entities of a chosen report.
-PRIOR = (53307, 8255)
+# The columns of the raw daily rows, and the entities of a chosen report.
 REQUIRED = ("dateprd", "entity", "entity_name", "well_bore_code", "on_stream_hrs", "bore_oil_vol", "bore_gas_vol", "bore_wat_vol",
             "bore_wi_vol", "flow_kind", "well_type")
 CHOSEN = (3, 7, 12, -5)
@@ -26,7 +25,10 @@ def R_(s, d):
 
 
 def _assessment(s, d):
-    return vd.run_assessment(raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, *PRIOR, REQUIRED)
+    before = history.month_end_prior(history.populations(F_(s, d), monthly_core(s, d), RULES))
+    return vd.run_assessment(
+        raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, required=REQUIRED, drift=DRIFT, prior=before
+    )
 
 
 def orders(s, d):
@@ -214,12 +216,15 @@ AC = {
     "AC-20": "SELECT COUNT(*) FROM fact WHERE wellhead < 0",
     "AC-21": "SELECT COUNT(*) FROM fact WHERE wellhead > 100",
     "AC-22": f"SELECT ({COUNTS['QC-014']}) + ({COUNTS['QC-015']}) + ({COUNTS['QC-016']})",
-    "AC-23": f"""SELECT (SELECT CASE WHEN abs(COUNT(*) - {PRIOR[0]}) > {int(0.02 * PRIOR[0])} THEN 1 ELSE 0 END FROM fact)
-        + (SELECT CASE WHEN abs(COUNT(*) - {PRIOR[1]}) > {int(0.02 * PRIOR[1])} THEN 1 ELSE 0 END FROM monthly_core)""",
+    "AC-23": " + ".join(
+        f"(SELECT CASE WHEN abs(COUNT(*) - want) > floor(CAST({DRIFT} AS DOUBLE) * want) THEN 1 ELSE 0 END "
+        f"FROM {t}, (SELECT want FROM prior_run WHERE check_id = '{i}') GROUP BY want)"
+        for i, t in (("QC-002", "fact"), ("QC-005", "monthly_core"))
+    ),
     "AC-24": f"SELECT COUNT(*) FROM fact WHERE {OUT_WINDOW}",
 }
 ASSESS = {
-    **RAW, **SIDES,
+    **RAW, **SIDES, **PRIOR,
     "ac": alls(
         f"SELECT CAST({i} AS INTEGER) AS sort_order, '{c.check_id}' AS check_id, '{c.category}' AS category, '{c.check_name}' AS check_name, "
         f"'{c.expected}' AS expected, CAST(n AS VARCHAR) AS actual, CASE WHEN n = {c.expected} THEN 'PASS' ELSE '{'FAIL' if c.hard else 'REVIEW'}' END AS status "

@@ -13,7 +13,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from prodseries.functions.expr import any_of, holds
-from prodseries.operators.checks import keyed_counts, long_counts
+from prodseries.operators.checks import ReviewRules, keyed_counts, long_counts
+from prodseries.operators.history import issue_conditions
 from prodseries.sources.extracts import LoadError, exact_number, narrowed, read_daily, read_monthly
 from prodseries.sources.versions import VersionLog
 from prodseries.spec import EXACT, MEASURE, MODES, STATES, SeriesSpec, exactly
@@ -85,16 +86,21 @@ def excluded_monthly(raw_monthly: DataFrame, quarantine: bool = False, measure:
 
 def core_violations(core: dict[str, DataFrame]) -> DataFrame:
     """Violation count per constraint of the three core tables."""
-    counts = core_counts(core).where(~F.col("check_id").endswith(ROWS))
+    counts = core_counts(core).where(~F.col("check_id").endswith(ROWS) & (F.col("check_id") != ENTITIES))
     return counts.withColumnsRenamed({"check_id": "constraint_name", "actual": "violations"})
 
 
-#: What the row counts of core_counts() end in.
-ROWS = ": rows"
+#: What the row counts of core_counts() end in, its count of the entities that have daily rows, and the columns of the
+#: daily core table that the rules of the known issues call by their roles.
+ROWS, ENTITIES = ": rows", "daily_production: entities"
+ROLES = {"day": "production_date", "hours": "on_stream_hrs", "water": "bore_wat_vol", "injection": "bore_wi_vol"}
 
 
-def core_counts(core: dict[str, DataFrame]) -> DataFrame:
-    """(check_id, actual): rows and violations of each constraint, one chain of aggregates and one scan per table."""
+def core_counts(core: dict[str, DataFrame], rules: ReviewRules | None = None) -> DataFrame:
+    """(check_id, actual): rows and violations of each constraint, one chain of aggregates and one scan per table.
+
+    With ``rules``, the records of each known issue are counted in the same chain, under the id of the issue.
+    """
     w, d, m = core["wellbore"], core["daily_production"], core["monthly_reference"]
     parent = w.select(F.col("npd_well_bore_code").alias("entity"))
     null = lambda cols: any_of(F.col(c).isNull() for c in cols)
@@ -111,16 +117,21 @@ def core_counts(core: dict[str, DataFrame]) -> DataFrame:
     )
 
     name = "daily_production: "
+    entities = d.withColumnRenamed("npd_well_bore_code", "entity")
+    issues = {}
+    if rules is not None:
+        entities, issues = entities.withColumns({r: F.col(c) for r, c in ROLES.items()}), issue_conditions(rules)
     daily = keyed_counts(
-        d.withColumnRenamed("npd_well_bore_code", "entity"), ["entity", "production_date"],
+        entities, ["entity", "production_date"],
         {
+            **issues,
             name + "not null": null(["entity", "production_date", "well_type", "flow_kind"]),
             name + "well_type": ~F.col("well_type").isin(*STATES),
             name + "flow_kind": ~F.col("flow_kind").isin(*MODES),
             name + "avg_choke_uom": F.col("avg_choke_uom") != "%",
             name + "non-negative": any_of(holds(F.col(c) < 0) for c in NON_NEGATIVE),
         },
-        parent, "daily_production" + ROWS, name + "unique key", name + "known wellbore",
+        parent, "daily_production" + ROWS, name + "unique key", name + "known wellbore", ENTITIES,
     )
     name = "monthly_reference: "
     month = ["entity", "reference_year", "reference_month"]
@@ -135,7 +146,8 @@ def core_counts(core: dict[str, DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Documented size of the snapshot being loaded; None takes the source as it is."""
+    """Documented size of the snapshot being loaded; None takes the source as it is: its rows, and the entities that
+    have any."""
 
     daily_rows: int | None = None
     wellbores: int | None = None
@@ -166,7 +178,7 @@ def validate_load(
     d, m = core["daily_production"], core["monthly_reference"]
     parent = core["wellbore"].select(F.col("npd_well_bore_code").alias("entity"))
     keys = d.withColumnRenamed("npd_well_bore_code", "entity")
-    keyed = keyed_counts(keys, ["entity", "production_date"], {}, parent, "core_daily", "duplicates", "orphans")
+    keyed = keyed_counts(keys, ["entity", "production_date"], {}, parent, "core_daily", "duplicates", "orphans", "entities")
     parts = [
         numbers(source["daily"], source_daily=n),
         numbers(source["monthly"], source_monthly=n),
@@ -186,7 +198,7 @@ def validate_load(
 
 #: What the post-load checks compare; r0-r3 and c0-c3 are the sums of VOLUMES in raw and core.
 NUMBERS = ("source_daily", "source_monthly", "raw_daily", "raw_monthly", "excluded", "core_daily", "wellbores",
-           "core_monthly", "duplicates", "orphans", *[f"r{i}" for i in range(4)], *[f"c{i}" for i in range(4)])
+           "core_monthly", "duplicates", "orphans", "entities", *[f"r{i}" for i in range(4)], *[f"c{i}" for i in range(4)])
 VOLUMES = ("bore_oil_vol", "bore_gas_vol", "bore_wat_vol", "bore_wi_vol")
 
 
@@ -199,7 +211,7 @@ def _checked(row: DataFrame, snapshot: Snapshot) -> DataFrame:
     c = F.col
     whole = lambda x: x.cast("long").cast("string")
     want_daily = F.lit(snapshot.daily_rows) if snapshot.daily_rows is not None else c("source_daily")
-    want_wells = F.lit(snapshot.wellbores) if snapshot.wellbores is not None else c("wellbores")
+    want_wells = F.lit(snapshot.wellbores) if snapshot.wellbores is not None else c("entities")
     same = c("r0").eqNullSafe(c("c0"))
     for i in range(1, 4):
         same = same & c(f"r{i}").eqNullSafe(c(f"c{i}"))
@@ -238,9 +250,13 @@ def layout(out: str, run_id: str) -> dict[str, str]:
 def load(
     spark: SparkSession, daily_path: str, monthly_path: str, out: str,
     snapshot: Snapshot = Snapshot(), fmt: str = "csv", quarantine: bool = False, measure: T.DecimalType = MEASURE,
+    rules: ReviewRules = ReviewRules(),
 ) -> dict[str, int]:
     """Run the whole load and return row counts per target, or raise LoadError and publish nothing.
 
+    The published entry keeps the populations of the run: rows, entities, and records of each known issue by ``rules``;
+    history() and prior() read them.
+
     What is counted and summed of source and core rows is observed while they are written. Read again are the row
     counts of raw (from its footers), and core once, for keys, parents and constraints.
     """
@@ -267,22 +283,25 @@ def load(
     excluded_monthly(raw["monthly"], quarantine, measure).write.parquet(at["quarantine"])
     core = {k: spark.read.parquet(at[k]) for k in ("wellbore", "daily_production", "monthly_reference")}
 
-    counts = {r.check_id: r.actual for r in core_counts(core).collect()}  # a row a constraint
+    counts = {r.check_id: r.actual for r in core_counts(core, rules).collect()}  # a row a constraint or issue
     source = {k: seen[k].get for k in ("daily", "monthly", "core")}
     numbers = {
         "source_daily": source["daily"]["n"], "source_monthly": source["monthly"]["n"],
         "raw_daily": raw["daily"].count(), "raw_monthly": raw["monthly"].count(), "excluded": source["monthly"]["excluded"],
         "core_daily": counts["daily_production" + ROWS], "wellbores": counts["wellbore" + ROWS], "core_monthly": counts["monthly_reference" + ROWS],
         "duplicates": counts["daily_production: unique key"], "orphans": counts["daily_production: known wellbore"],
+        "entities": counts[ENTITIES],
         **{k: source["daily"][k] for k in _sums("r")}, **{k: source["core"][k] for k in _sums("c")},
     }
     typed = T.StructType([T.StructField(k, T.DecimalType(38, 6)) for k in NUMBERS])
     exact = [None if numbers[k] is None else Decimal(numbers[k]) for k in NUMBERS]
     failed = [r.check_name for r in _checked(spark.createDataFrame([exact], typed), snapshot).where(~F.col("passed")).collect()]
-    failed += [k for k, v in counts.items() if not k.endswith(ROWS) and v > 0]
+    known = issue_conditions(rules)
+    failed += [k for k, v in counts.items() if not k.endswith(ROWS) and k != ENTITIES and k not in known and v > 0]
     if failed:
         raise LoadError(f"Validation failed: {failed}")
-    publish(spark, out, run_id)
+    sizes = {"QC-001": "raw_daily", "QC-002": "core_daily", "QC-003": "wellbores", "QC-004": "raw_monthly", "QC-005": "core_monthly"}
+    publish(spark, out, run_id, {k: int(numbers[n]) for k, n in sizes.items()} | {k: int(counts[k]) for k in known})
     return {
         "wellbore": numbers["wellbores"], "daily_production": numbers["core_daily"], "raw_monthly_rows": numbers["raw_monthly"],
         "excluded_monthly_rows": numbers["excluded"], "monthly_reference": numbers["core_monthly"],
@@ -297,9 +316,30 @@ def commented(df: DataFrame) -> DataFrame:
     ])
 
 
-def publish(spark: SparkSession, out: str, run_id: str) -> int:
-    """Make the run the one that readers see; returns its number. Of two at the same time, one gets the next number."""
-    return VersionLog(spark, layout(out, run_id)["versions"]).append(lambda seen: {"run_id": run_id})
+def publish(spark: SparkSession, out: str, run_id: str, counts: dict[str, int] | None = None) -> int:
+    """Make the run the one that readers see; returns its number. Of two at the same time, one gets the next number.
+
+    ``counts`` (check id -> count) become the run's part of the history: a run and its counts appear together or not.
+    """
+    return VersionLog(spark, layout(out, run_id)["versions"]).append(lambda seen: {"run_id": run_id, "counts": counts or {}})
+
+
+def history(spark: SparkSession, out: str) -> DataFrame:
+    """(run, run_id, check_id, actual) of every published run, oldest first; a dozen rows a run."""
+    log = VersionLog(spark, f"{out}/versions").entries()
+    rows = [(n, e["run_id"], k, v) for n, e in log for k, v in sorted(e.get("counts", {}).items())]
+    return spark.createDataFrame(rows, "run int, run_id string, check_id string, actual long")
+
+
+def prior(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
+    """(check_id, actual) of the run before the given number, by default before the current one.
+
+    Runs published without counts are passed over; without any earlier run the result is empty.
+    """
+    log = VersionLog(spark, f"{out}/versions").entries()
+    last = run if run is not None else max((n for n, _ in log), default=0)
+    earlier = [e["counts"] for n, e in log if n < last and e.get("counts")]
+    return spark.createDataFrame(sorted(earlier[-1].items()) if earlier else [], "check_id string, actual long")
 
 
 def current_run(spark: SparkSession, out: str) -> str:
