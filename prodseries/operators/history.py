@@ -23,15 +23,18 @@ def populations(
     """One row per calendar month (`month`, its first day) with what that month adds to each population.
 
     An entity counts in its first month. Rows without a date or month are in the row whose month is NULL. Raw rows are
-    counted if they are given. Every source is summed to months before it meets the others.
+    counted if they are given. Every source is read once, and summed to months before it meets the others.
     """
     first = lambda c: F.trunc(c, "MM").alias("month")
     dated = F.make_date("year", "month", F.lit(1)).alias("month")
     issues = issue_conditions(rules)
-    entities = fact.where(F.col("entity").isNotNull()).groupBy("entity").agg(F.min("day").alias("day"))
+    # one chain: rows to the months of an entity, which bound its window, and those to months
+    held = fact.groupBy("entity", first("day")).agg(F.count("*").alias("QC-002"), *[count_where(c).alias(i) for i, c in issues.items()])
+    starts = F.col("entity").isNotNull() & (F.col("month") == F.min("month").over(Window.partitionBy("entity")))
+    held = held.withColumn("QC-003", F.when(starts, 1).otherwise(0))
+    counted = ["QC-002", "QC-003", *issues]
     parts = [
-        fact.groupBy(first("day")).agg(F.count("*").alias("QC-002"), *[count_where(c).alias(i) for i, c in issues.items()]),
-        entities.groupBy(first("day")).agg(F.count("*").alias("QC-003")),
+        held.groupBy("month").agg(*[F.sum(f"`{c}`").alias(c) for c in counted]),
         monthly.groupBy(dated).agg(F.count("*").alias("QC-005")),
     ]
     if raw_daily is not None:
