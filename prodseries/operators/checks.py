@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from prodseries.functions.expr import any_of, count_where
-from prodseries.spec import MODES, STATES
+from prodseries.functions.expr import any_of, count_where, holds, total
+from prodseries.spec import MODES, STATES, TOTAL
 
 # Wording of the review reasons.
 ISSUE_REASONS = {
@@ -313,11 +313,123 @@ def row_flags(fact: DataFrame, rules: ReviewRules) -> dict[str, Column]:
     }
 
 
+def entity_months(fact: DataFrame, monthly: DataFrame, rules: ReviewRules, tolerance: float = 1e-6) -> tuple[DataFrame, list[str]]:
+    """What each entity-month adds to the checks on the core tables, and the names of these checks.
+
+    Daily rows are summed to their keys and those to months before they meet the monthly rows; every monthly row is a
+    row of the result, and so is every entity-month that only the daily rows have. Both tables are read once. A repeated
+    monthly key meets the daily sums again, as a row of a join would, but their counts stay with its first row.
+    """
+    from prodseries.operators.reconcile import KEY
+
+    volumes, flags = ("oil", "gas", "water", "injection"), row_flags(fact, rules)
+    names = {f"f{i}": c for i, c in enumerate(flags)}
+    per_day = fact.groupBy("entity", "day").agg(
+        F.count("*").alias("n"), *[count_where(flags[c]).alias(a) for a, c in names.items()], *[total(v).alias(v) for v in volumes])
+    repeated = F.col("entity").isNotNull() & F.col("day").isNotNull() & (F.col("n") > 1)
+    daily = per_day.groupBy("entity", F.year("day").alias("year"), F.month("day").alias("month")).agg(
+        F.sum("n").alias("n"), count_where(repeated).alias("dup"), *[F.sum(a).alias(a) for a in names], *[total(v).alias(f"d_{v}") for v in volumes])
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
+    given = monthly.select(*KEY, *[F.col(v).cast(TOTAL).alias(f"m_{v}") for v in volumes]).withColumn("place", place)
+    both = daily.join(given, list(KEY), "full_outer")
+
+    in_daily, in_monthly, one = F.col("n").isNotNull(), F.col("place").isNotNull(), lambda c: c.cast("long")
+    first = F.coalesce(F.col("place") == 1, F.lit(True))
+    whole = F.col("entity").isNotNull() & F.col("year").isNotNull() & F.col("month").isNotNull()
+    count = lambda c: F.when(first, F.coalesce(F.col(c), F.lit(0))).otherwise(0)
+    tol, zero = F.lit(tolerance).cast(TOTAL), F.lit(0).cast(TOTAL)
+    off = any_of(F.abs(F.coalesce(f"d_{v}", zero) - F.coalesce(f"m_{v}", zero)) > tol for v in volumes)
+    added = {
+        "QC-002": count("n"), "QC-005": one(in_monthly), "QC-006": count("dup"), "QC-007": one(whole & (F.col("place") == 2)),
+        "QC-014": one(~in_monthly), "QC-015": one(~in_daily), "QC-016": one(off), **{c: count(a) for a, c in names.items()},
+    }
+    dated = F.make_date("year", "month", F.lit(1))
+    held = both.select("entity", dated.alias("month"), (in_daily & first).alias("held"), *[F.coalesce(v.cast("long"), F.lit(0)).alias(c) for c, v in added.items()])
+    return held, list(added)
+
+
+def month_counts(
+    raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
+    rules: ReviewRules, tolerance: float = 1e-6, raw_day: str | None = None,
+) -> DataFrame:
+    """One row per calendar month with what it adds to each of the 27 checks; `starts` counts the entities that begin in it.
+
+    What belongs to no month, such as the identifier checks, is in the row whose month is NULL; so are raw rows, unless
+    the date column of the daily ones is named (the monthly ones have year and month). Each of the four sources is read
+    once, and an entity holds one row per calendar month when it meets its window and the dimension.
+    """
+    held, names = entity_months(fact, monthly, rules, tolerance)
+    known = dim.select(F.col("entity").alias("_parent")).distinct()  # a repeated parent is no second row
+    begin = F.min(F.when(F.col("held"), F.col("month"))).over(Window.partitionBy("entity"))
+    held = held.withColumn("starts", F.when(F.col("held") & F.col("entity").isNotNull() & (F.col("month") == begin), 1).otherwise(0))
+    held = held.join(known, F.col("entity") == F.col("_parent"), "left")
+    lost = F.col("_parent").isNull() & F.col("entity").isNotNull()
+    orphans = {"QC-008": "QC-002", "QC-009": "QC-005"}
+    held = held.select("month", "starts", *[F.col(f"`{c}`") for c in names], *[F.when(lost, F.col(f"`{n}`")).otherwise(0).alias(c) for c, n in orphans.items()])
+    undated = F.lit(None).cast("date")
+    parts = [
+        held,
+        _identities(raw_daily, raw_monthly, undated if raw_day is None else F.trunc(raw_day, "MM"), undated if raw_day is None else F.make_date("year", "month", F.lit(1))),
+        dim.agg(F.count("entity").alias("QC-003")).withColumn("month", undated),
+    ]
+    sums = lambda df: df.groupBy("month").agg(*[F.sum(f"`{c}`").alias(c) for c in df.columns if c != "month"])
+    rows = sums(parts[0]).unionByName(sums(parts[1]), allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return rows.groupBy("month").agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in rows.columns if c != "month"])
+
+
+def _identities(raw_daily: DataFrame, raw_monthly: DataFrame, daily_month: Column, monthly_month: Column) -> DataFrame:
+    """Row counts and identifier checks of both raw sources, dealt to their months.
+
+    Rows collapse to one per code, name and month first, and these to codes, names and months. A code has more than
+    one name if its least and greatest name differ.
+    """
+    code, name = F.col("entity").cast("string"), F.col("entity_name").cast("string")
+    entry = lambda kind, key, other, month: F.struct(F.lit(kind).alias("kind"), key.alias("key"), other.alias("other"), month.alias("month"))
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("date")
+    paired = lambda c: F.when(code.isNotNull() & name.isNotNull(), c)
+    daily = raw_daily.withColumn("_month", daily_month).groupBy("entity", "entity_name", "_month").agg(F.count("*").alias("d"))
+    daily = daily.select("d", F.lit(0).cast("long").alias("m"), F.inline(F.array(
+        entry("code", code, paired(name), nothing), entry("name", name, paired(code), nothing), entry("month", none, none, F.col("_month")))))
+    given = raw_monthly.withColumn("_month", monthly_month).groupBy("entity", "_month").agg(F.count("*").alias("m"))
+    given = given.select(F.lit(0).cast("long").alias("d"), "m", F.inline(F.array(
+        entry("code", code, none, nothing), entry("month", none, none, F.col("_month")))))
+    per = daily.unionByName(given).groupBy("kind", "key", "month").agg(
+        F.sum("d").alias("d"), F.sum("m").alias("m"), holds(F.min("other") != F.max("other")).alias("several"))
+    is_ = lambda kind: F.col("kind") == kind
+    code_known = is_("code") & F.col("key").isNotNull()
+    rows = lambda c: F.when(is_("month"), F.col(c)).otherwise(0)
+    one = lambda c: c.cast("long")
+    return per.select(
+        "month", rows("d").alias("QC-001"), rows("m").alias("QC-004"),
+        one(is_("code") & F.col("several")).alias("QC-010"), one(is_("name") & F.col("several")).alias("QC-011"),
+        one(code_known & (F.col("d") > 0) & (F.col("m") == 0)).alias("QC-012"),
+        one(code_known & (F.col("d") == 0) & (F.col("m") > 0)).alias("QC-013"),
+    )
+
+
+def _totals(months: DataFrame, drifting: list[str]) -> DataFrame:
+    """(check_id, actual, before): each check over all months, and the populations as of the last month but one.
+
+    `before` is what a run would have counted that had everything except the last month; NULL for checks that do not
+    compare with an earlier run.
+    """
+    ids = [c for c in months.columns if c not in ("month", "starts")]
+    # entities are those of the dimension; those that had begun before are known by their first month
+    source = lambda c: "starts" if c == "QC-003" else f"`{c}`"
+    zero = F.lit(0).cast("long")
+    before = {c: F.coalesce(F.sum(source(c)), zero) - F.coalesce(F.max_by(source(c), "month"), zero) for c in drifting}
+    one = months.agg(
+        *[F.coalesce(F.sum(f"`{c}`"), zero).alias(f"a{i}") for i, c in enumerate(ids)], *[before[c].alias(f"b{i}") for i, c in enumerate(ids) if c in before])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("check_id"), F.col(f"a{i}").alias("actual"), (F.col(f"b{i}") if c in before else F.lit(None).cast("long")).alias("before"))
+        for i, c in enumerate(ids)])))
+
+
 def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Join counts to check definitions (a few dozen rows) and give each a status.
 
-    With a ``prior`` (check_id, actual: a row a check), checks of a count or a known population expect what the prior
-    run counted, within their drift; where it counted nothing of the kind, expected is NULL and the status REVIEW.
+    With a ``prior`` (check_id, actual: a row a check) or a column ``before`` of the counts, checks of a count or a known
+    population expect what the prior run counted, within their drift; where it counted nothing of the kind, expected is NULL and the status REVIEW.
     """
     rows = [
         (i, c.check_id, c.category, c.check_name, c.kind, c.expected, c.hard, c.drift) for i, c in enumerate(checks, 1)
@@ -325,11 +437,13 @@ def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame, prior:
     defs = spark.createDataFrame(
         rows, "sort_order int, check_id string, category string, check_name string, kind string, want long, hard boolean, drift double"
     )
+    # one row per check on each side
+    met_by = F.broadcast(defs).join(counts, "check_id")
     if prior is not None:
         before = prior.select("check_id", F.col("actual").cast("long").alias("before"))
-        # one row per check on both sides
-        defs = F.broadcast(defs).join(F.broadcast(before), "check_id", "left")
-        defs = defs.withColumn("want", F.when(F.col("kind") == ZERO, F.col("want")).otherwise(F.col("before")))
+        met_by = met_by.drop("before").join(F.broadcast(before), "check_id", "left")
+    if prior is not None or "before" in counts.columns:
+        met_by = met_by.withColumn("want", F.when(F.col("kind") == ZERO, F.col("want")).otherwise(F.col("before")))
     met = F.abs(F.col("actual") - F.col("want")) <= F.floor(F.col("drift") * F.col("want"))
     status = (
         F.when(F.col("want").isNull(), "REVIEW")
@@ -338,7 +452,7 @@ def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame, prior:
         .when(F.col("hard"), "FAIL")
         .otherwise("REVIEW")
     )
-    return F.broadcast(defs).join(counts, "check_id").select(
+    return met_by.select(
         "sort_order", "check_id", "category", "check_name",
         F.col("want").cast("string").alias("expected"),
         F.col("actual").cast("string").alias("actual"),
@@ -349,30 +463,21 @@ def evaluate(spark: SparkSession, checks: list[Check], counts: DataFrame, prior:
 def run_checks(
     raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
     rules: ReviewRules, expected: Expected | None = None, tolerance: float = 1e-6,
-    prior: DataFrame | None = None, drift: float = 0.0,
+    prior: DataFrame | None = None, drift: float = 0.0, raw_day: str | None = None,
 ) -> DataFrame:
-    """The 27 checks. All checks on a table come from one chain of aggregates over it;
-    the reconciliation reads the daily and monthly rows once more.
+    """The 27 checks. Each source is read once, and all checks come from one table of calendar months.
 
-    Sizes are compared with ``expected``, or with what a ``prior`` run counted (check_id, actual), within the share
-    ``drift``. One of the two is needed.
+    Sizes are compared with ``expected``; with what a ``prior`` run counted (check_id, actual), within the share
+    ``drift``; or, if ``raw_day`` names the date column of the raw daily rows, with the run that would have followed the
+    last month but one, within that share. One of the three is needed.
     """
-    if (expected is None) == (prior is None):
-        raise ValueError("Give either expected sizes or a prior run")
-    from prodseries.operators.reconcile import mismatch_counts
-
-    parts = [
-        identity_counts(raw_daily, raw_monthly),
-        keyed_counts(fact, ["entity", "day"], row_flags(fact, rules), dim, "QC-002", "QC-006", "QC-008"),
-        keyed_counts(monthly, ["entity", "year", "month"], {}, dim, "QC-005", "QC-007", "QC-009"),
-        dim.agg(F.count("entity").alias("QC-003")),
-        mismatch_counts(fact, monthly, tolerance),
-    ]
-    counts = long_counts(parts[0])
-    for p in parts[1:]:
-        counts = counts.unionByName(long_counts(p))
-    checks = [c if c.kind == ZERO else replace(c, drift=drift) for c in standard_checks(expected or Expected())]
-    return evaluate(fact.sparkSession, checks, counts, prior)
+    if sum(given is not None for given in (expected, prior, raw_day)) != 1:
+        raise ValueError("Give either expected sizes, a prior run, or the date column of the raw rows")
+    standard = standard_checks(expected or Expected())
+    months = month_counts(raw_daily, fact, dim, raw_monthly, monthly, rules, tolerance, raw_day)
+    counts = _totals(months, [c.check_id for c in standard if c.kind != ZERO])
+    checks = [c if c.kind == ZERO else replace(c, drift=drift) for c in standard]
+    return evaluate(fact.sparkSession, checks, counts if raw_day else counts.drop("before"), prior)
 
 
 def rollup(results: DataFrame) -> DataFrame:

@@ -73,8 +73,7 @@ def _months(s, d):
 
 def _checks(s, d):
     return checks.run_checks(
-        raw_pairs(s, d), F_(s, d), D_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES,
-        prior=history.month_end_prior(_months(s, d)), drift=DRIFT,
+        raw_pairs(s, d), F_(s, d), D_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, drift=DRIFT, raw_day="dateprd",
     )
 
 

@@ -1,11 +1,12 @@
 """Run history: what a load records, the prior that checks read, and drift against it."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from prodseries.operators import checks, history, verdicts
+from prodseries.operators import checks, history, reconcile, verdicts
 from prodseries.operators.checks import EQUALS, KNOWN, Check, ReviewRules
 from prodseries.sources import load as ld
 
@@ -143,3 +144,58 @@ def test_checks_and_assessment_read_the_prior_of_a_store(spark, store, fixture,
 
     drifted = lambda f: {r.check_id: r.actual for r in verdicts.run_assessment(raw, f, m, m, ReviewRules(), SeriesSpec(), prior=prior).collect()}["AC-23"]
     assert drifted(fact) == "0" and drifted(grown) == "1"
+
+
+CORE = "entity int, day date, state string, mode string, hours decimal(18,6), oil decimal(18,6), gas decimal(18,6), water decimal(18,6), injection decimal(18,6)"
+FULL = "entity int, year int, month int, oil decimal(18,6), gas decimal(18,6), water decimal(18,6), injection decimal(18,6)"
+D = Decimal
+
+
+def odd_rows(spark, some=True):
+    """Daily rows, months, names and dimension with repeated and absent keys, strays on either side and ambiguous names."""
+    op = ("OP", "production")
+    daily = [
+        (1, day("2020-01-05"), *op, D(5), D(10), D(1), None, None), (1, day("2020-01-05"), *op, D(5), D(10), D(1), None, None),
+        (1, day("2020-01-05"), "??", "none", D(30), D(-1), None, D(-2), None), (1, day("2020-02-05"), *op, None, D(1), None, None, None),
+        (2, day("2020-01-07"), *op, D(0), None, None, None, D(500)), (2, None, *op, D(1), D(7), None, None, None), (2, None, *op, D(1), D(7), None, None, None),
+        (3, day("2020-03-01"), *op, D(1), D(2), D(3), D(4), D(5)), (None, day("2020-03-02"), *op, D(1), None, None, None, None),
+        (9, day("2020-02-02"), "OP", None, D(-1), None, D(-3), None, None),
+    ]
+    months = [
+        (1, 2020, 1, D(19), D(2), D(-2), None), (1, 2020, 1, D(5), D(2), D(-2), None), (1, 2020, 1, None, None, None, None),
+        (2, 2020, 1, None, None, D(0), D(500)), (3, 2020, 4, D(1), None, None, None), (8, 2020, 2, None, None, None, None),
+        (8, 2020, 2, None, None, None, None), (2, None, None, D(14), None, None, None), (2, None, None, D(14), None, None, None), (None, 2020, 3, None, None, None, None),
+    ]
+    names = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, None), (3, "c"), (None, "c"), (4, "d"), (None, None), (9, "i")]
+    frame_ = lambda rows, kind: spark.createDataFrame(rows if some else [], kind)
+    raw = [(e, n, d) for (e, n), d in zip(names, [r[1] for r in daily])]
+    return (
+        frame_(raw, "entity int, entity_name string, dateprd date"), frame_(daily, CORE), frame_([(1,), (2,), (2,), (3,), (None,), (5,)], "entity int"),
+        frame_([r[:3] for r in months], "entity int, year int, month int"), frame_(months, FULL),
+    )
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_one_table_of_months_holds_all_checks(spark, some):
+    raw, fact, dim, raw_months, months = odd_rows(spark, some)
+    want = {
+        **checks.identity_counts(raw, raw_months).first().asDict(), **reconcile.mismatch_counts(fact, months).first().asDict(),
+        **checks.keyed_counts(fact, ["entity", "day"], checks.row_flags(fact, RULES), dim, "QC-002", "QC-006", "QC-008").first().asDict(),
+        **checks.keyed_counts(months, ["entity", "year", "month"], {}, dim, "QC-005", "QC-007", "QC-009").first().asDict(),
+        "QC-003": 5 if some else 0,
+    }
+    found = checks.run_checks(raw, fact, dim, raw_months, months, RULES, checks.Expected()).collect()
+    assert {r.check_id: int(r.actual) for r in found} == want and len(want) == 27
+    if some:
+        assert [want[c] for c in ("QC-006", "QC-007", "QC-008", "QC-009", "QC-014", "QC-015", "QC-016")] == [1, 2, 1, 2, 5, 6, 9]
+        assert [want[c] for c in ("QC-010", "QC-011", "QC-012", "QC-013")] == [1, 1, 2, 1]
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_checks_against_the_month_before_read_no_table_twice(spark, some):
+    raw, fact, dim, raw_months, months = odd_rows(spark, some)
+    prior = history.month_end_prior(history.populations(fact, months, RULES, raw, raw_months, "dateprd"))
+    told = checks.run_checks(raw, fact, dim, raw_months, months, RULES, prior=prior, drift=0.02).collect()
+    assert checks.run_checks(raw, fact, dim, raw_months, months, RULES, drift=0.02, raw_day="dateprd").collect() == told
+    with pytest.raises(ValueError, match="prior run"):
+        checks.run_checks(raw, fact, dim, raw_months, months, RULES, prior=prior, raw_day="dateprd")

@@ -65,7 +65,7 @@ def test_rank_limits_run_before_the_shuffle(spark):
 
 
 #: The most scans of lineitem in a query that asks several things of it, as it ran: what Spark reuses counts once.
-SCANS = {"gt_answers": 2, "pf_run_summary": 3, "pf_monthly": 2, "nq_record_state": 1, "vw_lifetime": 1, "pf_duplicate_rows": 3, "a1_oil_rank": 2, "pf_numeric": 2}
+SCANS = {"gt_answers": 2, "pf_run_summary": 3, "pf_monthly": 2, "nq_record_state": 1, "vw_lifetime": 1, "pf_duplicate_rows": 3, "a1_oil_rank": 2, "pf_numeric": 2, "qc_results": 4}
 
 
 @pytest.mark.parametrize("name", SCANS)
