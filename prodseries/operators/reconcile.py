@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prodseries.functions.expr import count_where, days_in_month, holds, pct, rounded_ratio, total
@@ -59,10 +61,11 @@ def reconcile(fact: DataFrame, monthly: DataFrame, metrics=METRICS, tolerance: f
     )
 
 
-def mismatch_counts(fact: DataFrame, monthly: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def mismatch_counts(
+    fact: DataFrame, monthly: DataFrame, tolerance: float = 1e-6, metrics=("oil", "gas", "water", "injection"),
+) -> DataFrame:
     """The three reconciliation checks: one-sided entity-months and values that differ
-    on any of four volumes, a missing side counting as zero."""
-    metrics = ("oil", "gas", "water", "injection")
+    on any of the metrics (four volumes), a missing side counting as zero."""
     tol, zero = F.lit(tolerance).cast(TOTAL), F.lit(0).cast(TOTAL)
     off = None
     for m in metrics:
@@ -93,13 +96,15 @@ def summary(detail: DataFrame) -> DataFrame:
 
 def by_entity(detail: DataFrame) -> DataFrame:
     """Median and largest percentage difference per entity and metric (a group holds
-    at most one row per calendar month)."""
+    at most one row per calendar month). The median is exact: the middle two are halved as decimals."""
     both = detail.where(F.col("outcome").isin("MATCH", "NULL_CONVENTION", "MISMATCH"))
-    return both.groupBy("entity", "metric").agg(
-        F.count("*").alias("n_months"),
-        F.percentile("pct_diff", F.lit(0.5)).cast(TOTAL).alias("median_pct_diff"),
-        F.max(F.abs("pct_diff")).alias("max_abs_pct_diff"),
+    ordered = both.groupBy("entity", "metric").agg(
+        F.count("*").alias("n_months"), F.sort_array(F.collect_list("pct_diff")).alias("v"), F.max(F.abs("pct_diff")).alias("max_abs_pct_diff"),
     )
+    n = F.size("v")
+    middle = F.get("v", F.floor((n - 1) / 2).cast("int")) + F.get("v", F.floor(n / 2).cast("int"))
+    median = (middle * F.lit(Decimal("0.5"))).cast(TOTAL)
+    return ordered.select("entity", "metric", "n_months", median.alias("median_pct_diff"), "max_abs_pct_diff")
 
 
 def top_differences(detail: DataFrame, n: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from prodseries.operators import checks, constraints as con, history, reconcile
 from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, rratio
 from prodseries.sources import extracts, load
 from prodseries.sources.driver_tables import (
-    daily_fact as F_, dimension as D_, raw_daily, raw_monthly, raw_monthly_extract, table,
+    BOOKED, billed_days, daily_fact as F_, dimension as D_, order_books, raw_daily, raw_monthly, raw_monthly_extract, table,
 )
 from prodseries.spec import DRIVER
 
@@ -78,7 +78,12 @@ def _checks(s, d):
 
 
 def _detail(s, d):
-    return rec.reconcile(F_(s, d), monthly_core(s, d))
+    """Lines against the order books, by customer: two tables that share no amount."""
+    return rec.reconcile(billed_days(s, d), order_books(s, d), metrics=BOOKED)
+
+
+def _book_checks(s, d):
+    return checks.long_counts(rec.mismatch_counts(billed_days(s, d), order_books(s, d), metrics=BOOKED))
 
 
 QUERIES = {
@@ -109,6 +114,7 @@ QUERIES = {
     "vw_dq_review": lambda s, d: checks.review_listing(checks.review(F_(s, d), RULES)),
     "qc_results": _checks,
     "qc_rollup": lambda s, d: checks.rollup(_checks(s, d)),
+    "reconcile_checks": _book_checks,
     "reconcile_detail": _detail,
     "reconcile_summary": lambda s, d: rec.summary(_detail(s, d)),
     "reconcile_mismatches": lambda s, d: _detail(s, d).where(F.col("outcome") == "MISMATCH"),
@@ -147,33 +153,59 @@ REVIEW = {
         for i, c in CONDS.items()
     )
 }
-SIDES = {
-    "sides": "SELECT coalesce(d.entity, m.entity) AS entity, coalesce(d.year, m.year) AS year, coalesce(d.month, m.month) AS month, "
-    "d.entity IS NOT NULL AS in_d, m.entity IS NOT NULL AS in_m, daily_rows, "
-    + ", ".join(f"d.{m} AS d_{m}, {dec('m.' + m)} AS m_{m}" for m in M)
-    + " FROM monthly_sum d FULL JOIN monthly_core m ON d.entity = m.entity AND d.year = m.year AND d.month = m.month",
-    "long": " UNION ALL ".join(
-        f"SELECT entity, year, month, in_d, in_m, daily_rows, '{m}' AS metric, d_{m} AS daily_value, m_{m} AS monthly_value, "
-        f"CASE WHEN in_d AND in_m THEN {dec(f'coalesce(d_{m}, 0) - m_{m}')} END AS abs_diff FROM sides"
-        for m in M
-    ),
-    "detail": f"""SELECT entity, year, month, metric, daily_value, monthly_value, daily_rows, abs_diff,
-        {pct('abs_diff', 'abs(monthly_value)')} AS pct_diff,
-        CASE WHEN NOT in_m THEN 'DAILY_ONLY' WHEN NOT in_d THEN 'MONTHLY_ONLY'
-             WHEN abs(abs_diff) < 0.000001 THEN 'MATCH'
-             WHEN monthly_value IS NULL AND abs(coalesce(daily_value, 0)) < 0.000001 THEN 'NULL_CONVENTION'
-             ELSE 'MISMATCH' END AS outcome FROM long""",
-    "rec_summary": f"""SELECT metric,
-        COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH')) AS n_comparable,
-        COUNT(*) FILTER (WHERE outcome = 'MATCH') AS match_count,
-        COUNT(*) FILTER (WHERE outcome = 'NULL_CONVENTION') AS null_convention,
-        COUNT(*) FILTER (WHERE outcome = 'MISMATCH') AS mismatch,
-        COUNT(*) FILTER (WHERE outcome = 'DAILY_ONLY') AS daily_only,
-        COUNT(*) FILTER (WHERE outcome = 'MONTHLY_ONLY') AS monthly_only,
-        MAX(CASE WHEN outcome = 'MATCH' THEN abs(abs_diff) END) AS max_abs_diff_among_matches,
-        {rratio("COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION'))",
-                      "COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH'))", 2, 100, even=True)} AS accounted_for_rate
-        FROM detail GROUP BY metric""",
+
+
+def sides(metrics, daily, monthly):
+    """The two sides of a reconciliation and what follows from them; daily and monthly name their sums by month."""
+    return {
+        "sides": "SELECT coalesce(d.entity, m.entity) AS entity, coalesce(d.year, m.year) AS year, coalesce(d.month, m.month) AS month, "
+        "d.entity IS NOT NULL AS in_d, m.entity IS NOT NULL AS in_m, daily_rows, "
+        + ", ".join(f"d.{m} AS d_{m}, {dec('m.' + m)} AS m_{m}" for m in metrics)
+        + f" FROM {daily} d FULL JOIN {monthly} m ON d.entity = m.entity AND d.year = m.year AND d.month = m.month",
+        "long": " UNION ALL ".join(
+            f"SELECT entity, year, month, in_d, in_m, daily_rows, '{m}' AS metric, d_{m} AS daily_value, m_{m} AS monthly_value, "
+            f"CASE WHEN in_d AND in_m THEN {dec(f'coalesce(d_{m}, 0) - m_{m}')} END AS abs_diff FROM sides"
+            for m in metrics
+        ),
+        "detail": f"""SELECT entity, year, month, metric, daily_value, monthly_value, daily_rows, abs_diff,
+            {pct('abs_diff', 'abs(monthly_value)')} AS pct_diff,
+            CASE WHEN NOT in_m THEN 'DAILY_ONLY' WHEN NOT in_d THEN 'MONTHLY_ONLY'
+                 WHEN abs(abs_diff) < 0.000001 THEN 'MATCH'
+                 WHEN monthly_value IS NULL AND abs(coalesce(daily_value, 0)) < 0.000001 THEN 'NULL_CONVENTION'
+                 ELSE 'MISMATCH' END AS outcome FROM long""",
+        "rec_summary": f"""SELECT metric,
+            COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH')) AS n_comparable,
+            COUNT(*) FILTER (WHERE outcome = 'MATCH') AS match_count,
+            COUNT(*) FILTER (WHERE outcome = 'NULL_CONVENTION') AS null_convention,
+            COUNT(*) FILTER (WHERE outcome = 'MISMATCH') AS mismatch,
+            COUNT(*) FILTER (WHERE outcome = 'DAILY_ONLY') AS daily_only,
+            COUNT(*) FILTER (WHERE outcome = 'MONTHLY_ONLY') AS monthly_only,
+            MAX(CASE WHEN outcome = 'MATCH' THEN abs(abs_diff) END) AS max_abs_diff_among_matches,
+            {rratio("COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION'))",
+                          "COUNT(*) FILTER (WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH'))", 2, 100, even=True)} AS accounted_for_rate
+            FROM detail GROUP BY metric""",
+    }
+
+
+SIDES = sides(M, "monthly_sum", "monthly_core")
+CENTS, PARTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)", "CAST(floor(l_extendedprice * 100 + 0.5) * (100 - floor(l_discount * 100 + 0.5)) AS BIGINT)"
+
+
+def _priced(x, unit):
+    return f"CAST(CAST(SUM({x}) AS DECIMAL(24,0)) * {unit} AS DECIMAL(28,6))"
+
+
+BOOKS = {
+    "order_books": f"""SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+        COUNT(*) AS orders, {_priced(CENTS, '0.01')} AS amount, {_priced(f"CASE WHEN o_orderstatus = 'F' THEN {CENTS} END", '0.01')} AS finished,
+        {_priced(f"CASE WHEN o_orderstatus = 'O' THEN {CENTS} END", '0.01')} AS open
+        FROM orders WHERE NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', false) GROUP BY 1, 2, 3""",
+    "billed": f"""SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+        COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS daily_rows, CAST(COUNT(DISTINCT o_orderkey) AS DECIMAL(28,6)) AS orders,
+        {_priced(PARTS, '0.0001')} AS amount, {_priced(f"CASE WHEN l_linestatus = 'F' THEN {PARTS} END", '0.0001')} AS finished,
+        {_priced(f"CASE WHEN l_linestatus = 'O' THEN {PARTS} END", '0.0001')} AS open
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3""",
+    **sides(BOOKED, "billed", "order_books"),
 }
 STATE_CTE = {
     "stated": f"""SELECT *, CASE WHEN state = 'WI' AND mode = 'production' THEN 'TRANSITION_STATE'
@@ -357,24 +389,27 @@ ORACLES = {
             CASE WHEN COUNT(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL'
                  WHEN COUNT(*) FILTER (WHERE status = 'REVIEW') > 0 THEN 'PASS WITH REVIEW' ELSE 'PASS' END AS overall_status
         FROM qc""", QC),
-    "reconcile_detail": query("SELECT * FROM detail", SIDES),
-    "reconcile_summary": query("SELECT * FROM rec_summary", SIDES),
-    "reconcile_mismatches": query("SELECT * FROM detail WHERE outcome = 'MISMATCH'", SIDES),
+    "reconcile_checks": query(
+        "SELECT 'QC-014' AS check_id, COUNT(*) AS actual FROM sides WHERE NOT in_m UNION ALL SELECT 'QC-015', COUNT(*) FROM sides WHERE NOT in_d "
+        "UNION ALL SELECT 'QC-016', COUNT(*) FROM sides WHERE " + " OR ".join(f"abs(coalesce(d_{m}, 0) - coalesce(m_{m}, 0)) > 0.000001" for m in BOOKED), BOOKS),
+    "reconcile_detail": query("SELECT * FROM detail", BOOKS),
+    "reconcile_summary": query("SELECT * FROM rec_summary", BOOKS),
+    "reconcile_mismatches": query("SELECT * FROM detail WHERE outcome = 'MISMATCH'", BOOKS),
     "reconcile_by_entity": query(
-        f"""SELECT entity, metric, COUNT(*) AS n_months, {dec('quantile_cont(CAST(pct_diff AS DOUBLE), 0.5)')} AS median_pct_diff,
-            MAX(abs(pct_diff)) AS max_abs_pct_diff
-        FROM detail WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH') GROUP BY 1, 2""", SIDES),
+        """SELECT entity, metric, n_months, CAST((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) * 0.5 AS DECIMAL(28,6)) AS median_pct_diff, max_abs_pct_diff
+        FROM (SELECT entity, metric, COUNT(*) AS n_months, list_sort(list(pct_diff) FILTER (pct_diff IS NOT NULL)) AS v, MAX(abs(pct_diff)) AS max_abs_pct_diff
+              FROM detail WHERE outcome IN ('MATCH', 'NULL_CONVENTION', 'MISMATCH') GROUP BY 1, 2)""", BOOKS),
     "reconcile_top_diffs": query(
         """SELECT metric, CAST(rn AS INTEGER) AS position, entity, year, month, daily_value, monthly_value, abs_diff, pct_diff, daily_rows,
             CAST(day(last_day(make_date(year, month, 1))) AS INTEGER) AS expected_days_in_month,
             daily_rows - day(last_day(make_date(year, month, 1))) AS daily_rows_vs_expected
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric ORDER BY abs(abs_diff) DESC, entity, year, month) AS rn
-              FROM detail WHERE abs_diff IS NOT NULL) WHERE rn <= 3""", SIDES),
+              FROM detail WHERE abs_diff IS NOT NULL) WHERE rn <= 3""", BOOKS),
     "reconcile_verdict": query(
         f"""SELECT {dec('r')} AS avg_accounted_for_rate, g AS coverage_gaps, CAST(m AS BIGINT) AS total_mismatches,
             CASE WHEN g = 0 AND r >= 99 THEN 'PASS' WHEN r >= 90 THEN 'PASS WITH REVIEW' ELSE 'FAIL' END AS verdict
         FROM (SELECT AVG(CAST(accounted_for_rate AS DOUBLE)) AS r, MAX(daily_only + monthly_only) AS g, SUM(mismatch) AS m
-              FROM rec_summary)""", SIDES),
+              FROM rec_summary)""", BOOKS),
     "nq_record_state": query("SELECT entity, day, record_state FROM stated", STATE_CTE),
     "nq_state_summary": query(
         f"""SELECT record_state, COUNT(*) AS row_count, {rratio('COUNT(*)', '(SELECT COUNT(*) FROM stated)', 2, 100, even=True)} AS pct,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prodseries.spec import MEASURE, TOTAL, SeriesSpec
@@ -18,6 +20,40 @@ def booked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(pending.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")
 
 
+#: What the order books and the lines of the orders both say.
+BOOKED = ("orders", "amount", "finished", "open")
+
+
+def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly books by (customer, year, month), from the heads of the orders alone: their number and total prices.
+
+    Urgent orders that are still pending are not booked yet.
+    """
+    cents, status = F.floor(F.col("o_totalprice") * 100 + 0.5), F.col("o_orderstatus")
+    heads = table(spark, sf_dir, "orders").where("NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', false)")
+    price = lambda c: (F.sum(c) * F.lit(Decimal("0.01"))).cast(TOTAL)
+    return heads.groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(
+        F.count("*").alias("orders"), price(cents).alias("amount"),
+        price(F.when(status == "F", cents)).alias("finished"), price(F.when(status == "O", cents)).alias("open"),
+    )
+
+
+def billed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines by (customer, order day): orders that have any, and discounted prices of all, finished and open lines.
+
+    Lines are summed to their order first, with partial sums, so orders meet one row of lines each; the order gives the
+    customer and the day, and every amount comes from the lines.
+    """
+    parts = F.floor(F.col("l_extendedprice") * 100 + 0.5) * (100 - F.floor(F.col("l_discount") * 100 + 0.5))
+    status = F.col("l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(parts).alias("amount"), F.sum(F.when(status == "F", parts)).alias("finished"), F.sum(F.when(status == "O", parts)).alias("open"))
+    heads = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("day"))
+    price = lambda c: (F.sum(c) * F.lit(Decimal("0.0001"))).cast(TOTAL).alias(c)
+    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("entity", "day").agg(
+        F.count("*").alias("orders"), price("amount"), price("finished"), price("open"))
+
+
 def daily_fact(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Order lines (all, unless told otherwise) summed to one row per (supplier, ship date).
 

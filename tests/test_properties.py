@@ -231,6 +231,44 @@ def test_reconcile_modes(spark, fact):
     assert reconcile.reconcile(fact, near, metrics=("oil",), tolerance=0.01).where(F.col("outcome") == "MATCH").count() == both
 
 
+def test_order_books_are_a_source_of_their_own(spark):
+    """Lines against heads of orders, by plain Python; no row is planted."""
+    from collections import defaultdict
+
+    from prodseries.sources import driver_tables as tables
+
+    sf = "/root/testdata/sf0.001"
+    heads = {r.o_orderkey: r for r in tables.table(spark, sf, "orders").collect()}
+    cents = lambda x: int(x * 100 + 0.5)
+    lines, books = defaultdict(lambda: defaultdict(list)), defaultdict(lambda: defaultdict(list))
+    for r in tables.table(spark, sf, "lineitem").collect():
+        head = heads[r.l_orderkey]
+        key, price = (head.o_custkey, head.o_orderdate.year, head.o_orderdate.month), Decimal(cents(r.l_extendedprice) * (100 - cents(r.l_discount))) / 10000
+        lines[key]["orders"].append(r.l_orderkey)
+        lines[key]["days"].append(head.o_orderdate.date())
+        for name in ("amount", {"F": "finished", "O": "open"}[r.l_linestatus]):
+            lines[key][name].append(price)
+    for r in heads.values():
+        if (r.o_orderstatus, r.o_orderpriority) != ("P", "1-URGENT"):
+            key = r.o_custkey, r.o_orderdate.year, r.o_orderdate.month
+            books[key]["orders"].append(r.o_orderkey)
+            for name in {"F": ("amount", "finished"), "O": ("amount", "open"), "P": ("amount",)}[r.o_orderstatus]:
+                books[key][name].append(Decimal(cents(r.o_totalprice)) / 100)
+    number = lambda side, name: None if name not in side else len(set(side[name])) if name == "orders" else sum(side[name])
+    want = {
+        (*key, name): (number(lines[key], name) if key in lines else None, number(books[key], name) if key in books else None, key in lines, key in books)
+        for key in {*lines, *books} for name in tables.BOOKED}
+    found = reconcile.reconcile(tables.billed_days(spark, sf), tables.order_books(spark, sf), metrics=tables.BOOKED)
+    detail = found.collect()
+    assert {(r.entity, r.year, r.month, r.metric): (r.daily_value, r.monthly_value, r.outcome != "MONTHLY_ONLY", r.outcome != "DAILY_ONLY") for r in detail} == want
+    assert {r.outcome for r in detail} == {"MATCH", "NULL_CONVENTION", "MISMATCH", "DAILY_ONLY", "MONTHLY_ONLY"}
+    assert {r.abs_diff > 0 for r in detail if r.outcome == "MISMATCH" and r.abs_diff is not None} == {True, False}
+    medians = {(r.entity, r.metric): r.median_pct_diff for r in reconcile.by_entity(found).collect()}
+    for at in list(medians)[:40]:
+        v = sorted(r.pct_diff for r in detail if (r.entity, r.metric) == at and r.abs_diff is not None and r.pct_diff is not None)
+        assert medians[at] == (((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2).quantize(Decimal("0.000001"), "ROUND_HALF_UP") if v else None)
+
+
 def test_grain_and_duplicates(spark):
     rows = [(1, START, 1.0)] * 40 + [(1, START, 2.0), (2, START, 1.0), (None, START, 1.0), (None, START, 1.0)]
     df = spark.createDataFrame(rows, "entity bigint, day date, v double")
