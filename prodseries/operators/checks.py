@@ -313,16 +313,18 @@ def row_flags(fact: DataFrame, rules: ReviewRules) -> dict[str, Column]:
     }
 
 
-def entity_months(fact: DataFrame, monthly: DataFrame, rules: ReviewRules, tolerance: float = 1e-6) -> tuple[DataFrame, list[str]]:
+def entity_months(fact: DataFrame, monthly: DataFrame, flags: dict[str, Column], tolerance: float = 1e-6) -> tuple[DataFrame, list[str]]:
     """What each entity-month adds to the checks on the core tables, and the names of these checks.
 
+    `flags` are conditions on a daily row, by check.
+
     Daily rows are summed to their keys and those to months before they meet the monthly rows; every monthly row is a
     row of the result, and so is every entity-month that only the daily rows have. Both tables are read once. A repeated
     monthly key meets the daily sums again, as a row of a join would, but their counts stay with its first row.
     """
     from prodseries.operators.reconcile import KEY
 
-    volumes, flags = ("oil", "gas", "water", "injection"), row_flags(fact, rules)
+    volumes = ("oil", "gas", "water", "injection")
     names = {f"f{i}": c for i, c in enumerate(flags)}
     per_day = fact.groupBy("entity", "day").agg(
         F.count("*").alias("n"), *[count_where(flags[c]).alias(a) for a, c in names.items()], *[total(v).alias(v) for v in volumes])
@@ -348,6 +350,11 @@ def entity_months(fact: DataFrame, monthly: DataFrame, rules: ReviewRules, toler
     return held, list(added)
 
 
+def by_month(rows: DataFrame) -> DataFrame:
+    """The sums of all columns by calendar month."""
+    return rows.groupBy("month").agg(*[F.sum(f"`{c}`").alias(c) for c in rows.columns if c != "month"])
+
+
 def month_counts(
     raw_daily: DataFrame, fact: DataFrame, dim: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
     rules: ReviewRules, tolerance: float = 1e-6, raw_day: str | None = None,
@@ -358,7 +365,7 @@ def month_counts(
     the date column of the daily ones is named (the monthly ones have year and month). Each of the four sources is read
     once, and an entity holds one row per calendar month when it meets its window and the dimension.
     """
-    held, names = entity_months(fact, monthly, rules, tolerance)
+    held, names = entity_months(fact, monthly, row_flags(fact, rules), tolerance)
     known = dim.select(F.col("entity").alias("_parent")).distinct()  # a repeated parent is no second row
     begin = F.min(F.when(F.col("held"), F.col("month"))).over(Window.partitionBy("entity"))
     held = held.withColumn("starts", F.when(F.col("held") & F.col("entity").isNotNull() & (F.col("month") == begin), 1).otherwise(0))
@@ -372,8 +379,7 @@ def month_counts(
         _identities(raw_daily, raw_monthly, undated if raw_day is None else F.trunc(raw_day, "MM"), undated if raw_day is None else F.make_date("year", "month", F.lit(1))),
         dim.agg(F.count("entity").alias("QC-003")).withColumn("month", undated),
     ]
-    sums = lambda df: df.groupBy("month").agg(*[F.sum(f"`{c}`").alias(c) for c in df.columns if c != "month"])
-    rows = sums(parts[0]).unionByName(sums(parts[1]), allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    rows = by_month(parts[0]).unionByName(by_month(parts[1]), allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return rows.groupBy("month").agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in rows.columns if c != "month"])
 
 
@@ -407,7 +413,7 @@ def _identities(raw_daily: DataFrame, raw_monthly: DataFrame, daily_month: Colum
     )
 
 
-def _totals(months: DataFrame, drifting: list[str]) -> DataFrame:
+def month_totals(months: DataFrame, drifting: list[str]) -> DataFrame:
     """(check_id, actual, before): each check over all months, and the populations as of the last month but one.
 
     `before` is what a run would have counted that had everything except the last month; NULL for checks that do not
@@ -415,7 +421,7 @@ def _totals(months: DataFrame, drifting: list[str]) -> DataFrame:
     """
     ids = [c for c in months.columns if c not in ("month", "starts")]
     # entities are those of the dimension; those that had begun before are known by their first month
-    source = lambda c: "starts" if c == "QC-003" else f"`{c}`"
+    source = lambda c: "starts" if c == "QC-003" and "starts" in months.columns else f"`{c}`"
     zero = F.lit(0).cast("long")
     before = {c: F.coalesce(F.sum(source(c)), zero) - F.coalesce(F.max_by(source(c), "month"), zero) for c in drifting}
     one = months.agg(
@@ -475,7 +481,7 @@ def run_checks(
         raise ValueError("Give either expected sizes, a prior run, or the date column of the raw rows")
     standard = standard_checks(expected or Expected())
     months = month_counts(raw_daily, fact, dim, raw_monthly, monthly, rules, tolerance, raw_day)
-    counts = _totals(months, [c.check_id for c in standard if c.kind != ZERO])
+    counts = month_totals(months, [c.check_id for c in standard if c.kind != ZERO])
     checks = [c if c.kind == ZERO else replace(c, drift=drift) for c in standard]
     return evaluate(fact.sparkSession, checks, counts if raw_day else counts.drop("before"), prior)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from prodseries.functions.expr import any_of, any_positive, count_where, holds
-from prodseries.operators import checks, measures as ms, reconcile as rec
+from prodseries.operators import checks, measures as ms
 from prodseries.operators.checks import Check, ReviewRules
 from prodseries.spec import FLUIDS, MODES, STATES, VOLUMES, SeriesSpec
 
@@ -147,13 +147,13 @@ def assessment_checks() -> list[Check]:
 def run_assessment(
     raw_daily: DataFrame, fact: DataFrame, raw_monthly: DataFrame, monthly: DataFrame,
     rules: ReviewRules, spec: SeriesSpec, expected_daily: int | None = None, expected_monthly: int | None = None,
-    required=(), drift: float = 0.02, prior: DataFrame | None = None,
+    required=(), drift: float = 0.02, prior: DataFrame | None = None, month_end: bool = False,
 ) -> DataFrame:
-    """Evaluate the 24 checks on the check engine; the daily rows are scanned once for all row rules.
+    """Evaluate the 24 checks on the check engine; daily and monthly rows are read once for all that is asked of them.
 
     ``required``: columns the raw daily rows must have. ``drift``: how far, as a share, the daily and the monthly row
     count may each be from those of the prior run: ``prior`` (check_id, actual; its QC-002 and QC-005), or the two
-    numbers where it is not given.
+    numbers where it is not given, or, with ``month_end``, the run that would have followed the last month but one.
     """
     missing = [c for c in required if c not in raw_daily.columns]
     if prior is None:
@@ -174,32 +174,27 @@ def run_assessment(
         "AC-21": F.col(choke[0]) > 100 if choke else F.lit(False),
         "AC-24": (F.col("day") < F.lit(rules.window_start)) | after,
     }
-    daily = checks.keyed_counts(fact, ["entity", "day"], flags, None, "rows", "AC-05", "_").select(
-        *flags, "AC-05", F.lit(len(missing)).alias("AC-03"), F.when(F.col("rows") == 0, 1).otherwise(0).alias("AC-01"),
-        F.col("rows").alias("QC-002"),
-    )
-    month = checks.keyed_counts(monthly, ["entity", "year", "month"], {}, None, "QC-005", "AC-06", "_").drop("_")
+    held, _ = checks.entity_months(fact, monthly, flags)
+    sized = F.col("check_id").isin("QC-002", "QC-005")
+    counts = checks.month_totals(checks.by_month(held.drop("entity", "held")), ["QC-002", "QC-005"])
+    if not month_end:
+        before = prior.where(sized).select("check_id", F.col("actual").cast("long").alias("before"))
+        counts = counts.drop("before").join(F.broadcast(before), "check_id", "left")  # two rows
+    far = F.abs(F.col("actual") - F.col("before")) > F.floor(F.lit(drift) * F.col("before"))
+    named = F.create_map(*map(F.lit, ("QC-002", "AC-23", "QC-005", "AC-23", "QC-006", "AC-05", "QC-007", "AC-06",
+                                      "QC-014", "AC-22", "QC-015", "AC-22", "QC-016", "AC-22")))
+    found = F.struct(F.coalesce(F.try_element_at(named, F.col("check_id")), "check_id").alias("check_id"),
+                     F.when(sized, F.when(far, 1).otherwise(0)).otherwise(F.col("actual")).cast("long").alias("actual"))
+    empty = F.struct(F.lit("AC-01").alias("check_id"), F.when(F.col("actual") == 0, 1).otherwise(0).cast("long").alias("actual"))
+    counts = counts.select(F.inline(F.when(F.col("check_id") == "QC-002", F.array(found, empty)).otherwise(F.array(found))))
     blank = F.col("entity").isNull() & F.col("year").isNull() & F.col("month").isNull()
-    stray = raw_monthly.agg(count_where(blank).alias("AC-07"))
+    stray = raw_monthly.agg(count_where(blank).alias("AC-07"), F.lit(len(missing)).alias("AC-03"))
     ids = checks.identity_counts(raw_daily, raw_monthly).select(
         (F.col("QC-010") + F.col("QC-011")).alias("AC-08"), (F.col("QC-012") + F.col("QC-013")).alias("AC-09"),
         F.when(F.col("QC-004") == 0, 1).otherwise(0).alias("AC-02"),
     )
-    sides = rec.mismatch_counts(fact, monthly).select((F.col("QC-014") + F.col("QC-015") + F.col("QC-016")).alias("AC-22"))
-    parts = [daily, month, stray, ids, sides]
-    counts = checks.long_counts(parts[0])
-    for p in parts[1:]:
-        counts = counts.unionByName(checks.long_counts(p))
-    side = lambda df, name: df.select("check_id", F.lit(name).alias("side"), F.col("actual").cast("long").alias("actual"))
-    sized = F.col("check_id").isin("QC-002", "QC-005")
-    per = side(counts, "now").unionByName(side(prior.where(sized), "prior")).groupBy("check_id").agg(
-        F.sum(F.when(F.col("side") == "now", F.col("actual"))).alias("actual"),
-        F.sum(F.when(F.col("side") == "prior", F.col("actual"))).alias("before"),
-    )
-    far = F.abs(F.col("actual") - F.col("before")) > F.floor(F.lit(drift) * F.col("before"))
-    per = per.select(F.when(sized, "AC-23").otherwise(F.col("check_id")).alias("check_id"),
-                     F.when(sized, F.when(far, 1).otherwise(0)).otherwise(F.col("actual")).alias("actual"))
-    counts = per.groupBy("check_id").agg(F.sum("actual").alias("actual"))
+    counts = counts.unionByName(checks.long_counts(stray)).unionByName(checks.long_counts(ids))
+    counts = counts.groupBy("check_id").agg(F.sum("actual").alias("actual"))
     return checks.evaluate(fact.sparkSession, assessment_checks(), counts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prodseries.operators import categories as cat, checks, dashboards as db, history, temporal as tm, verdicts as vd, views
+from prodseries.operators import categories as cat, checks, dashboards as db, temporal as tm, verdicts as vd, views
 from prodseries.plans.load_queries import COUNTS, CONDS, DRIFT, PRIOR, REVIEW, RULES, SIDES, monthly_core, raw_pairs
 from prodseries.plans.quality_queries import OUT_WINDOW, RAW, alls, change_cte, mapping
 from prodseries.plans.sql import POS, POS_ANY, dec, pct, query, ratio, rratio, tot
@@ -25,9 +25,8 @@ def R_(s, d):
 
 
 def _assessment(s, d):
-    before = history.month_end_prior(history.populations(F_(s, d), monthly_core(s, d), RULES))
     return vd.run_assessment(
-        raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, required=REQUIRED, drift=DRIFT, prior=before
+        raw_pairs(s, d), F_(s, d), raw_monthly(s, d), monthly_core(s, d), RULES, DRIVER, required=REQUIRED, drift=DRIFT, month_end=True
     )
 
 

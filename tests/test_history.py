@@ -199,3 +199,18 @@ def test_checks_against_the_month_before_read_no_table_twice(spark, some):
     assert checks.run_checks(raw, fact, dim, raw_months, months, RULES, drift=0.02, raw_day="dateprd").collect() == told
     with pytest.raises(ValueError, match="prior run"):
         checks.run_checks(raw, fact, dim, raw_months, months, RULES, prior=prior, raw_day="dateprd")
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_assessment_of_odd_rows(spark, some):
+    from prodseries.spec import DRIVER
+
+    raw, fact, dim, raw_months, months = odd_rows(spark, some)
+    fact = fact.withColumns({c: F.lit(None).cast("decimal(18,6)") for c in ("downhole", "wellhead")})
+    prior = history.month_end_prior(history.populations(fact, months, RULES))
+    told = verdicts.run_assessment(raw, fact, raw_months, months, RULES, DRIVER, prior=prior).collect()
+    assert verdicts.run_assessment(raw, fact, raw_months, months, RULES, DRIVER, month_end=True).collect() == told and len(told) == 24
+    got = {r.check_id: int(r.actual) for r in told}
+    by_hand = {"AC-01": 0, "AC-02": 0, "AC-03": 0, "AC-04": 2, "AC-05": 1, "AC-06": 2, "AC-07": 0, "AC-08": 2, "AC-09": 3, "AC-10": 1, "AC-11": 1,
+               "AC-12": 1, "AC-13": 1, "AC-14": 2, "AC-15": 1, "AC-22": 20, "AC-23": 1}
+    assert {c: got[c] for c in by_hand} == (by_hand if some else dict.fromkeys(by_hand, 0) | {"AC-01": 1, "AC-02": 1})
