@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where, rounded_ratio
+from prodseries.functions.expr import count_where, dealt_by_month, rounded_ratio
 from prodseries.operators.checks import ReviewRules
 from prodseries.operators.views import with_names
 
@@ -90,17 +90,25 @@ def boundary_rows(fact: DataFrame, rules: ReviewRules) -> DataFrame:
     return fact.where(outside).select("entity", "day", "state", "mode", "hours")
 
 
+def _distinct_days() -> F.Column:
+    """Distinct days among the rows of one month, as the bits of one number: no group a day is held."""
+    return F.coalesce(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.day("day") - 1))).cast("long"), F.lit(0).cast("long"))
+
+
 def presence(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """Days of each entity's span by what is recorded; the four counts add up to the span.
 
     Days without a record are the span minus the rest, so no calendar grid is built.
     """
-    h = F.col("hours")
-    per = fact.groupBy("entity").agg(
-        F.min("day").alias("first"), F.max("day").alias("last"), F.countDistinct("day").alias("days"),
+    h, counted = F.col("hours"), ("active_days", "inactive_days", "hours_missing_days")
+    months = dealt_by_month(fact).groupBy("entity", "year", "month").agg(
+        F.min("day").alias("first"), F.max("day").alias("last"), _distinct_days().alias("days"),
         count_where(h > 0).alias("active_days"), count_where(h == 0).alias("inactive_days"),
         count_where(h.isNull()).alias("hours_missing_days"),
     )
+    per = months.groupBy("entity").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in ("days", *counted)]
+    )
     return with_names(per, dim).select(
         "entity", "entity_name",
         (F.datediff("last", "first") + 1 - F.col("days")).alias("no_record_days"),
@@ -110,8 +118,8 @@ def presence(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 def presence_by_month(fact: DataFrame) -> DataFrame:
     """The grid variant per (entity, month): calendar days of the month against recorded days."""
-    month = F.trunc("day", "MM").alias("month_start")
-    per = fact.groupBy("entity", month).agg(F.countDistinct("day").alias("recorded_days"))
+    per = dealt_by_month(fact).groupBy("entity", "year", "month").agg(_distinct_days().alias("recorded_days")).select(
+        "entity", F.make_date("year", "month", F.lit(1)).alias("month_start"), "recorded_days")
     bounds = per.groupBy("entity").agg(F.min("month_start").alias("first"), F.max("month_start").alias("last"))
     grid = bounds.select("entity", F.explode(F.expr("sequence(first, last, interval 1 month)")).alias("month_start"))
     return grid.join(per, ["entity", "month_start"], "left").select(
