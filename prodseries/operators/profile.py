@@ -191,10 +191,13 @@ def grain(df: DataFrame, keys) -> DataFrame:
 
 
 def grain_summary(df: DataFrame, keys) -> DataFrame:
-    return grain(df, keys).select(
-        F.col("duplicated_keys").alias("duplicated_combinations"),
-        F.col("duplicate_rows").alias("rows_involved_in_duplicates"),
-        (F.col("duplicated_keys") == 0).alias("grain_is_unique"),
+    """The part of grain() that needs no contents: rows are counted by key alone, so the other columns are not even read."""
+    dup = ~any_of(F.col(k).isNull() for k in keys) & (F.col("_rows") > 1)
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return per_key.agg(
+        count_where(dup).alias("duplicated_combinations"),
+        F.coalesce(F.sum(F.when(dup, F.col("_rows"))), F.lit(0)).alias("rows_involved_in_duplicates"),
+        (count_where(dup) == 0).alias("grain_is_unique"),
     )
 
 
