@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prodseries.functions.expr import count_where
+from prodseries.functions.expr import count_where, dealt_by_month
 from prodseries.operators.checks import ReviewRules
 
 
@@ -29,7 +29,8 @@ def populations(
     dated = F.make_date("year", "month", F.lit(1)).alias("month")
     issues = issue_conditions(rules)
     # one chain: rows to the months of an entity, which bound its window, and those to months
-    held = fact.groupBy("entity", first("day")).agg(F.count("*").alias("QC-002"), *[count_where(c).alias(i) for i, c in issues.items()])
+    held = dealt_by_month(fact).groupBy("entity", "year", "month").agg(F.count("*").alias("QC-002"), *[count_where(c).alias(i) for i, c in issues.items()])
+    held = held.select("entity", dated, "QC-002", *[F.col(f"`{i}`") for i in issues])
     starts = F.col("entity").isNotNull() & (F.col("month") == F.min("month").over(Window.partitionBy("entity")))
     held = held.withColumn("QC-003", F.when(starts, 1).otherwise(0))
     counted = ["QC-002", "QC-003", *issues]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prodseries.functions.expr import any_positive, count_where, month_start, total
+from prodseries.functions.expr import any_positive, count_where, dealt_by_month, total
 from prodseries.spec import FLUIDS, ROLE_NOTES, VOLUMES, SeriesSpec, role_of
 
 
@@ -36,7 +36,7 @@ def _volume_sums():
 
 def monthly(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """One row per (entity, year, month); the name is joined after the sums."""
-    sums = fact.groupBy("entity", F.year("day").alias("year"), F.month("day").alias("month")).agg(
+    sums = dealt_by_month(fact).groupBy("entity", "year", "month").agg(
         *_volume_sums(),
         count_where(any_positive(VOLUMES)).alias("producing_days"),
         F.count("*").alias("calendar_records"),
@@ -70,17 +70,17 @@ def field_monthly(fact: DataFrame) -> DataFrame:
     Entity-months are summed first, so counting distinct active entities needs no
     second pass over the daily rows.
     """
-    by_entity = fact.groupBy("entity", month_start("day").alias("month_start")).agg(
+    by_entity = dealt_by_month(fact).groupBy("entity", "year", "month").agg(
         *_volume_sums(), F.max(F.col("hours") > 0).alias("active")
     )
-    return by_entity.groupBy("month_start").agg(
+    return by_entity.groupBy("year", "month").agg(
         count_where(F.col("active")).alias("active_wells"),
         *[
             total(c).alias(c)
             for c in ("oil_volume", "gas_volume", "water_volume", "water_injection_volume", "on_stream_hours")
         ],
     ).select(
-        F.year("month_start").alias("year"), F.month("month_start").alias("month"), "month_start",
+        "year", "month", F.make_date("year", "month", F.lit(1)).alias("month_start"),
         "active_wells", "oil_volume", "gas_volume", "water_volume", "water_injection_volume", "on_stream_hours",
     )
 
