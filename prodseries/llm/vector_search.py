@@ -5,8 +5,11 @@ the vectors are scaled to length 1 and turned by a random rotation, and a query
 each block a hypothesis test asks whether the distance so far, scaled up to all dimensions, can still be within the best
 k; candidates that fail it are abandoned. What survives is measured exactly, in double precision on the original vectors.
 
-Lists are cut into blocks of bounded size, and so are the queries of a list; a block of vectors meets a block of queries
-in an equi-join on the list, so a hot list is many tasks' work and no task holds more than two blocks at once.
+Lists near each other form a group. The vectors of a group, by list, are cut into blocks of bounded size, and so are the
+queries that look into a list of the group, each of which is there once with the lists it looks into. A block of vectors
+meets a block of queries in an equi-join on the group, so a hot list is many tasks' work and no task holds more than two
+blocks at once. There all queries of a list go over its columns together, as products of matrices, each pair with its
+own test; the limit a query has after one list is the one it starts the next with.
 
 Cases: a row with a null id takes no part, nor does a vector that is null, zero, or holds null or non-finite components,
 nor one of another length than the most frequent (the larger, of two as frequent). Rows with one id are rows of their
@@ -31,6 +34,8 @@ SAMPLE, PER_LIST, MOST_LISTS = 8192, 256, 1024
 COVERED, MEASURED = 0.98, 512
 #: Vectors and queries of a block, dimensions looked at between two tests, and the test's slack.
 BLOCK, QUERIES, COLUMNS, SLACK = 2048, 256, 16, 2.1
+#: Lists of a group; one pair in so many that is left ends the common steps; pairs measured at a time.
+GROUP, FEW, PAIRS = 8, 16, 4096
 SEED = 7
 
 
@@ -82,76 +87,145 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Row by row the same operations, so that equal vectors get equal scores."""
-    top = np.abs(v).max(1, keepdims=True)
-    v, q = v / top, q / np.abs(q).max()
-    return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
-
-
-def scan(turned: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, turned_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the best k of a block but the row `own`. turned: dimensions x vectors, so that a block of columns lies together."""
-    n, total = turned.shape
-    alive = np.flatnonzero(rows != own)
-    if len(alive) > 4 * k:
-        # the limit: the k-th smallest full distance among a few of them
-        few = alive[:: max(1, len(alive) // (8 * k))]
-        limit = np.partition(((turned[:, few] - turned_query[:, None]) ** 2).sum(0), k - 1)[k - 1]
-        part = np.zeros(len(alive))
-        for start in range(0, n, COLUMNS):
-            stop = min(start + COLUMNS, n)
-            part += ((turned[start:stop, alive] - turned_query[start:stop, None]) ** 2).sum(0)
-            if stop < n:
-                keep = part <= limit * (stop / n) * (1 + SLACK / np.sqrt(stop)) ** 2 + 1e-9
-                alive, part = alive[keep], part[keep]
-    scores = cosine(vectors[alive], query) if len(alive) else np.zeros(0)
-    best = np.lexsort((ids[alive], -scores))[:k]
-    return ids[alive][best], scores[best]
-
-
-def _assigned(rows: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """(list, row, id, v as bytes): each vector in its `probes` nearest lists."""
-    sent = rows.sparkSession.sparkContext.broadcast(centers)  # MOST_LISTS vectors at most
+    """Row by row, of v and of q, the same operations, so that equal vectors get equal scores."""
+    v, q = v / np.abs(v).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
+    return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
+
+
+def ranks(at: np.ndarray) -> np.ndarray:
+    """Places from 0 within each run of equal values."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+
+
+def scan(turned: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, squared distance) of what may be among the k nearest of each query but the row `own`.
+
+    turned: dimensions x vectors, queries: queries x dimensions. limit: of each query, the k-th smallest distance so far;
+    it is lowered here. All queries go over a block of columns together; a pair that fails a test is out (not a number),
+    and once few pairs are left, the columns that follow are looked at for these alone.
+    """
+    n = len(turned)
+
+    def bar(stop: int) -> np.ndarray:
+        return limit * (stop / n) * ((1 + SLACK / np.sqrt(stop)) ** 2 if stop < n else 1.0) + 1e-9
+
+    def dense(start: int, stop: int, a: np.ndarray) -> np.ndarray:
+        a, q = a[start:stop], queries[:, start:stop]
+        return (q * q).sum(1)[:, None] + (a * a).sum(0) - 2 * (q @ a)
+
+    same = rows == own[:, None]
+    if len(rows) > 4 * k and not np.isfinite(limit).all():
+        # the first limit: the k-th smallest full distance among a few of them
+        few = slice(None, None, max(1, len(rows) // (8 * k)))
+        first = np.where(same[:, few], np.inf, dense(0, n, turned[:, few]))
+        np.minimum(limit, np.partition(first, k - 1, axis=1)[:, k - 1], out=limit)
+    part, start = np.where(same, np.nan, 0.0), 0
+    while True:
+        stop = min(start + COLUMNS, n)
+        part += dense(start, stop, turned)
+        start, keep = stop, part <= bar(stop)[:, None]
+        if start == n or np.count_nonzero(keep) * FEW < keep.size:
+            break
+        part[~keep] = np.nan
+    at, of = np.nonzero(keep)
+    part = part[at, of]
+    while start < n:
+        stop = min(start + COLUMNS, n)
+        part += ((turned[start:stop, of] - queries[at, start:stop].T) ** 2).sum(0)
+        start, keep = stop, part <= bar(stop)[at]
+        at, of, part = at[keep], of[keep], part[keep]
+    order = np.lexsort((part, at))
+    at, of, part = at[order], of[order], part[order]
+    last = ranks(at) == k - 1
+    limit[at[last]] = np.minimum(limit[at[last]], part[last])
+    return at, of, part
+
+
+def meet(block: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the best k of a block for each of its queries, from the lists that the query looks into.
+
+    block: lists, rows, ids, vectors, turned by dimension; asked: (query, list) pairs, rows, vectors, turned.
+    """
+    lists, rows, ids, vectors, turned = block
+    (who, wanted), own, asked_vectors, queries = asked
+    limit = np.full(len(own), np.inf)
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    firsts = np.flatnonzero(np.diff(lists, prepend=-1))
+    for start, stop in zip(firsts, [*firsts[1:], len(lists)]):
+        these = who[wanted == lists[start]]
+        if len(these):
+            lowered = limit[these]
+            at, of, part = scan(turned[:, start:stop], rows[start:stop], queries[these], own[these], lowered, k)
+            limit[these] = lowered
+            found.append((these[at], of + start, part))
+    at, of, part = (np.concatenate(x) for x in zip(*found))
+    keep = part <= limit[at] + 1e-9
+    at, of = at[keep], of[keep]
+    scores = np.zeros(len(at))
+    for start in range(0, len(at), PAIRS):
+        some = slice(start, start + PAIRS)
+        scores[some] = cosine(vectors[of[some]], asked_vectors[at[some]])
+    order = np.lexsort((ids[of], -scores, at))
+    best = order[ranks(at[order]) < k]
+    return at[best], ids[of[best]], scores[best]
+
+
+def groups_of(centers: np.ndarray) -> np.ndarray:
+    """A group for each list: GROUP lists or so that are near each other."""
+    return (centers @ fit(centers, -(-len(centers) // GROUP)).T).argmax(1)
+
+
+def _assigned(rows: DataFrame, centers: np.ndarray, groups: np.ndarray, probes: int) -> DataFrame:
+    """(group, lists, row, id, v as bytes): each vector once in each group that holds some of its `probes` nearest lists."""
+    sent = rows.sparkSession.sparkContext.broadcast((centers, groups))  # MOST_LISTS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, groups = sent.value
         for batch in batches:
             for start in range(0, len(batch), 2048):
                 part = batch.slice(start, 2048)
                 v = part.column(2).flatten().to_numpy().reshape(len(part), -1)
-                near = unit(v) @ sent.value.T
+                near = unit(v) @ centers.T
                 lists = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(v), 1))
-                numbers, ids = (np.repeat(part.column(c).to_numpy(), lists.shape[1]) for c in (0, 1))
+                at, lists = np.repeat(np.arange(len(v)), lists.shape[1]), lists.ravel()
+                order = np.lexsort((lists, groups[lists], at))
+                at, lists = at[order], lists[order]
+                firsts = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(groups[lists], prepend=-1))
+                ends = pa.array(np.append(firsts, len(lists)).astype(np.int32))
                 data = [x.tobytes() for x in v]
+                numbers, ids = (part.column(c).to_numpy()[at[firsts]].astype(np.int64) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(lists.ravel().astype(np.int32)), pa.array(numbers.astype(np.int64)), pa.array(ids.astype(np.int64)),
-                    pa.array([d for d in data for _ in range(lists.shape[1])], pa.binary()),
-                ], names=["list", "row", "id", "v"])
+                    pa.array(groups[lists[firsts]].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists.astype(np.int32))),
+                    pa.array(numbers), pa.array(ids), pa.array([data[i] for i in at[firsts]], pa.binary()),
+                ], names=["group", "lists", "row", "id", "v"])
 
-    return rows.select("row", "vec_id", "v").mapInArrow(run, "list int, row bigint, id bigint, v binary")
+    return rows.select("row", "vec_id", "v").mapInArrow(run, "group int, lists array<int>, row bigint, id bigint, v binary")
 
 
 def _blocks(rows: DataFrame, size: int, by_column: bool) -> DataFrame:
-    """(list, rows, ids, v, turned): the rows of each list in blocks of about `size`, spread by a hash of the row.
+    """(group, lists, rows, ids, v, turned): the rows of each group, by list, in blocks of about `size`, spread by a hash of the row.
 
     turned holds the unit vectors after the rotation, with by_column dimension by dimension. Both are stored, so that a
     block that meets many others is turned once.
     """
-    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # a row a list
-    cut = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.hash("row"), F.col("parts")))
-    grouped = cut.groupBy("list", "part").agg(F.array_sort(F.collect_list(F.struct("row", "id", "v"))).alias("m"))
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # a row a group
+    cut = rows.join(F.broadcast(sizes), "group").withColumn("part", F.pmod(F.hash("row"), F.col("parts")))
+    grouped = cut.groupBy("group", "part").agg(F.array_sort(F.collect_list(F.struct("lists", "row", "id", "v"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = None
         for batch in batches:
             for i in range(len(batch)):
-                data = batch.column(3)[i].as_py()
+                data = batch.column(4)[i].as_py()
                 v = np.frombuffer(b"".join(data)).reshape(len(data), -1)
                 turn = rotation(v.shape[1]) if turn is None else turn
                 turned = unit(v) @ turn
                 more = [pa.array([x.tobytes()], pa.binary()) for x in (v, np.ascontiguousarray(turned.T) if by_column else turned)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:3], *more], names=["list", "rows", "ids", "v", "turned"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:4], *more], names=["group", "lists", "rows", "ids", "v", "turned"])
 
-    packed = grouped.select("list", "m.row", "m.id", "m.v").mapInArrow(run, "list int, rows array<bigint>, ids array<bigint>, v binary, turned binary")
-    return stored(packed, "blocks")
+    kind = "group int, lists array<array<int>>, rows array<bigint>, ids array<bigint>, v binary, turned binary"
+    return stored(grouped.select("group", "m.lists", "m.row", "m.id", "m.v").mapInArrow(run, kind), "blocks")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -165,24 +239,25 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     scaled = unit(np.stack(sample))
     centers = fit(scaled, lists)
     probes = probes_for(scaled, centers, k)
-    blocks = _blocks(_assigned(rows, centers, 1), BLOCK, by_column=True)
-    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, probes), QUERIES, by_column=False)
-    asked = asked.select("list", *(F.col(c).alias(f"asked_{c}") for c in ("rows", "ids", "v", "turned")))
-    columns = ["rows", "ids", "v", "turned"]
-    met = blocks.join(asked, "list").select(*columns, *(f"asked_{c}" for c in columns))
+    groups = groups_of(centers)
+    blocks = _blocks(_assigned(rows, centers, groups, 1), BLOCK, by_column=True)
+    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, groups, probes), QUERIES, by_column=False)
+    columns = ["lists", "rows", "ids", "v", "turned"]
+    asked = asked.select("group", *(F.col(c).alias(f"asked_{c}") for c in columns))
+    met = blocks.join(asked, "group").select(*columns, *(f"asked_{c}" for c in columns))
     n = scaled.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                numbers, ids, asked_numbers, asked_ids = (batch.column(c)[i].values.to_numpy() for c in (0, 1, 4, 5))
-                v, turned, asked_v, asked_turned = (np.frombuffer(batch.column(c)[i].as_py()) for c in (2, 3, 6, 7))
-                v, turned, asked_v, asked_turned = v.reshape(-1, n), turned.reshape(n, -1), asked_v.reshape(-1, n), asked_turned.reshape(-1, n)
-                found = [scan(turned, v, numbers, ids, q, own, tq, k) for own, q, tq in zip(asked_numbers, asked_v, asked_turned)]
-                size = [len(f[0]) for f in found]
+                lists, asked_lists = (batch.column(c)[i].values for c in (0, 5))
+                numbers, ids, asked_numbers, asked_ids = (batch.column(c)[i].values.to_numpy() for c in (1, 2, 6, 7))
+                v, turned, asked_v, asked_turned = (np.frombuffer(batch.column(c)[i].as_py()) for c in (3, 4, 8, 9))
+                wanted = np.repeat(np.arange(len(asked_numbers)), asked_lists.value_lengths().to_numpy()), asked_lists.flatten().to_numpy()
+                block = lists.flatten().to_numpy(), numbers, ids, v.reshape(-1, n), turned.reshape(n, -1)
+                at, best, scores = meet(block, (wanted, asked_numbers, asked_v.reshape(-1, n), asked_turned.reshape(-1, n)), k)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(asked_numbers, size)), pa.array(np.repeat(asked_ids, size)),
-                    pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found])),
+                    pa.array(asked_numbers[at]), pa.array(asked_ids[at]), pa.array(best), pa.array(scores),
                 ], names=["row", "query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, kind)

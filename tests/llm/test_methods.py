@@ -2,13 +2,14 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from brute import contamination, near, personal, sha, words
 from pyspark.sql import functions as F
 
-from prodseries.llm import bpe, decontaminate, fixity, language_id, license_texts, licenses, near_dup, pii, token_rollups, unit_dedup, vector_search
+from prodseries.llm import bpe, decontaminate, fixity, language_id, license_texts, licenses, near_dup, pii, storage, token_rollups, unit_dedup, vector_search
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -494,6 +495,34 @@ def test_search_with_equal_vectors_and_few_candidates(spark):
     assert rows(vector_search.nearest(e.where("vec_id IN (0, 3)")), "query_id", "vec_id", "score") == [(0, 3, pytest.approx(1.0))]
 
 
+def test_search_copies_a_query_once_a_group_of_lists(spark):
+    v = np.random.default_rng(1).standard_normal((4000, 16))  # without structure, so that most lists are probed
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    folder = Path(storage.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("blocks-*"))
+    assert vector_search.nearest(e, every=10).count() == 400 * 5
+    held = sum(spark.read.parquet(str(f)).select(F.sum(F.size("rows"))).first()[0] for f in set(folder.glob("blocks-*")) - before)
+    lists = 4000 // vector_search.PER_LIST
+    assert held <= 4000 + 400 * -(-lists // 8)  # not a copy for each list
+
+
+def test_scan_of_blocks_against_brute_force():
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((900, 64))
+    v[300:340] = v[7] * rng.uniform(0.5, 2.0, (40, 1))  # of one direction
+    turned, lists = vector_search.unit(v) @ vector_search.rotation(64), np.sort(rng.integers(0, 6, 900))
+    rows, ids, own = rng.permutation(900), rng.integers(0, 50, 900), np.array([7, 310, 500, 899])
+    wanted = [np.array([0, 3]), np.array([0, 1, 2, 3, 4, 5]), np.array([5]), np.array([9])]  # no vector has list 9
+    pairs = np.repeat(np.arange(4), [len(w) for w in wanted]), np.concatenate(wanted)
+    block = lists, rows, ids, v, np.ascontiguousarray(turned.T)
+    at, found, scores = vector_search.meet(block, (pairs, rows[own], v[own], turned[own]), 5)
+    for i, q in enumerate(own):
+        there = [j for j in range(900) if j != q and lists[j] in wanted[i]]
+        score = dict(zip(there, vector_search.cosine(v[there], np.repeat(v[q][None], len(there), 0)))) if there else {}
+        best = sorted(there, key=lambda j: (-score[j], ids[j]))[:5]
+        assert found[at == i].tolist() == [ids[j] for j in best] and scores[at == i].tolist() == [score[j] for j in best]
+
+
 INSERTS = "op string, source string, lang string, tokenizer string, n_tokens long"
 
 
