@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodseries.llm.storage import stored
+from prodseries.llm.storage import LARGE_ROWS, stored
 
 #: Rows that the centroids are fitted on, at most; vectors meant for a list; the most lists.
 SAMPLE, PER_LIST, MOST_LISTS = 8192, 256, 1024
@@ -98,36 +98,41 @@ def ranks(at: np.ndarray) -> np.ndarray:
     return np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
 
 
+def rounding(n: int) -> float:
+    """By so much a squared distance of n dimensions, summed up in single precision, may be off."""
+    return 1e-6 * np.sqrt(n)
+
+
 def scan(turned: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, squared distance) of what may be among the k nearest of each query but the row `own`.
 
     turned: dimensions x vectors, queries: queries x dimensions. limit: of each query, the k-th smallest distance so far;
-    it is lowered here. All queries go over a block of columns together; a pair that fails a test is out (not a number),
-    and once few pairs are left, the columns that follow are looked at for these alone.
+    it is lowered here. All queries go over a block of columns together; a pair that fails a test is out, and once few
+    pairs are left, the columns that follow are looked at for these alone.
     """
-    n = len(turned)
+    n, kind = len(turned), turned.dtype
 
     def bar(stop: int) -> np.ndarray:
-        return limit * (stop / n) * ((1 + SLACK / np.sqrt(stop)) ** 2 if stop < n else 1.0) + 1e-9
+        return (limit * (stop / n) * ((1 + SLACK / np.sqrt(stop)) ** 2 if stop < n else 1.0) + rounding(n)).astype(kind)
 
     def dense(start: int, stop: int, a: np.ndarray) -> np.ndarray:
+        """Of all pairs, over these columns, as one product: (-2 q, |q|^2, 1) by (a, 1, |a|^2)."""
         a, q = a[start:stop], queries[:, start:stop]
-        return (q * q).sum(1)[:, None] + (a * a).sum(0) - 2 * (q @ a)
+        left = np.concatenate([-2 * q, (q * q).sum(1, keepdims=True), np.ones((len(q), 1), dtype=kind)], axis=1)
+        return left @ np.concatenate([a, np.ones((1, a.shape[1]), dtype=kind), (a * a).sum(0, keepdims=True)])
 
-    same = rows == own[:, None]
+    keep = rows != own[:, None]
     if len(rows) > 4 * k and not np.isfinite(limit).all():
         # the first limit: the k-th smallest full distance among a few of them
         few = slice(None, None, max(1, len(rows) // (8 * k)))
-        first = np.where(same[:, few], np.inf, dense(0, n, turned[:, few]))
+        first = np.where(keep[:, few], dense(0, n, turned[:, few]), np.inf)
         np.minimum(limit, np.partition(first, k - 1, axis=1)[:, k - 1], out=limit)
-    part, start = np.where(same, np.nan, 0.0), 0
-    while True:
+    part, start = np.zeros(keep.shape, dtype=kind), 0
+    while start < n and np.count_nonzero(keep) * FEW >= keep.size:
         stop = min(start + COLUMNS, n)
         part += dense(start, stop, turned)
-        start, keep = stop, part <= bar(stop)[:, None]
-        if start == n or np.count_nonzero(keep) * FEW < keep.size:
-            break
-        part[~keep] = np.nan
+        keep &= part <= bar(stop)[:, None]
+        start = stop
     at, of = np.nonzero(keep)
     part = part[at, of]
     while start < n:
@@ -150,7 +155,7 @@ def meet(block: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np
     lists, rows, ids, vectors, turned = block
     (who, wanted), own, asked_vectors, queries = asked
     limit = np.full(len(own), np.inf)
-    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=turned.dtype))]
     firsts = np.flatnonzero(np.diff(lists, prepend=-1))
     for start, stop in zip(firsts, [*firsts[1:], len(lists)]):
         these = who[wanted == lists[start]]
@@ -160,12 +165,12 @@ def meet(block: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np
             limit[these] = lowered
             found.append((these[at], of + start, part))
     at, of, part = (np.concatenate(x) for x in zip(*found))
-    keep = part <= limit[at] + 1e-9
+    keep = part <= limit[at] + rounding(len(turned))
     at, of = at[keep], of[keep]
     scores = np.zeros(len(at))
     for start in range(0, len(at), PAIRS):
         some = slice(start, start + PAIRS)
-        scores[some] = cosine(vectors[of[some]], asked_vectors[at[some]])
+        scores[some] = cosine(vectors[of[some]].astype(float), asked_vectors[at[some]].astype(float))
     order = np.lexsort((ids[of], -scores, at))
     best = order[ranks(at[order]) < k]
     return at[best], ids[of[best]], scores[best]
@@ -176,8 +181,8 @@ def groups_of(centers: np.ndarray) -> np.ndarray:
     return (centers @ fit(centers, -(-len(centers) // GROUP)).T).argmax(1)
 
 
-def _assigned(rows: DataFrame, centers: np.ndarray, groups: np.ndarray, probes: int) -> DataFrame:
-    """(group, lists, row, id, v as bytes): each vector once in each group that holds some of its `probes` nearest lists."""
+def _assigned(rows: DataFrame, centers: np.ndarray, groups: np.ndarray, probes: int, held: str) -> DataFrame:
+    """(group, lists, row, id, v as bytes of `held`): each vector once in each group that holds some of its `probes` nearest lists."""
     sent = rows.sparkSession.sparkContext.broadcast((centers, groups))  # MOST_LISTS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +198,7 @@ def _assigned(rows: DataFrame, centers: np.ndarray, groups: np.ndarray, probes:
                 at, lists = at[order], lists[order]
                 firsts = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(groups[lists], prepend=-1))
                 ends = pa.array(np.append(firsts, len(lists)).astype(np.int32))
-                data = [x.tobytes() for x in v]
+                data = [x.tobytes() for x in v.astype(held)]
                 numbers, ids = (part.column(c).to_numpy()[at[firsts]].astype(np.int64) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(groups[lists[firsts]].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists.astype(np.int32))),
@@ -203,11 +208,11 @@ def _assigned(rows: DataFrame, centers: np.ndarray, groups: np.ndarray, probes:
     return rows.select("row", "vec_id", "v").mapInArrow(run, "group int, lists array<int>, row bigint, id bigint, v binary")
 
 
-def _blocks(rows: DataFrame, size: int, by_column: bool) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, by_column: bool, held: str) -> DataFrame:
     """(group, lists, rows, ids, v, turned): the rows of each group, by list, in blocks of about `size`, spread by a hash of the row.
 
-    turned holds the unit vectors after the rotation, with by_column dimension by dimension. Both are stored, so that a
-    block that meets many others is turned once.
+    turned holds the unit vectors after the rotation in single precision, with by_column dimension by dimension. Both are
+    stored, so that a block that meets many others is turned once.
     """
     sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # a row a group
     cut = rows.join(F.broadcast(sizes), "group").withColumn("part", F.pmod(F.hash("row"), F.col("parts")))
@@ -218,14 +223,14 @@ def _blocks(rows: DataFrame, size: int, by_column: bool) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 data = batch.column(4)[i].as_py()
-                v = np.frombuffer(b"".join(data)).reshape(len(data), -1)
+                v = np.frombuffer(b"".join(data), held).reshape(len(data), -1)
                 turn = rotation(v.shape[1]) if turn is None else turn
-                turned = unit(v) @ turn
+                turned = (unit(v.astype(float)) @ turn).astype(np.float32)
                 more = [pa.array([x.tobytes()], pa.binary()) for x in (v, np.ascontiguousarray(turned.T) if by_column else turned)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:4], *more], names=["group", "lists", "rows", "ids", "v", "turned"])
 
     kind = "group int, lists array<array<int>>, rows array<bigint>, ids array<bigint>, v binary, turned binary"
-    return stored(grouped.select("group", "m.lists", "m.row", "m.id", "m.v").mapInArrow(run, kind), "blocks")
+    return stored(grouped.select("group", "m.lists", "m.row", "m.id", "m.v").mapInArrow(run, kind), "blocks", LARGE_ROWS)
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -240,8 +245,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     centers = fit(scaled, lists)
     probes = probes_for(scaled, centers, k)
     groups = groups_of(centers)
-    blocks = _blocks(_assigned(rows, centers, groups, 1), BLOCK, by_column=True)
-    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, groups, probes), QUERIES, by_column=False)
+    # as single precision where the column itself is: nothing is lost, scores are computed in double precision
+    held = "f4" if vectors.select(F.element_at("embedding", 1)).dtypes[0][1] == "float" else "f8"
+    blocks = _blocks(_assigned(rows, centers, groups, 1, held), BLOCK, True, held)
+    asked = _blocks(_assigned(rows.where(F.col("vec_id") % every == 0), centers, groups, probes, held), QUERIES, False, held)
     columns = ["lists", "rows", "ids", "v", "turned"]
     asked = asked.select("group", *(F.col(c).alias(f"asked_{c}") for c in columns))
     met = blocks.join(asked, "group").select(*columns, *(f"asked_{c}" for c in columns))
@@ -252,7 +259,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             for i in range(len(batch)):
                 lists, asked_lists = (batch.column(c)[i].values for c in (0, 5))
                 numbers, ids, asked_numbers, asked_ids = (batch.column(c)[i].values.to_numpy() for c in (1, 2, 6, 7))
-                v, turned, asked_v, asked_turned = (np.frombuffer(batch.column(c)[i].as_py()) for c in (3, 4, 8, 9))
+                v, turned, asked_v, asked_turned = (np.frombuffer(batch.column(c)[i].as_py(), "f4" if c in (4, 9) else held) for c in (3, 4, 8, 9))
                 wanted = np.repeat(np.arange(len(asked_numbers)), asked_lists.value_lengths().to_numpy()), asked_lists.flatten().to_numpy()
                 block = lists.flatten().to_numpy(), numbers, ids, v.reshape(-1, n), turned.reshape(n, -1)
                 at, best, scores = meet(block, (wanted, asked_numbers, asked_v.reshape(-1, n), asked_turned.reshape(-1, n)), k)

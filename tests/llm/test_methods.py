@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import contamination, near, personal, sha, words
 from pyspark.sql import functions as F
@@ -506,15 +507,25 @@ def test_search_copies_a_query_once_a_group_of_lists(spark):
     assert held <= 4000 + 400 * -(-lists // 8)  # not a copy for each list
 
 
-def test_scan_of_blocks_against_brute_force():
+def test_large_rows_are_stored_in_small_groups(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, bytearray(rng.bytes(1 << 20))) for i in range(40)], "i int, v binary").coalesce(1)
+    files = [f.removeprefix("file://") for f in storage.stored(df, "large", storage.LARGE_ROWS).inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in groups) == 40
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 20
+
+
+@pytest.mark.parametrize("precision", ["f4", "f8"])
+def test_scan_of_blocks_against_brute_force(precision):
     rng = np.random.default_rng(2)
-    v = rng.standard_normal((900, 64))
-    v[300:340] = v[7] * rng.uniform(0.5, 2.0, (40, 1))  # of one direction
-    turned, lists = vector_search.unit(v) @ vector_search.rotation(64), np.sort(rng.integers(0, 6, 900))
+    v = rng.standard_normal((900, 64)).astype("f4").astype(float)
+    v[300:340] = v[7] * 2.0 ** rng.integers(-2, 3, (40, 1))  # of one direction
+    turned, lists = (vector_search.unit(v) @ vector_search.rotation(64)).astype(precision), np.sort(rng.integers(0, 6, 900))
     rows, ids, own = rng.permutation(900), rng.integers(0, 50, 900), np.array([7, 310, 500, 899])
     wanted = [np.array([0, 3]), np.array([0, 1, 2, 3, 4, 5]), np.array([5]), np.array([9])]  # no vector has list 9
     pairs = np.repeat(np.arange(4), [len(w) for w in wanted]), np.concatenate(wanted)
-    block = lists, rows, ids, v, np.ascontiguousarray(turned.T)
+    block = lists, rows, ids, v.astype(precision), np.ascontiguousarray(turned.T)
     at, found, scores = vector_search.meet(block, (pairs, rows[own], v[own], turned[own]), 5)
     for i, q in enumerate(own):
         there = [j for j in range(900) if j != q and lists[j] in wanted[i]]
