@@ -27,10 +27,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 
 
-def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it: a short lineage that survives lost executors."""
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None, *by: str) -> DataFrame:
+    """Write df as Parquet into the shared folder, with a folder for each value of `by`, and read it: a short lineage that survives lost executors."""
     path = new_folder(df.sparkSession, label)
-    df.write.options(**(options or {})).parquet(path)
+    write = df.write.options(**(options or {}))
+    (write.partitionBy(*by) if by else write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

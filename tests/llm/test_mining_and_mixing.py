@@ -81,6 +81,49 @@ def test_pruning_skips_and_loses_nothing():
     assert len(block.candidates(v[0], int(2 * (v[0] @ v[0])))) == 0
 
 
+def test_anchors_are_not_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK", 5)
+    rows = [(25 * i, v, label) for i, v, label in vectors(600)]  # all are anchors: a copy of them for each block is over 10 MB
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        assert mined(spark.createDataFrame(rows, VECTORS)) == negatives(rows)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
+@pytest.mark.parametrize("few,cells,pending,scale", [(0, 1 << 19, 1 << 17, 50), (16, 900, 30, 50), (10**6, 100, 30, 50), (16, 900, 30, 10**6), (16, 900, 30, 10**8)])
+def test_blocks_that_meet_leave_the_best(monkeypatch, few, cells, pending, scale):
+    """few: no range is too wide, some are, or all; scale: sums in single precision, in double and in Python's integers."""
+    for name, value in (("FEW", few), ("CELLS", cells), ("PENDING", pending)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.standard_normal((12, 6)), 30, 0) + 0.1 * rng.standard_normal((360, 6))
+    v[40:60] = v[40]  # equal scores
+    v = np.floor(scale * v[np.argsort(-np.abs(v).max(1))])
+    ids, labels, exact = rng.permutation(360) // 2, rng.integers(0, 3, 360), [[int(x) for x in r] for r in v]
+    score = [[sum(map(int.__mul__, a, b)) for b in exact] for a in exact]
+    whose = sorted(range(0, 360, 6), key=lambda i: (labels[i], i))
+    limits = [[(max(score[a]) * p // 10, max(score[a]) * q // 10) for p, q in ((3, 9), (5, 7), (9, 3))] for a in whose]
+    for same in (True, False):
+        least, most = (np.array([[x[i] for x in row] for row in limits]) for i in (0, 1))
+        if same:
+            least, most = np.full((60, 1), hard_negatives.LEAST), np.full((60, 1), hard_negatives.MOST)
+        asked = hard_negatives.Asked(np.array(whose), labels[whose], v[whose].tobytes(), least, most, 4)
+        for part in np.array_split(np.arange(360), 5):
+            part = part[np.argsort(labels[part], kind="stable")]
+            lists = np.argsort(hard_negatives.units(v[part]).T, axis=1, kind="stable").astype(np.uint16)
+            block = hard_negatives.Block(part, ids[part], labels[part], v[part].tobytes(), lists.tobytes(), float(hard_negatives.length(v[part]).max()))
+            hard_negatives.meet(block, asked, same)
+        want = []
+        for n, a in enumerate(whose):
+            for place, (low, high) in enumerate([(None, None)] if same else limits[n]):
+                fits = [b for b in range(360) if (labels[a] == labels[b]) == same and a != b and (same or low <= score[a][b] <= high)]
+                fits = sorted(fits, key=lambda b: (-score[a][b], ids[b], b))[:4]
+                want += [(n * (1 if same else 3) + place, score[a][b], ids[b], b) for b in fits]
+        assert len(want) > 100 and [*zip(*asked.settle())] == want
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5], 1), (100, None, 1), (200, [nan, 1.0], 1), (300, [1.0, inf], 1), (400, [None, 1.0], 1), (500, [1.0], 1), (None, [1.0, 1.0], 1),
