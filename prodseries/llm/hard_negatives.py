@@ -42,7 +42,7 @@ SHARE, GROUPS = 16, 8
 #: Coordinates whose ranges are intersected, and slack of the ranges against rounding.
 FOCUS, SLACK = 4, 1e-9
 #: Ranges count up to one row in so many; scores of a product, pairs scored one by one and rows found that are held at a time.
-FEW, CELLS, PAIRS, PENDING = 16, 1 << 19, 8192, 1 << 17
+FEW, CELLS, PAIRS, PENDING = 16, 1 << 21, 8192, 1 << 17
 #: Score of a negative as a percentage of its positive's, from and to.
 LOW, HIGH = 30, 90
 #: No bound from below and from above.
@@ -105,6 +105,15 @@ def ranks(key: np.ndarray) -> np.ndarray:
     return np.arange(len(key)) - np.repeat(first, np.diff(first, append=len(key)))
 
 
+def true_places(hit: np.ndarray) -> np.ndarray:
+    """As flatnonzero, which takes longer where little is true."""
+    flat = hit.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eights = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return eights[flat[eights]]
+
+
 class Block:
     """The rows of one block, with the sorted lists of their coordinates."""
 
@@ -115,6 +124,7 @@ class Block:
         self.lists = np.frombuffer(lists, dtype=np.uint16).reshape(-1, len(rows))
         self.values = np.take_along_axis(self.unit.T, self.lists.astype(np.int64), axis=1)  # each list in its order
         self.single = self.v.astype(np.float32) if self.most < 2**24 else None
+        self.room = np.zeros(0)
 
     def ranges(self, focus: np.ndarray, own: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each anchor and focus coordinate: low, high, and where these are in the list. cosine: the least that counts."""
@@ -140,6 +150,13 @@ class Block:
             at, of = at[keep], of[keep]
         return at, of
 
+    def scores(self, q: np.ndarray, lo: int, hi: int, single: bool) -> np.ndarray:
+        """Inner products with the rows from lo to hi, in memory that the next call takes again."""
+        v = (self.single if single else self.v)[lo:hi]
+        if self.room.dtype != v.dtype or len(self.room) < len(q) * len(v):
+            self.room = np.empty(max(CELLS, len(q) * len(v)), dtype=v.dtype)
+        return np.matmul(q.astype(v.dtype), v.T, out=self.room[: len(q) * len(v)].reshape(len(q), len(v)))
+
     def candidates(self, q: np.ndarray, least: int | None) -> np.ndarray:
         """The rows that may score `least` or more with q; None: all."""
         every = np.arange(len(self.rows))
@@ -210,19 +227,18 @@ def meet(block: Block, asked: Asked, same: bool) -> None:
 
     def product(some: np.ndarray, lo: int, hi: int, single: bool) -> None:
         """All of these anchors by the rows from lo to hi."""
-        v = (block.single if single else block.v)[lo:hi]
-        scores = asked.v[some].astype(v.dtype) @ v.T
-        hit = scores >= asked.least[some].min(1).astype(v.dtype)[:, None]
+        scores = block.scores(asked.v[some], lo, hi, single)
+        hit = scores >= asked.least[some].min(1).astype(scores.dtype)[:, None]
         if hi - lo > k and np.count_nonzero(hit) > 4 * k * places * len(some):  # bounds from the block itself
             may = free(some[:, None], np.arange(lo, hi)[None])
             for place in range(places):
-                from_, to = (x[some, place].astype(v.dtype)[:, None] for x in (asked.least, asked.most))
-                fits = np.where(may & (scores >= from_) & (scores <= to), scores, -np.inf).astype(v.dtype)
+                from_, to = (x[some, place].astype(scores.dtype)[:, None] for x in (asked.least, asked.most))
+                fits = np.where(may & (scores >= from_) & (scores <= to), scores, -np.inf).astype(scores.dtype)
                 last = np.partition(fits, hi - lo - k, axis=1)[:, hi - lo - k]
                 known = np.isfinite(last)
                 asked.least[some[known], place] = np.maximum(asked.least[some[known], place], last[known].astype(np.int64))
-            hit = may & (scores >= asked.least[some].min(1).astype(v.dtype)[:, None])
-        flat = np.flatnonzero(hit)
+            hit = may & (scores >= asked.least[some].min(1).astype(scores.dtype)[:, None])
+        flat = true_places(hit)
         at, of = np.divmod(flat, hi - lo)
         at, of, scores = some[at], of + lo, scores.ravel()[flat].astype(np.int64)
         keep = free(at, of)
